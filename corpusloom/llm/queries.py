@@ -4,12 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import exact_dedup, mixing
+from corpusloom.llm import exact_dedup, mixing, pieces, token_files, warc
 from corpusloom.llm.shared import table
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.tokens_through_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -18,7 +34,38 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op4_exact_dedup)}
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode, decode, and hold the decoded text against the original."""
+    path = vocabulary("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = pieces.decode(pieces.encode(docs, path), path)
+
+    def digest(batches):
+        for batch in batches:
+            lists = batch.column(1)
+            ends = lists.offsets.to_numpy()
+            ids = lists.values.to_numpy().astype("<u4")
+            crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64()), *batch.columns[2:]], names=["doc_id", "n_pieces", "ids_crc32", "piece_score", "round_trip"])
+
+    rows = coded.select("doc_id", "piece_ids", "piece_score", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return rows.mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, piece_score double, round_trip boolean")
+
+
+def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    captures = warc.through_archives(table(spark, sf_dir, "pages"))
+    field = F.col("metadata.fields")
+    return captures.select(
+        field["page-id"].cast("long").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
+        F.col("response.payload_digest").alias("payload_digest"),
+        F.col("response.record_type").alias("record_type"),
+        field["refers-to-page-id"].cast("long").alias("refers_to"),
+        F.col("response.target_uri").alias("target_uri"),
+    )
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op4_exact_dedup, op8_sentencepiece, op10_warc_transactions)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
