@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import divergence, exact_dedup, mixing, near_join, pieces, token_files, warc
+from corpusloom.llm import divergence, exact_dedup, mixing, near_join, pieces, quality, token_files, toxicity, warc
 from corpusloom.llm.shared import table
 
 
@@ -42,6 +42,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_join.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.classify(docs, docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode, decode, and hold the decoded text against the original."""
     path = vocabulary("piece_bpe_32k.model")
@@ -60,6 +65,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, piece_score double, round_trip boolean")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.classify(docs, docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     captures = warc.through_archives(table(spark, sf_dir, "pages"))
     field = F.col("metadata.fields")
@@ -73,7 +83,7 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op3_distribution_divergence, op4_exact_dedup, op5_ngram_jaccard_join, op8_sentencepiece, op10_warc_transactions)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op3_distribution_divergence, op4_exact_dedup, op5_ngram_jaccard_join, op6_quality_classifier, op8_sentencepiece, op9_toxicity, op10_warc_transactions)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
