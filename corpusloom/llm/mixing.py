@@ -171,3 +171,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     return plain.unionByName(ranked).select(
         "doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
     )
+
+
+def mixture(docs: DataFrame, **how) -> DataFrame:
+    """The mixed documents with their columns: each as many times as the mix takes it.
+
+    Rows that share a doc_id share one decision, the most copies of any of them.
+    """
+    copies = mix(docs, **how).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
+    chosen = docs.join(copies.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
+    return chosen.withColumn("__again", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)

@@ -8,10 +8,12 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import divergence, exact_dedup, mixing, near_join, pieces, quality, token_files, toxicity, warc
+from corpusloom.llm import divergence, exact_dedup, html_text, mixing, near_join, pieces, quality, token_files, toxicity, warc
+from corpusloom.llm.arrow_text import small_batches
 from corpusloom.llm.shared import table
 
 
@@ -47,22 +49,24 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(docs, docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op7_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text")
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode, decode, and hold the decoded text against the original."""
+    """Encode; then decode, hold the decoded text against the original, and digest the ids."""
     path = vocabulary("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = pieces.decode(pieces.encode(docs, path), path)
+    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
 
     def digest(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            ends = lists.offsets.to_numpy()
-            ids = lists.values.to_numpy().astype("<u4")
-            crcs = [zlib.crc32(ids[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends).astype(np.int64)), pa.array(crcs, pa.int64()), *batch.columns[2:]], names=["doc_id", "n_pieces", "ids_crc32", "piece_score", "round_trip"])
+        for batch in small_batches(batches, 1):
+            ids, counts = pieces.flat_lists(batch.column(2))
+            same = pc.equal(pieces.model(path).decode(ids, counts), batch.column(1).cast(pa.large_string()))
+            raw, ends = ids.astype("<u4").tobytes(), 4 * np.append(0, np.cumsum(counts))
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(crcs, pa.int64()), batch.column(3), same], names=["doc_id", "n_pieces", "ids_crc32", "piece_score", "round_trip"])
 
-    rows = coded.select("doc_id", "piece_ids", "piece_score", (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
-    return rows.mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, piece_score double, round_trip boolean")
+    return coded.mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, piece_score double, round_trip boolean")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +87,7 @@ def op10_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op3_distribution_divergence, op4_exact_dedup, op5_ngram_jaccard_join, op6_quality_classifier, op8_sentencepiece, op9_toxicity, op10_warc_transactions)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_files, op2_source_mixing, op3_distribution_divergence, op4_exact_dedup, op5_ngram_jaccard_join, op6_quality_classifier, op7_html_rendering, op8_sentencepiece, op9_toxicity, op10_warc_transactions)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
