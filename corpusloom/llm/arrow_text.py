@@ -18,6 +18,19 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def small_batches(batches, place: int, most: int = 6_000_000):
+    """The same rows in batches whose texts (column ``place``) have about ``most`` bytes, one text at least."""
+    for batch in batches:
+        column = batch.column(place)
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)) if batch.num_rows else []
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
 def gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The slices values[begin : begin + length], end to end."""
     lengths = lengths.astype(np.int64)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrow_text import flat_bytes, with_columns
+from corpusloom.llm.arrow_text import flat_bytes, small_batches, with_columns
 from corpusloom.llm.linear import LinearModel
 
 SHAPE_BITS, WORD_BITS, AFFIX_BITS = 16, 18, 20
@@ -141,7 +141,7 @@ def feature_rows(docs: DataFrame, features: Features, keep: str) -> DataFrame:
     """``keep`` and the features of each text as bytes of int32, for a bounded sample."""
 
     def run(batches):
-        for batch in batches:
+        for batch in small_batches(batches, 0, 3_000_000):
             owner, found = features(batch.column(0))
             cuts = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             numbers = found.astype(np.int32)
@@ -174,13 +174,9 @@ def add_scores(docs: DataFrame, model: LinearModel, features: Features, into: st
     place = docs.columns.index("text")
 
     def run(batches):
-        for batch in batches:
-            scores = []
-            for at in range(0, batch.num_rows, 1000):
-                column = batch.column(place).slice(at, 1000)
-                owner, found = features(column)
-                scores.append(sent.value.score(sent.value.margins(owner, found, len(column))))
-            yield with_columns(batch, {into: pa.array(np.concatenate(scores) if scores else np.zeros(0))})
+        for batch in small_batches(batches, place, 3_000_000):
+            owner, found = features(batch.column(place))
+            yield with_columns(batch, {into: pa.array(sent.value.score(sent.value.margins(owner, found, batch.num_rows)))})
 
     kept = [f for f in docs.schema.fields if f.name != into]
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.DoubleType())]))
