@@ -122,9 +122,9 @@ def edges_per_type(spark, d):
     return graph.edges_per_type(t.edges(spark, d), 15).select("id", "edge_type")
 
 
-@query("SELECT DISTINCT note_id AS id FROM mention WHERE entity_id IN (SELECT id FROM entity WHERE contains(canonical_name, 'united')) AND note_id IN (SELECT id FROM visible)", "mention", "entity", "visible")
+@query("SELECT DISTINCT note_id AS id FROM mention WHERE entity_id IN (SELECT id FROM entity WHERE contains(canonical_name, 'nation_1')) AND note_id IN (SELECT id FROM visible)", "mention", "entity", "visible")
 def notes_by_entity_name(spark, d):
-    named = t.entities(spark, d).filter(F.contains("canonical_name", tx.canonicalize(F.lit("United ")))).select(F.col("id").alias("entity_id"))
+    named = t.entities(spark, d).filter(F.contains("canonical_name", tx.canonicalize(F.lit("Nation_1 ")))).select(F.col("id").alias("entity_id"))
     hit = t.mentions(spark, d).join(F.broadcast(named), "entity_id", "left_semi").select(F.col("note_id").alias("id"))
     return visible(spark, d).join(hit, "id", "left_semi").select("id")
 
@@ -546,11 +546,11 @@ TOKENS_SQL = r"tk AS (SELECT conv_id AS group_id, id, unnest(string_split(trim(r
 
 
 @query(f"""WITH {TOKENS_SQL}, sh AS (SELECT a.group_id, a.id AS left_id, b.id AS right_id, sum(least(a.n, b.n)) AS shared FROM tc a JOIN tc b ON a.group_id = b.group_id AND a.token = b.token AND a.id < b.id GROUP BY ALL)
-    SELECT sh.group_id, left_id, right_id, round(shared / (x.size + y.size - shared), 6) AS similarity FROM sh JOIN sz x ON x.id = left_id JOIN sz y ON y.id = right_id WHERE shared / (x.size + y.size - shared) >= 0.2""", "msg")
+    SELECT sh.group_id, left_id, right_id, round(shared / (x.size + y.size - shared), 6) AS similarity FROM sh JOIN sz x ON x.id = left_id JOIN sz y ON y.id = right_id WHERE shared / (x.size + y.size - shared) >= 0.1""", "msg")
 def near_duplicate_messages(spark, d):
     m = t.messages(spark, d)
     tokens = m.select(F.col("conv_id").alias("group_id"), "id", F.explode(F.split(tx.lexical(F.col("content")), " ")).alias("token")).filter("token <> ''").groupBy("group_id", "id", "token").agg(F.count("*").alias("n"))
-    return gardener.near_duplicates(tokens, 0.2).withColumn("similarity", F.round("similarity", 6))
+    return gardener.near_duplicates(tokens, 0.1).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""WITH items AS (SELECT id, 'note' AS kind, content AS text FROM note UNION ALL SELECT id, 'message', CASE WHEN trim(content) = '' THEN '[empty message]' ELSE content END FROM msg UNION ALL SELECT id, 'summary', summary FROM chat WHERE summary IS NOT NULL AND trim(summary) <> '')
