@@ -61,7 +61,7 @@ def kind_of(line: str) -> str:
 def blocks(text: str) -> tuple[list[Piece], list[str]]:
     """Content blocks in order, and the headings that hold at the end."""
     ends = [m.end() for m in re.finditer(r"[^\n]*\n|[^\n]+$", text)]
-    starts = [0, *ends[:-1]]
+    starts = [0, *ends[:-1]][: len(ends)]
     lines = [text[a:b].rstrip("\n").rstrip("\r") for a, b in zip(starts, ends, strict=True)]
     kinds = [kind_of(x) for x in lines]
     out: list[Piece] = []

@@ -61,8 +61,8 @@ def problems(lines: DataFrame, manifest: dict, allowed: list[str], references: d
     unknown = lines.filter(~F.col("table_name").isin(allowed)).select(F.lit("unknown table").alias("problem"), "table_name", "id")
     prefix = lines.filter(~F.startswith("id", F.concat("table_name", F.lit(":")))).select(F.lit("wrong prefix"), "table_name", "id")
     twice = lines.groupBy("table_name", "id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("repeated id"), "table_name", "id")
-    lost = dangling(lines, references).select(F.lit("dangling reference"), "table_name", "id")
     spark = lines.sparkSession
+    lost = dangling(lines, references).select(F.lit("dangling reference"), "table_name", "id")
     expected = spark.createDataFrame(list(manifest["record_counts"].items()) or [("", 0)], "table_name string, expected long")
     wrong = table_counts(lines).join(expected, "table_name", "full_outer").filter("not (records <=> expected)").select(F.lit("wrong count"), "table_name", F.lit(None).cast("string").alias("id"))
     return unknown.union(prefix).union(twice).union(lost).union(wrong)
@@ -70,13 +70,12 @@ def problems(lines: DataFrame, manifest: dict, allowed: list[str], references: d
 
 def dangling(lines: DataFrame, references: dict[str, dict[str, str]]) -> DataFrame:
     """Records whose reference has no record. ``references``: table to its fields' tables."""
-    out = None
+    out = lines.select("table_name", "id", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("target")).filter("false")
     for name, fields in references.items():
         for field, other in fields.items():
             held = lines.filter(F.col("table_name") == name).select("table_name", "id", F.get_json_object("line", f"$.record.{field}").alias("target")).filter("target is not null")
             known = lines.filter(F.col("table_name") == other).select(F.col("id").alias("target"))
-            one = held.join(known, "target", "left_anti").select("table_name", "id", F.lit(field).alias("field"), "target")
-            out = one if out is None else out.unionByName(one)
+            out = out.unionByName(held.join(known, "target", "left_anti").select("table_name", "id", F.lit(field).alias("field"), "target"))
     return out
 
 
