@@ -128,3 +128,25 @@ def preview(messages: DataFrame) -> DataFrame:
     d = qa_diagnostics(messages)
     totals = messages.agg(F.count("*").alias("messages"), F.count_distinct("conversation_id").alias("conversations"), F.count_if(F.octet_length("content") > LEAST_ANSWER).alias("long_messages"))
     return totals.join(d.agg(F.sum("pairs").alias("pairs"), F.sum("short_pairs").alias("short_pairs"), F.count_if(F.col("pairs") == 0).alias("chats_without_pairs"), F.count_if("ends_open").alias("chats_left_open")))
+
+
+def imported_notes(messages: DataFrame, chats: DataFrame, mode: str = "hybrid") -> DataFrame:
+    """Notes of an import: pairs (qa), every message (message), or pairs and what they leave (hybrid).
+
+    A conversation without any pair comes as one Markdown note in qa mode.
+    """
+    single = message_notes(messages, chats).select("conversation_id", F.lit("message").alias("kind"), "title", "content", "tags")
+    if mode == "message":
+        return single
+    pairs = qa_notes(messages, chats).select("conversation_id", F.lit("qa").alias("kind"), "title", "content", "tags")
+    if mode == "qa":
+        lone = chats.join(pairs.select(F.col("conversation_id").alias("id")), "id", "left_anti").select("id", "title")
+        whole = markdown(messages, chats).join(lone, F.col("conversation_id") == F.col("id"), "inner")
+        return pairs.unionByName(whole.select("conversation_id", F.lit("markdown").alias("kind"), "title", F.col("markdown").alias("content"), F.array(F.lit("chat-export")).alias("tags")))
+    rest = message_notes(unpaired_messages(messages), chats).select("conversation_id", F.lit("message").alias("kind"), "title", "content", "tags")
+    return pairs.unionByName(rest)
+
+
+def not_linked(chats: DataFrame, links: DataFrame) -> DataFrame:
+    """Chats that no note comes from yet: what a second import takes."""
+    return chats.join(links.select(F.col("conversation_id").alias("id")), "id", "left_anti")

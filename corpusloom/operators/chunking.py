@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CHUNK_SCHEMA = (
@@ -248,3 +248,19 @@ def aligned_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["source_id", "old_ordinal", "new_ordinal", "exact_content"])
 
     return old.groupBy("source_id").cogroup(new.groupBy("source_id")).applyInPandas(run, "source_id string, old_ordinal int, new_ordinal int, exact_content boolean")
+
+
+def reused_vectors(alignment: DataFrame, old_vectors: DataFrame, new: DataFrame) -> DataFrame:
+    """New chunks with the vectors of their exact matches; a null vector is still to be embedded.
+
+    ``old_vectors``: source_id, ordinal, embedding; ``new``: source_id, ordinal and more.
+    """
+    exact = alignment.filter("exact_content").select("source_id", F.col("old_ordinal").alias("__old"), F.col("new_ordinal").alias("ordinal"))
+    held = old_vectors.select("source_id", F.col("ordinal").alias("__old"), "embedding")
+    return new.join(exact.join(held, ["source_id", "__old"]).drop("__old"), ["source_id", "ordinal"], "left")
+
+
+def duplicated_anchors(chunks: DataFrame) -> DataFrame:
+    """Adds how often a chunk's anchor comes in its source, and which occurrence it is."""
+    same = Window.partitionBy("source_id", "heading_path", "content")
+    return chunks.withColumns({"times": F.count("*").over(same), "occurrence": F.row_number().over(same.orderBy("ordinal"))})

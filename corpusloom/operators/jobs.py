@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import content_hash
+from corpusloom.functions.extraction import parse
+from corpusloom.functions.text import content_hash, entity_type, truncate_for_extraction
 
 Embed = Callable[[list[str]], list[list[float]]]
 
@@ -108,3 +109,28 @@ def retry_delay(attempt: int, key: str, first: float = 0.25, most: float = 5.0)
 def retryable(status: int | None, timed_out: bool = False) -> bool:
     """Time-outs, throttling and server errors are tried again; other refusals aren't."""
     return timed_out or status is None or status in (408, 425, 429) or status >= 500
+
+
+def extract_entities(items: DataFrame, extract: Callable[[str], str], most: int = 8000) -> DataFrame:
+    """id, name, entity_type of what an extractor finds in each text; an answer that can't be read gives nothing."""
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(i, name, kind) for i, text in zip(pdf["id"], pdf["text"], strict=True) for name, kind in parse(extract(text))[0]]
+            yield pd.DataFrame(rows, columns=["id", "name", "label"])
+
+    cut = items.select("id", truncate_for_extraction(F.col("text"), most).alias("text"))
+    return cut.mapInPandas(run, "id string, name string, label string").select("id", "name", entity_type(F.coalesce("label", F.lit("concept"))).alias("entity_type"))
+
+
+def swapped(current: DataFrame, staged: DataFrame) -> DataFrame:
+    """The vectors after a committed reindex: staged ones replace those of their ids."""
+    new = staged.select("id", F.col("embedding").alias("__new"))
+    return current.join(new, "id", "full_outer").withColumn("embedding", F.coalesce("__new", "embedding")).drop("__new")
+
+
+def identity_state(stored: dict | None, wanted: dict, vectors: int) -> str:
+    """empty, matching, mismatch, or legacy (vectors without an identity): what a vector search may rely on."""
+    if not stored:
+        return "legacy" if vectors else "empty"
+    return "matching" if all(stored.get(k) == wanted.get(k) for k in ("provider", "model", "dimension")) else "mismatch"

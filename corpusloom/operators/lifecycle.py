@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import clamp01, dedupe_key, edge_ends
+from corpusloom.functions.text import clamp01, content_hash, dedupe_key, edge_ends, heuristic_title
 
 LINK_TYPES = ("supports", "contradicts", "related_to", "derived_from")
 GENERATOR = "gardener-similarity"
@@ -239,3 +239,11 @@ def edge_exists(edges: DataFrame, edge_id: str) -> DataFrame:
 def merged_objects(a: Column, b: Column) -> Column:
     """Maps merged, the second one's values last."""
     return F.map_from_entries(F.concat(F.filter(F.map_entries(a), lambda e: ~F.map_contains_key(b, e["key"])), F.map_entries(b)))
+
+
+def manual_notes(texts: DataFrame) -> DataFrame:
+    """Notes from plain texts (id, content): title from the first line, no source generation."""
+    return texts.select(
+        F.concat(F.lit("note:"), "id").alias("id"), heuristic_title(F.col("content")).alias("title"), "content", F.col("content").alias("search_content"),
+        F.concat(F.lit("source:"), "id").alias("source_id"), F.lit(None).cast("long").alias("source_generation"), content_hash(F.col("content")).alias("content_hash"),
+    )

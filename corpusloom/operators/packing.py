@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from corpusloom.functions.lexical import UNSPACED, multiset_jaccard, phrase_span, token_counts, token_set
 
@@ -249,3 +250,20 @@ def pack(hits: DataFrame, how: Packing = Packing()) -> DataFrame:
         return out.astype({"citation": "Int32", "tokens": "Int64", "rendered_tokens": "Int64", "truncated": "boolean"})
 
     return hits.groupBy("query_id").applyInPandas(run, PACK_SCHEMA)
+
+
+def prompts(packed: DataFrame, hits: DataFrame) -> DataFrame:
+    """query_id and the prompt block of its chosen chunks."""
+    heads = hits.select("query_id", "id", "hit_type", F.coalesce("title", F.lit("(untitled)")).alias("title"))
+    chosen = packed.filter("reason = 'selected'").join(heads, ["query_id", "id"])
+    part = F.concat(F.lit("[C"), F.col("citation").cast("string"), F.lit("] ["), "hit_type", F.lit("] "), "title", F.lit("\n"), "snippet", F.lit("\n\n"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("citation", part.alias("part")))), lambda x: x["part"]), "")
+    return chosen.groupBy("query_id").agg(F.concat(F.lit("<context>\n"), body, F.lit("</context>")).alias("prompt"))
+
+
+def diagnostics(packed: DataFrame) -> DataFrame:
+    """Counts of reasons, and tokens of snippets and headers, per query."""
+    reasons = ("selected", "duplicate", "near_duplicate", "relevance_threshold", "token_budget", "empty_content", "diagnostic_limit")
+    return packed.groupBy("query_id").agg(
+        *[F.count_if(F.col("reason") == r).alias(r) for r in reasons], F.sum("tokens").alias("snippet_tokens"), (F.sum("rendered_tokens") - F.sum("tokens")).alias("header_tokens")
+    )

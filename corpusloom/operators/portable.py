@@ -88,3 +88,14 @@ def restore(lines: DataFrame, name: str, schema: str) -> DataFrame:
 def envelope(rows: DataFrame, command: str) -> DataFrame:
     """Rows as the data of a versioned result object."""
     return rows.select(F.to_json(F.struct(F.lit(1).alias("schema_version"), F.lit(command).alias("command"), F.lit(True).alias("success"), F.struct(*rows.columns).alias("data"), F.array().cast("array<string>").alias("warnings"), F.array().cast("array<string>").alias("errors"))).alias("line"))
+
+
+def manifest_problems(manifest: dict) -> list[str]:
+    """What is wrong with a manifest itself."""
+    out = [] if manifest.get("format") == FORMAT else ["unknown format"]
+    out += [] if manifest.get("format_version") == VERSION else ["unknown version"]
+    identity = manifest.get("embedding_identity")
+    out += [] if bool(manifest.get("includes_embeddings")) == bool(identity) or not identity and not manifest.get("includes_embeddings") else ["vectors and their identity must come together"]
+    path = manifest.get("payload", "records")
+    out += ["unsafe path"] if path.startswith("/") or ".." in path.split("/") else []
+    return out

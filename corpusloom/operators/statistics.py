@@ -39,3 +39,24 @@ def anchor_counts(chunks: DataFrame) -> DataFrame:
 def reindex_preview(notes: DataFrame) -> DataFrame:
     """Items, characters and a fingerprint per item, per source."""
     return notes.groupBy("source_id").agg(F.count("*").alias("items"), F.sum(F.char_length("content")).alias("characters"), F.count_distinct(F.sha2("content", 256)).alias("fingerprints"))
+
+
+def doctor(notes: DataFrame, visible: DataFrame, edges: DataFrame, mentions: DataFrame, entities: DataFrame, vectors: DataFrame, dimension: int) -> DataFrame:
+    """check, problems: integrity of the tables, one row per check."""
+    ids = notes.select("id")
+    checks = {
+        "repeated note ids": notes.groupBy("id").count().filter("count > 1"),
+        "vectors of another size": vectors.filter(F.size("embedding") != dimension),
+        "vectors without a note": vectors.join(ids, "id", "left_anti"),
+        "edges from nowhere": edges.join(ids.withColumnRenamed("id", "from_id"), "from_id", "left_anti"),
+        "edges to nowhere": edges.join(ids.withColumnRenamed("id", "to_id"), "to_id", "left_anti"),
+        "edges to themselves": edges.filter("from_id = to_id"),
+        "mentions of unknown entities": mentions.join(entities.select(F.col("id").alias("entity_id")), "entity_id", "left_anti"),
+        "repeated entity names": entities.groupBy("canonical_name").count().filter("count > 1"),
+        "hidden notes": notes.join(visible.select("id"), "id", "left_anti"),
+    }
+    out = None
+    for name, rows in checks.items():
+        one = rows.agg(F.lit(name).alias("check"), F.count("*").alias("problems"))
+        out = one if out is None else out.unionByName(one)
+    return out

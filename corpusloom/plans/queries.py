@@ -642,3 +642,123 @@ def packed_context(spark, d):
     rows = hits.join(visible(spark, d).select("id", "title", "content"), "id").join(q.select("query_id", "query"), "query_id")
     shaped = rows.select("query_id", "query", F.col("final_rank").alias("rank"), "id", F.lit("note").alias("hit_type"), "title", "content", F.col("fused_score").alias("score"))
     return packing.pack(shaped).select("query_id", "id", "citation", "reason", "tokens", F.round("relevance", 6).alias("relevance"), F.round("novelty", 6).alias("novelty"))
+
+
+# ---- more of imports, writes and reports
+
+
+@query(f"WITH {TALK_SQL} SELECT id, role FROM talk WHERE NOT coalesce((role = 'human' AND next_role = 'assistant') OR (role = 'assistant' AND before_role = 'human'), false)", "msg")
+def unpaired_messages(spark, d):
+    return chat.unpaired_messages(t.messages(spark, d)).select("id", "role")
+
+
+@query(f"""WITH {TALK_SQL}, q AS (SELECT conversation_id, count(*) AS n FROM pair WHERE long GROUP BY ALL),
+    u AS (SELECT count(*) AS n FROM talk WHERE NOT coalesce((role = 'human' AND next_role = 'assistant') OR (role = 'assistant' AND before_role = 'human'), false))
+    SELECT 'qa' AS mode, 'qa' AS kind, CAST(sum(n) AS BIGINT) AS notes FROM q UNION ALL SELECT 'qa', 'markdown', (SELECT count(*) FROM chat WHERE id NOT IN (SELECT conversation_id FROM q))
+    UNION ALL SELECT 'message', 'message', (SELECT count(*) FROM msg) UNION ALL SELECT 'hybrid', 'qa', CAST(sum(n) AS BIGINT) FROM q UNION ALL SELECT 'hybrid', 'message', (SELECT n FROM u)""", "msg", "chat")
+def chat_import_modes(spark, d):
+    out = None
+    for mode in ("qa", "message", "hybrid"):
+        one = chat.imported_notes(t.messages(spark, d), t.chats(spark, d), mode).groupBy("kind").agg(F.count("*").alias("notes")).withColumn("mode", F.lit(mode))
+        out = one if out is None else out.unionByName(one)
+    return out.select("mode", "kind", "notes")
+
+
+@query("SELECT m.note_id, m.entity_id FROM mention m WHERE m.note_id NOT IN (SELECT 'note:' || doc_id FROM documents WHERE doc_id % 10 = 0) UNION ALL SELECT 'note:' || doc_id, 'entity:1' FROM documents WHERE doc_id % 10 = 0", "mention")
+def replace_mentions(spark, d):
+    new = t.read(spark, d, "documents").filter("doc_id % 10 = 0").select(F.concat(F.lit("note:"), "doc_id").alias("note_id"), F.lit("entity:1").alias("entity_id"))
+    return lifecycle.replace_links(t.mentions(spark, d), new, "note_id")
+
+
+@query("SELECT id, CASE WHEN status = 'pending' THEN generation ELSE successful_generation END AS successful_generation, CASE WHEN status = 'pending' THEN 'ready' ELSE status END AS status FROM src", "src")
+def promote_sources(spark, d):
+    return lifecycle.promoted(t.sources(spark, d)).select("id", "successful_generation", "status")
+
+
+@query("SELECT id FROM note WHERE NOT (source_id = 'source:src4' AND source_generation IS NOT DISTINCT FROM (SELECT generation FROM src WHERE id = 'source:src4' AND generation <> successful_generation)) OR source_generation IS NULL", "note", "src")
+def failed_import(spark, d):
+    return lifecycle.failed(t.sources(spark, d), t.notes(spark, d), "source:src4")[1].select("id")
+
+
+@query("SELECT id, CASE WHEN status IN ('pending', 'accepting', 'accepted') AND (from_id IN (SELECT id FROM note WHERE source_id = 'source:src2') OR to_id IN (SELECT id FROM note WHERE source_id = 'source:src2')) THEN 'superseded' ELSE status END AS status FROM proposal", "proposal", "note")
+def supersede_by_removal(spark, d):
+    return lifecycle.superseded_by_removal(t.proposals(spark, d), t.notes(spark, d).filter("source_id = 'source:src2'")).select("id", "status")
+
+
+@query("SELECT id, edge_type FROM edge WHERE from_id NOT IN (SELECT id FROM note WHERE source_id = 'source:src3') AND to_id NOT IN (SELECT id FROM note WHERE source_id = 'source:src3')", "edge", "note")
+def edges_after_delete(spark, d):
+    doomed = t.notes(spark, d).filter("source_id = 'source:src3'")
+    return lifecycle.without_notes(doomed, t.notes(spark, d), t.edges(spark, d), t.mentions(spark, d))[1].select("id", "edge_type")
+
+
+@query("""WITH new AS (SELECT 'supports:x' || doc_id AS id, 'related_to' AS edge_type, 'note:' || least(doc_id, doc_id // 3) AS a, 'note:' || greatest(doc_id, doc_id // 3) AS b FROM documents WHERE doc_id % 3 = 1 AND doc_id <> doc_id // 3)
+    SELECT id, least(a, b) AS from_id, greatest(a, b) AS to_id FROM new WHERE a IN (SELECT id FROM visible) AND b IN (SELECT id FROM visible)
+    AND NOT EXISTS (SELECT 1 FROM edge e WHERE e.edge_type = 'related_to' AND least(e.from_id, e.to_id) = least(a, b) AND greatest(e.from_id, e.to_id) = greatest(a, b))
+    QUALIFY row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY id) = 1""", "visible", "edge")
+def audited_edges(spark, d):
+    other = F.floor(F.col("doc_id") / 3)
+    new = t.read(spark, d, "documents").filter("doc_id % 3 = 1").select(
+        F.concat(F.lit("supports:x"), "doc_id").alias("id"), F.lit("related_to").alias("edge_type"), F.concat(F.lit("note:"), "doc_id").alias("from_id"), F.concat(F.lit("note:"), other).alias("to_id"), F.lit(2.0).alias("confidence")
+    )
+    return lifecycle.audited_edges(t.edges(spark, d), new, visible(spark, d)).select("id", "from_id", "to_id")
+
+
+@query("""SELECT 'repeated note ids' AS "check", CAST(0 AS BIGINT) AS problems UNION ALL SELECT 'vectors of another size', count(*) FROM vec WHERE len(embedding) <> 64
+    UNION ALL SELECT 'vectors without a note', count(*) FROM vec WHERE id NOT IN (SELECT id FROM note) UNION ALL SELECT 'edges from nowhere', count(*) FROM edge WHERE from_id NOT IN (SELECT id FROM note)
+    UNION ALL SELECT 'edges to nowhere', count(*) FROM edge WHERE to_id NOT IN (SELECT id FROM note) UNION ALL SELECT 'edges to themselves', count(*) FROM edge WHERE from_id = to_id
+    UNION ALL SELECT 'mentions of unknown entities', count(*) FROM mention WHERE entity_id NOT IN (SELECT id FROM entity) UNION ALL SELECT 'repeated entity names', 0
+    UNION ALL SELECT 'hidden notes', count(*) FROM note WHERE id NOT IN (SELECT id FROM visible)""", "note", "vec", "edge", "mention", "entity", "visible")
+def doctor_report(spark, d):
+    return statistics.doctor(t.notes(spark, d), visible(spark, d), t.edges(spark, d), t.mentions(spark, d), t.entities(spark, d), t.vectors(spark, d), 64)
+
+
+@query("SELECT id, CAST(NULL AS VARCHAR) AS lease FROM note WHERE id NOT IN (SELECT id FROM vec) AND id IN (SELECT id FROM visible)", "note", "vec", "visible")
+def widened_items(spark, d):
+    return jobs.widened(visible(spark, d).select("id"), t.vectors(spark, d)).select("id", F.lit(None).cast("string").alias("lease"))
+
+
+@query(r"""SELECT 'note:' || id AS id, substring(array_to_string(list_slice(string_split(trim(regexp_replace(list_filter(string_split(content, chr(10)), lambda x: trim(x) <> '')[1], '\s+', ' ', 'g')), ' '), 1, 5), ' '), 1, 48) AS title,
+    'sha256:' || sha256(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS content_hash FROM msg""", "msg")
+def manual_notes(spark, d):
+    return lifecycle.manual_notes(t.messages(spark, d).select("id", "content")).select("id", "title", "content_hash")
+
+
+@query(f"WITH {bm25_sql('msg', {'content': 1.0})}, firsts AS (SELECT query_id, id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5) SELECT query_id, f.id, m.role || ' message #' || (m.message_index + 1) AS title, c.source_uri FROM firsts f JOIN msg m ON m.id = f.id JOIN chat c ON c.id = m.conversation_id", "msg", "chat")
+def message_hits(spark, d):
+    found = retrieval.best_text(retrieval.bm25(text_queries(spark, d), t.messages(spark, d), {"content": 1.0}), 5)
+    shaped = found.join(t.messages(spark, d), "id").join(t.chats(spark, d).select(F.col("id").alias("conversation_id"), "source_uri"), "conversation_id")
+    return shaped.select("query_id", "id", retrieval.message_title(F.col("role"), F.col("message_index")).alias("title"), "source_uri")
+
+
+@query()
+def extracted_entities(spark, d):
+    """A stand-in for a model: it names the first capitalised words, in fenced JSON."""
+
+    def answer(text: str) -> str:
+        import json
+        import re
+
+        names = re.findall(r"\b[A-Z][a-z]+\b", text)[:3]
+        return "Sure:\n```json\n" + json.dumps({"entities": [{"name": n, "type": "ORG"} for n in names]}) + "\n```"
+
+    items = t.messages(spark, d).select("id", F.col("content").alias("text"))
+    return jobs.extract_entities(items, answer)
+
+
+@query()
+def reused_vectors(spark, d):
+    old = t.notes(spark, d).select("source_id", F.col("doc_id").cast("int").alias("ordinal"), F.array(F.col("source_id")).alias("heading_path"), "content", "id")
+    new = old.drop("id").withColumn("content", F.when(F.col("ordinal") % 13 == 0, F.concat("content", F.lit(" changed"))).otherwise(F.col("content")))
+    held = old.join(t.vectors(spark, d).select("id", "embedding"), "id").select("source_id", "ordinal", "embedding")
+    found = chunking.reused_vectors(chunking.aligned_chunks(old.drop("id"), new), held, new)
+    return found.groupBy("source_id").agg(F.count("*").alias("chunks"), F.count("embedding").alias("reused"))
+
+
+@query()
+def packing_report(spark, d):
+    q = both_queries(spark, d)
+    hits = retrieval.hybrid(q, t.notes(spark, d), t.vectors(spark, d), FIELDS, 20)
+    rows = hits.join(t.notes(spark, d).select("id", "title", "content"), "id").join(q.select("query_id", "query"), "query_id")
+    shaped = rows.select("query_id", "query", F.col("final_rank").alias("rank"), "id", F.lit("note").alias("hit_type"), "title", "content", F.col("fused_score").alias("score"))
+    packed = packing.pack(shaped, packing.Packing(chunks=4, total=600))
+    return packing.diagnostics(packed).join(packing.prompts(packed, shaped), "query_id").withColumn("prompt", F.octet_length("prompt"))

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.operators import gardener, graph, lifecycle, packing, retrieval, scans
+from corpusloom.operators import evaluation, gardener, graph, lifecycle, packing, retrieval, scans
 
 
 @dataclass(frozen=True)
@@ -103,3 +103,9 @@ def garden(model: Model, least: float = 0.7, most: int = 50) -> DataFrame:
     vectors = model.vectors.join(notes.select("id"), "id", "left_semi")
     found = gardener.suggestions(vectors.join(lone, "id", "left_semi"), vectors, least, most=most)
     return lifecycle.upsert_proposals(model.proposals, gardener.as_proposals(found))
+
+
+def evaluate(model: Model, cases: DataFrame, relevance: DataFrame, how: Search = Search(), k: int = 10) -> DataFrame:
+    """Metrics of each case: ``cases`` has query_id, query and embedding; ``relevance`` case_id, id and grade."""
+    hits = search(model, cases, how).select(F.col("query_id").alias("case_id"), "id", F.col("final_rank").alias("rank"))
+    return evaluation.case_metrics(hits, relevance, k)
