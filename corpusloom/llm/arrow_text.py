@@ -18,7 +18,7 @@ def flat_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def small_batches(batches, place: int, most: int = 6_000_000):
+def small_batches(batches, place: int, most: int = 4_000_000):
     """The same rows in batches whose texts (column ``place``) have about ``most`` bytes, one text at least."""
     for batch in batches:
         column = batch.column(place)
@@ -39,6 +39,10 @@ def gather(values: np.ndarray, begins: np.ndarray, lengths: np.ndarray) -> np.nd
     return values[np.arange(total) + np.repeat(begins - before, lengths)]
 
 
+#: New chunks that are encoded at a time.
+STEP = 50_000
+
+
 class Remembered:
     """Encodes distinct chunks and remembers the first ``room`` of them for later batches.
 
@@ -54,8 +58,9 @@ class Remembered:
         words = chunks.to_pylist()
         slot = np.fromiter((self.slots.get(w, -1) for w in words), np.int64, len(words))
         new = np.flatnonzero(slot < 0)
-        ids, counts = self.encode([words[i] for i in new])
-        values = np.concatenate([self.values, ids])
+        parts = [self.encode([words[i] for i in new[at : at + STEP]]) for at in range(0, len(new), STEP)]
+        counts = np.concatenate([np.zeros(0, np.int64), *(n for _, n in parts)])
+        values = np.concatenate([self.values, *(ids for ids, _ in parts)])
         begins, lengths = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
         old = slot >= 0
         begins[old], lengths[old] = self.begins[slot[old]], self.lengths[slot[old]]

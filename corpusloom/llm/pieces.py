@@ -18,13 +18,16 @@ empty result; columns called piece_ids or piece_score are replaced, others are k
 from __future__ import annotations
 
 import functools
+import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrow_text import Remembered, encode_distinct, flat_bytes, gather, text_starts, with_columns
+from corpusloom.llm.arrow_text import Remembered, encode_distinct, flat_bytes, gather, small_batches, text_starts, with_columns
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -205,12 +208,19 @@ def int_lists(ids: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts))), pa.array(ids.astype(np.int32))).cast(pa.list_(pa.int32()))
 
 
+def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids end to end, and how many each list has; a null list is empty."""
+    counts = np.nan_to_num(column.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    return column.flatten().to_numpy(), counts
+
+
 def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """Adds piece_ids array<int> and piece_score double."""
+    place = docs.columns.index(text)
 
     def run(batches):
-        for batch in batches:
-            ids, counts, scores = model(model_path).encode(batch.column(batch.schema.names.index(text)))
+        for batch in small_batches(batches, place):
+            ids, counts, scores = model(model_path).encode(batch.column(place))
             yield with_columns(batch, {"piece_ids": int_lists(ids, counts), "piece_score": pa.array(scores)})
 
     kept = [f for f in docs.schema.fields if f.name not in ("piece_ids", "piece_score")]
@@ -221,11 +231,32 @@ def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 def decode(docs: DataFrame, model_path: str, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:
     """Adds the text of the ids."""
 
+    place = docs.columns.index(ids)
+
     def run(batches):
         for batch in batches:
-            lists = batch.column(batch.schema.names.index(ids))
-            counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
-            yield with_columns(batch, {into: model(model_path).decode(lists.flatten().to_numpy(), counts).cast(pa.string())})
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield with_columns(part, {into: model(model_path).decode(*flat_lists(part.column(place))).cast(pa.string())})
 
     kept = [f for f in docs.schema.fields if f.name != into]
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.StringType())]))
+
+
+def digests(docs: DataFrame, model_path: str) -> DataFrame:
+    """Per document doc_id, n_pieces, ids_crc32 (of the ids as little-endian unsigned 32-bit), piece_score, and whether decoding gives the text back.
+
+    Ids stay in the task that makes them, so only a narrow row leaves it.
+    """
+
+    def run(batches):
+        for batch in small_batches(batches, 1):
+            coder = model(model_path)
+            ids, counts, scores = coder.encode(batch.column(1))
+            same = pc.equal(coder.decode(ids, counts), pc.fill_null(batch.column(1).cast(pa.large_string()), ""))
+            raw, ends = ids.astype("<u4").tobytes(), 4 * np.append(0, np.cumsum(counts))
+            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(crcs, pa.int64()), pa.array(scores), same], names=["doc_id", "n_pieces", "ids_crc32", "piece_score", "round_trip"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, n_pieces long, ids_crc32 long, piece_score double, round_trip boolean")

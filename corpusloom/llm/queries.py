@@ -4,16 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import zlib
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import divergence, exact_dedup, html_text, mixing, near_join, pieces, quality, token_files, toxicity, warc
-from corpusloom.llm.arrow_text import small_batches
 from corpusloom.llm.shared import table
 
 
@@ -54,19 +48,8 @@ def op7_html_rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode; then decode, hold the decoded text against the original, and digest the ids."""
-    path = vocabulary("piece_bpe_32k.model")
-    coded = pieces.encode(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), path)
-
-    def digest(batches):
-        for batch in small_batches(batches, 1):
-            ids, counts = pieces.flat_lists(batch.column(2))
-            same = pc.equal(pieces.model(path).decode(ids, counts), batch.column(1).cast(pa.large_string()))
-            raw, ends = ids.astype("<u4").tobytes(), 4 * np.append(0, np.cumsum(counts))
-            crcs = [zlib.crc32(raw[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.array(crcs, pa.int64()), batch.column(3), same], names=["doc_id", "n_pieces", "ids_crc32", "piece_score", "round_trip"])
-
-    return coded.mapInArrow(digest, "doc_id long, n_pieces long, ids_crc32 long, piece_score double, round_trip boolean")
+    """Encode, decode and hold the decoded text against the original."""
+    return pieces.digests(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
