@@ -1,0 +1,411 @@
+"""The training-data operators against brute force, round trips and held-out labels, with the odd cases."""
+
+from __future__ import annotations
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from corpusloom.llm import components, divergence, exact_dedup, html_text, linear, mixing, near_join, pieces, quality, queries, token_files, toxicity, warc
+from corpusloom.llm.shared import scratch, table
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string, score double, size long"
+ODD = [
+    (1, None, None, None, None, "x", None, None),
+    (2, "", "en", "b", 0, "x", 1.0, 1),
+    (3, " \t\n", "en", "b", 3, None, None, None),
+    (4, "same text  here", "en", "a", 1, "y", None, None),
+    (5, "same  text here", "en", "a", 1, "y", None, None),
+    (5, "same  text here", "en", "a", 1, "y", None, None),
+    (6, "sametexthere", None, "a", 1, "y", None, None),
+    (None, "no number", "en", "é", 1, "y", None, None),
+    (7, "<|endoftext|>   x　y  z 's it's\r\n\n  漢字 𝔘 \x00 é", "ja", "b", 1, None, None, None),
+    (8, "long " * 60_000, "en", "b", 1, None, None, None),
+    (9, "one two three four", "en", "b", 1, None, None, None),
+    (10, "one two three four", "en", "c", 1, None, None, None),
+]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, DOCS).repartition(3)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOCS)
+
+
+# ---- 1: token files
+
+
+def test_token_files_equal_the_library(spark, odd, empty):
+    from tokenizers import Tokenizer
+
+    path = queries.vocabulary("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    want, start = [], 0
+    for doc_id, text in sorted(((r[0], r[1] or "") for r in ODD), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = [tuple(r) for r in token_files.tokens_through_files(odd, path).collect()]
+    assert sorted(got, key=lambda r: r[1]) == want
+    assert token_files.tokens_through_files(empty, path).count() == 0
+
+
+def test_sequences_by_number(spark, sf, tmp_path):
+    path = queries.vocabulary("byte_bpe_50k.json")
+    manifest = token_files.write_tokens(table(spark, sf, "documents"), path, scratch(spark, "t"), length=64)
+    shard = manifest.orderBy("shard").first()
+    everything = [x for _, _, parts in token_files.shard_documents(shard["path"]) for p in parts for x in p.tolist()]
+    for first, count in ((0, 1), (3, 2), (255, 3), (len(everything) // 64, 1)):
+        ids, mask = token_files.read_sequences(shard["path"], first, count)
+        flat = ids.reshape(-1)[mask.reshape(-1)].tolist()
+        assert flat == everything[first * 64 : first * 64 + len(flat)]
+        assert ids.shape[1] == 64
+
+
+# ---- 2: mixing
+
+
+def test_knapsack_equals_brute_force():
+    random.seed(1)
+    for _ in range(200):
+        lengths = random.sample(range(1, 12), random.randint(1, 4))
+        spare = [random.randint(0, 3) for _ in lengths]
+        budget = random.randint(0, 40)
+        sums = {0}
+        for length, n in zip(lengths, spare, strict=True):
+            sums = {s + k * length for s in sums for k in range(n + 1)}
+        taken = mixing.reachable(lengths, spare, budget)
+        assert all(0 <= k <= n for k, n in zip(taken, spare, strict=True))
+        assert sum(k * x for k, x in zip(taken, lengths, strict=True)) == max(s for s in sums if s <= budget)
+
+
+def water(sizes: dict, weights=(3, 1, 2), share=1.5, cap=2.0):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    left, open_, target = share * sum(sizes.values()), set(order), {}
+    while open_:
+        total = sum(w[s] for s in open_)
+        over = [s for s in open_ if left * w[s] / total > cap * sizes[s]]
+        if not over:
+            return target | {s: left * w[s] / total for s in open_}
+        for s in over:
+            target[s] = cap * sizes[s]
+            open_.remove(s)
+        left = share * sum(sizes.values()) - sum(target.values())
+    return target
+
+
+@pytest.mark.parametrize("which", ["sf", "odd"])
+def test_mix_meets_its_targets(spark, sf, odd, which):
+    docs = table(spark, sf, "documents") if which == "sf" else odd
+    source = {}
+    size = Counter()
+    for r in docs.select("doc_id", "source", "text").collect():
+        source[r["doc_id"]] = r["source"]
+        size[r["source"]] += len(WORD.findall(r["text"] or ""))
+    target = water(dict(size))
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == docs.count()
+    taken = Counter()
+    longest = Counter()
+    for r in rows:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == size[s]
+        assert r["target"] == pytest.approx(target[s])
+        assert r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[s] += r["taken"]
+        longest[s] = max(longest[s], r["size"])
+    for s in size:
+        assert abs(taken[s] - target[s]) <= (0.02 * target[s] + 10 if which == "sf" else longest[s])
+    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+
+
+def test_mix_of_nothing_and_of_one_hot_length(spark, empty):
+    assert mixing.mix(empty).count() == 0
+    docs = spark.range(3000).selectExpr("id as doc_id", "'word word' as text", "if(id % 3 = 0, 'a', 'b') as source")
+    rows = mixing.mix(docs).groupBy("source_size").agg({"taken": "sum", "target": "max"}).collect()
+    for r in rows:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 2
+
+
+# ---- 3: divergence
+
+
+def test_divergence_counts_equal_brute_force(spark, odd, empty, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang"))
+    texts = docs.collect()
+    got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"], r["base_failed"]) for r in divergence.judge(docs).collect())
+    want = Counter()
+    for doc_id, text, _ in texts:
+        text = text or ""
+        words = WORD.findall(text)
+        seen = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+        covered = {j for i in range(len(words) - 2) if seen[tuple(words[i : i + 3])] > 1 for j in range(i, i + 3)}
+        lines = [x for x in text.split("\n") if WORD.search(x)]
+        want[doc_id, len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), len(words) < 50 or 100 * len(covered) > 50 * len(words)] += 1
+    assert got == want
+    assert divergence.judge(empty).count() == 0
+
+
+def test_divergence_tells_junk_from_prose(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
+    rows = divergence.judge(docs).join(labels, "doc_id").filter("not base_failed and n_words >= 100").collect()
+    good, bad = ([r["kept"] for r in rows if r["quality"] == q] for q in (1, 0))
+    assert np.mean(good) > 0.99
+    assert np.mean(bad) < 0.2
+
+
+# ---- 4: exact dedup
+
+
+def exact_brute(rows):
+    groups = defaultdict(list)
+    for doc_id, text in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]+", "", text or "")].append((-len(text or ""), doc_id is None, doc_id))
+    return {n: (min(g)[2], len(g)) for n, g in groups.items()}
+
+
+def test_exact_groups(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 20)
+    many = [(100 + i, random.choice(["hot text", "hottext", "hot  te xt"])) for i in range(300)] + [(900 + i, f"text {i // 2}") for i in range(60)]
+    docs = odd.select("doc_id", "text", "extra").unionByName(spark.createDataFrame([(i, t, "e") for i, t in many], "doc_id long, text string, extra string"))
+    data = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    want = exact_brute(data)
+    rows = exact_dedup.exact_groups(docs).collect()
+    got = Counter((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in rows)
+    expected = Counter()
+    for doc_id, text in data:
+        norm = re.sub(r"[\x20\x09-\x0D]+", "", text or "")
+        keep, n = want[norm]
+        expected[doc_id, keep, n, doc_id == keep, hashlib.sha256(norm.encode()).hexdigest()] += 1
+    assert got == expected
+    kept = exact_dedup.keep_one(docs).collect()
+    assert len(kept) == len(want)
+    assert set(kept[0].asDict()) == {"doc_id", "text", "extra"}
+    assert exact_dedup.exact_groups(empty).count() == 0
+
+
+# ---- 5: near join
+
+
+def near_brute(rows, n=5, threshold=0.8):
+    sets = {}
+    for i, (_, text) in enumerate(rows):
+        w = WORD.findall(text or "")
+        sets[i] = frozenset(tuple(w[k : k + n]) for k in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+    links = defaultdict(set)
+    for a in sets:
+        for b in sets:
+            if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= threshold * len(sets[a] | sets[b]) - 1e-9:
+                links[a].add(b)
+                links[b].add(a)
+    parent = {i: i for i in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in links:
+        for b in links[a]:
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    classes = defaultdict(list)
+    for i in sets:
+        classes[root(i)].append(i)
+    least = {r: min((rows[i][0] for i in c if rows[i][0] is not None), default=None) for r, c in classes.items()}
+    return Counter((rows[i][0], least[root(i)], len(links[i]), len(classes[root(i)])) for i in sets)
+
+
+def variants(seed=4, families=12, size=14):
+    random.seed(seed)
+    rows = []
+    for f in range(families):
+        base = [f"w{f}_{k}" for k in range(random.randint(5, 120))]
+        for _ in range(size):
+            words = base.copy()
+            for _ in range(random.randint(0, 3)):
+                words[random.randrange(len(words))] = f"x{random.randrange(5)}"
+            rows.append((1000 + len(rows), " ".join(words)))
+    return rows
+
+
+def test_near_classes(spark, odd, empty, monkeypatch):
+    monkeypatch.setattr(near_join, "BLOCK", 8)
+    monkeypatch.setattr(near_join, "SMALL_BLOCK", 3)
+    monkeypatch.setattr(near_join, "HOT_ROWS", 3)
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(variants(), "doc_id long, text string"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    assert Counter(tuple(r) for r in near_join.near_classes(docs).collect()) == near_brute(rows)
+    assert near_join.near_classes(empty).count() == 0
+
+
+def test_bands_reach_the_recall():
+    for threshold in (0.5, 0.8, 0.95):
+        bands, rows = near_join.choose_bands(threshold, 0.9999)
+        assert 1 - (1 - threshold**rows) ** bands >= 0.9999
+        assert bands * rows <= 200
+
+
+def test_components(spark):
+    random.seed(9)
+    edges = [(random.randrange(200), random.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        parent[max(root(a), root(b))] = min(root(a), root(b))
+    want = {x: root(x) for a, b in edges if a != b for x in (a, b)}
+    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long")).collect()))
+    assert got == want
+
+
+# ---- 6 and 9: classifiers
+
+
+def test_dual_coordinate_descent_separates():
+    random = np.random.default_rng(0)
+    rows = [np.sort(random.choice(20, 5, replace=False)) + (20 if y else 0) for y in (0, 1) * 50]
+    y = np.array((0.0, 1.0) * 50)
+    model = linear.fit(rows, y, y, 40, least_z=1.0)
+    scores = model.score(np.array([model.bias + model.weights[r].sum() for r in rows]))
+    assert ((scores > 0.5) == (y > 0.5)).all()
+
+
+@pytest.mark.parametrize(("operator", "label", "least"), [(quality, "quality", 0.97), (toxicity, "toxic", 0.9)])
+def test_held_out_ranking(spark, operator, label, least):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
+    rows = operator.classify(docs, docs, labels).join(labels, "doc_id").filter("held_out").collect()
+    good, bad = (np.array([r["score"] for r in rows if r[label] == y]) for y in (1, 0))
+    assert (good[:, None] > bad[None, :]).mean() + (good[:, None] == bad[None, :]).mean() / 2 > least
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in rows)
+
+
+@pytest.mark.parametrize(("operator", "label"), [(quality, "quality"), (toxicity, "toxic")])
+def test_classifiers_on_odd_rows(spark, odd, empty, operator, label):
+    labels = spark.createDataFrame([(i, i % 2 if i != 9 else None) for i in range(12)], f"doc_id long, {label} int")
+    rows = operator.classify(odd, odd, labels).collect()
+    assert len(rows) == len(ODD)
+    assert all(0 <= r["score"] <= 1 and r["extra"] in ("x", "y", None) for r in rows)
+    assert operator.classify(empty, odd, labels).count() == 0
+    nothing = operator.classify(odd, odd, labels.filter("false")).first()
+    assert nothing["score"] == 0.5
+
+
+# ---- 7: HTML
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (None, ""),
+    ("plain &amp; simple", "plain & simple"),
+    ("<p>a<p>b<br>c", "a\n\nb\nc"),
+    ("<ul><li>x<li>y<ol start=3><li>k<li>l</ol></ul>z", "- x\n- y\n  3. k\n  4. l\n\nz"),
+    ("<table><tr><th>A<th>Bee<tr><td>12<td>two</table>", "A  | Bee\n12 | two"),
+    ("<div hidden>no</div><span style='display: none'>n</span><b aria-hidden=true>q</b>yes", "yes"),
+    ("<head><title>t</title></head><body>b<script>var a='</p>'</script><style>p{}</style><!-- c --></body>", "b"),
+    ("<pre>  q\n   r</pre>", "  q\n   r"),
+    ("a</nothing>b<p>c</div>d", "ab\n\ncd"),
+    ("<div><p>one</div>two", "one\n\ntwo"),
+    ("x < y <3 <", "x < y <3 <"),
+])
+def test_rendering(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def test_rendering_of_deep_and_broken_pages(spark, empty):
+    assert html_text.visible_text("<div>" * 20_000 + "deep") == "deep"
+    assert html_text.visible_text("<table><tr><td>" * 2_000 + "x").strip(" |") == "x"
+    assert html_text.visible_text("<p>" + "w " * 200_000).count("w") == 200_000
+    pages = spark.createDataFrame([(1, None, "old"), (2, "<p>a", None)], "page_id long, html string, text string")
+    assert {tuple(r) for r in html_text.extract(pages).collect()} == {(1, None, ""), (2, "<p>a", "a")}
+    assert html_text.extract(pages.filter("false")).count() == 0
+
+
+# ---- 8: pieces
+
+
+def brute_pieces(model, text):
+    marked = "▁" + text.replace(" ", "▁") if text else ""
+    known = {p: i for i, p in enumerate(model.pieces) if model.piece_scores[i] or i in model.ends}
+    known = {p: i for p, i in known.items() if i not in set(model.byte_ids.tolist()) and i > 2}
+    best = [(-np.inf, 0, None)] * (len(marked) + 1)
+    best[0] = (0.0, 0, None)
+    longest = max(map(len, known))
+    for j in range(1, len(marked) + 1):
+        for n in range(min(longest, j), 0, -1):
+            i = known.get(marked[j - n : j])
+            if i is not None and best[j - n][0] + model.piece_scores[i] > best[j][0]:
+                best[j] = (best[j - n][0] + model.piece_scores[i], n, i)
+        if marked[j - 1] not in known and best[j - 1][0] + model.unknown_score > best[j][0]:
+            best[j] = (best[j - 1][0] + model.unknown_score, 1, None)
+    out, j = [], len(marked)
+    while j:
+        _, n, i = best[j]
+        out += [i] if i is not None else [int(model.byte_ids[b]) for b in reversed(marked[j - 1].encode())]
+        j -= n
+    return out[::-1]
+
+
+def test_pieces_equal_brute_force_and_come_back(spark, odd, empty, sf):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    model = pieces.model(path)
+    docs = odd.filter("doc_id <> 8").select("doc_id", "text", "extra").unionByName(table(spark, sf, "documents").limit(20).selectExpr("doc_id + 1000 as doc_id", "substring(text, 1, 300) as text", "lang as extra"))
+    rows = pieces.decode(pieces.encode(docs, path), path).collect()
+    for r in rows:
+        assert list(r["piece_ids"]) == brute_pieces(model, r["text"] or "")
+        assert r["decoded"] == (r["text"] or "")
+    long = pieces.decode(pieces.encode(odd.filter("doc_id = 8").select("text"), path), path).first()
+    assert long["decoded"] == long["text"]
+    got = {(r["doc_id"], r["n_pieces"], r["ids_crc32"], r["round_trip"]) for r in pieces.digests(docs, path).collect()}
+    assert got == {(r["doc_id"], len(r["piece_ids"]), zlib.crc32(np.array(r["piece_ids"], "<u4").tobytes()), True) for r in rows}
+    assert pieces.encode(empty, path).count() == 0
+
+
+def test_a_long_run_without_spaces():
+    model = pieces.model(queries.vocabulary("piece_bpe_32k.model"))
+    ids, counts, _ = model.encode(pa.array(["x" * 30_000, "é" * 3_000]))
+    assert model.decode(ids, counts).to_pylist() == ["x" * 30_000, "é" * 3_000]
+
+
+# ---- 10: WARC
+
+
+def test_captures_come_back(spark):
+    pages = [(1, "http://a/\r\nx", "<p>é"), (2, None, "<p>é"), (3, "http://c", None), (4, "http://d", ""), (5, "http://e", "WARC/1.1\r\n\r\nContent-Length: 3\r\n\r\n"), (5, "http://e", "twice"), (5, "http://e", "twice"), (None, "http://n", "<p>é"), (6, "u", "y" * 300_000)]
+    df = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, target_uri string").repartition(3)
+    rows = warc.through_archives(df, payloads=True).collect()
+    first = {}
+    for i, _, h in sorted(pages, key=lambda p: (p[0] is None, p[0] or 0)):
+        first.setdefault(h or "", i)
+    want, got = Counter(), Counter()
+    for i, _, h in pages:
+        raw = (h or "").encode()
+        kind = "response" if first[h or ""] == i else "revisit"
+        want[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), kind, None if kind == "response" else first[h or ""], raw if kind == "response" else None] += 1
+    for r in rows:
+        fields = r["metadata"]["fields"]
+        number = lambda k: int(fields[k]) if k in fields else None
+        payload = r["response"]["payload"]
+        got[number("page-id"), r["response"]["payload_bytes"], r["response"]["payload_digest"], r["response"]["record_type"], number("refers-to-page-id"), bytes(payload) if payload is not None else None] += 1
+        assert r["request"]["target_uri"] == r["response"]["target_uri"]
+    assert got == want
+    assert warc.through_archives(df.filter("false")).count() == 0
+    small = warc.through_archives(df, least_bytes=10).filter("response.record_type = 'revisit'").count()
+    assert small == 0
