@@ -94,7 +94,7 @@ def entity_matches(queries: DataFrame, entities: DataFrame, limit: int) -> DataF
 
 def seed_pages(matches: DataFrame, mentions: DataFrame, visible: DataFrame, most: int) -> DataFrame:
     """For every matched entity the first visible notes that mention it."""
-    found = mentions.join(F.broadcast(matches), "entity_id").join(visible.select(F.col("id").alias("note_id")), "note_id", "left_semi")
+    found = mentions.join(matches, "entity_id").join(visible.select(F.col("id").alias("note_id")), "note_id", "left_semi")
     return first_per(found, ["query_id", "entity_id"], ["note_id"], most, "page_rank")
 
 
@@ -151,7 +151,7 @@ def expand(seeds: DataFrame, edges: DataFrame, how: Expansion = Expansion(), anc
         ends = ends.filter(F.col("direction") == ("out" if how.outbound else "in"))
     ends = ends.select(F.col("note_id").alias("__from"), "other_id", "direction", F.col("id").alias("edge_id"), "edge_type", F.least(F.greatest(F.coalesce("confidence", F.lit(1.0)), F.lit(0.0)), F.lit(1.0)).alias("sure"), "confidence")
     for hop in range(1, min(how.hops, 2) + 1):
-        moves = ends.join(F.broadcast(frontier), F.col("__from") == F.col("id")).filter(~F.array_contains("visited", F.col("other_id")))
+        moves = ends.join(frontier, F.col("__from") == F.col("id")).filter(~F.array_contains("visited", F.col("other_id")))
         moves = first_per(moves, ["query_id", "id", "edge_type"], [F.desc_nulls_last("confidence"), "edge_id"], how.fanout, "__table")
         moves = moves.withColumn("next", F.col("score") * how.decay * F.col("sure"))
         moves = first_per(moves, ["query_id", "id"], [F.desc(F.round("next", 9)), "edge_id", "other_id"], how.fanout, "__node")

@@ -102,7 +102,7 @@ def failed(sources: DataFrame, notes: DataFrame, source_id: str) -> tuple[DataFr
     mine = F.col("id") == source_id
     marked = sources.withColumn("status", F.when(mine, "failed").otherwise(F.col("status")))
     one = sources.filter(mine).select(F.col("id").alias("source_id"), F.col("generation").alias("source_generation"), "successful_generation").filter("source_generation <> successful_generation")
-    return marked, notes.join(F.broadcast(one.select("source_id", "source_generation")), ["source_id", "source_generation"], "left_anti")
+    return marked, notes.join(one.select("source_id", "source_generation"), ["source_id", "source_generation"], "left_anti")
 
 
 def retired(notes: DataFrame, sources: DataFrame) -> DataFrame:

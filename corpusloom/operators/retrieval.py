@@ -1,7 +1,7 @@
 """Vector and full-text retrieval, rank fusion and scoped ranking, for one query or many.
 
-Vectors are compared exactly: blocks of queries meet batches of the corpus in a matrix
-product, and a batch returns its best rows per query only. Full text reads each text once
+Vectors are compared exactly: blocks of queries meet the corpus in matrix products, which
+return their best rows per query only. Full text reads each text once
 and keeps the terms that some query has.
 """
 
@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.scans import first_per
+from corpusloom.operators.scans import first_per, sent_if_small
 
-QUERY_BLOCK = 512
+#: Queries of a block, blocks that are sent to all tasks at most, and corpus rows of a block.
+QUERY_BLOCK, SENT_BLOCKS, CORPUS_BLOCK = 512, 8, 4096
 #: Letters with marks and what they fold to.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -39,50 +40,68 @@ def pool_size(limit: int) -> int:
 def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = False, least: float | None = None) -> DataFrame:
     """query_id, id, distance (1 - cosine), rank of the k nearest rows of each query.
 
-    ``queries`` (query_id, embedding) are packed into blocks of bounded size, and each block
-    meets ``corpus`` (id, embedding) in one pass. ``least`` keeps similarities above it.
+    ``queries`` (query_id, embedding) are packed into blocks of about QUERY_BLOCK. A few
+    blocks are sent to all tasks and meet ``corpus`` (id, embedding) in one scan. More
+    blocks meet blocks of the corpus in a join on the query block's number, and a task
+    makes the matrix product of one pair of blocks. Either way a product leaves its k best
+    rows per query only.
     """
-    numbered = queries.filter(F.size("embedding") > 0).withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(1 << 20)))
-    blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
-    packed = numbered.groupBy((F.col("block") % blocks).alias("block")).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("embedding").alias("rows"))
-    met = _meet(corpus.filter(F.size("embedding") > 0).select("id", "embedding"), packed, k, exclude_self, least)
-    return first_per(met, ["query_id"], [F.round("distance", 9), "id"], k)
-
-
-def _meet(dealt: DataFrame, packed: DataFrame, k: int, exclude_self: bool, least: float | None) -> DataFrame:
-    """Each batch of corpus rows against the blocks, which are sent to all tasks (blocks of bounded size, one at a time)."""
-    parts = None
-    for row in packed.toLocalIterator():
-        names = np.array(row["query_ids"], dtype=object)
-        matrix = np.array(row["rows"], dtype=np.float64)
-        matrix /= np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-        sent = dealt.sparkSession.sparkContext.broadcast((names, matrix))
-        part = dealt.mapInPandas(_best_rows(sent, k, exclude_self, least), "query_id string, id string, distance double")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts if parts is not None else dealt.sparkSession.createDataFrame([], "query_id string, id string, distance double")
-
-
-def _best_rows(sent, k: int, exclude_self: bool, least: float | None):
+    asked = queries.filter(F.size("embedding") > 0)
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
+    packed = asked.groupBy(number).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("embedding").alias("query_rows"))
+    rows = corpus.filter(F.size("embedding") > 0).select("id", "embedding")
+    found = _scan(rows, packed, k, exclude_self, least) if blocks <= SENT_BLOCKS else _pairs_of_blocks(rows, packed, blocks, k, exclude_self, least)
+    return first_per(found, ["query_id"], [F.round("distance", 9), "id"], k)
+
+
+NEAR_SCHEMA = "query_id string, id string, distance double"
+
+
+def _scan(rows: DataFrame, packed: DataFrame, k: int, exclude_self: bool, least: float | None) -> DataFrame:
+    """At most SENT_BLOCKS blocks of queries, sent to all tasks."""
+    sent = rows.sparkSession.sparkContext.broadcast([(np.array(r["query_ids"], dtype=object), unit(r["query_rows"])) for r in packed.collect()])
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                ids, vectors = pdf["id"].to_numpy(dtype=object), unit(pdf["embedding"].tolist())
+                for names, matrix in sent.value:
+                    yield best_rows(names, matrix, ids, vectors, k, exclude_self, least)
+
+    return rows.mapInPandas(run, NEAR_SCHEMA)
+
+
+def _pairs_of_blocks(rows: DataFrame, packed: DataFrame, blocks: int, k: int, exclude_self: bool, least: float | None) -> DataFrame:
+    """Many blocks of queries against blocks of the corpus, one product a row."""
+    parts = max(1, -(-rows.count() // CORPUS_BLOCK))
+    dealt = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list("id").alias("ids"), F.collect_list("embedding").alias("rows"))
+    pairs = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block").select("query_ids", "query_rows", "ids", "rows")
+
     def run(batches):
-        names, matrix = sent.value
         for pdf in batches:
-            if pdf.empty:
-                continue
-            ids = pdf["id"].to_numpy(dtype=object)
-            rows = np.array(pdf["embedding"].tolist(), dtype=np.float64)
-            rows /= np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-300)
-            similar = matrix @ rows.T
-            if exclude_self:
-                similar[names[:, None] == ids[None, :]] = -np.inf
-            if least is not None:
-                similar[similar <= least] = -np.inf
-            order = np.lexsort((np.broadcast_to(ids.astype(str), similar.shape), np.round(1 - similar, 9)), axis=1)[:, :k]
-            chosen = np.take_along_axis(similar, order, axis=1)
-            real = np.isfinite(chosen)
-            at = np.nonzero(real)
-            yield pd.DataFrame({"query_id": names[at[0]], "id": ids[order[real]], "distance": 1 - chosen[real]})
-
-    return run
+            for names, queries, ids, vectors in pdf.itertuples(index=False):
+                yield best_rows(np.array(names, dtype=object), unit(queries), np.array(ids, dtype=object), unit(vectors), k, exclude_self, least)
+
+    return pairs.repartition(max(1, min(blocks * parts, 4096)), F.rand(7)).mapInPandas(run, NEAR_SCHEMA)
+
+
+def unit(rows) -> np.ndarray:
+    matrix = np.array([np.asarray(r, dtype=np.float64) for r in rows])
+    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
+
+
+def best_rows(names: np.ndarray, matrix: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, least: float | None) -> pd.DataFrame:
+    """The k nearest of some rows to each of some queries, ties by id."""
+    similar = matrix @ vectors.T
+    if exclude_self:
+        similar[names[:, None] == ids[None, :]] = -np.inf
+    if least is not None:
+        similar[similar <= least] = -np.inf
+    order = np.lexsort((np.broadcast_to(ids.astype(str), similar.shape), np.round(1 - similar, 9)), axis=1)[:, :k]
+    chosen = np.take_along_axis(similar, order, axis=1)
+    real = np.isfinite(chosen)
+    return pd.DataFrame({"query_id": names[np.nonzero(real)[0]], "id": ids[order[real]], "distance": 1 - chosen[real]})
 
 
 def terms(text: Column) -> Column:
@@ -93,26 +112,27 @@ def terms(text: Column) -> Column:
 def bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, float], every_term: bool = False) -> DataFrame:
     """query_id, id, score: weighted sum over fields of Okapi BM25, rows that match somewhere.
 
-    ``queries`` (query_id, query) is a stated set whose terms are few enough to send to
-    all tasks; texts are cut to those terms before anything is shuffled.
+    ``queries`` (query_id, query) is a stated set; texts are cut to its terms before
+    anything is shuffled (by broadcast while the terms are few, which is counted). The
+    one row of corpus sizes is the only table that is always broadcast.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    wanted = F.broadcast(asked.select("term").distinct())
+    wanted = sent_if_small(asked.select("term").distinct())
     counted = docs.select("id", *[terms(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
     sizes = counted.agg(F.count("*").alias("rows"), *[F.avg(F.size(f)).alias(f"mean_{f}") for f in fields])
     scored = None
     for f, weight in fields.items():
         found = counted.select("id", F.size(f).alias("length"), F.explode(f).alias("term")).join(wanted, "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
         spread = found.groupBy("term").agg(F.count("*").alias("df"))
-        one = found.join(F.broadcast(spread), "term").join(F.broadcast(sizes))
+        one = found.join(spread, "term").join(F.broadcast(sizes))
         idf = F.log(1 + (F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
         saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col(f"mean_{f}")))
         one = one.select("id", "term", (idf * saturated * weight).alias("part"))
         scored = one if scored is None else scored.unionByName(one)
-    matched = scored.join(F.broadcast(asked), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count_distinct("term").alias("matched"))
+    matched = scored.join(asked, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count_distinct("term").alias("matched"))
     if every_term:
         counts = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
-        matched = matched.join(F.broadcast(counts), "query_id").filter("matched = asked")
+        matched = matched.join(counts, "query_id").filter("matched = asked")
     return matched.select("query_id", "id", "score")
 
 

@@ -56,7 +56,7 @@ def source_chunks(notes: DataFrame, sources: DataFrame, source_id: str) -> DataF
     """The chunks of a source's promoted generation."""
     one = notes.filter(F.col("source_id") == source_id)
     promoted = sources.filter(F.col("id") == source_id).select(F.col("id").alias("source_id"), F.col("successful_generation").alias("source_generation"))
-    return one.join(F.broadcast(promoted), ["source_id", "source_generation"], "left_semi").orderBy("chunk_ordinal", "created_at", "id")
+    return one.join(promoted, ["source_id", "source_generation"], "left_semi").orderBy("chunk_ordinal", "created_at", "id")
 
 
 def optional(rows: DataFrame, *conditions: Column | None) -> DataFrame:
@@ -91,3 +91,8 @@ def bad_vectors(rows: DataFrame, dimension: int) -> DataFrame:
 def first_per(rows: DataFrame, keys: list[str], order: list, most: int, rank: str = "rank") -> DataFrame:
     """The first ``most`` rows of each group; Spark limits groups before it shuffles."""
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= most)
+
+
+def sent_if_small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+    """A side of a join that goes to all tasks while its counted rows stay under the bound."""
+    return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

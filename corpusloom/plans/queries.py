@@ -104,7 +104,7 @@ def writable_notes(spark, d):
 def filtered_notes(spark, d):
     wanted = t.sources(spark, d).filter("uri = 'fixture://src2'").select(F.col("id").alias("source_id"))
     chosen = scans.optional(visible(spark, d), scans.since("created_at", "2024-01-10"), scans.has_all_tags(["en"]), None)
-    return chosen.join(F.broadcast(wanted), "source_id", "left_semi").select("id", "source_id")
+    return chosen.join(wanted, "source_id", "left_semi").select("id", "source_id")
 
 
 @query("SELECT id, created_at FROM note WHERE list_contains(tags, 'fr') ORDER BY created_at DESC, note.id LIMIT 25", "note")
@@ -125,7 +125,7 @@ def edges_per_type(spark, d):
 @query("SELECT DISTINCT note_id AS id FROM mention WHERE entity_id IN (SELECT id FROM entity WHERE contains(canonical_name, 'nation_1')) AND note_id IN (SELECT id FROM visible)", "mention", "entity", "visible")
 def notes_by_entity_name(spark, d):
     named = t.entities(spark, d).filter(F.contains("canonical_name", tx.canonicalize(F.lit("Nation_1 ")))).select(F.col("id").alias("entity_id"))
-    hit = t.mentions(spark, d).join(F.broadcast(named), "entity_id", "left_semi").select(F.col("note_id").alias("id"))
+    hit = t.mentions(spark, d).join(named, "entity_id", "left_semi").select(F.col("note_id").alias("id"))
     return visible(spark, d).join(hit, "id", "left_semi").select("id")
 
 
@@ -162,7 +162,7 @@ def related_note_counts(spark, d):
 @query("SELECT m.note_id, count(*) AS entities, min(e.canonical_name) AS first_entity FROM mention m JOIN entity e ON e.id = m.entity_id GROUP BY m.note_id", "mention", "entity")
 def entities_of_notes(spark, d):
     e = t.entities(spark, d).select(F.col("id").alias("entity_id"), "canonical_name")
-    return t.mentions(spark, d).join(F.broadcast(e), "entity_id").groupBy("note_id").agg(F.count("*").alias("entities"), F.min("canonical_name").alias("first_entity"))
+    return t.mentions(spark, d).join(e, "entity_id").groupBy("note_id").agg(F.count("*").alias("entities"), F.min("canonical_name").alias("first_entity"))
 
 
 @query("SELECT (SELECT count(*) FROM note) AS note_count, (SELECT count(*) FROM entity) AS entity_count, (SELECT count(*) FROM src) AS source_count, (SELECT count(*) FROM chat) AS conversation_count, (SELECT count(*) FROM msg) AS message_count, (SELECT count(*) FROM edge WHERE edge_type <> 'derived_from') AS edge_count, (SELECT count(*) FROM mention) AS mention_count, (SELECT count(*) FROM proposal) AS proposal_count", "note", "entity", "src", "chat", "edge", "mention", "proposal")
@@ -467,7 +467,7 @@ def chat_preview(spark, d):
     SELECT canonical_name, arg_max(name, seq) AS name, arg_min(entity_type, seq) AS entity_type, array_to_string(list_sort(list(DISTINCT alias)), ',') AS aliases, count(*) AS arrivals FROM arrivals GROUP BY canonical_name""")
 def upsert_entities(spark, d):
     c, n = t.read(spark, d, "customer"), t.read(spark, d, "nation")
-    arrivals = c.join(F.broadcast(n), F.col("c_nationkey") == F.col("n_nationkey")).select(
+    arrivals = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(
         F.lower(F.trim("n_name")).alias("canonical_name"), F.concat_ws("-", "n_name", "c_custkey").alias("name"), F.when(F.col("c_custkey") % 2 == 0, "organization").otherwise("person").alias("entity_type"),
         F.array(F.concat(F.lit("alias"), F.col("c_custkey") % 7)).alias("aliases"), F.col("c_custkey").alias("seq"),
     )

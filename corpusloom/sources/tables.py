@@ -85,7 +85,7 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, r = read(spark, sf_dir, "nation"), read(spark, sf_dir, "region")
-    return n.join(F.broadcast(r), F.col("n_regionkey") == F.col("r_regionkey")).select(
+    return n.join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.concat(F.lit("entity:"), "n_nationkey").alias("id"),
         F.col("n_name").alias("name"),
         F.lower(F.trim("n_name")).alias("canonical_name"),

@@ -42,6 +42,27 @@ def test_matching_note_ranks_first(spark):
     assert retrieval.bm25(spark.createDataFrame([("q", "machine pasta")], "query_id string, query string"), docs, {"content": 1.0}, every_term=True).count() == 0
 
 
+@pytest.mark.parametrize("sent", [8, 0])
+def test_nearest_rows_equal_all_pairs(spark, monkeypatch, sent):
+    import numpy as np
+
+    for name, value in (("QUERY_BLOCK", 7), ("SENT_BLOCKS", sent), ("CORPUS_BLOCK", 11)):
+        monkeypatch.setattr(retrieval, name, value)
+    v = np.random.default_rng(3).normal(size=(40, 6)).astype("float32")
+    v[5] = v[6]
+    rows = spark.createDataFrame([(f"v{i:02}", r.tolist()) for i, r in enumerate(v)] + [("none", None), ("empty", [])], "id string, embedding array<float>")
+    asked = rows.filter("id < 'v20'").withColumnRenamed("id", "query_id") if sent else rows.withColumnRenamed("id", "query_id")
+    got = {}
+    for r in retrieval.knn(asked, rows, 4, exclude_self=True).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    u = v.astype("float64") / np.linalg.norm(v.astype("float64"), axis=1, keepdims=True)
+    d = np.round(1 - u @ u.T, 9)
+    for q, near in got.items():
+        i = int(q[1:])
+        assert near == [f"v{j:02}" for j in sorted((j for j in range(40) if j != i), key=lambda j: (d[i, j], j))[:4]]
+    assert len(got) == (20 if sent else 40)
+
+
 def test_entity_tiers(spark):
     e = spark.createDataFrame([("e1", "new york", ["big apple"]), ("e2", "new", []), ("e3", "atlas", None)], "id string, canonical_name string, aliases array<string>")
     q = spark.createDataFrame([("exact", "New-York"), ("alias", "the Big Apple?"), ("both", "what of new york today"), ("prefix", "tell atla"), ("none", "what")], "query_id string, query string")
