@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.components import components
 from corpusloom.llm.shared import SPACE, materialize, remove, scratch, text_or_empty
 
-BLOCK = 512
+#: Nodes of a block in a large family; a smaller family is cut in up to EVEN blocks of SMALL_BLOCK or more, to spread it.
+BLOCK, SMALL_BLOCK, EVEN = 512, 64, 16
 HOT_ROWS, HOT_NODES = 500, 1000
 SEED = 90_001
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -209,7 +210,7 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     placed = (
         nodes.select("key", "node", "doc_id", "copies")
         .join(candidates.join(sizes, "component").select(F.col("node").alias("key"), "component", "n"), "key")
-        .select("doc_id", "node", "copies", F.col("component").alias("family"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("doc_id", "node", "copies", F.col("component").alias("family"), F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("n") / SMALL_BLOCK), F.lit(EVEN))).cast("int").alias("blocks"))
     )
     placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).cast("int"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
