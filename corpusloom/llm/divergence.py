@@ -23,7 +23,7 @@ from corpusloom.llm.shared import SPACE, join_small, materialize, scratch, text_
 
 SYMBOLS = r"#*$%&|<>"
 #: Character classes besides letters: what is deleted to count one.
-NOT_IN_CLASS = {"upper": r"\P{Lu}+", "digit": r"[^0-9]+", "symbol": r"[^#*$%&|<>]+", "mark": r"[^!-\"'-),-/:;=?@\[-`{}~]+"}
+NOT_IN_CLASS = {"upper": r"\P{Lu}+", "digit": r"[^0-9]+", "symbol": r"[^#*$%&|<>]+", "mark": r"[\P{Punct}#*$%&|<>+]+"}
 COMMON_WORDS, LONGEST_COMMON = 32, 4
 #: Distances from which a document is rejected, and sizes below which a histogram isn't judged.
 MOST_CHARS, MOST_WORDS, LEAST_CHARS, LEAST_WORDS = 0.28, 0.29, 200, 100
