@@ -2,7 +2,8 @@
 
 Documents are range-partitioned and sorted by doc_id; each partition becomes one shard:
 an Arrow file whose rows are sequences of exactly ``length`` ids with a mask (false on the
-padding of the last sequence), so any sequence is read in place by its number, and a small
+padding of the last sequence) in batches of ``ROWS_PER_BATCH``, only the last of which may be
+shorter, so any sequence is read in place by its number, and a small
 index file with the place of each document. Ids are uint16 where the vocabulary allows,
 else uint32. A shard counts only when its name is in the manifest, which Spark commits;
 files of lost or repeated task attempts are never read.
@@ -131,10 +132,10 @@ class Shard:
         self.tokens += len(ids)
         self.docs += len(counts)
         ids = np.concatenate([self.rest, ids.astype(np.uint32)])
-        whole = len(ids) // self.length * self.length
         step = self.length * ROWS_PER_BATCH
+        whole = len(ids) // step * step
         for at in range(0, whole, step):
-            self.write(ids[at : min(at + step, whole)], None)
+            self.write(ids[at : at + step], None)
         self.rest = ids[whole:]
 
     def index_schema(self) -> pa.Schema:
@@ -149,7 +150,7 @@ class Shard:
 
     def close(self) -> None:
         if len(self.rest):
-            self.write(np.pad(self.rest, (0, self.length - len(self.rest))), len(self.rest))
+            self.write(np.pad(self.rest, (0, -len(self.rest) % self.length)), len(self.rest))
         for x in (self.sequences, self.index, *self.files):
             x.close()
 
@@ -176,9 +177,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, length: int
 
 
 def read_sequences(path: str, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random access: sequences ``first`` to ``first + count`` of a shard and their masks, without a copy where mapped."""
+    """Random access: ``count`` sequences of a shard from ``first`` on, and their masks.
+
+    A local file is mapped, so ids inside one batch aren't copied; masks are bits, and are.
+    """
     system, root = open_folder(f"{path}.arrow")
-    reader = pa.ipc.open_file(system.open_input_file(root))
+    reader = pa.ipc.open_file(pa.memory_map(root) if system.type_name == "local" else system.open_input_file(root))
     ids, masks = [], []
     for at in range(first // ROWS_PER_BATCH, reader.num_record_batches):
         batch = reader.get_batch(at)

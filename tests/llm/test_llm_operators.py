@@ -75,6 +75,26 @@ def test_sequences_by_number(spark, sf, tmp_path):
         assert ids.shape[1] == 64
 
 
+def test_every_sequence_of_a_shard_of_several_adds(tmp_path):
+    length, ids = 64, np.random.default_rng(1).integers(0, 1 << 16, 64 * 700 + 5)
+    shard = token_files.Shard(str(tmp_path), length, pa.uint16())
+    for i, part in enumerate(np.split(ids, [64 * 257 + 7, 64 * 257 + 8, 64 * 530])):
+        shard.add(pa.array([i]), part, np.array([len(part)]))
+    shard.close()
+    path = f"{tmp_path}/{shard.name}"
+    for first in range(701):
+        for count in (1, 300):
+            got, mask = token_files.read_sequences(path, first, count)
+            want = ids[first * length : (first + count) * length]
+            assert got.shape == mask.shape == (min(count, 701 - first), length)
+            assert np.array_equal(got[mask], want) and mask.sum() == len(want)
+    assert len(token_files.read_sequences(path, 701, 1)[0]) == 0
+    assert [np.concatenate(parts).tolist() for _, _, parts in token_files.shard_documents(path)] == [x.tolist() for x in np.split(ids, [64 * 257 + 7, 64 * 257 + 8, 64 * 530])]
+    before = pa.total_allocated_bytes()
+    got, _ = token_files.read_sequences(path, 0, 200)
+    assert pa.total_allocated_bytes() - before < got.nbytes  # mapped, not read
+
+
 # ---- 2: mixing
 
 
