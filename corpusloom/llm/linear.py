@@ -30,15 +30,24 @@ class LinearModel:
 def log_count_ratios(rows: list[np.ndarray], positive: np.ndarray, n_features: int, least_z: float) -> np.ndarray:
     """Log ratio of a feature's smoothed share of positive mass to its share of negative mass.
 
-    Features whose ratio isn't clear of its own standard error are 0. ``positive`` is each
-    row's probability of being positive.
+    Features that could well be independent of the class are 0: the signed root of their
+    likelihood ratio statistic is below ``least_z``. It needs no smoothing, so a feature that
+    one class never has counts as much as it should. ``positive`` is each row's probability
+    of being positive.
     """
     sizes = [len(r) for r in rows]
     flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     each = np.repeat(positive, sizes)
-    p, q = np.bincount(flat, each, n_features) + 0.5, np.bincount(flat, 1 - each, n_features) + 0.5
-    ratio = np.log(p / (positive.sum() + 1)) - np.log(q / ((1 - positive).sum() + 1))
-    return np.where(np.abs(ratio) >= least_z * np.sqrt(1 / p + 1 / q), ratio, 0.0)
+    p, q = np.bincount(flat, each, n_features), np.bincount(flat, 1 - each, n_features)
+    all_p, all_q = positive.sum(), (1 - positive).sum()
+    ratio = np.log((p + 0.5) / (all_p + 1)) - np.log((q + 0.5) / (all_q + 1))
+
+    def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        return seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
+
+    share = (p + q) / max(len(rows), 1)
+    statistic = 2 * (part(p, share * all_p) + part(q, share * all_q) + part(all_p - p, (1 - share) * all_p) + part(all_q - q, (1 - share) * all_q))
+    return np.where(statistic >= least_z**2, ratio, 0.0)
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, signs: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:

@@ -308,6 +308,20 @@ def test_dual_coordinate_descent_separates():
     assert ((scores > 0.5) == (y > 0.5)).all()
 
 
+def test_features_of_one_class_only_count():
+    toxic, clean = 300, 2_700
+    hits = [(5, 0), (0, 60), (5, 45), (1, 0), (30, 30)]  # toxic and clean rows with each feature
+    rows = [np.array([j for j, (a, _) in enumerate(hits) if i < a], np.int64) for i in range(toxic)]
+    rows += [np.array([j for j, (_, b) in enumerate(hits) if i < b], np.int64) for i in range(clean)]
+    target = np.array([1.0] * toxic + [0.0] * clean)
+    assert np.sign(linear.log_count_ratios(rows, target, 5, 3.0)).tolist() == [1, -1, 0, 0, 1]
+
+
+def test_all_voters_are_kept():
+    rows = [np.array([i // 6]) for i in range(3_600)] + [np.array([5_000])] * 20_000
+    assert len(toxicity.mine_voters(rows, np.array([1.0] * 3_600 + [0.0] * 20_000))) == 600
+
+
 @pytest.mark.parametrize(("operator", "label", "least"), [(quality, "quality", 0.97), (toxicity, "toxic", 0.9)])
 def test_held_out_ranking(spark, operator, label, least):
     sf = "/root/testdata/sf0.1"
