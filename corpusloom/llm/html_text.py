@@ -4,7 +4,7 @@ A tokenizer feeds a tree builder that closes elements which end tags may leave o
 (paragraphs, list items, table parts, options) and ignores end tags that match nothing. The
 renderer walks the tree once: elements that don't show (scripts, styles, ``hidden``,
 ``display:none``, ``aria-hidden``) are left out, blocks start lines and keep their spacing,
-lists get bullets or numbers by depth, preformatted text keeps its white space, and the
+options and texts of a picture have lines of their own, lists get bullets or numbers by depth, preformatted text keeps its white space, and the
 cells of a table are padded to their columns.
 
 Defined results: a null html is an empty text; a page without tags is its own text with
@@ -24,19 +24,26 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.arrow_text import small_batches, with_columns
 
+#: What may follow an attribute's name; quotes count only right after the sign.
+VALUE = r"""\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?+"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?/][^>]*>?",
+    rf"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[\s/]++|=?[^\s/>=]++(?:{VALUE})?+|=)*+)>|<[!?/][^>]*>?",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
+ATTRIBUTE = re.compile(rf"(=?[^\s/>=]++)(?:{VALUE})?+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
-NEVER_SHOWN = frozenset("head script style template noscript iframe noembed noframes datalist object svg math audio video canvas select".split())
+NEVER_SHOWN = frozenset("head script style template noscript iframe noembed noframes datalist object audio video canvas".split())
+#: Not shown inside pictures and formulas.
+FOREIGN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset("annotation annotation-xml".split()),
+}
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
-    "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
+    "header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption xmp".split()
 )
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre xmp ul ol dl table figure".split())
 #: An opening tag closes the nearest open element of the first set, unless one of the second is nearer.
 CELLS, ROWS, PARTS = {"td", "th"}, {"tr"}, {"tbody", "thead", "tfoot"}
 IMPLIED = {
@@ -44,6 +51,7 @@ IMPLIED = {
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select"}),
+    "optgroup": ({"optgroup"}, {"select"}),
     "td": (CELLS, {"tr", "table"}),
     "th": (CELLS, {"tr", "table"}),
     "tr": (ROWS, {"table"}),
@@ -54,15 +62,18 @@ IMPLIED = {
 }
 ENDS_PARAGRAPH = BLOCKS - {"body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "li", "dd", "dt", "caption"}
 HEAD_ONLY = frozenset("head title meta link base style script noscript template".split())
+#: Only for these is it asked what they are in.
+MAYBE_FOREIGN = RAW | {"text"} | frozenset.union(*FOREIGN.values())
 HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 
 
 class Node:
-    __slots__ = ("children", "name", "shown", "start")
+    __slots__ = ("block", "children", "label", "name", "shown", "start")
 
-    def __init__(self, name: str, shown: bool = True, start: int = 1) -> None:
-        self.name, self.shown, self.start, self.children = name, shown, start, []
+    def __init__(self, name: str, shown: bool = True, start: int = 1, label: str = "") -> None:
+        self.name, self.shown, self.start, self.label, self.children = name, shown, start, label, []
+        self.block = name in BLOCKS or name in {"option", "optgroup"}
 
 
 def element(name: str, attributes: str) -> Node:
@@ -75,7 +86,7 @@ def element(name: str, attributes: str) -> Node:
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDING_STYLE.search(found.get("style", "")) is not None
     hidden |= name == "input" and found.get("type", "").lower() == "hidden"
     start = found.get("start", "")
-    return Node(name, not hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1)
+    return Node(name, not hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, found.get("label", "") if name in {"option", "optgroup"} else "")
 
 
 def build(page: str) -> Node:
@@ -117,14 +128,22 @@ def build(page: str) -> Node:
             stack.pop()
         if name in ENDS_PARAGRAPH:
             close({"p"}, {"table", "td", "th", "li", "div", "button"})
+        if name == "optgroup":
+            close({"option"}, {"select"})
         if name in IMPLIED:
             close(*IMPLIED[name])
         node = element(name, token["attributes"])
         stack[-1].children.append(node)
-        if name in RAW:
+        within = next((x.name for x in reversed(stack) if x.name in FOREIGN), None) if name in MAYBE_FOREIGN else None
+        if within:
+            node.shown &= name not in FOREIGN[within]
+            node.block |= within == "svg" and name == "text"  # each has a place of its own
+        if name in RAW and not (within and token["attributes"].endswith("/")):
             end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
             if node.shown and name == "textarea":
                 node.children.append(html.unescape(page[at : end.start() if end else size]))
+            elif node.shown and name == "xmp":
+                node.children.append(page[at : end.start() if end else size])
             at = end.end() if end else size
         elif name not in VOID and not token["attributes"].endswith("/") or name in BLOCKS - {"hr"}:
             stack.append(node)
@@ -199,14 +218,14 @@ def render(node: Node, out: Lines, in_cell: bool = False) -> None:
                 out.first = ""
             out.end(True)
         else:
-            block, spaced = name in BLOCKS, name in SPACED and not (name in {"ul", "ol"} and numbers)
+            block, spaced = node.block, name in SPACED and not (name in {"ul", "ol"} and numbers)
             if block:
                 out.end(spaced)
             level, kept = state[-1]
             if name in {"ul", "ol", "menu"}:
                 numbers.append(node.start if name == "ol" else None)
                 state.append((level + 1, kept))
-            elif name == "pre":
+            elif name in {"pre", "xmp"}:
                 state.append((level, True))
             elif name == "li":
                 indent = "  " * max(0, level - 1)
@@ -223,12 +242,18 @@ def render(node: Node, out: Lines, in_cell: bool = False) -> None:
                 if name in {"ul", "ol", "menu"}:
                     numbers.pop()
                     state.pop()
-                elif name == "pre":
+                elif name in {"pre", "xmp"}:
                     state.pop()
                 elif name in {"li", "dd"}:
                     out.first = ""
 
             work.append((node, leave))
+            if node.label:
+                out.put(node.label)
+            if node.label and name == "option":
+                continue  # the label shows in the text's place
+            if node.label:
+                out.end()
             work.extend((child, None) for child in reversed(node.children))
 
 
@@ -244,7 +269,9 @@ def table_lines(table: Node) -> list[str]:
         elif not node.shown or node.name in {"col", "colgroup"}:
             continue
         elif node.name == "tr":
-            rows.append([flat(c) for c in node.children if isinstance(c, Node) and c.shown] or [flat(node)])
+            cells = [flat(c) for c in node.children if isinstance(c, Node) and c.shown]
+            before.extend(SPACE.sub(" ", c).strip() for c in node.children if cells and isinstance(c, str) and c.strip())
+            rows.append(cells or [flat(node)])
         elif node.name in PARTS:
             open_.extend(reversed(node.children))
         elif node.name in CELLS:

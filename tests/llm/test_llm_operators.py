@@ -363,6 +363,20 @@ def test_rendering(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("a<select><option>one<option>two<optgroup label='More &amp; more'><option label=three>3<optgroup label=Last><option>four</select>z", "a\none\ntwo\nMore & more\nthree\nLast\nfour\nz"),
+    ("x <math><semantics><mrow><mi>a</mi><mo>=</mo><mn>2</mn></mrow><annotation>a=2</annotation></semantics></math> y", "x a=2 y"),
+    ("<svg><title/><defs><text>no</text></defs><text x=1>A</text><text>B<tspan>C</tspan></text><style>t{}</style></svg>z <text>i</text>n", "A\nBC\nz in"),
+    ("<p>a<xmp> <b> &amp;\n  c</xmp>d", "a\n\n <b> &amp;\n  c\n\nd"),
+    ("<table><tr>stray<td>1</td> too <td>2</td></tr></table>", "stray\ntoo\n1 | 2"),
+    ("<p title=it's>Visible text isn't lost</p>", "Visible text isn't lost"),
+    ("<p title=a'hidden class = 'x > y' data-q=\"it's>\">b</p>", "b"),
+    ("<p title=\"open>kept", "kept"),
+])
+def test_all_visible_text_is_rendered(page, text):
+    assert html_text.visible_text(page) == text
+
+
 def test_rendering_of_deep_and_broken_pages(spark, empty):
     assert html_text.visible_text("<div>" * 20_000 + "deep") == "deep"
     assert html_text.visible_text("<table><tr><td>" * 2_000 + "x").strip(" |") == "x"
