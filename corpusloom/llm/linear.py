@@ -96,12 +96,13 @@ def fit_one(rows, belief, n_features, least_z, cost):
 
 
 def fit(rows: list[np.ndarray], belief: np.ndarray, target: np.ndarray, n_features: int, least_z: float = 4.0, cost: float = 0.1, folds: int = 3) -> LinearModel:
-    """Fit to beliefs (0 to 1), calibrate on targets by margins of folds left out.
+    """Fit to beliefs (0 to 1), calibrate on targets (nan where there is none) by margins of folds left out.
 
     Where the sample has rows of one class only, every score is that class's smoothed share.
     """
-    if not len(rows) or len(set((belief >= 0.5).tolist())) < 2:
-        share = (float(target.sum()) + 1) / (len(target) + 2) if len(target) else 0.5
+    known = ~np.isnan(target)
+    if not known.any() or len(set((belief >= 0.5).tolist())) < 2:
+        share = (float(target[known].sum()) + 1) / (known.sum() + 2) if known.any() else 0.5
         return LinearModel(np.zeros(n_features), 0.0, 0.0, float(np.log(share / (1 - share))))
     margins, fold = np.zeros(len(rows)), np.arange(len(rows)) % folds
     for k in range(folds):
@@ -110,5 +111,5 @@ def fit(rows: list[np.ndarray], belief: np.ndarray, target: np.ndarray, n_featur
         for i in np.flatnonzero(fold == k):
             margins[i] = bias + weights[rows[i]].sum()
     weights, bias = fit_one(rows, belief, n_features, least_z, cost)
-    slope, offset = sigmoid_fit(margins, target)
+    slope, offset = sigmoid_fit(margins[known], target[known])
     return LinearModel(weights, bias, slope, offset)

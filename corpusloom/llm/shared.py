@@ -54,5 +54,14 @@ def join_small(left: DataFrame, right: DataFrame, rows: int, on, how: str = "inn
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
 
 
+def free_name(df: DataFrame, wanted: str) -> str:
+    """A column name that the table doesn't have in any spelling, for a helper column that goes again."""
+    taken = {c.lower() for c in df.columns}
+    name = f"__{wanted}"
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))

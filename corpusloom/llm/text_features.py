@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from corpusloom.llm.arrow_text import flat_bytes, small_batches, with_columns
 from corpusloom.llm.linear import LinearModel
+from corpusloom.llm.shared import free_name
 
 SHAPE_BITS, WORD_BITS, AFFIX_BITS = 16, 18, 20
 _RANDOM = np.random.default_rng(4_711)
@@ -116,8 +117,15 @@ LETTER[ord("a") : ord("z") + 1] = LETTER[0x80:] = True
 AFFIXES = (4, 5, 6)
 
 
+#: A word or beginning is frequent in a text that has it twice or more, and once in so many words or more often.
+OFTEN = 100
+
+
 def lexical_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Words (runs of letters, ASCII letters in lower case) and their beginnings of 4 to 6 bytes."""
+    """Words (runs of letters, ASCII letters in lower case) and their beginnings of 4 to 6 bytes.
+
+    Each has two features: that a text has it, and that it is frequent in the text.
+    """
     data, offsets = flat_bytes(column)
     data = LOWER[data]
     begins, ends = runs(LETTER[data], offsets)
@@ -126,14 +134,18 @@ def lexical_features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     for size in AFFIXES:
         long = ends - begins > size
         parts.append((owner[long], folded(hash_runs(data, begins[long], begins[long] + size) + np.uint64(size << 20), AFFIX_BITS)))
-    return distinct(parts, AFFIX_BITS)
+    pairs, count = np.unique(np.concatenate([(o.astype(np.int64) << (AFFIX_BITS + 1)) | f for o, f in parts]), return_counts=True)
+    words = np.bincount(owner, minlength=len(offsets) - 1)
+    often = pairs[(count > 1) & (OFTEN * count >= words[pairs >> (AFFIX_BITS + 1)])]
+    both = np.sort(np.concatenate([pairs, often | (1 << AFFIX_BITS)]))
+    return both >> (AFFIX_BITS + 1), both & (LEXICAL_FEATURES - 1)
 
 
-LEXICAL_FEATURES = 1 << AFFIX_BITS
+LEXICAL_FEATURES = 1 << (AFFIX_BITS + 1)
 
 
 def word_feature(word: str) -> int:
-    """The number of a word's own feature."""
+    """The number of the feature that a text has the word."""
     return int(lexical_features(pa.array([word]))[1][0]) if len(word.encode()) <= min(AFFIXES) else int(folded(hash_runs(np.frombuffer(word.encode(), np.uint8), np.array([0]), np.array([len(word.encode())])), AFFIX_BITS)[0])
 
 
@@ -150,17 +162,24 @@ def feature_rows(docs: DataFrame, features: Features, keep: str) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"), F.col(keep).cast("double").alias(keep)).mapInArrow(run, f"{keep} double, features binary")
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, features: Features, most_rows: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and labels of training rows: at most ``most_rows``, by a hash of doc_id.
+def training_sample(docs: DataFrame, labels: DataFrame, label: str, features: Features, most_rows: int, most_unlabelled: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and labels of at most ``most_rows`` labelled documents, and of at most ``most_unlabelled`` others (label nan).
 
-    Training rows are those whose crc32 of doc_id as text is not 2 modulo 4.
+    Only documents whose crc32 of doc_id as text is not 2 modulo 4 are taken, those of the
+    smallest hashes of doc_id. Of labels that repeat a doc_id the largest counts, of
+    documents that repeat it the smallest text, so the bounds hold for rows.
     """
-    rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("label")).dropna()
-    rows = rows.filter(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(rows), "doc_id")
+    number = F.col("doc_id").cast("long").alias("doc_id")
+    rows = labels.select(number, F.col(label).cast("double").alias("label")).dropna().filter(~held_out()).groupBy("doc_id").agg(F.max("label").alias("label"))
+    by_hash = [F.xxhash64("doc_id"), "doc_id"]
+    rows = rows.orderBy(*by_hash).limit(most_rows)
+    if most_unlabelled:
+        others = docs.select(number).dropna().filter(~held_out()).distinct().orderBy(*by_hash).limit(most_unlabelled)
+        rows = rows.unionByName(others.select("doc_id", F.lit(None).cast("double").alias("label"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    texts = docs.select(number, F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     found = feature_rows(texts.drop("doc_id"), features, "label").toLocalIterator(prefetchPartitions=True)
-    pairs = sorted((bytes(r["features"]), r["label"]) for r in found)[: 2 * most_rows]
+    pairs = sorted((bytes(r["features"]), float("nan") if r["label"] is None else r["label"]) for r in found)
     return [np.frombuffer(f, np.int32).astype(np.int64) for f, _ in pairs], np.array([y for _, y in pairs])
 
 
@@ -180,3 +199,9 @@ def add_scores(docs: DataFrame, model: LinearModel, features: Features, into: st
 
     kept = [f for f in docs.schema.fields if f.name != into]
     return docs.mapInArrow(run, T.StructType([*kept, T.StructField(into, T.DoubleType())]))
+
+
+def keep_scored(docs: DataFrame, model: LinearModel, features: Features, threshold: float) -> DataFrame:
+    """The documents whose score reaches the threshold; their columns stay as they are, whatever their names."""
+    score = free_name(docs, "score")
+    return add_scores(docs, model, features, score).filter(F.col(score) >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,121 +1,170 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons (a seed list per language) and patterns (words and word beginnings)
-mined from labelled training rows. A generative label model estimates how often each voter
-fires in toxic and in clean documents and how voters correlate within a class; correlated
-voters share their weight. Its posterior labels train a linear classifier over words and
-word beginnings, which scores every whole text.
+Voters say toxic or abstain: words of lexicons (a list per language), texts with several
+words of one lexicon, and patterns (words and word beginnings, there or frequent) mined
+from labelled training rows. A generative label model, fitted to the votes alone, estimates
+how often each voter fires in toxic and in clean documents and which voters fire together
+in toxic ones. Its posterior labels train a linear classifier over words and word
+beginnings, which scores every whole text. Given labels choose voters and calibrate the
+final score; the label model never sees them.
 
-Voters, label model and classifier are fitted on at most ``most_rows`` labelled rows,
-chosen by a hash.
+Voters are mined from at most ``most_rows`` labelled documents; label model and classifier
+are fitted on these and on at most ``most_unlabelled`` others, all chosen by a hash.
 
 Defined results: a null or empty text has no features and the score of the bias; without
 labels of both classes every score is the smoothed share of label 1 (0.5 without any);
-repeated rows are scored as rows; an empty table gives an empty result.
+repeated rows are scored as rows; of repeated labels of a doc_id the largest counts, of
+repeated training documents the smallest text; a null doc_id is never held out; a very
+long text is scored whole, a text being in memory at a time; columns called held_out,
+score and predicted are replaced, all others kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm import linear
-from corpusloom.llm.text_features import LEXICAL_FEATURES, add_scores, held_out, labelled_sample, lexical_features, word_feature
+from corpusloom.llm.text_features import LEXICAL_FEATURES, add_scores, held_out, lexical_features, training_sample, word_feature
 
-MOST_ROWS = 12_000
+MOST_ROWS = MOST_UNLABELLED = 12_000
 THRESHOLD = 0.3
 #: A bound for the driver's memory, above what samples of that size have.
-MOST_VOTERS = 2_000
-#: Chosen by log loss on folds of the training rows.
-MODEL_LEAST_Z = 2.5
-#: Common insults, one lexicon a language; each lexicon is a voter.
+MOST_VOTERS = 1_000
+#: Chosen on folds of the training rows.
+MODEL_LEAST_Z, VOTER_LEAST_Z, LEAST_PRECISION = 2.5, 4.0, 0.8
+#: Voters whose firing correlates this much are of one kind.
+LEAST_CORRELATION = 0.25
+#: Common insults of four languages.
 LEXICONS = {
-    "en": "idiot moron stupid loser scum trash worthless pathetic disgusting clown",
-    "fr": "idiot imbécile crétin connard abruti ordure minable",
-    "de": "idiot dummkopf trottel abschaum versager arschloch",
-    "es": "idiota imbécil estúpido basura escoria inútil",
+    "en": "idiot moron stupid loser scum trash worthless pathetic disgusting clown dumb imbecile jerk freak filth vermin coward garbage creep fool",
+    "fr": "idiot idiote imbécile crétin connard connasse abruti abrutie ordure minable débile salaud salope bouffon racaille crapule pourriture lâche",
+    "de": "idiot dummkopf trottel abschaum versager arschloch depp vollidiot schwachkopf mistkerl drecksau feigling blödmann widerling ekelhaft erbärmlich",
+    "es": "idiota imbécil estúpido estúpida basura escoria inútil tonto cabrón gilipollas payaso asqueroso cobarde miserable patético canalla",
 }
 
 
-def vote(rows: list[np.ndarray], voters: list[np.ndarray]) -> np.ndarray:
-    """Rows by voters: whether any of a voter's features is there."""
+def vote(rows: list[np.ndarray], lexicons: list[np.ndarray], patterns: np.ndarray) -> np.ndarray:
+    """Rows by voters: lexicon words and patterns that a row has, and lexicons of which it has two words or more.
+
+    Voters that never fire, and all but the first of those that fire on the same rows, go.
+    """
+    features = np.unique(np.concatenate([*lexicons, patterns]))
     of = np.full(LEXICAL_FEATURES, -1)
-    out = np.zeros((len(rows), len(voters)), bool)
-    for j, features in enumerate(voters):
-        of[features] = j
-        single = [of[r].max(initial=-1) for r in rows] if len(features) > 1 else None
-        if single is not None:
-            out[:, j] = np.array(single) >= 0
-        of[features] = -1
-    single = {int(f[0]): j for j, f in enumerate(voters) if len(f) == 1}
-    for f, j in single.items():
-        of[f] = j
+    of[features] = np.arange(len(features))
+    single = np.zeros((len(rows), len(features)), bool)
     for i, r in enumerate(rows):
         hit = of[r]
-        out[i, hit[hit >= 0]] = True
-    return out
+        single[i, hit[hit >= 0]] = True
+    several = [single[:, of[words]].sum(axis=1) > 1 for words in lexicons]
+    votes = np.concatenate([single, np.stack(several, axis=1)], axis=1)
+    votes = votes[:, votes.any(axis=0)]
+    _, first = np.unique(np.packbits(votes, axis=0), axis=1, return_index=True)
+    return votes[:, np.sort(first)]
 
 
-def mine_voters(rows: list[np.ndarray], target: np.ndarray, least_z: float = 4.0, least_precision: float = 0.6) -> list[np.ndarray]:
+def mine_voters(rows: list[np.ndarray], target: np.ndarray, least_z: float = VOTER_LEAST_Z, least_precision: float = LEAST_PRECISION) -> np.ndarray:
     """Features that point clearly and precisely to toxic rows, the most frequent first, one voter each."""
     ratio = linear.log_count_ratios(rows, target, LEXICAL_FEATURES, least_z)
     flat, each = np.concatenate(rows), np.repeat(target, [len(r) for r in rows])
     hits, total = np.bincount(flat, each, LEXICAL_FEATURES), np.bincount(flat, minlength=LEXICAL_FEATURES)
     found = np.flatnonzero((ratio > 0) & (hits >= least_precision * (total + 1)))
-    return [np.array([f]) for f in found[np.argsort(-hits[found], kind="stable")][:MOST_VOTERS]]
-
-
-def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 30) -> np.ndarray:
-    """Posterior probability of toxic for each row.
-
-    Expectation maximisation over two classes with a rate of firing per voter and class; a
-    voter that doesn't fire abstains, but for rows on which none fires. The given labels
-    are one more voter, whose accuracy in each class is estimated like the others'. A
-    voter's log-odds are divided by one plus the sum of its positive correlations with
-    the others inside the classes, so that copies of one signal count about once.
+    return found[np.argsort(-hits[found], kind="stable")][:MOST_VOTERS]
+
+
+def kinds_of(votes: np.ndarray, least: float = LEAST_CORRELATION) -> np.ndarray:
+    """A number for each voter: those connected by correlated firing share it."""
+    x = votes.astype(np.float32)
+    share = x.mean(axis=0, dtype=float)
+    spread = np.sqrt(np.maximum(share * (1 - share), 1e-12))
+    near = (x.T @ x / len(x) - np.outer(share, share)) / np.outer(spread, spread) >= least
+    root = np.arange(len(share))
+    while True:
+        new = np.minimum(root, np.where(near, root[None, :], len(root)).min(axis=1, initial=len(root)))
+        new = new[new]
+        if (new == root).all():
+            return np.unique(root, return_inverse=True)[1]
+        root = new
+
+
+@dataclass
+class LabelModel:
+    """A clean class (first) and toxic classes, each with its share and every voter's rate of firing in it.
+
+    Inside a class voters fire independently, so what correlates voters among toxic
+    documents is that its classes differ: one language's voters fire together, and their
+    silence says nothing about another language.
     """
-    none, (at, by), n_voters = ~votes.any(axis=1), np.nonzero(votes), votes.shape[1]
-    counted = votes.astype(np.float32)
-    pairs = (counted.T @ counted).astype(float)  # counts, so exact
-    del counted
-    belief = np.where(given > 0, 0.9, 0.02)
-
-    def smoothed(hits: np.ndarray, of: np.ndarray, smooth: float = 0.5) -> np.ndarray:
-        return (hits + smooth) / (of.sum() + 2 * smooth)
-
-    def rates(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return smoothed(x @ belief, belief), smoothed(x @ (1 - belief), 1 - belief)
 
+    shares: np.ndarray
+    rates: np.ndarray
+
+    def responsibilities(self, votes: np.ndarray) -> np.ndarray:
+        odds = (np.log(self.rates) - np.log1p(-self.rates)).T.astype(np.float32)
+        log = np.log(self.shares) + np.log1p(-self.rates).sum(axis=1) + (votes.astype(np.float32) @ odds).astype(float)
+        log -= log.max(axis=1, keepdims=True)
+        new = np.exp(log)
+        return new / new.sum(axis=1, keepdims=True)
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of toxic for each row of votes."""
+        return 1 - self.responsibilities(votes)[:, 0]
+
+    def accuracies(self) -> np.ndarray:
+        """Of the documents on which a voter fires, the share that is toxic."""
+        hits = self.shares[:, None] * self.rates
+        return hits[1:].sum(axis=0) / hits.sum(axis=0)
+
+    def correlations(self) -> np.ndarray:
+        """Correlation of each two voters among toxic documents, as the classes give it."""
+        share = self.shares[1:] / self.shares[1:].sum()
+        mean = share @ self.rates[1:]
+        moved = self.rates[1:] - mean
+        cov = (share[:, None] * moved).T @ moved
+        spread = np.sqrt(mean * (1 - mean))
+        return cov / np.outer(spread, spread)
+
+
+def fit_label_model(votes: np.ndarray, rounds: int = 100, smooth: float = 1.0) -> LabelModel:
+    """Expectation maximisation from the votes alone.
+
+    There is a toxic class for each kind of voters. It starts from the assumption that
+    each vote is right at least half of the time, independently, and that a document is of
+    the kinds that vote on it; no voter may fire more often in the clean class than in a
+    toxic one. Rates are smoothed towards a voter's rate over all rows.
+    """
+    kinds = kinds_of(votes)
+    x = votes.astype(np.float32)
+    by_kind = np.stack([votes[:, kinds == k].sum(axis=1) for k in range(kinds.max() + 1)], axis=1).astype(float)
+    fired = by_kind.sum(axis=1, keepdims=True)
+    belief = 1 - 0.5**fired
+    resp = np.where(fired > 0, by_kind / np.maximum(fired, 1) * belief, 0.01 / by_kind.shape[1])
+    resp = np.concatenate([1 - resp.sum(axis=1, keepdims=True), resp], axis=1)
+    overall = votes.mean(axis=0)
     for _ in range(rounds):
-        prior = float(np.clip(belief.mean(), 1e-3, 0.999))
-        classes = np.stack([belief, 1 - belief])
-        hits = np.stack([np.bincount(by, c[at], n_voters) for c in classes])
-        toxic, clean = rate = np.stack([smoothed(h, c) for h, c in zip(hits, classes, strict=True)])
-        # what is left of the votes without their expected values, multiplied out
-        crossed = hits.T @ rate
-        rest = pairs - crossed - crossed.T + rate.T @ (classes @ classes.T) @ rate
-        spread = np.sqrt(np.maximum(rest.diagonal(), 0)) + 1e-9
-        together = np.maximum(rest / spread[:, None] / spread[None, :], 0)
-        together[together < 0.1] = 0
-        share = 1 / together.sum(axis=1).clip(1)
-        log_odds = np.log(prior / (1 - prior)) + np.bincount(at, (share * np.log(toxic / clean))[by], len(votes))
-        (silent, quiet), (yes, also) = rates(none.astype(float)), rates(given)
-        log_odds += np.where(none, np.log(silent / quiet), 0)
-        log_odds += np.where(given > 0, np.log(yes / also), np.log((1 - yes) / (1 - also)))
-        new = 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
-        if np.abs(new - belief).max() < 1e-4:
-            return new
-        belief = new
-    return belief
-
-
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = MOST_ROWS) -> linear.LinearModel:
-    rows, target = labelled_sample(docs, labels, label, lexical_features, most_rows)
-    if not 0 < target.sum() < len(target):
-        return linear.fit(rows, target, target, LEXICAL_FEATURES)
+        weight = resp.sum(axis=0)
+        rates = ((resp.T.astype(np.float32) @ x).astype(float) + smooth * overall) / (weight[:, None] + smooth)
+        rates[1:] = np.maximum(rates[1:], rates[0])
+        model = LabelModel((weight + 1e-3) / (weight + 1e-3).sum(), np.clip(rates, 1e-7, 1 - 1e-7))
+        new = model.responsibilities(votes)
+        done = np.abs(new - resp).max() < 1e-4
+        resp = new
+        if done:
+            break
+    return model
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most_rows: int = MOST_ROWS, most_unlabelled: int = MOST_UNLABELLED) -> linear.LinearModel:
+    rows, target = training_sample(docs, labels, label, lexical_features, most_rows, most_unlabelled)
+    known = ~np.isnan(target)
+    if not 0 < target[known].sum() < known.sum():
+        return linear.fit([], np.zeros(0), target[known], LEXICAL_FEATURES)
     lexicons = [np.array([word_feature(w) for w in words.split()]) for words in LEXICONS.values()]
-    posterior = label_model(vote(rows, lexicons + mine_voters(rows, target)), target)
+    votes = vote(rows, lexicons, mine_voters([rows[i] for i in np.flatnonzero(known)], target[known]))
+    posterior = fit_label_model(votes).posterior(votes) if votes.shape[1] else np.zeros(len(rows))
     return linear.fit(rows, posterior, target, LEXICAL_FEATURES, MODEL_LEAST_Z)
 
 

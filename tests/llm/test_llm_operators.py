@@ -15,6 +15,7 @@ import pytest
 
 from corpusloom.llm import components, divergence, exact_dedup, html_text, linear, mixing, near_join, pieces, quality, queries, token_files, toxicity, warc
 from corpusloom.llm.shared import scratch, table
+from corpusloom.llm.text_features import lexical_features, training_sample, word_feature
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, extra string, score double, size long"
@@ -299,6 +300,29 @@ def test_components(spark):
 # ---- 6 and 9: classifiers
 
 
+def test_dual_coordinate_descent_equals_plain_descent():
+    """The weights against a subgradient method on the same problem."""
+    random = np.random.default_rng(5)
+    rows = [np.flatnonzero(random.random(12) < 0.4) for _ in range(80)]
+    signs = np.where(np.array([(r < 4).sum() + random.random() for r in rows]) > 1.8, 1.0, -1.0)
+    values, cost = random.uniform(-2, 2, 12), np.full(80, 0.1)
+    x = np.zeros((80, 13))
+    for i, r in enumerate(rows):
+        x[i, r], x[i, 12] = values[r], 1
+
+    def loss(w):
+        return 0.5 * w @ w + (cost * np.maximum(0, 1 - signs * (x @ w))).sum()
+
+    weights, bias = linear.dual_coordinate_descent(rows, values, signs, cost, epochs=400)
+    got = np.append(np.where(values != 0, weights / values, 0), bias)
+    w = np.zeros(13)
+    best = np.inf
+    for t in range(1, 20_001):
+        w = w - (w - x.T @ (cost * signs * (signs * (x @ w) < 1))) / (t + 10)
+        best = min(best, loss(w))
+    assert loss(got) <= best + 1e-3
+
+
 def test_dual_coordinate_descent_separates():
     random = np.random.default_rng(0)
     rows = [np.sort(random.choice(20, 5, replace=False)) + (20 if y else 0) for y in (0, 1) * 50]
@@ -322,7 +346,60 @@ def test_all_voters_are_kept():
     assert len(toxicity.mine_voters(rows, np.array([1.0] * 3_600 + [0.0] * 20_000))) == 600
 
 
-@pytest.mark.parametrize(("operator", "label", "least"), [(quality, "quality", 0.97), (toxicity, "toxic", 0.9)])
+def test_posterior_equals_brute_force():
+    shares, rates = np.array([0.8, 0.15, 0.05]), np.array([[0.05, 0.1, 0.02], [0.6, 0.5, 0.1], [0.2, 0.1, 0.7]])
+    model = toxicity.LabelModel(shares, rates)
+    votes = np.array([[a, b, c] for a in (0, 1) for b in (0, 1) for c in (0, 1)], bool)
+    joint = np.array([[s * np.prod([q if v else 1 - q for q, v in zip(qs, row, strict=True)]) for s, qs in zip(shares, rates, strict=True)] for row in votes])
+    assert np.allclose(model.posterior(votes), joint[:, 1:].sum(axis=1) / joint.sum(axis=1), atol=1e-5)
+    assert np.allclose(model.accuracies(), [joint[votes[:, j], 1:].sum() / joint[votes[:, j]].sum() for j in range(3)])
+    toxic = joint[:, 1:].sum(axis=1) / joint[:, 1:].sum()
+    mean = toxic @ votes
+    both = np.array([[toxic @ (votes[:, i] & votes[:, j]) for j in range(3)] for i in range(3)])
+    want = (both - np.outer(mean, mean)) / np.sqrt(np.outer(mean * (1 - mean), mean * (1 - mean)))
+    off = ~np.eye(3, dtype=bool)
+    assert np.allclose(model.correlations()[off], want[off])
+
+
+def test_label_model_learns_from_votes_alone():
+    random = np.random.default_rng(3)
+    kind = random.choice(3, 20_000, p=[0.9, 0.07, 0.03])  # clean, and two kinds of toxic whose voters differ
+    rates = np.full((3, 12), 0.003)
+    rates[1, :6], rates[2, 6:11] = 0.5, 0.6
+    rates[:, 11] = 0.001, 0.3, 0.3
+    votes = random.random((20_000, 12)) < rates[kind]
+    model = toxicity.fit_label_model(votes)
+    assert ((model.posterior(votes) >= 0.5) == (kind > 0)).mean() > 0.99
+    assert 1 - model.shares[0] == pytest.approx(0.1, abs=0.01)
+    true = np.array([(kind[votes[:, j]] > 0).mean() for j in range(12)])
+    assert np.abs(model.accuracies() - true).max() < 0.05
+    assert model.correlations()[0, 1] > 0.2 > -0.2 > model.correlations()[0, 7]
+
+
+def test_posterior_against_labels(spark):
+    """The posterior is the votes' own: it differs from given labels, on training and on held-out documents, and is near both."""
+    sf = "/root/testdata/sf0.1"
+    rows, target = training_sample(table(spark, sf, "documents"), table(spark, sf, "labels"), "toxic", lexical_features, 12_000, 12_000)
+    known = ~np.isnan(target)
+    assert 0 < (~known).sum()
+    lexicons = [np.array([word_feature(w) for w in words.split()]) for words in toxicity.LEXICONS.values()]
+    votes = toxicity.vote(rows, lexicons, toxicity.mine_voters([rows[i] for i in np.flatnonzero(known)], target[known]))
+    named = toxicity.fit_label_model(votes).posterior(votes)[known] >= 0.5
+    toxic = target[known] > 0
+    assert (named != toxic).any()
+    assert (named & toxic).sum() > 0.9 * toxic.sum()
+    assert (named & ~toxic).sum() < 0.05 * toxic.sum()
+
+
+def test_a_sample_has_a_row_for_each_document(spark):
+    docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)] + [(None, "x")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (None, 1)], "doc_id long, toxic int")
+    rows, target = training_sample(docs, labels, "toxic", lexical_features, 10, 10)
+    assert sorted(map(str, target)) == ["0.0", "1.0", "nan"]
+    assert len(training_sample(docs, labels, "toxic", lexical_features, 1)[0]) == 1
+
+
+@pytest.mark.parametrize(("operator", "label", "least"), [(quality, "quality", 0.97), (toxicity, "toxic", 0.97)])
 def test_held_out_ranking(spark, operator, label, least):
     sf = "/root/testdata/sf0.1"
     docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels")
@@ -343,6 +420,15 @@ def test_classifiers_on_odd_rows(spark, odd, empty, operator, label):
     assert nothing["score"] == 0.5
 
 
+def test_keeping_good_documents_leaves_their_columns_alone(spark, sf):
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    named = docs.selectExpr("doc_id", "text", "-5.0D as score", "77 as predicted", "'no' as held_out", "doc_id as __score")
+    rows = quality.keep_good(named, docs, labels).collect()
+    assert {tuple(r)[2:5] for r in rows} == {(-5.0, 77, "no")}
+    assert all(r["__score"] == r["doc_id"] for r in rows)
+    assert {r["doc_id"] for r in rows} == {r["doc_id"] for r in quality.classify(docs, docs, labels).filter("predicted = 1").collect()}
+
+
 # ---- 7: HTML
 
 
