@@ -13,17 +13,19 @@ Tokenising: pre-tokens of the byte-level pattern surely begin at some places (se
 tokenizers library.
 
 Defined results: a null text is empty and has the end id alone; documents come in
-ascending doc_id order, a null doc_id first, equal ids by text; an empty table gives an
-empty result; other columns are ignored.
+ascending doc_id order, a null doc_id first, equal ids by text; repeated rows are documents
+of their own; a very long text is encoded whole, a text being in memory at a time, and runs
+over as many sequences as it needs; an empty table gives an empty result; other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import functools
-import itertools
 import os
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -176,47 +178,59 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str, length: int
     return materialize(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(write, MANIFEST_SCHEMA), f"{folder}/manifest")
 
 
-def read_sequences(path: str, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Random access: ``count`` sequences of a shard from ``first`` on, and their masks.
+class Sequences:
+    """Random access to a shard's sequences by number.
 
-    A local file is mapped, so ids inside one batch aren't copied; masks are bits, and are.
+    A file of a local or mounted folder is mapped: ids are numpy views and masks Arrow
+    views of the mapping, nothing is copied. In another store the batches asked for are read.
     """
-    system, root = open_folder(f"{path}.arrow")
-    reader = pa.ipc.open_file(pa.memory_map(root) if system.type_name == "local" else system.open_input_file(root))
-    ids, masks = [], []
-    for at in range(first // ROWS_PER_BATCH, reader.num_record_batches):
-        batch = reader.get_batch(at)
-        if at * ROWS_PER_BATCH >= first + count:
-            break
-        ids.append(batch.column(0))
-        masks.append(batch.column(1))
-    if not ids:
-        return np.zeros((0, 0), np.uint16), np.zeros((0, 0), bool)
-    lo = first % ROWS_PER_BATCH
-    flat = [x[0] if len(x) == 1 else pa.concat_arrays(x) for x in (ids, masks)]
-    width = flat[0].type.list_size
-    return tuple(x.slice(lo, count).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) for x in flat)
-
-
-def shard_documents(path: str):
-    """Each document of a shard, in order, as (doc_id, start in the shard, its ids); reads batch by batch."""
-    system, root = open_folder(path)
-    sequences = pa.ipc.open_file(system.open_input_file(f"{root}.arrow"))
-    places = pa.ipc.open_file(system.open_input_file(f"{root}.index.arrow"))
-    at, seen, held = 0, 0, np.zeros(0, np.uint16)
+
+    def __init__(self, path: str) -> None:
+        system, root = open_folder(f"{path}.arrow")
+        self.source = pa.memory_map(root) if system.type_name == "local" else system.open_input_file(root)
+        self.file = pa.ipc.open_file(self.source)
+        batches = self.file.num_record_batches
+        self.length = self.file.schema.field("input_ids").type.list_size
+        self.count = (batches - 1) * ROWS_PER_BATCH + self.file.get_batch(batches - 1).num_rows if batches else 0
+
+    def __len__(self) -> int:
+        return self.count
+
+    def views(self, first: int = 0, count: int | None = None) -> Iterator[tuple[np.ndarray, pa.FixedSizeListArray]]:
+        """Ids (sequences by length) and masks of ``count`` sequences from ``first`` on, for each batch that has some."""
+        end = self.count if count is None else min(self.count, first + count)
+        while first < end:
+            batch = self.file.get_batch(first // ROWS_PER_BATCH)
+            at = first % ROWS_PER_BATCH
+            some = batch.slice(at, min(batch.num_rows - at, end - first))
+            yield some.column(0).flatten().to_numpy().reshape(-1, self.length), some.column(1)
+            first += some.num_rows
+
+
+def read_sequences(path: str, first: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """``count`` sequences of a shard from ``first`` on, and their masks, as arrays of their own."""
+    sequences = Sequences(path)
+    parts = [(ids, masks.flatten().to_numpy(zero_copy_only=False).reshape(ids.shape)) for ids, masks in sequences.views(first, count)]
+    if not parts:
+        return np.zeros((0, sequences.length), np.uint16), np.zeros((0, sequences.length), bool)
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
+def shard_documents(path: str) -> Iterator[tuple[int | None, int, list[np.ndarray]]]:
+    """Each document of a shard, in order, as (doc_id, start in the shard, views of its ids)."""
+    sequences = Sequences(path)
+    system, root = open_folder(f"{path}.index.arrow")
+    places = pa.ipc.open_file(system.open_input_file(root))
+    batches = (ids.reshape(-1) for ids, _ in sequences.views())
+    held = np.zeros(0, np.uint16)
     for k in range(places.num_record_batches):
         for doc_id, start, n in zip(*(c.to_pylist() for c in places.get_batch(k).columns), strict=True):
             parts = []
-            need = n
-            while need:
-                if not len(held):
-                    batch = sequences.get_batch(at)
-                    at += 1
-                    held = batch.column(0).flatten().to_numpy()
-                parts.append(held[:need])
-                held = held[need:]
-                need -= len(parts[-1])
-            seen += n
+            while n:
+                held = held if len(held) else next(batches)
+                parts.append(held[:n])
+                held = held[n:]
+                n -= len(parts[-1])
             yield doc_id, start, parts
 
 
