@@ -1,16 +1,22 @@
 """Layout-aware rendering of HTML: the visible text of a page, laid out as blocks, lists and tables.
 
-A tokenizer feeds a tree builder that closes elements which end tags may leave open
+A scanner feeds a tree builder that closes elements which end tags may leave open
 (paragraphs, list items, table parts, options) and ignores end tags that match nothing. The
 renderer walks the tree once: elements that don't show (scripts, styles, ``hidden``,
 ``display:none``, ``aria-hidden``) are left out, blocks start lines and keep their spacing,
-options and texts of a picture have lines of their own, lists get bullets or numbers by depth, preformatted text keeps its white space, and the
-cells of a table are padded to their columns.
+options and texts of a picture have lines of their own, lists get bullets or numbers and an
+indent by depth (up to MOST_INDENT levels), preformatted text keeps its white space, and the
+cells of a table are padded to their columns, spans of columns and rows included.
+
+Time and output are linear in the page: padding goes up to WIDEST characters a cell and
+MOST_PADDING a row besides its separators (longer text is whole, but not aligned), and a table of more than
+MOST_COLUMNS columns has its cells side by side without spans and padding.
 
 Defined results: a null html is an empty text; a page without tags is its own text with
-references resolved; tags that never end are closed at the end of the page; a long page is
-rendered whole; an empty table gives an empty result; a column called text is replaced,
-others are kept.
+references resolved; tags that never end are closed at the end of the page; where a tag has
+no end because of its quotes, quotes don't count from there on; a long page is
+rendered whole, a page being in memory at a time; repeated rows are rendered as rows; an
+empty table gives an empty result; a column called text is replaced, others are kept.
 """
 
 from __future__ import annotations
@@ -26,10 +32,9 @@ from corpusloom.llm.arrow_text import small_batches, with_columns
 
 #: What may follow an attribute's name; quotes count only right after the sign.
 VALUE = r"""\s*+=\s*+("[^"]*"|'[^']*'|[^\s>"'][^\s>]*)?+"""
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[\s/]++|=?[^\s/>=]++(?:{VALUE})?+|=)*+)>|<[!?/][^>]*>?",
-    re.DOTALL,
-)
+START = re.compile(r"<!--|</?[A-Za-z]|<[!?/]")
+TAG = re.compile(rf"<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[\s/]++|=?[^\s/>=]++(?:{VALUE})?+|=)*+)>")
+PLAIN_TAG = re.compile(r"<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>[^>]*+)>")
 ATTRIBUTE = re.compile(rf"(=?[^\s/>=]++)(?:{VALUE})?+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
@@ -66,13 +71,15 @@ HEAD_ONLY = frozenset("head title meta link base style script noscript template"
 MAYBE_FOREIGN = RAW | {"text"} | frozenset.union(*FOREIGN.values())
 HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
+#: Bounds of the layout, see above.
+WIDEST, MOST_PADDING, MOST_COLUMNS, MOST_INDENT = 40, 120, 64, 20
 
 
 class Node:
-    __slots__ = ("block", "children", "label", "name", "shown", "start")
+    __slots__ = ("block", "children", "label", "name", "shown", "spans", "start")
 
-    def __init__(self, name: str, shown: bool = True, start: int = 1, label: str = "") -> None:
-        self.name, self.shown, self.start, self.label, self.children = name, shown, start, label, []
+    def __init__(self, name: str, shown: bool = True, start: int = 1, label: str = "", spans: tuple[int, int] = (1, 1)) -> None:
+        self.name, self.shown, self.start, self.label, self.spans, self.children = name, shown, start, label, spans, []
         self.block = name in BLOCKS or name in {"option", "optgroup"}
 
 
@@ -86,68 +93,119 @@ def element(name: str, attributes: str) -> Node:
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or HIDING_STYLE.search(found.get("style", "")) is not None
     hidden |= name == "input" and found.get("type", "").lower() == "hidden"
     start = found.get("start", "")
-    return Node(name, not hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, found.get("label", "") if name in {"option", "optgroup"} else "")
+    spans = tuple(int(x) if re.fullmatch(r"[1-9]\d{0,4}", x := found.get(k, "").strip()) else 1 for k in ("colspan", "rowspan")) if name in CELLS else (1, 1)
+    return Node(name, not hidden, int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1, found.get("label", "") if name in {"option", "optgroup"} else "", spans)
 
 
-def build(page: str) -> Node:
-    """The tree; the stack holds the open elements."""
-    root = Node("html")
-    stack = [root]
+class Open:
+    """The open elements, and where each name is among them."""
 
-    def close(names: set[str], barriers: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in names:
-                del stack[i:]
-                return
-            if stack[i].name in barriers:
-                return
+    def __init__(self, root: Node) -> None:
+        self.nodes: list[Node] = []
+        self.places: dict[str, list[int]] = {}
+        self.push(root)
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def pop(self) -> None:
+        self.places[self.nodes.pop().name].pop()
+
+    def nearest(self, names) -> int:
+        """The place of the innermost open element with one of the names; 0 (the root's) where there is none."""
+        return max((found[-1] for name in names if (found := self.places.get(name))), default=0)
+
+    def close(self, names, barriers) -> None:
+        """Close the innermost element of ``names`` with all in it, unless one of ``barriers`` is nearer."""
+        at = self.nearest(names)
+        if at and at >= self.nearest(barriers):
+            while len(self.nodes) > at:
+                self.pop()
 
-    at, size = 0, len(page)
+
+def pieces_of(page: str):
+    """Texts as strings, and tags as matches; whoever takes a tag may send back from where to go on."""
+    at, size, tag = 0, len(page), TAG
     while at < size:
-        token = TOKEN.search(page, at)
-        text = page[at : token.start()] if token else page[at:]
-        if text:
-            if stack[-1].name == "head" and text.strip():
-                del stack[-1:]
-            stack[-1].children.append(html.unescape(text))
-        if not token:
-            break
-        at = token.end()
-        name = (token["name"] or "").lower()
-        if not name:
+        found = START.search(page, at)
+        if not found:
+            yield page[at:]
+            return
+        begin, kind = found.start(), found.group()
+        if kind == "<!--":
+            end = page.find("-->", begin + 4)
+            upto, token = size if end < 0 else end + 3, None
+        elif kind in {"<!", "<?", "</"}:
+            end = page.find(">", begin)
+            upto, token = size if end < 0 else end + 1, None
+        else:
+            token = tag.match(page, begin)
+            if not token and tag is TAG:  # ran into the end of the page
+                tag = PLAIN_TAG
+                token = tag.match(page, begin)
+            if not token:  # no sign ends a tag from here on
+                yield page[at:]
+                return
+            upto = token.end()
+        if begin > at:
+            yield page[at:begin]
+        at = upto
+        if token:
+            at = (yield token) or at
+
+
+def build(page: str) -> Node:
+    """The tree of a page."""
+    root = Node("html")
+    stack = Open(root)
+    source = pieces_of(page)
+    go_on = None
+    while True:
+        try:
+            token = source.send(go_on)
+        except StopIteration:
+            return root
+        go_on = None
+        top = stack.nodes[-1]
+        if isinstance(token, str):
+            if top.name == "head" and token.strip():
+                stack.pop()
+                top = stack.nodes[-1]
+            top.children.append(html.unescape(token))
             continue
+        name = token["name"].lower()
         if token["end"]:
-            if name == "p" and not any(x.name == "p" for x in stack):
-                stack[-1].children.append(Node("p"))
+            if name == "p" and not stack.places.get("p"):
+                top.children.append(Node("p"))
             elif name not in VOID:
-                close({name}, {"table"} if name not in {"table", "body", "html"} else set())
+                stack.close((name,), () if name in {"table", "body", "html"} else ("table",))
             continue
         if name == "html":
             continue
-        if stack[-1].name == "head" and name not in HEAD_ONLY:
+        if top.name == "head" and name not in HEAD_ONLY:
             stack.pop()
         if name in ENDS_PARAGRAPH:
-            close({"p"}, {"table", "td", "th", "li", "div", "button"})
+            stack.close(("p",), ("table", "td", "th", "li", "div", "button"))
         if name == "optgroup":
-            close({"option"}, {"select"})
+            stack.close(("option",), ("select",))
         if name in IMPLIED:
-            close(*IMPLIED[name])
+            stack.close(*IMPLIED[name])
         node = element(name, token["attributes"])
-        stack[-1].children.append(node)
-        within = next((x.name for x in reversed(stack) if x.name in FOREIGN), None) if name in MAYBE_FOREIGN else None
-        if within:
+        stack.nodes[-1].children.append(node)
+        within = stack.nodes[stack.nearest(FOREIGN)].name if name in MAYBE_FOREIGN else None
+        if within in FOREIGN:
             node.shown &= name not in FOREIGN[within]
             node.block |= within == "svg" and name == "text"  # each has a place of its own
-        if name in RAW and not (within and token["attributes"].endswith("/")):
-            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
-            if node.shown and name == "textarea":
-                node.children.append(html.unescape(page[at : end.start() if end else size]))
-            elif node.shown and name == "xmp":
-                node.children.append(page[at : end.start() if end else size])
-            at = end.end() if end else size
-        elif name not in VOID and not token["attributes"].endswith("/") or name in BLOCKS - {"hr"}:
-            stack.append(node)
-    return root
+        ended = token["attributes"].endswith("/")
+        if name in RAW and not (within in FOREIGN and ended):
+            end = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, token.end())
+            inside = page[token.end() : end.start() if end else len(page)]
+            if node.shown and name in {"textarea", "xmp"}:
+                node.children.append(html.unescape(inside) if name == "textarea" else inside)
+            go_on = end.end() if end else len(page)
+        elif name not in VOID and not ended or name in BLOCKS - {"hr"}:
+            stack.push(node)
 
 
 class Lines:
@@ -157,6 +215,11 @@ class Lines:
         self.lines: list[str] = []
         self.parts: list[str] = []
         self.first = ""  # a bullet or number that waits for its item's first line
+        self.hang = ""  # the indent of an item's other lines
+
+    def line(self, text: str) -> None:
+        self.lines.append((self.first or self.hang) + text)
+        self.first = ""
 
     def put(self, text: str) -> None:
         text = SPACE.sub(" ", text)
@@ -169,8 +232,7 @@ class Lines:
         line = "".join(self.parts).rstrip(" ")
         self.parts = []
         if line:
-            self.lines.append(self.first + line)
-            self.first = ""
+            self.line(line)
         if blank and self.lines and self.lines[-1]:
             self.lines.append("")
 
@@ -195,8 +257,8 @@ def render(node: Node, out: Lines, in_cell: bool = False) -> None:
             if state[-1][1]:
                 for i, line in enumerate(node.replace("\r\n", "\n").split("\n")):
                     if i:
-                        out.lines.append(out.first + "".join(out.parts).rstrip())
-                        out.parts, out.first = [], ""
+                        out.line("".join(out.parts).rstrip())
+                        out.parts = []
                     out.parts.append(line)
             else:
                 out.put(node)
@@ -214,8 +276,7 @@ def render(node: Node, out: Lines, in_cell: bool = False) -> None:
         elif name == "table" and not in_cell:
             out.end(True)
             for line in table_lines(node):
-                out.lines.append(out.first + line)
-                out.first = ""
+                out.line(line)
             out.end(True)
         else:
             block, spaced = node.block, name in SPACED and not (name in {"ul", "ol"} and numbers)
@@ -227,16 +288,18 @@ def render(node: Node, out: Lines, in_cell: bool = False) -> None:
                 state.append((level + 1, kept))
             elif name in {"pre", "xmp"}:
                 state.append((level, True))
-            elif name == "li":
-                indent = "  " * max(0, level - 1)
+            hang = out.hang
+            if name == "li":
+                indent = "  " * min(max(0, level - 1), MOST_INDENT)
                 number = numbers[-1] if numbers else None
                 out.first = f"{indent}- " if number is None else f"{indent}{number}. "
+                out.hang = " " * len(out.first)
                 if number is not None:
                     numbers[-1] = number + 1
             elif name == "dd":
-                out.first = "  "
+                out.first = out.hang = "  "
 
-            def leave(name=name, block=block, spaced=spaced) -> None:
+            def leave(name=name, block=block, spaced=spaced, hang=hang) -> None:
                 if block:
                     out.end(spaced)
                 if name in {"ul", "ol", "menu"}:
@@ -245,7 +308,7 @@ def render(node: Node, out: Lines, in_cell: bool = False) -> None:
                 elif name in {"pre", "xmp"}:
                     state.pop()
                 elif name in {"li", "dd"}:
-                    out.first = ""
+                    out.first, out.hang = "", hang
 
             work.append((node, leave))
             if node.label:
@@ -258,8 +321,9 @@ def render(node: Node, out: Lines, in_cell: bool = False) -> None:
 
 
 def table_lines(table: Node) -> list[str]:
-    """A line for each row, its cells padded to the columns' widths; a cell's own blocks become one line."""
-    before, rows, after = [], [], []
+    """Text beside the rows, then a line for each row; a cell's own blocks become one line."""
+    before: list[str] = []
+    rows: list[list[tuple[str, int, int]]] = []
     open_ = list(reversed(table.children))
     while open_:
         node = open_.pop()
@@ -269,18 +333,50 @@ def table_lines(table: Node) -> list[str]:
         elif not node.shown or node.name in {"col", "colgroup"}:
             continue
         elif node.name == "tr":
-            cells = [flat(c) for c in node.children if isinstance(c, Node) and c.shown]
+            cells = [(flat(c), *c.spans) for c in node.children if isinstance(c, Node) and c.shown]
             before.extend(SPACE.sub(" ", c).strip() for c in node.children if cells and isinstance(c, str) and c.strip())
-            rows.append(cells or [flat(node)])
+            rows.append(cells or [(flat(node), 1, 1)])
         elif node.name in PARTS:
             open_.extend(reversed(node.children))
         elif node.name in CELLS:
-            rows.append([flat(node)])
+            rows.append([(flat(node), *node.spans)])
         else:
             before.append(flat(node))
-    widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(max(map(len, rows), default=0))]
-    body = [" | ".join(cell.ljust(w) for cell, w in zip(r, widths, strict=False)).rstrip() for r in rows]
-    return [x for x in before + body + after if x.strip(" |")]
+    return [x for x in before if x] + aligned_rows(rows)
+
+
+def aligned_rows(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of rows of (text, columns, rows) whose cells begin where their columns do; rows without text go."""
+    grid: list[list[tuple[int, int, str]]] = []  # column, columns and text of each cell
+    busy = [0] * MOST_COLUMNS  # rows from here on in which a cell from above has the column
+    for row in rows:
+        placed, at = [], 0
+        for text, columns, below in row:
+            while at < MOST_COLUMNS and busy[at]:
+                placed.append((at, 1, ""))
+                at += 1
+            if at + columns > MOST_COLUMNS:
+                return [" | ".join(t for t, _, _ in r) for r in rows if any(t for t, _, _ in r)]
+            placed.append((at, columns, text))
+            busy[at : at + columns] = [below] * columns
+            at += columns
+        if any(text for _, _, text in placed):
+            grid.append(placed)
+        busy = [max(0, n - 1) for n in busy]
+    widths = [0] * MOST_COLUMNS
+    for row in grid:
+        for at, columns, text in row:
+            if columns == 1 and len(text) <= WIDEST:
+                widths[at] = max(widths[at], len(text))
+    lines = []
+    for row in grid:
+        parts, left = [], MOST_PADDING
+        for at, columns, text in row:
+            lacking = min(left, max(0, sum(widths[at : at + columns]) + 3 * (columns - 1) - len(text)))
+            parts.append(text + " " * lacking)
+            left -= lacking
+        lines.append(" | ".join(parts).rstrip())
+    return lines
 
 
 def flat(node: Node) -> str:

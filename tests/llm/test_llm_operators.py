@@ -91,9 +91,25 @@ def test_every_sequence_of_a_shard_of_several_adds(tmp_path):
             assert np.array_equal(got[mask], want) and mask.sum() == len(want)
     assert len(token_files.read_sequences(path, 701, 1)[0]) == 0
     assert [np.concatenate(parts).tolist() for _, _, parts in token_files.shard_documents(path)] == [x.tolist() for x in np.split(ids, [64 * 257 + 7, 64 * 257 + 8, 64 * 530])]
-    before = pa.total_allocated_bytes()
-    got, _ = token_files.read_sequences(path, 0, 200)
-    assert pa.total_allocated_bytes() - before < got.nbytes  # mapped, not read
+
+
+def test_sequences_are_views_of_the_mapped_file(tmp_path):
+    shard = token_files.Shard(str(tmp_path), 64, pa.uint16())
+    shard.add(pa.array([1]), np.arange(64 * 600 + 3) % 60_000, np.array([64 * 600 + 3]))
+    shard.close()
+    sequences = token_files.Sequences(f"{tmp_path}/{shard.name}")
+    sequences.source.seek(0)
+    mapped = sequences.source.read_buffer()
+    inside = range(mapped.address, mapped.address + mapped.size)
+    before, seen = pa.total_allocated_bytes(), 0
+    for ids, masks in sequences.views(100, 500):
+        assert ids.__array_interface__["data"][0] in inside
+        assert masks.values.buffers()[1].address in inside
+        assert masks.values.type == pa.bool_()
+        seen += len(ids)
+    assert seen == 500
+    assert len(sequences) == 601
+    assert pa.total_allocated_bytes() == before
 
 
 # ---- 2: mixing
@@ -463,6 +479,84 @@ def test_all_visible_text_is_rendered(page, text):
     assert html_text.visible_text(page) == text
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<table><tr><td colspan=2>wide<td>c<tr><td>aaa<td>b<td>d</table>", "wide    | c\naaa | b | d"),
+    ("<table><tr><td rowspan=2>a<td>b<tr><td>cc<tr><td>d<td>e</table>", "a | b\n  | cc\nd | e"),
+    ("<table><tr><td>|<td><tr><td><td></table>", "| |"),
+    ("<ul><li><p>one<p>two<ul><li>x<p>y</ul></ul>z", "- one\n\n  two\n\n  - x\n\n    y\n\nz"),
+    ("<a x='q>' <a y='>kept", "kept"),
+    ("a<b", "a<b"),
+    ("<!-- never ended", ""),
+    ("</1>x</>y<?z>", "xy"),
+])
+def test_layout(page, text):
+    assert html_text.visible_text(page) == text
+
+
+@pytest.mark.parametrize("page", [
+    "<a " * 40_000,
+    "<a " * 40_000 + "q='>'",
+    "<b>" * 20_000 + "</x>" * 20_000,
+    "<b><table>" + "<i>" * 20_000 + "</b>" * 20_000,
+    "<p><table>" + "<b>" * 20_000 + "</p>" * 20_000,
+    "<svg>" + "<g>" * 20_000 + "<text>t</text>" * 10_000,
+    "<table><tr><td>" + "w" * 30_000 + "<tr><td>x<td>y" * 10_000,
+    "<table><tr>" + "<td rowspan=60000 colspan=3>a" * 5_000 + "<tr><td>b" * 10_000,
+    "<table><tr>" + "<td rowspan=60000>a" * 60 + "<tr><td>b" * 10_000,
+    "<ul><li>x" * 20_000,
+    "<p a='" * 20_000,
+    "<!-" * 60_000,
+])
+def test_hostile_pages_take_linear_time_and_room(page):
+    import time
+
+    began = time.perf_counter()
+    text = html_text.visible_text(page)
+    assert time.perf_counter() - began < 5
+    assert len(text) < 32 * len(page)
+
+
+def test_words_equal_those_of_the_library_parser(spark, sf):
+    """The words of each page, in order, against a reading by the standard parser; marks of layout aside."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.hidden, self.words = [], []
+
+        def handle_starttag(self, tag, attrs):
+            named = dict(attrs)
+            if tag in html_text.VOID:
+                self.words.append(" ")
+            elif self.hidden or tag in html_text.NEVER_SHOWN or "hidden" in named or named.get("aria-hidden") == "true" or html_text.HIDING_STYLE.search(named.get("style") or ""):
+                self.hidden.append(tag)
+            elif tag in html_text.BLOCKS:
+                self.words.append(" ")
+
+        def handle_endtag(self, tag):
+            if tag in self.hidden:
+                while self.hidden.pop() != tag:
+                    pass
+            elif tag in html_text.BLOCKS:
+                self.words.append(" ")
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.words.append(data)
+
+    def words(text):
+        return [w for w in text.split() if not re.fullmatch(r"[-|]|\d+\.", w)]
+
+    pages = [r["html"] for r in table(spark, sf, "pages").collect()]
+    assert pages
+    for page in pages:
+        reader = Reader()
+        reader.feed(page)
+        reader.close()
+        assert words(html_text.visible_text(page)) == words("".join(reader.words))
+
+
 def test_rendering_of_deep_and_broken_pages(spark, empty):
     assert html_text.visible_text("<div>" * 20_000 + "deep") == "deep"
     assert html_text.visible_text("<table><tr><td>" * 2_000 + "x").strip(" |") == "x"
