@@ -2,8 +2,10 @@
 
 Every page becomes three records: a response (or a revisit of an equal payload), the
 request and a metadata record, which name the first as their WARC-Concurrent-To. Records
-are gzip members of their own, so a reader can start at any of them. After reading, the
-records are brought together by that identifier and each capture is one nested row.
+are gzip members of their own, so a reader can start at any of them. After reading, records
+are brought together by that identifier and each capture is one nested row. Other
+writers' archives may chain the identifiers (metadata to request to response), name several
+of them in a record, leave records out or repeat them: a capture is what is connected.
 
 An archive counts only when its name is in the manifest, which Spark commits; files of
 lost or repeated task attempts are never read.
@@ -11,8 +13,11 @@ lost or repeated task attempts are never read.
 Defined results: a null html is an empty payload; a null url gives no target URI; pages of
 one page_id and payload are captures of their own; of records with equal payloads of at
 least ``least_bytes`` bytes, the one with the smallest page_id is the response (a null
-page_id comes last, and all rows of that page_id are responses); an empty table gives an
-empty result; other columns are ignored.
+page_id comes last, and all rows of that page_id are responses); a very long payload is
+written and read whole, a record being in memory at a time; other columns, whatever their
+names, are ignored; an empty table gives an empty result. In assembly a missing record
+leaves a null in its place, and of several of a kind (repeated ones, too) that of the
+smallest record id counts, a response before a resource before a revisit.
 """
 
 from __future__ import annotations
@@ -21,21 +26,25 @@ import base64
 import gzip
 import hashlib
 import io
+import re
 import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow_text import open_folder
+from corpusloom.llm.components import components
 from corpusloom.llm.shared import materialize, scratch, text_or_empty
 
 MANIFEST_SCHEMA = "path string, captures long, bytes long"
 RECORD_SCHEMA = (
-    "capture string, record_id string, record_type string, target_uri string, payload_digest string, "
+    "record_id string, concurrent array<string>, record_type string, target_uri string, payload_digest string, "
     "payload_bytes long, payload binary, fields map<string,string>"
 )
+#: A payload is hot from so many pages, and from one in HOT_GROUPS of all pages, on.
+HOT_ROWS, HOT_GROUPS = 500, 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -53,9 +62,14 @@ def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     keyed = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("sha"))
     order = F.struct(F.col("page_id").isNull().alias("none"), "page_id", "url")
     groups = keyed.filter(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    groups = groups.filter("n > 1").select("sha", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
+    groups = groups.filter("n > 1").select("sha", "n", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     groups = materialize(groups, scratch(pages.sparkSession, "warc-groups"))
-    narrow = keyed.select("page_id", "sha").join(groups, "sha").filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    # payloads of very many pages are at most HOT_GROUPS, so they are broadcast and the others' rows are few
+    hot = F.col("n") > F.greatest(F.lit(HOT_ROWS), F.lit(pages.count() // HOT_GROUPS))
+    large = F.broadcast(groups.filter(hot))
+    rows = keyed.select("page_id", "sha")
+    narrow = rows.join(large, "sha").unionByName(rows.join(large.select("sha"), "sha", "left_anti").join(groups.filter(~hot), "sha"))
+    narrow = narrow.filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
     revisits = narrow.select(F.col("page_id").alias("of_id"), F.col("sha").alias("of_sha"), "first_id", "first_url").distinct()
     joined = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("of_id")) & (F.col("sha") == F.col("of_sha")), "left")
     return joined.select("page_id", "url", "payload", F.col("of_sha").isNotNull().alias("revisit"), "first_id", "first_url")
@@ -122,45 +136,80 @@ def write_archives(captures: DataFrame, folder: str) -> DataFrame:
     return materialize(captures.mapInArrow(write, MANIFEST_SCHEMA), f"{folder}/manifest")
 
 
-def fields_of(lines: bytes) -> dict[str, str]:
-    return dict(x.split(": ", 1) for x in lines.decode().split("\r\n") if ": " in x)
+def fields_of(lines: bytes) -> list[tuple[str, str]]:
+    """Names in lower case and values of header lines, in order; a line that begins with white space goes on with the last value."""
+    out: list[tuple[str, str]] = []
+    for line in lines.decode("utf-8", "replace").splitlines():
+        name, sign, value = line.partition(":")
+        if line[:1] in {" ", "\t"} and out:
+            out[-1] = (out[-1][0], f"{out[-1][1]} {line.strip()}")
+        elif sign:
+            out.append((name.strip().lower(), value.strip()))
+    return out
 
 
-def archive_records(stream: io.BufferedIOBase) -> Iterator[tuple[dict[str, str], bytes]]:
+def archive_records(stream: io.BufferedIOBase) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
     """Headers and block of each record; one record is held at a time."""
     while line := stream.readline():
-        if line.strip() != b"WARC/1.1":
+        if not line.strip():
+            continue
+        if not re.fullmatch(rb"WARC/\d+\.\d+", line.strip()):
             raise ValueError(f"not the start of a WARC record: {line[:40]!r}")
         head = []
         while (line := stream.readline()).strip():
             head.append(line)
         headers = fields_of(b"".join(head))
-        block = stream.read(int(headers["Content-Length"]))
-        if stream.read(4) != b"\r\n\r\n":
-            raise ValueError(f"record {headers.get('WARC-Record-ID')} doesn't end where its length says")
+        named = dict(headers)
+        length = int(named["content-length"])
+        block = stream.read(length)
+        if len(block) < length or stream.read(4).strip(b"\r\n"):
+            raise ValueError(f"record {named.get('warc-record-id')} doesn't end where its length says")
         yield headers, block
 
 
-def read_records(manifest: DataFrame, payloads: bool = True) -> DataFrame:
-    """All records but warcinfo; digests and lengths of responses are taken anew from their payloads."""
+def plain_or_gzip(path: str) -> io.BufferedIOBase:
+    system, root = open_folder(path)
+    with system.open_input_stream(root, compression=None) as start:
+        packed = start.read(2) == b"\x1f\x8b"
+    stream = system.open_input_stream(root, compression=None)
+    return gzip.open(stream) if packed else io.BufferedReader(stream)
+
+
+def record_row(headers: list[tuple[str, str]], block: bytes, payloads: bool) -> tuple:
+    """A record as a row; digests and lengths are taken from the payload where the record has one."""
+    named = dict(headers)
+    kind = named["warc-type"].lower()
+    http, _, body = block.partition(b"\r\n\r\n")
+    if kind == "resource":
+        body = block
+    real = kind in {"response", "resource"}
+    claimed = dict(fields_of(http)).get("content-length", "") if kind == "revisit" else ""
+    length = len(body) if real else int(claimed) if claimed.isdigit() else None
+    digest = sha1_base32(body) if real else named.get("warc-payload-digest", "").removeprefix("sha1:") or None
+    fields: dict[str, str] = {}
+    for name, value in fields_of(block) if kind == "metadata" else []:
+        fields[name] = f"{fields[name]}\n{value}" if name in fields else value
+    concurrent = [value for name, value in headers if name == "warc-concurrent-to"]
+    return named["warc-record-id"], concurrent, kind, named.get("warc-target-uri"), digest, length, body if real and payloads else None, list(fields.items())
+
+
+def read_records(archives: DataFrame, payloads: bool = True) -> DataFrame:
+    """All records but warcinfo of the archives, plain or gzip, that column ``path`` names."""
+    kinds = [pa.string(), pa.list_(pa.string()), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string())]
+    names = ["record_id", "concurrent", "record_type", "target_uri", "payload_digest", "payload_bytes", "payload", "fields"]
+
+    def as_batch(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def read(batches):
         for batch in batches:
             for path in batch.column(0).to_pylist():
-                system, root = open_folder(path)
                 rows, held = [], 0
-                with gzip.open(system.open_input_stream(root, compression=None)) as stream:
+                with plain_or_gzip(path) as stream:
                     for headers, block in archive_records(stream):
-                        kind = headers["WARC-Type"]
-                        if kind == "warcinfo":
+                        if ("warc-type", "warcinfo") in headers:
                             continue
-                        http, _, body = block.partition(b"\r\n\r\n")
-                        real = kind == "response"
-                        length = len(body) if real else int(fields_of(http)["Content-Length"]) if kind == "revisit" else None
-                        digest = sha1_base32(body) if real else headers.get("WARC-Payload-Digest", "").removeprefix("sha1:") or None
-                        number = headers["WARC-Record-ID"]
-                        fields = list((fields_of(block) if kind == "metadata" else {}).items())
-                        rows.append((headers.get("WARC-Concurrent-To", number), number, kind, headers.get("WARC-Target-URI"), digest, length, body if real and payloads else None, fields))
+                        rows.append(record_row(headers, block, payloads))
                         held += len(block)
                         if held > 16_000_000 or len(rows) == 10_000:
                             yield as_batch(rows)
@@ -168,23 +217,41 @@ def read_records(manifest: DataFrame, payloads: bool = True) -> DataFrame:
                 if rows:
                     yield as_batch(rows)
 
-    kinds = [pa.string()] * 5 + [pa.int64(), pa.binary(), pa.map_(pa.string(), pa.string())]
-    names = [x.strip().split(" ")[0] for x in "capture x,record_id x,record_type x,target_uri x,payload_digest x,payload_bytes x,payload x,fields x".split(",")]
+    return archives.select("path").repartition(max(1, archives.count()), "path").mapInArrow(read, RECORD_SCHEMA)
 
-    def as_batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
-    return manifest.select("path").repartition(max(1, manifest.count()), "path").mapInArrow(read, RECORD_SCHEMA)
+def with_captures(records: DataFrame) -> DataFrame:
+    """The records, written to the shared folder, with the identifier of what each is connected to as ``capture``.
+
+    Where no record that names others is named itself, and none names several, the named
+    record is the capture; else the captures are the connected components of the
+    identifiers.
+    """
+    records = materialize(records, scratch(records.sparkSession, "warc-records"))
+    edges = records.select(F.col("record_id").alias("a"), F.explode("concurrent").alias("b")).filter("a <> b")
+    roles = edges.select(F.col("a").alias("id"), F.lit(1).alias("names"), F.lit(0).alias("named")).unionByName(edges.select(F.col("b").alias("id"), F.lit(0).alias("names"), F.lit(1).alias("named")))
+    several = records.filter(F.size(F.array_distinct("concurrent")) > 1)
+    repeated = edges.distinct().groupBy("a").count().filter("count > 1")  # by records that share an id
+    mixed = roles.groupBy("id").agg(F.max("names").alias("names"), F.max("named").alias("named")).filter("names = 1 and named = 1")
+    if several.isEmpty() and mixed.isEmpty() and repeated.isEmpty():
+        return records.withColumn("capture", F.coalesce(F.get("concurrent", F.lit(0)), "record_id"))
+    found = components(edges).select(F.col("node").alias("record_id"), F.col("component").alias("capture"))
+    return records.join(found, "record_id", "left").withColumn("capture", F.coalesce("capture", "record_id"))
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One nested row per capture: response (or revisit), request and metadata, joined by WARC-Concurrent-To."""
-    main = F.col("record_type").isin("response", "revisit")
-    whole = F.struct("record_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "payload")
-    return records.groupBy("capture").agg(
-        F.first(F.when(main, whole), ignorenulls=True).alias("response"),
-        F.first(F.when(F.col("record_type") == "request", F.struct("record_id", "target_uri")), ignorenulls=True).alias("request"),
-        F.first(F.when(F.col("record_type") == "metadata", F.struct("record_id", "fields")), ignorenulls=True).alias("metadata"),
+    """One nested row per capture: response (or resource or revisit), request and metadata, joined by WARC-Concurrent-To."""
+    kind = F.col("record_type")
+    order = F.struct(F.array_position(F.array(*map(F.lit, ("response", "resource", "revisit"))), kind).alias("at"), F.col("record_id"))
+
+    def first(of: Column, *kinds: str) -> Column:
+        return F.min_by(of, F.when(kind.isin(*kinds), order))
+
+    return with_captures(records).groupBy("capture").agg(
+        first(F.struct("record_id", "record_type", "target_uri", "payload_digest", "payload_bytes", "payload"), "response", "resource", "revisit").alias("response"),
+        first(F.struct("record_id", "target_uri"), "request").alias("request"),
+        first(F.struct("record_id", "fields"), "metadata").alias("metadata"),
+        F.count("*").alias("n_records"),
     )
 
 

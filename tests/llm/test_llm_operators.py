@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import random
 import re
@@ -637,3 +638,58 @@ def test_captures_come_back(spark):
     assert warc.through_archives(df.filter("false")).count() == 0
     small = warc.through_archives(df, least_bytes=10).filter("response.record_type = 'revisit'").count()
     assert small == 0
+
+
+def foreign(*records, packed=False, version="1.0"):
+    """An archive by hand: (type, id, several concurrent-to, block)."""
+    out = b""
+    for kind, number, concurrent, block in records:
+        head = [f"WARC/{version}", f"warc-type: {kind}", f"WARC-Record-ID:<{number}>", "WARC-Target-URI: http://x", *(f"WARC-Concurrent-To: <{c}>" for c in concurrent), f"Content-Length: {len(block)}"]
+        one = "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+        out += gzip.compress(one) if packed else one
+    return out
+
+
+HTTP = b"HTTP/1.1 200 OK\r\nX: y\r\n\r\n"
+
+
+@pytest.mark.parametrize("packed", [True, False])
+def test_foreign_archives(spark, tmp_path, packed):
+    files = {
+        "chain": foreign(("warcinfo", "w", [], b"x"), ("response", "r1", [], HTTP + b"one"), ("request", "q1", ["r1"], b"GET /"), ("metadata", "m1", ["q1"], b"page: 1\r\npage: 2\r\nlong: a\r\n b"), packed=packed),
+        "several": foreign(("metadata", "m2", ["q2", "r2"], b"k:v"), ("request", "q2", ["r2", "m2"], b"GET /"), ("response", "r2", ["q2"], HTTP + b"\r\n\r\ntwo"), packed=packed, version="1.1"),
+        "missing": foreign(("request", "q3", ["r3"], b"GET /"), ("metadata", "m3", ["r3"], b""), ("revisit", "r4", [], b"HTTP/1.1 200 OK\r\n"), ("resource", "r5", [], b"plain"), packed=packed),
+        "repeated": foreign(("response", "r1", [], HTTP + b"one"), ("request", "q1", ["r1"], b"GET /"), ("conversion", "c5", ["r5"], b"text"), packed=packed),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    paths = spark.createDataFrame([(f"file://{tmp_path}/{name}",) for name in files], "path string")
+    rows = warc.assemble(warc.read_records(paths)).collect()
+    short = lambda part, of: part and part[of]
+    got = sorted((str(short(r["response"], "record_id")), str(short(r["request"], "record_id")), str(short(r["metadata"], "record_id")), r["n_records"]) for r in rows)
+    assert got == [("<r1>", "<q1>", "<m1>", 5), ("<r2>", "<q2>", "<m2>", 3), ("<r4>", "None", "None", 1), ("<r5>", "None", "None", 2), ("None", "<q3>", "<m3>", 2)]
+    by = {short(r["response"], "record_id"): r for r in rows}
+    assert by["<r1>"]["metadata"]["fields"] == {"page": "1\n2", "long": "a b"}
+    assert bytes(by["<r1>"]["response"]["payload"]) == b"one"
+    assert bytes(by["<r2>"]["response"]["payload"]) == b"\r\n\r\ntwo"
+    assert by["<r4>"]["response"]["payload_bytes"] is None
+    assert (bytes(by["<r5>"]["response"]["payload"]), by["<r5>"]["response"]["record_type"]) == (b"plain", "resource")
+
+
+def test_an_archive_that_is_cut_off(spark, tmp_path):
+    (tmp_path / "cut").write_bytes(foreign(("response", "r1", [], HTTP + b"one"))[:-9])
+    paths = spark.createDataFrame([(f"file://{tmp_path}/cut",)], "path string")
+    with pytest.raises(Exception, match="doesn't end where its length says"):
+        warc.read_records(paths).collect()
+
+
+def test_a_payload_of_very_many_pages(spark, monkeypatch):
+    monkeypatch.setattr(warc, "HOT_ROWS", 20)
+    pages = spark.range(200).selectExpr("id as page_id", "'http://x' as url", "if(id % 3 = 0, null, if(id % 3 = 1, 'same', concat('p', id div 6))) as html")
+    rows = warc.through_archives(pages).select("metadata.fields", "response.record_type").collect()
+    first = {}
+    for i in range(200):
+        first.setdefault("" if i % 3 == 0 else "same" if i % 3 == 1 else f"p{i // 6}", i)
+    responses = {int(r["fields"]["page-id"]) for r in rows if r["record_type"] == "response"}
+    assert responses == set(first.values())
+    assert len(rows) == 200
