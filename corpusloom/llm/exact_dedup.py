@@ -9,10 +9,13 @@ A group that holds a large part of all rows is salted: it becomes several adjace
 in different ranges, whose one-row results are stitched together. Which groups are that
 large is counted first on digests, and there are at most ``HOT_GROUPS`` of them.
 
+Texts are normalised and hashed once, into a table in the shared folder.
+
 Defined results: a null text counts as empty; all empty texts are one group; among equal
 texts the row with the most code points in the original stays, then the smallest doc_id
-(a null doc_id comes last); repeated rows of one doc_id share their decision; an empty
-table gives an empty result; other columns are ignored.
+(a null doc_id comes last); repeated rows of one doc_id share their decision (``keep_one``
+keeps one of them); a very long text is compared whole; an empty table gives an empty
+result; other columns, whatever their names, are ignored, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.shared import SPACE, materialize, scratch, text_or_empty
+from corpusloom.llm import shared
+from corpusloom.llm.shared import SPACE, free_name, join_counted, materialize, scratch, text_or_empty
 
-#: A group is salted from so many rows, and from one in HOT_GROUPS of all rows, on.
-HOT_ROWS, HOT_GROUPS, SALTS = 500, 1000, 64
+SALTS = 64
 
 
 def normalised(name: str = "text"):
@@ -33,17 +36,17 @@ def normalised(name: str = "text"):
 def exact_groups(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_chars, text_sha256, keep_id, group_size, kept."""
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.char_length(text_or_empty()).cast("long").alias("n_chars"), F.sha2(normalised(), 256).alias("text_sha256"))
-    base = materialize(base, scratch(spark, "exact-digests"))
-    least = F.greatest(F.lit(HOT_ROWS), F.lit(base.count() // HOT_GROUPS))
-    hot = base.groupBy("text_sha256").agg(F.count("*").alias("n")).filter(F.col("n") > least).select("text_sha256")
-    hot = materialize(hot, scratch(spark, "exact-hot"))
-    texts = docs.select("doc_id", F.char_length(text_or_empty()).cast("long").alias("n_chars"), normalised().alias("norm")).withColumn("text_sha256", F.sha2("norm", 256))
-    texts = texts.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "text_sha256", "left")
+    texts = docs.select("doc_id", F.char_length(text_or_empty()).cast("long").alias("n_chars"), normalised().alias("norm"))
     # the splitters see the first characters and a hash; the comparison sees whole texts
-    texts = texts.select(
-        F.substring("norm", 1, 16).alias("prefix"),
-        F.xxhash64("norm").alias("hashed"),
+    texts = texts.select("doc_id", "n_chars", F.sha2("norm", 256).alias("text_sha256"), F.substring("norm", 1, 16).alias("prefix"), F.xxhash64("norm").alias("hashed"), "norm")
+    texts = materialize(texts, scratch(spark, "exact-texts"))
+    base = texts.select("doc_id", "n_chars", "text_sha256")
+    rows = texts.count()
+    hot = base.groupBy("text_sha256").agg(F.count("*").alias("n")).filter(F.col("n") > max(shared.HOT_ROWS, rows // shared.HOT_GROUPS))
+    hot = materialize(hot.select("text_sha256"), scratch(spark, "exact-hot"))
+    salted = texts.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "text_sha256", "left").select(
+        "prefix",
+        "hashed",
         F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "n_chars"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int").alias("salt"),
         "norm",
         "text_sha256",
@@ -51,7 +54,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
     keys = ["prefix", "hashed", "salt"]
     runs = (
-        texts.repartitionByRange(*keys)
+        salted.repartitionByRange(*keys)
         .sortWithinPartitions(*keys, "norm")
         .groupBy(*keys, "norm", "text_sha256")
         .agg(F.min("order").alias("order"), F.count("*").alias("n"))
@@ -59,15 +62,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     groups = runs.groupBy("text_sha256").agg(F.min("order").alias("order"), F.sum("n").alias("group_size"))
     groups = groups.filter(F.col("group_size") > 1).select("text_sha256", F.col("order.doc_id").alias("keep_id"), "group_size")
     groups = materialize(groups, scratch(spark, "exact-groups"))
-    return attach(base, groups, hot)
-
-
-def attach(base: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFrame:
-    """Give each row its group: hot groups (bounded in number) by broadcast, the others by a join."""
-    few = F.broadcast(hot)
-    large = base.join(few, "text_sha256", "left_semi").join(F.broadcast(groups.join(few, "text_sha256", "left_semi")), "text_sha256", "left")
-    rest = base.join(few, "text_sha256", "left_anti").join(groups.join(few, "text_sha256", "left_anti"), "text_sha256", "left")
-    return large.unionByName(rest).select(
+    return join_counted(base, groups, "text_sha256", "group_size", rows, "left").select(
         "doc_id",
         F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
@@ -79,10 +74,10 @@ def attach(base: DataFrame, groups: DataFrame, hot: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns; of repeated rows of one doc_id, one stays."""
-    kept = exact_groups(docs).filter("kept").groupBy("doc_id", "text_sha256", "n_chars").agg(F.count("*").alias("__same"))
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept_sha"), F.col("n_chars").alias("__kept_n"), "__same")
-    keyed = docs.withColumns({"__sha": F.sha2(normalised(), 256), "__n": F.char_length(text_or_empty()).cast("long")})
-    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept_sha")) & (F.col("__n") == F.col("__kept_n"))
-    found = keyed.join(kept, same)
-    again = found.filter("__same > 1").dropDuplicates(["__id", "__sha", "__n"])
-    return found.filter("__same = 1").unionByName(again).select(*docs.columns)
+    number, sha, size, same, own_sha, own_size = (free_name(docs, x) for x in ("id", "sha", "size", "same", "own_sha", "own_size"))
+    kept = exact_groups(docs).filter("kept").groupBy("doc_id", "text_sha256", "n_chars").agg(F.count("*").alias(same))
+    kept = kept.select(F.col("doc_id").alias(number), F.col("text_sha256").alias(sha), F.col("n_chars").alias(size), same)
+    keyed = docs.withColumns({own_sha: F.sha2(normalised(), 256), own_size: F.char_length(text_or_empty()).cast("long")})
+    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col(number)) & (F.col(own_sha) == F.col(sha)) & (F.col(own_size) == F.col(size)))
+    again = found.filter(F.col(same) > 1).dropDuplicates([number, own_sha, own_size])
+    return found.filter(F.col(same) == 1).unionByName(again).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -49,6 +49,22 @@ def remove(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+#: A key is hot from so many rows, and from one in HOT_GROUPS of all rows, on.
+HOT_ROWS, HOT_GROUPS = 500, 1000
+
+
+def join_counted(left: DataFrame, right: DataFrame, on: str, n: str, rows: int, how: str = "inner") -> DataFrame:
+    """Join ``right``, which has a key once and in column ``n`` how many of the ``rows`` rows of ``left`` have it.
+
+    Keys of very many rows, of which there are at most HOT_GROUPS, are broadcast, so that
+    no task gets all rows of one; the others are joined by a shuffle (or as ``how`` says).
+    """
+    least = max(HOT_ROWS, rows // HOT_GROUPS)
+    large = right.filter(F.col(n) > least)
+    rest = left.join(F.broadcast(large.select(on)), on, "left_anti").join(right.filter(F.col(n) <= least), on, how)
+    return left.join(F.broadcast(large), on).unionByName(rest)
+
+
 def join_small(left: DataFrame, right: DataFrame, rows: int, on, how: str = "inner") -> DataFrame:
     """Broadcast ``right`` only while its counted rows stay under the bound."""
     return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
