@@ -3,16 +3,21 @@
 Bands and rows are chosen for a target recall at the threshold. Documents of one n-gram
 set are one node from the start, so copies never meet each other. Nodes are shuffled on
 their band hashes; what shares a bucket is connected, and the connected families are
-verified on the full n-gram sets inside tasks. A family larger than a block is cut in
-blocks, and each pair of blocks is a task of its own. Tasks return a row per node (how
+verified on the full n-gram sets inside tasks. A text's set is made once, as 64-bit
+hashes. A family larger than a block is cut by the sizes of its sets, in classes so wide
+that a link only joins a class and its neighbours, and classes in blocks; each pair of
+blocks that can have links is a task of its own. Tasks return a row per node (how
 many documents it links to, and a parent in the spanning forest of its links), never the
-pairs, so nothing grows with the square of a family but the comparisons themselves.
+pairs, so nothing grows with the square of a family but the comparisons themselves, which
+count every link, and, with its number of blocks, the times that a set is sent.
 
 Defined results: words are runs of characters other than ASCII white space, as they are;
 a text of one to four words has one n-gram, all of it; a text without words (or null)
-links to nothing; rows that repeat a doc_id count as documents; a row without a doc_id
-takes part, and a class of such rows alone has a null class_id; an empty table gives an
-empty result; other columns are ignored.
+links to nothing; a very long text is taken whole, with memory for its set in a task;
+rows that repeat a doc_id count as documents, and ``keep_one`` keeps all of those of the
+smallest; a row without a doc_id takes part, and a class of such rows alone has a null
+class_id; an empty table gives an empty result; other columns, whatever their names, are
+ignored, and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -21,15 +26,17 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.llm.components import components
-from corpusloom.llm.shared import SPACE, materialize, remove, scratch, text_or_empty
+from corpusloom.llm.shared import SPACE, free_name, join_counted, materialize, scratch, text_or_empty
 
 #: Nodes of a block in a large family; a smaller family is cut in up to EVEN blocks of SMALL_BLOCK or more, to spread it.
 BLOCK, SMALL_BLOCK, EVEN = 512, 64, 16
-HOT_ROWS, HOT_NODES = 500, 1000
+#: A block's number is its class of sizes times this, and its number in the class.
+CLASS = 1 << 24
 SEED = 90_001
 ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -105,7 +112,7 @@ def word_hashes(docs: DataFrame, *columns) -> DataFrame:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (null without words) and the band hashes of each document."""
+    """doc_id, node (null without words), the size of its set and the band hashes of each document."""
 
     def run(batches):
         for batch in batches:
@@ -116,9 +123,29 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             counts = np.zeros(len(sets), np.int64)
             counts[real] = bands
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(hashes.reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), lists], names=["doc_id", "node", "bands"])
+            size = pa.array([len(s) for s in sets], pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), size, lists], names=["doc_id", "node", "size", "bands"])
 
-    return word_hashes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, node binary, bands array<long>")
+    return word_hashes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, node binary, size int, bands array<long>")
+
+
+def with_sets(texts: DataFrame, n: int) -> DataFrame:
+    """The rows of ``texts`` with their n-gram sets in place of their texts; a row whose set isn't its node's goes."""
+
+    def run(batches):
+        for batch in batches:
+            place = batch.schema.names.index("node")
+            sets = ngram_sets(*list_column(batch.column(batch.num_columns - 1)), n)
+            own = [i for i, node in enumerate(batch.column(place).to_pylist()) if node_key(sets[i]) == node]
+            sets = [sets[i] for i in own]
+            offsets = pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32())
+            flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+            kept = batch.take(pa.array(own, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[:-1], pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[*batch.schema.names[:-1], "grams"])
+
+    others = [c for c in texts.columns if c != "text"]
+    fields = [texts.schema[c] for c in others]
+    return word_hashes(texts, *others).mapInArrow(run, T.StructType([*fields, T.StructField("grams", T.ArrayType(T.LongType()))]))
 
 
 def linked(sets: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -155,14 +182,13 @@ def forest(links: np.ndarray) -> np.ndarray:
         root = new
 
 
-def verify(families: DataFrame, n: int, threshold: float) -> DataFrame:
+def verify(families: DataFrame, threshold: float) -> DataFrame:
     """node, parent, links for each node and block pair; ``families`` are dealt and sorted by family, one, two."""
 
     def family(rows: list[tuple]):
         seen: dict[bytes, tuple] = {}
-        for key, node, block, copies, grams in rows:
-            if node_key(grams) == node:  # another row of the same doc_id has another text
-                seen.setdefault(node, (block, copies, grams))
+        for _, node, block, copies, grams in rows:
+            seen.setdefault(node, (block, copies, grams))  # a repeated row has the same set
         nodes = list(seen)
         if len(nodes) < 2:
             return
@@ -182,7 +208,8 @@ def verify(families: DataFrame, n: int, threshold: float) -> DataFrame:
     def run(batches):
         key, rows = None, []
         for batch in batches:
-            sets = ngram_sets(*list_column(batch.column(6)), n)
+            flat, offsets = list_column(batch.column(6))
+            sets = np.split(flat.view(np.uint64), offsets[1:-1])
             for *own, node, block, copies, grams in zip(*(batch.column(i).to_pylist() for i in range(6)), sets, strict=True):
                 if tuple(own) != key:
                     if rows:
@@ -195,48 +222,69 @@ def verify(families: DataFrame, n: int, threshold: float) -> DataFrame:
     return families.mapInArrow(run, "node binary, parent binary, links long")
 
 
+def blocks_of(family: DataFrame, threshold: float) -> DataFrame:
+    """``family`` (family, n, size, node and others) with the block of each node and the blocks it has to meet.
+
+    Sizes of linked sets differ by a factor of at most 1 / threshold, so classes a little
+    wider than that link only to themselves and their neighbours.
+    """
+    width = -math.log(threshold) * (1 + 1e-6) if threshold < 1 else 1e-6
+    kind = F.when(F.col("n") > SMALL_BLOCK, F.floor(F.log(F.col("size").cast("double")) / width)).otherwise(F.lit(0)).cast("int")
+    rows = family.withColumn("kind", kind)
+    many = F.count("*")
+    kinds = rows.groupBy("family", "kind").agg(F.greatest(F.ceil(many / BLOCK), F.least(F.ceil(many / SMALL_BLOCK), F.lit(EVEN))).cast("int").alias("blocks"), many.alias("rows"))
+    in_order = Window.partitionBy("family").orderBy("kind")
+
+    def beside(step: int):
+        near = F.lag("kind", step).over(in_order) == F.col("kind") - step
+        return F.when(near, F.lag("blocks", step).over(in_order)).otherwise(F.lit(0))
+
+    kinds = kinds.withColumns({"before": beside(1), "after": beside(-1)}).withColumn("place", F.concat_ws(":", "family", "kind")).drop("family", "kind")
+    rows = join_counted(rows.withColumn("place", F.concat_ws(":", "family", "kind")), kinds, "place", "rows", rows.count())
+
+    def numbers(step: int, count: str):
+        first = (F.col("kind") + step).cast("long") * CLASS
+        return F.when(F.col(count) > 0, F.transform(F.sequence(F.lit(0), F.col(count) - 1), lambda i: first + i)).otherwise(F.array().cast("array<bigint>"))
+
+    return rows.withColumns({
+        "block": F.col("kind").cast("long") * CLASS + F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")),
+        "others": F.concat(numbers(-1, "before"), numbers(0, "blocks"), numbers(1, "after")),
+    })
+
+
 def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """Per document: doc_id, class_id (smallest doc_id of its class), n_links, class_size."""
     spark = docs.sparkSession
     bands, rows = choose_bands(threshold, recall)
     base = materialize(signatures(docs, n, bands, rows), scratch(spark, "near-signatures"))
     key = F.xxhash64("node").alias("key")  # short, for the candidate stages; verification goes by node
-    nodes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    nodes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("key", key), scratch(spark, "near-nodes"))
+    n_nodes = nodes.count()
     buckets = nodes.select("key", F.explode("bands").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1").select("bucket", "least")
-    candidates = components(buckets.join(shared, "bucket").select(F.col("key").alias("a"), F.col("least").alias("b")))
-    sizes = candidates.groupBy("component").agg(F.count("*").alias("n"))
-    placed = (
-        nodes.select("key", "node", "doc_id", "copies")
-        .join(candidates.join(sizes, "component").select(F.col("node").alias("key"), "component", "n"), "key")
-        .select("doc_id", "node", "copies", F.col("component").alias("family"), F.greatest(F.ceil(F.col("n") / BLOCK), F.least(F.ceil(F.col("n") / SMALL_BLOCK), F.lit(EVEN))).cast("int").alias("blocks"))
-    )
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    texts = texts.join(placed, texts["doc_id"].eqNullSafe(placed["doc_id"])).drop("doc_id")
-    dealt = texts.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shared = buckets.groupBy("bucket").agg(F.min("key").alias("least"), F.count("*").alias("n")).filter("n > 1")
+    shared = materialize(shared, scratch(spark, "near-buckets"))
+    candidates = components(join_counted(buckets, shared, "bucket", "n", bands * n_nodes).select(F.col("key").alias("a"), F.col("least").alias("b")))
+    sizes = materialize(candidates.groupBy("component").agg(F.count("*").alias("n")), scratch(spark, "near-families"))
+    family = join_counted(candidates, sizes, "component", "n", candidates.count()).select(F.col("node").alias("key"), F.col("component").alias("family"), "n")
+    family = materialize(nodes.select("key", "node", "doc_id", "copies", "size").join(family, "key"), scratch(spark, "near-members"))
+    placed = blocks_of(family, threshold).select("doc_id", "node", "copies", "family", "block", "others")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
+    texts = texts.join(placed, texts["id"].eqNullSafe(placed["doc_id"])).drop("id", "doc_id")
+    dealt = with_sets(texts, n).withColumn("other", F.explode("others"))
     keys = [F.col("family"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")]
-    dealt = dealt.select(*keys, "node", "block", "copies", "text").repartition("family", "one", "two").sortWithinPartitions("family", "one", "two")
-    verified = materialize(verify(word_hashes(dealt, "family", "one", "two", "node", "block", "copies"), n, threshold), scratch(spark, "near-links"))
+    dealt = dealt.select(*keys, "node", "block", "copies", "grams").repartition("family", "one", "two").sortWithinPartitions("family", "one", "two")
+    verified = materialize(verify(dealt, threshold), scratch(spark, "near-links"))
     classes = components(verified.select(F.col("node").alias("a"), F.col("parent").alias("b")))
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     known = nodes.select("node", "doc_id", "copies").join(links, "node", "left").join(classes, "node", "left")
     known = known.withColumn("component", F.coalesce("component", "node")).filter("copies > 1 or links is not null")
     known = materialize(known, scratch(spark, "near-known"))
-    named = known.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    found = known.join(named, "component").select("node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
+    named = known.groupBy("component").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"), F.count("*").alias("n"))
+    named = materialize(named, scratch(spark, "near-named"))
+    found = join_counted(known, named, "component", "n", known.count()).select("node", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "copies")
     found = materialize(found, scratch(spark, "near-classes"))
-    least = max(HOT_ROWS, base.count() // HOT_NODES)
-    return attach(base.select("doc_id", "node"), found, least)
-
-
-def attach(base: DataFrame, found: DataFrame, least: int) -> DataFrame:
-    """Give each row its class: nodes of very many copies (bounded in number) by broadcast, the others by a join."""
-    hot = F.broadcast(found.filter(F.col("copies") > least))
-    large = base.join(hot, "node")
-    rest = base.join(hot.select("node"), "node", "left_anti").join(found.filter(F.col("copies") <= least), "node", "left")
-    return large.unionByName(rest).select(
+    return join_counted(base.select("doc_id", "node"), found, "node", "copies", base.count(), "left").select(
         "doc_id",
         F.when(F.col("copies").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
@@ -246,5 +294,6 @@ def attach(base: DataFrame, found: DataFrame, least: int) -> DataFrame:
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
     """One document of each class stays (the smallest doc_id; of repeated rows of it, all)."""
-    kept = near_classes(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+    number = free_name(docs, "id")
+    kept = near_classes(docs, **how).filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias(number)).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(number)), "left_semi")

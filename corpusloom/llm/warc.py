@@ -36,15 +36,13 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.arrow_text import open_folder
 from corpusloom.llm.components import components
-from corpusloom.llm.shared import materialize, scratch, text_or_empty
+from corpusloom.llm.shared import join_counted, materialize, scratch, text_or_empty
 
 MANIFEST_SCHEMA = "path string, captures long, bytes long"
 RECORD_SCHEMA = (
     "record_id string, concurrent array<string>, record_type string, target_uri string, payload_digest string, "
     "payload_bytes long, payload binary, fields map<string,string>"
 )
-#: A payload is hot from so many pages, and from one in HOT_GROUPS of all pages, on.
-HOT_ROWS, HOT_GROUPS = 500, 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 
@@ -64,12 +62,7 @@ def with_references(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     groups = keyed.filter(F.octet_length("payload") >= least_bytes).groupBy("sha").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     groups = groups.filter("n > 1").select("sha", "n", F.col("first.page_id").alias("first_id"), F.col("first.url").alias("first_url"))
     groups = materialize(groups, scratch(pages.sparkSession, "warc-groups"))
-    # payloads of very many pages are at most HOT_GROUPS, so they are broadcast and the others' rows are few
-    hot = F.col("n") > F.greatest(F.lit(HOT_ROWS), F.lit(pages.count() // HOT_GROUPS))
-    large = F.broadcast(groups.filter(hot))
-    rows = keyed.select("page_id", "sha")
-    narrow = rows.join(large, "sha").unionByName(rows.join(large.select("sha"), "sha", "left_anti").join(groups.filter(~hot), "sha"))
-    narrow = narrow.filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
+    narrow = join_counted(keyed.select("page_id", "sha"), groups, "sha", "n", pages.count()).filter(~F.col("page_id").eqNullSafe(F.col("first_id")))
     revisits = narrow.select(F.col("page_id").alias("of_id"), F.col("sha").alias("of_sha"), "first_id", "first_url").distinct()
     joined = keyed.join(revisits, F.col("page_id").eqNullSafe(F.col("of_id")) & (F.col("sha") == F.col("of_sha")), "left")
     return joined.select("page_id", "url", "payload", F.col("of_sha").isNotNull().alias("revisit"), "first_id", "first_url")

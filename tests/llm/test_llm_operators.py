@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from corpusloom.llm import components, divergence, exact_dedup, html_text, linear, mixing, near_join, pieces, quality, queries, token_files, toxicity, warc
+from corpusloom.llm import components, divergence, exact_dedup, html_text, linear, mixing, near_join, pieces, quality, queries, shared, token_files, toxicity, warc
 from corpusloom.llm.shared import scratch, table
 from corpusloom.llm.text_features import lexical_features, training_sample, word_feature
 
@@ -217,7 +217,7 @@ def exact_brute(rows):
 
 
 def test_exact_groups(spark, odd, empty, monkeypatch):
-    monkeypatch.setattr(exact_dedup, "HOT_ROWS", 20)
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
     many = [(100 + i, random.choice(["hot text", "hottext", "hot  te xt"])) for i in range(300)] + [(900 + i, f"text {i // 2}") for i in range(60)]
     docs = odd.select("doc_id", "text", "extra").unionByName(spark.createDataFrame([(i, t, "e") for i, t in many], "doc_id long, text string, extra string"))
     data = [(r["doc_id"], r["text"]) for r in docs.collect()]
@@ -283,13 +283,29 @@ def variants(seed=4, families=12, size=14):
 def test_near_classes(spark, odd, empty, monkeypatch):
     monkeypatch.setattr(near_join, "BLOCK", 8)
     monkeypatch.setattr(near_join, "SMALL_BLOCK", 3)
-    monkeypatch.setattr(near_join, "HOT_ROWS", 3)
+    monkeypatch.setattr(shared, "HOT_ROWS", 3)
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame(variants(), "doc_id long, text string"))
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert Counter(tuple(r) for r in near_join.near_classes(docs).collect()) == near_brute(rows)
     assert near_join.near_classes(empty).count() == 0
 
 
+def test_blocks_meet_wherever_sets_may_link(spark, monkeypatch):
+    """Every pair of sizes that can reach the threshold shares a pair of blocks."""
+    monkeypatch.setattr(near_join, "BLOCK", 8)
+    monkeypatch.setattr(near_join, "SMALL_BLOCK", 3)
+    members = spark.range(150).selectExpr("1L as family", "150L as n", "cast(5 + id * id / 40 as int) as size", "cast(id as string) as node")
+    rows = near_join.blocks_of(members, 0.8).collect()
+    assert len(rows) == 150
+    for a in rows:
+        assert a["block"] in a["others"]
+        for b in rows:
+            meet = b["block"] in a["others"]
+            assert meet == (a["block"] in b["others"])
+            assert meet or min(a["size"], b["size"]) < 0.8 * max(a["size"], b["size"])
+    assert any(b["block"] not in a["others"] for a in rows for b in rows)
+
+
 def test_bands_reach_the_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, rows = near_join.choose_bands(threshold, 0.9999)
@@ -297,9 +313,11 @@ def test_bands_reach_the_recall():
         assert bands * rows <= 200
 
 
-def test_components(spark):
+@pytest.mark.parametrize("hot", [500, 4])
+def test_components(spark, monkeypatch, hot):
+    monkeypatch.setattr(shared, "HOT_ROWS", hot)
     random.seed(9)
-    edges = [(random.randrange(200), random.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)]
+    edges = [(random.randrange(200), random.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(400, i) for i in range(401, 460)]
     parent = {x: x for e in edges for x in e}
 
     def root(x):
@@ -684,7 +702,7 @@ def test_an_archive_that_is_cut_off(spark, tmp_path):
 
 
 def test_a_payload_of_very_many_pages(spark, monkeypatch):
-    monkeypatch.setattr(warc, "HOT_ROWS", 20)
+    monkeypatch.setattr(shared, "HOT_ROWS", 20)
     pages = spark.range(200).selectExpr("id as page_id", "'http://x' as url", "if(id % 3 = 0, null, if(id % 3 = 1, 'same', concat('p', id div 6))) as html")
     rows = warc.through_archives(pages).select("metadata.fields", "response.record_type").collect()
     first = {}
