@@ -1,17 +1,21 @@
 """Quality rules by distribution divergence, with DataFrame functions only.
 
-A document's histogram of character classes, and its histogram of its language's common
-short words, are compared with the language's own over the whole corpus by the
+A document's histogram of character classes, and its histogram of its language's most
+common words, are compared with the language's own over the whole corpus by the
 Jensen-Shannon distance (base 2, 0 to 1). Short documents are not judged by a histogram
 that they can't fill. Base rules on length and repetition come first.
 
-Two passes read the texts: one counts each language's short words, one makes a narrow row
+Two passes read the texts: one counts every word of each language, one makes a narrow row
 of counts for every document; the references and verdicts come from the narrow rows.
+Classes are capital letters, other letters of any script, ASCII digits, symbols, other ASCII
+punctuation, and all other characters; common words have a letter.
 
 Defined results: a null text has no words and fails the base rules; a null language is a
-language of its own; a language without common words is judged by characters only;
-repeated rows are judged as rows; an empty table gives an empty result; other columns are
-ignored.
+language of its own, and so is an empty one; a language without common words is judged by
+characters only; among equally frequent words the one that sorts first is more common;
+repeated rows are judged as rows; a very long text is counted whole, with memory for its
+words in a task; an empty table gives an empty result; other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -22,9 +26,9 @@ from pyspark.sql import functions as F
 from corpusloom.llm.shared import SPACE, join_small, materialize, scratch, text_or_empty
 
 SYMBOLS = r"#*$%&|<>"
-#: Character classes besides letters: what is deleted to count one.
-NOT_IN_CLASS = {"upper": r"\P{Lu}+", "digit": r"[^0-9]+", "symbol": r"[^#*$%&|<>]+", "mark": r"[\P{Punct}#*$%&|<>+]+"}
-COMMON_WORDS, LONGEST_COMMON = 32, 4
+#: Character classes: what is deleted to count one. Capitals are letters, too.
+NOT_IN_CLASS = {"upper": r"\P{Lu}+", "letter": r"\P{L}+", "digit": r"[^0-9]+", "symbol": r"[^#*$%&|<>]+", "mark": r"[\P{Punct}#*$%&|<>]+"}
+CLASSES, COMMON_WORDS = 6, 32
 #: Distances from which a document is rejected, and sizes below which a histogram isn't judged.
 MOST_CHARS, MOST_WORDS, LEAST_CHARS, LEAST_WORDS = 0.28, 0.29, 200, 100
 LEAST_LENGTH, MOST_REPEATED_PERCENT = 50, 50
@@ -65,17 +69,18 @@ def js_distance(p: Column, q: Column) -> Column:
 
 
 def common_words(docs: DataFrame) -> DataFrame:
-    """Each language's most frequent words of few letters: language, common array<string>."""
-    short = F.filter(split_words(F.col("text")), lambda w: (F.char_length(w) <= LONGEST_COMMON) & w.rlike(r"^\p{Ll}+$"))
-    counts = docs.select("language", F.explode(short).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))
+    """Each language's most frequent words that have a letter: language, common array<string>, longest (characters)."""
+    counts = docs.select("language", F.explode(split_words(F.col("text"))).alias("word")).groupBy("language", "word").agg(F.count("*").alias("n"))
+    counts = counts.filter(F.col("word").rlike(r"\p{L}"))
     top = counts.withColumn("at", F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "word"))).filter(F.col("at") <= COMMON_WORDS)
-    return top.groupBy("language").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("common"))
+    return top.groupBy("language").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("common"), F.max(F.char_length("word")).alias("longest"))
 
 
-def document_counts(docs: DataFrame, common: DataFrame, n_languages: int) -> DataFrame:
+def document_counts(docs: DataFrame, common: DataFrame) -> DataFrame:
     """A narrow row of counts for each document."""
-    rows = join_small(docs, common, n_languages, "language", "left")
-    rows = rows.select("doc_id", "language", "text", F.coalesce("common", F.array().cast("array<string>")).alias("common"), split_words(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
+    size = common.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.array_join("common", " "))), F.lit(0)).alias("bytes")).first()
+    rows = join_small(docs, common, size["n"], "language", "left", size["bytes"])
+    rows = rows.select("doc_id", "language", "text", F.coalesce("common", F.array().cast("array<string>")).alias("common"), F.coalesce("longest", F.lit(0)).alias("longest"), split_words(F.col("text")).alias("words"), F.split("text", "\n").alias("lines"))
     window = F.transform(
         F.slice(F.col("words"), 3, F.greatest(F.size("words") - 2, F.lit(0))),
         lambda w, i: F.xxhash64(F.get("words", i), F.get("words", i + 1), w),
@@ -85,11 +90,11 @@ def document_counts(docs: DataFrame, common: DataFrame, n_languages: int) -> Dat
         "doc_id",
         "language",
         F.size("words").cast("long").alias("n_words"),
-        F.char_length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
+        F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         *[c.alias(name) for name, c in counted.items()],
         F.filter("lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
         window.alias("windows"),
-        F.filter(F.transform("words", lambda w: F.array_position("common", w).cast("int")), lambda x: x > 0).alias("at"),
+        F.filter(F.transform("words", lambda w: F.when(F.char_length(w) <= F.col("longest"), F.array_position("common", w).cast("int"))), lambda x: x > 0).alias("at"),
         F.size("common").alias("n_common"),
     )
     rows = rows.withColumns({
@@ -99,8 +104,8 @@ def document_counts(docs: DataFrame, common: DataFrame, n_languages: int) -> Dat
     })
     rows = rows.withColumn("places", repeated_words()).drop("sorted", "lines", "windows")
     covered = F.aggregate(F.col("places"), F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).cast("long").alias("last")), lambda a, x: F.struct((a["n"] + F.least(x - a["last"], F.lit(3))).alias("n"), x.alias("last")))["n"]
-    classes = ["upper", "digit", "symbol", "mark"]
-    letters = F.greatest(F.col("word_chars") - sum((F.col(c) for c in classes[1:]), F.col("upper")), F.lit(0))
+    others = F.col("word_chars") - F.col("letter") - F.col("digit") - F.col("symbol") - F.col("mark")
+    classes = [F.col("upper"), F.col("letter") - F.col("upper"), F.col("digit"), F.col("symbol"), F.col("mark"), others]
     return rows.select(
         "doc_id",
         "language",
@@ -109,7 +114,7 @@ def document_counts(docs: DataFrame, common: DataFrame, n_languages: int) -> Dat
         F.col("symbol").alias("n_symbols"),
         "n_dup_lines",
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
-        F.array(*[F.col(c).cast("double") for c in classes], letters.cast("double")).alias("chars"),
+        F.array(*[c.cast("double") for c in classes]).alias("chars"),
         F.when(F.col("n_common") > 0, F.concat("at_counts", F.array((F.col("n_words") - F.size("at")).cast("double")))).alias("commons"),
     )
 
@@ -122,11 +127,10 @@ def add_up(name: str, size: int) -> Column:
 def judge(docs: DataFrame) -> DataFrame:
     """Per document: the base counts, base_failed, both distances and kept."""
     spark = docs.sparkSession
-    named = docs.select("doc_id", text_or_empty().alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("language"))
+    named = docs.select("doc_id", text_or_empty().alias("text"), F.when(F.col("lang").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("lang").cast("string"))).alias("language"))
     common = materialize(common_words(named), scratch(spark, "divergence-words"))
-    n = common.count()
-    counts = materialize(document_counts(named, common, n), scratch(spark, "divergence-counts"))
-    references = counts.groupBy("language").agg(add_up("chars", 5).alias("ref_chars"), add_up("commons", COMMON_WORDS + 1).alias("ref_commons"))
+    counts = materialize(document_counts(named, common), scratch(spark, "divergence-counts"))
+    references = counts.groupBy("language").agg(add_up("chars", CLASSES).alias("ref_chars"), add_up("commons", COMMON_WORDS + 1).alias("ref_commons"))
     # a language may have fewer common words than the most: its last bins are null and go
     references = references.withColumn("ref_commons", F.filter("ref_commons", lambda x: x.isNotNull()))
     references = materialize(references, scratch(spark, "divergence-references"))

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
-#: Rows up to which a table whose count was just taken may be broadcast.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes up to which a table that was just measured may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,9 +65,9 @@ def join_counted(left: DataFrame, right: DataFrame, on: str, n: str, rows: int,
     return left.join(F.broadcast(large), on).unionByName(rest)
 
 
-def join_small(left: DataFrame, right: DataFrame, rows: int, on, how: str = "inner") -> DataFrame:
-    """Broadcast ``right`` only while its counted rows stay under the bound."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
+def join_small(left: DataFrame, right: DataFrame, rows: int, on, how: str = "inner", size: int = 0) -> DataFrame:
+    """Broadcast ``right`` only while its counted rows, and bytes where rows may be wide, stay under the bounds."""
+    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS and size <= BROADCAST_BYTES else right, on, how)
 
 
 def free_name(df: DataFrame, wanted: str) -> str:

@@ -198,6 +198,62 @@ def test_divergence_counts_equal_brute_force(spark, odd, empty, sf):
     assert divergence.judge(empty).count() == 0
 
 
+def divergence_brute(rows):
+    """(doc_id, distance of characters, distance of words, kept) for rows of (doc_id, text, lang)."""
+    import unicodedata
+
+    def classes(word):
+        out = [0] * 6
+        for c in word:
+            kind = unicodedata.category(c)
+            at = 0 if kind == "Lu" else 1 if kind[0] == "L" else 2 if c in "0123456789" else 3 if c in "#*$%&|<>" else 4 if c in "!\"'()+,-./:;=?@[\\]^_`{}~" else 5
+            out[at] += 1
+        return np.array(out, float)
+
+    def distance(p, q):
+        p, q = p / p.sum(), q / q.sum()
+        m = (p + q) / 2
+        part = lambda a: sum(x * np.log2(x / y) for x, y in zip(a, m, strict=True) if x)
+        return max(0.0, (part(p) + part(q)) / 2) ** 0.5
+
+    words = [WORD.findall(text or "") for _, text, _ in rows]
+    counts = defaultdict(Counter)
+    for (_, _, lang), found in zip(rows, words, strict=True):
+        counts[lang].update(w for w in found if any(unicodedata.category(c)[0] == "L" for c in w))
+    common = {lang: [w for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0].encode()))[:32]] for lang, c in counts.items()}
+    chars = [sum((classes(w) for w in found), np.zeros(6)) for found in words]
+    commons = []
+    for (_, _, lang), found in zip(rows, words, strict=True):
+        c = Counter(found)
+        here = [c[w] for w in common.get(lang, [])]
+        commons.append(np.array([*here, len(found) - sum(here)], float))
+    sums = defaultdict(float)
+    for (_, _, lang), a, b in zip(rows, chars, commons, strict=True):
+        sums["c", lang] = sums["c", lang] + a
+        sums["w", lang] = sums["w", lang] + b
+    out = []
+    for (doc_id, _, lang), found, a, b in zip(rows, words, chars, commons, strict=True):
+        seen = Counter(zip(found, found[1:], found[2:], strict=False))
+        covered = {j for i in range(len(found) - 2) if seen[tuple(found[i : i + 3])] > 1 for j in range(i, i + 3)}
+        failed = len(found) < 50 or 100 * len(covered) > 50 * len(found)
+        js_chars = distance(a, sums["c", lang]) if a.sum() >= 200 else None
+        js_words = distance(b, sums["w", lang]) if len(found) >= 100 and common.get(lang) else None
+        out.append((doc_id, js_chars, js_words, not failed and (js_chars or 0) < divergence.MOST_CHARS and (js_words or 0) < divergence.MOST_WORDS))
+    return out
+
+
+def test_divergence_equals_brute_force(spark, sf, odd):
+    more = [(901, "漢字 かな ﾊﾟ " * 60, "ja"), (902, "\ufffd\ufffd☺ ─── a+b" * 80, "en"), (903, "x " * 120, ""), (904, "y " * 120, None), (905, "Größe ähnlich Ähre nicht nicht " * 40, "de")]
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang").unionByName(odd.select("doc_id", "text", "lang")).unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string"))
+    want = divergence_brute([tuple(r) for r in docs.collect()])
+    got = [tuple(r) for r in divergence.judge(docs).select("doc_id", "js_chars", "js_words", "kept").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, str(r[1])[:6])
+    for a, b in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert a[0] == b[0]
+        assert a[3] == b[3]
+        assert a[1:3] == tuple(None if x is None else pytest.approx(x, abs=2e-6) for x in b[1:3])
+
+
 def test_divergence_tells_junk_from_prose(spark):
     docs, labels = table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels")
     rows = divergence.judge(docs).join(labels, "doc_id").filter("not base_failed and n_words >= 100").collect()
