@@ -6,9 +6,11 @@ proportion, and a bounded-knapsack dynamic program closes the gap that is left.
 seeded hash of a document decides which documents of a length are taken.
 
 Defined results: a null text has size 0; a null source is a source of its own, last in
-order; documents of size 0 are never taken; rows that share a doc_id are ranked as rows
-and tie only with equal rows; an empty table gives an empty result; other columns are
-ignored.
+order; documents of size 0 are never taken; rows that share a doc_id are decided as rows,
+and tie only with equal rows; a very long text counts whole, and a source's plan needs
+memory for the distinct lengths of its documents, which its longest text bounds; an empty
+table gives an empty result; other columns, whatever their names, are ignored by ``mix``
+and kept by ``mixture``.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from corpusloom.llm.shared import WORD, join_small, materialize, remove, scratch
 PLAN_SCHEMA = "skey string, size long, source_size long, target double, base int, extra long, rows long"
 
 #: Rows of one (source, length) that a bucket of seeded hashes holds, about, and buckets at most.
-BUCKET_ROWS, MOST_BUCKETS = 512, 4096
+BUCKET_ROWS, MOST_BUCKETS = 64, 4096
 
 
 def reachable(lengths: list[int], spare: list[int], budget: int) -> list[int]:
@@ -123,15 +125,18 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ca
     return per.select("skey", "source_size", F.when(full, F.col("limit")).otherwise(F.col("water") * F.col("weight")).alias("target"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, seed: int = 20_017) -> DataFrame:
-    """Per document: doc_id, size, source_size, target, copies, taken = size * copies."""
+def decide(docs: DataFrame, weights: tuple[int, ...], budget: float, cap: float, seed: int, whole: bool) -> DataFrame:
+    """A row per document with what ``mix`` returns, and all of its columns as the struct ``row`` where ``whole``."""
     spark = docs.sparkSession
     sizes = docs.select(
         "doc_id",
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.when(F.col("source").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col("source").cast("string"))).alias("skey"),
+        F.xxhash64("text").alias("tie"),
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if whole else []),
     )
+    own = ["row"] if whole else []
     sizes = materialize(sizes, scratch(spark, "mix-sizes"))
     raw = scratch(spark, "mix-targets")
     targets = materialize(source_targets(sizes, weights, budget, cap), raw)
@@ -145,7 +150,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
     hashed = F.xxhash64(F.lit(seed), "doc_id", "size")
     buckets = F.least(F.greatest(F.ceil(F.col("rows") / BUCKET_ROWS), F.lit(1)), F.lit(MOST_BUCKETS))
     rows = (
-        join_small(sizes.select("doc_id", "skey", "size"), plan, n_plan, ["skey", "size"])
+        join_small(sizes.select("doc_id", "skey", "size", "tie", *own), plan, n_plan, ["skey", "size"])
         .withColumn("seeded", hashed)
         .withColumn("bucket", F.floor(F.pmod("seeded", F.lit(1 << 31)) * buckets / float(1 << 31)))
     )
@@ -159,25 +164,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1
         .filter((F.col("upto") >= F.col("extra")) & (F.col("upto") - F.col("n") < F.col("extra")))
         .select("skey", "size", F.col("bucket").alias("edge"), (F.col("extra") - F.col("upto") + F.col("n")).alias("room"))
     )
+    edge = materialize(edge, scratch(spark, "mix-edges"))
     cut = join_small(rows, edge, n_plan, ["skey", "size"], "left")
     on_edge = F.col("edge").isNotNull() & (F.col("bucket") == F.col("edge"))
     ranked = cut.filter(on_edge).withColumn(
-        "more", (F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("seeded", "doc_id")) <= F.col("room")).cast("int")
+        "more", (F.row_number().over(Window.partitionBy("skey", "size", "bucket").orderBy("seeded", "doc_id", "tie")) <= F.col("room")).cast("int")
     )
     plain = cut.filter(~on_edge).withColumn(
         "more", F.when(F.col("edge").isNotNull(), F.col("bucket") < F.col("edge")).otherwise((F.col("extra") > 0) & (F.col("extra") >= F.col("rows"))).cast("int")
     )
     copies = F.when(F.col("size") > 0, F.col("base") + F.col("more")).otherwise(F.lit(0)).cast("int")
     return plain.unionByName(ranked).select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).cast("long").alias("taken"), *own
     )
 
 
-def mixture(docs: DataFrame, **how) -> DataFrame:
-    """The mixed documents with their columns: each as many times as the mix takes it.
+def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, seed: int = 20_017) -> DataFrame:
+    """Per document: doc_id, size, source_size, target, copies, taken = size * copies."""
+    return decide(docs, weights, budget, cap, seed, False)
+
 
-    Rows that share a doc_id share one decision, the most copies of any of them.
-    """
-    copies = mix(docs, **how).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    chosen = docs.join(copies.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    return chosen.withColumn("__again", F.explode(F.sequence(F.lit(1), "__copies"))).select(*docs.columns)
+def mixture(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), budget: float = 1.5, cap: float = 2.0, seed: int = 20_017) -> DataFrame:
+    """The mixed documents with their columns: each row as many times as the mix takes it."""
+    taken = decide(docs, weights, budget, cap, seed, True).filter("copies > 0")
+    again = taken.select("row", F.explode(F.sequence(F.lit(1), "copies")))
+    return again.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

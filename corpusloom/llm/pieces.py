@@ -11,8 +11,10 @@ covers falls back to the bytes of its UTF-8 form.
 Scores are the model's own: for a BPE model a piece's score is minus its merge rank, and
 the result is the segmentation of the largest sum; among equal sums the longer last piece.
 
-Defined results: a null text counts as empty and has no ids; an empty table gives an
-empty result; columns called piece_ids or piece_score are replaced, others are kept.
+Defined results: a null text counts as empty and has no ids; repeated rows are encoded as
+rows; a very long text is encoded whole, a text being in memory at a time; an empty table
+gives an empty result; columns called piece_ids, piece_score, round_trip or decoded are
+replaced by what makes them, others are kept.
 """
 
 from __future__ import annotations
@@ -214,18 +216,22 @@ def flat_lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(), counts
 
 
-def encode(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
-    """Adds piece_ids array<int> and piece_score double."""
+def encode(docs: DataFrame, model_path: str, text: str = "text", check: bool = False) -> DataFrame:
+    """Adds piece_ids array<int> and piece_score double, and round_trip (decoding gives the text back) where ``check``."""
     place = docs.columns.index(text)
+    new = {"piece_ids": T.ArrayType(T.IntegerType()), "piece_score": T.DoubleType()} | ({"round_trip": T.BooleanType()} if check else {})
 
     def run(batches):
         for batch in small_batches(batches, place):
-            ids, counts, scores = model(model_path).encode(batch.column(place))
-            yield with_columns(batch, {"piece_ids": int_lists(ids, counts), "piece_score": pa.array(scores)})
-
-    kept = [f for f in docs.schema.fields if f.name not in ("piece_ids", "piece_score")]
-    schema = T.StructType([*kept, T.StructField("piece_ids", T.ArrayType(T.IntegerType())), T.StructField("piece_score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+            coder, column = model(model_path), batch.column(place)
+            ids, counts, scores = coder.encode(column)
+            found = {"piece_ids": int_lists(ids, counts), "piece_score": pa.array(scores)}
+            if check:
+                found["round_trip"] = pc.equal(coder.decode(ids, counts), pc.fill_null(column.cast(pa.large_string()), ""))
+            yield with_columns(batch, found)
+
+    kept = [f for f in docs.schema.fields if f.name not in new]
+    return docs.mapInArrow(run, T.StructType([*kept, *(T.StructField(k, t) for k, t in new.items())]))
 
 
 def decode(docs: DataFrame, model_path: str, ids: str = "piece_ids", into: str = "decoded") -> DataFrame:

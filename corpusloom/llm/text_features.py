@@ -180,7 +180,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, features: Fe
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
     found = feature_rows(texts.drop("doc_id"), features, "label").toLocalIterator(prefetchPartitions=True)
     pairs = sorted((bytes(r["features"]), float("nan") if r["label"] is None else r["label"]) for r in found)
-    return [np.frombuffer(f, np.int32).astype(np.int64) for f, _ in pairs], np.array([y for _, y in pairs])
+    return [np.frombuffer(f, np.int32) for f, _ in pairs], np.array([y for _, y in pairs])
 
 
 def held_out():

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from corpusloom.llm import linear
 from corpusloom.llm.text_features import LEXICAL_FEATURES, add_scores, held_out, lexical_features, training_sample, word_feature
 
-MOST_ROWS = MOST_UNLABELLED = 12_000
+MOST_ROWS, MOST_UNLABELLED = 12_000, 6_000
 THRESHOLD = 0.3
 #: A bound for the driver's memory, above what samples of that size have.
 MOST_VOTERS = 1_000

@@ -171,6 +171,25 @@ def test_mix_meets_its_targets(spark, sf, odd, which):
     assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
 
 
+@pytest.mark.parametrize("which", ["sf", "odd", "repeated"])
+def test_mixture_has_the_words_that_the_mix_takes(spark, sf, odd, which):
+    docs = table(spark, sf, "documents") if which == "sf" else odd
+    if which == "repeated":
+        docs = spark.createDataFrame([(1, f"a b c d {x}", "s", x) for x in "eeef"] + [(2, "g h", "s", "x")], "doc_id long, text string, source string, row string")
+    out = mixing.mixture(docs)
+    assert out.columns == docs.columns
+    got = Counter()
+    for r in out.collect():
+        got[r["source"]] += len(WORD.findall(r["text"]))
+    want = Counter()
+    sources = {(r["doc_id"], len(WORD.findall(r["text"] or ""))): r["source"] for r in docs.collect()}
+    for r in mixing.mix(docs).collect():
+        want[sources[r["doc_id"], r["size"]]] += r["taken"]
+    assert +got == +want
+    rows = Counter(map(tuple, docs.collect()))
+    assert all(n <= 2 * rows[tuple(r)] for r, n in Counter(map(tuple, out.collect())).items())
+
+
 def test_mix_of_nothing_and_of_one_hot_length(spark, empty):
     assert mixing.mix(empty).count() == 0
     docs = spark.range(3000).selectExpr("id as doc_id", "'word word' as text", "if(id % 3 = 0, 'a', 'b') as source")

@@ -41,6 +41,7 @@ def test_pipeline_stages(spark, sf):
         assert docs.columns[: len(columns)] == columns
         assert i == len(p.STAGES) - 1 or docs.columns == columns
     assert "piece_ids" in docs.columns
+    assert docs.filter("not round_trip").isEmpty()
     assert docs.count() == p.run(spark, sf).count()
 
 
@@ -50,3 +51,17 @@ def test_pipeline_of_an_empty_table(spark, sf):
     none = table(spark, sf, "documents").filter("false")
     for _, stage in p.STAGES:
         assert stage(spark, none, sf).count() == 0
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_leave_other_columns_alone(spark, sf, place):
+    """Columns that the operators use themselves keep their values, whatever their names."""
+    import corpus_pipeline as p
+
+    extra = {"score": "-5.0D", "predicted": "77", "held_out": "'no'", "row": "'r'", "copies": "9", "node": "'n'", "size": "doc_id", "kept": "'k'", "keep_id": "0", "class_id": "'c'", "__id": "'i'", "__score": "'s'", "skey": "'y'", "norm": "'m'", "n": "'z'", "taken": "1"}
+    docs = table(spark, sf, "documents").selectExpr("*", *(f"{v} as {k}" for k, v in extra.items()))
+    docs = docs.unionByName(docs.limit(3)).unionByName(docs.limit(2).selectExpr(*(c if c not in ("text", "source", "lang") else f"cast(null as string) as {c}" for c in docs.columns)))
+    rows = {str(tuple(r)) for r in docs.collect()}
+    out = p.STAGES[place][1](spark, docs, sf).select(*docs.columns).collect()
+    assert out
+    assert {str(tuple(r)) for r in out} <= rows
