@@ -63,6 +63,16 @@ def qa_notes(messages: DataFrame, chats: DataFrame) -> DataFrame:
     )
 
 
+def summary_notes(chats: DataFrame) -> DataFrame:
+    """A note for each conversation that has a summary."""
+    name = display_title(F.col("title"), F.lit(None).cast("string"))
+    said = chats.filter("summary is not null and summary <> ''")
+    return said.select(
+        F.col("id").alias("conversation_id"), F.concat(F.lit("Summary: "), name).alias("title"), F.concat(F.lit("**Conversation:** "), name, F.lit("\n\n"), "summary").alias("content"),
+        F.array(F.lit("chat-export"), F.lit("summary")).alias("tags"),
+    )
+
+
 def signals(messages: DataFrame) -> DataFrame:
     """Adds counts of structured blocks, tool blocks, citations and files, where the columns are there."""
     if "content_blocks" not in messages.columns:

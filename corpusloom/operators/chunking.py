@@ -213,41 +213,82 @@ def paragraph_chunks(text: Column, least: int, most: int) -> Column:
     return F.flatten(F.transform(paragraphs, cuts))
 
 
-def align(old: list[tuple], new: list[tuple]) -> list[tuple[int, int, bool]]:
-    """(old place, new place, exact) of chunks of two generations; a chunk is (heading path, content).
+#: Ordinals of a bucket: places and running values of a source are put together from those of its buckets.
+BUCKET = 4096
+
+
+def numbered(rows: DataFrame, name: str) -> DataFrame:
+    """Adds the place (from 0) of each row in its source by ordinal; no task sees more than a bucket of a source."""
+    rows = rows.withColumn("__b", F.floor(F.col("ordinal") / BUCKET))
+    counts = rows.groupBy("source_id", "__b").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy("source_id").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select("source_id", "__b", before.alias("__before"))
+    own = F.row_number().over(Window.partitionBy("source_id", "__b").orderBy("ordinal")) - 1
+    return rows.withColumn("__own", own).join(counts, ["source_id", "__b"]).withColumn(name, (F.col("__before") + F.col("__own")).cast("int")).drop("__b", "__own", "__before")
 
-    Anchors that are as frequent on both sides pair off in order if their order is the
-    same; else only single ones that keep rising do. A lone changed chunk between two
-    pairs under the same headings is the successor of the one it replaced.
-    """
-    a, b = Counter(old), Counter(new)
-    left = [i for i, x in enumerate(old) if a[x] == b[x]]
-    right = [j for j, x in enumerate(new) if a[x] == b[x]]
-    if [old[i] for i in left] == [new[j] for j in right]:
-        exact = list(zip(left, right, strict=True))
-    else:
-        place, exact, last = {x: j for j, x in enumerate(new)}, [], -1
-        for i, x in enumerate(old):
-            if a[x] == b[x] == 1 and place[x] > last:
-                last = place[x]
-                exact.append((i, last))
-    out = [(i, j, True) for i, j in exact]
-    for (i, j), (k, m) in zip(exact, exact[1:], strict=False):
-        if k == i + 2 and m == j + 2 and len({tuple(x[0]) for x in (*old[i : k + 1], *new[j : m + 1])}) == 1:
-            out.append((i + 1, j + 1, False))
-    return sorted(out, key=lambda x: x[1])
+
+def rising(pairs: DataFrame) -> DataFrame:
+    """The pairs (source_id, i, j) whose j is above those of all smaller i of the source."""
+    rows = pairs.withColumn("__b", F.floor(F.col("i") / BUCKET))
+    most = rows.groupBy("source_id", "__b").agg(F.max("j").alias("__m"))
+    earlier = Window.orderBy("__b").partitionBy("source_id").rowsBetween(Window.unboundedPreceding, -1)
+    most = most.select("source_id", "__b", F.coalesce(F.max("__m").over(earlier), F.lit(-1)).alias("__before"))
+    own = F.coalesce(F.max("j").over(Window.partitionBy("source_id", "__b").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    return rows.withColumn("__own", own).join(most, ["source_id", "__b"]).filter(F.col("j") > F.greatest("__own", "__before")).select("source_id", "i", "j")
 
 
 def aligned_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
-    """``old`` and ``new``: source_id, ordinal, heading_path, content. One source's chunks are one group."""
+    """source_id, old_ordinal, new_ordinal, exact_content of chunks that follow one another.
 
-    def run(key, before: pd.DataFrame, after: pd.DataFrame) -> pd.DataFrame:
-        before, after = before.sort_values("ordinal"), after.sort_values("ordinal")
-        anchors = [[(tuple(h), c) for h, c in zip(x["heading_path"], x["content"], strict=True)] for x in (before, after)]
-        rows = [(key[0], int(before["ordinal"].iloc[i]), int(after["ordinal"].iloc[j]), e) for i, j, e in align(*anchors)]
-        return pd.DataFrame(rows, columns=["source_id", "old_ordinal", "new_ordinal", "exact_content"])
+    ``old`` and ``new``: source_id, ordinal (once in a source), heading_path, content.
+    Anchors (headings and content, as hashes) that are as frequent on both sides pair off
+    in order if their order is the same; else only single ones that keep rising do. A lone
+    changed chunk between two pairs under the same headings is the successor of the one it
+    replaced.
+    """
 
-    return old.groupBy("source_id").cogroup(new.groupBy("source_id")).applyInPandas(run, "source_id string, old_ordinal int, new_ordinal int, exact_content boolean")
+    def side(rows: DataFrame, place: str) -> DataFrame:
+        heading = F.sha2(F.to_json(F.struct(F.coalesce("heading_path", F.array().cast("array<string>")).alias("h"))), 256)
+        hashed = rows.select("source_id", "ordinal", heading.alias("heading"), F.sha2(F.concat_ws("\0", heading, F.sha2("content", 256)), 256).alias("anchor"))
+        return numbered(hashed, place)
+
+    a, b = side(old, "i").persist(), side(new, "j").persist()  # narrow rows, read several times
+    marked = a.select("source_id", "anchor", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select("source_id", "anchor", F.lit(0).alias("x"), F.lit(1).alias("y")))
+    alike = marked.groupBy("source_id", "anchor").agg(F.sum("x").alias("n"), F.sum("y").alias("m")).filter("n = m").drop("m")
+    left, right = (numbered(x.join(alike, ["source_id", "anchor"]), "k").persist() for x in (a, b))
+    lined = left.select("source_id", "k", "i", F.col("anchor").alias("one"), F.col("heading")).join(right.select("source_id", "k", "j", F.col("anchor").alias("two")), ["source_id", "k"])
+    ordered = lined.groupBy("source_id").agg(F.every(F.col("one") == F.col("two")).alias("ordered"))
+    in_line = lined.join(ordered.filter("ordered"), "source_id", "left_semi").select("source_id", "i", "j")
+    single = left.filter("n = 1").select("source_id", "anchor", "i").join(right.filter("n = 1").select("source_id", "anchor", "j"), ["source_id", "anchor"])
+    exact = in_line.unionByName(rising(single.join(ordered.filter("not ordered"), "source_id", "left_semi"))).persist()
+    first = exact.select("source_id", F.col("i").alias("i1"), F.col("j").alias("j1"))
+    third = exact.select("source_id", (F.col("i") - 2).alias("i1"), (F.col("j") - 2).alias("j1"))
+    between = exact.select("source_id", (F.col("i") - 1).alias("i1"))
+    gaps = first.join(third, ["source_id", "i1", "j1"]).join(between, ["source_id", "i1"], "left_anti")
+    headings = [(x.select("source_id", (F.col(place) - step).alias(f"{place}1"), F.col("heading").alias(f"h{n}")), f"{place}1") for n, (x, place, step) in enumerate(((a, "i", 0), (a, "i", 1), (a, "i", 2), (b, "j", 1)))]
+    for rows, place in headings:
+        gaps = gaps.join(rows, ["source_id", place])
+    changed = gaps.filter("h0 = h1 and h1 = h2 and h2 = h3").select("source_id", (F.col("i1") + 1).alias("i"), (F.col("j1") + 1).alias("j"), F.lit(False).alias("exact_content"))
+    both = exact.withColumn("exact_content", F.lit(True)).unionByName(changed)
+    both = both.join(a.select("source_id", "i", F.col("ordinal").alias("old_ordinal")), ["source_id", "i"]).join(b.select("source_id", "j", F.col("ordinal").alias("new_ordinal")), ["source_id", "j"])
+    return both.select("source_id", "old_ordinal", "new_ordinal", "exact_content")
+
+
+def recovered_headings(old: DataFrame, staged: DataFrame) -> DataFrame:
+    """``old`` with the heading paths of chunks that were stored without any (no chunk_key, no headings).
+
+    Such a chunk takes the headings of the only staged chunk of its source with its
+    content; one that finds none takes those that its two neighbours share.
+    """
+    legacy = F.col("chunk_key").isNull() & (F.coalesce(F.size("heading_path"), F.lit(0)) <= 0)
+    content = staged.select("source_id", F.sha2("content", 256).alias("__c"), F.col("heading_path").alias("__h"))
+    only = content.groupBy("source_id", "__c").agg(F.count("*").alias("__n"), F.first("__h").alias("__h")).filter("__n = 1").drop("__n")
+    rows = old.withColumn("__c", F.sha2("content", 256)).join(only, ["source_id", "__c"], "left").drop("__c")
+    rows = numbered(rows.withColumn("__found", F.when(legacy, F.coalesce("__h", F.array().cast("array<string>"))).otherwise(F.col("heading_path"))).withColumn("__legacy", legacy).drop("__h"), "__at")
+    beside = [rows.select("source_id", (F.col("__at") - step).alias("__at"), F.col("__found").alias(f"__n{n}")) for n, step in enumerate((-1, 1))]
+    rows = rows.join(beside[0], ["source_id", "__at"], "left").join(beside[1], ["source_id", "__at"], "left")
+    shared = F.col("__legacy") & (F.size("__found") <= 0) & (F.size("__n0") > 0) & (F.col("__n0") == F.col("__n1"))
+    return rows.withColumn("heading_path", F.when(shared, F.col("__n0")).otherwise(F.col("__found"))).select(*old.columns)
 
 
 def reused_vectors(alignment: DataFrame, old_vectors: DataFrame, new: DataFrame) -> DataFrame:

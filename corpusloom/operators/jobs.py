@@ -102,7 +102,7 @@ def commit_check(staged: DataFrame, items: DataFrame) -> DataFrame:
 
 def retry_delay(attempt: int, key: str, first: float = 0.25, most: float = 5.0) -> float:
     """Exponential back-off with a jitter of 80 to 120 percent that the key decides."""
-    jitter = 0.8 + 0.4 * (sum(key.encode()) + 31 * attempt) % 101 / 100 if key else 1.0
+    jitter = 0.8 + 0.4 * ((sum(key.encode()) + 31 * attempt) % 101) / 100 if key else 1.0
     return min(first * 2**attempt, most) * min(max(jitter, 0.8), 1.2)
 
 

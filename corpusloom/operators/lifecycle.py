@@ -91,6 +91,31 @@ def begin_imports(sources: DataFrame, incoming: DataFrame, force: bool = False)
     )
 
 
+def import_outcome(actions: DataFrame, created: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """One row of sums over an import.
+
+    ``actions`` as from ``begin_imports``; ``created`` has a row for each new record with
+    its kind (note, message, conversation, entity) and whether it has a vector; ``links``
+    a row for each new link with its kind.
+    """
+    of = lambda rows, column, names, end="": rows.agg(*[F.count_if(F.col(column) == n).alias(n + end) for n in names])
+    out = of(actions, "action", ("created", "updated", "unchanged"), "_sources").join(of(created, "kind", ("note", "message", "conversation", "entity"), "_records"))
+    out = out.join(created.agg(F.count("*").alias("records"), F.count_if(F.col("kind").isin("note", "message") & F.coalesce("embedded", F.lit(False))).alias("embedded"), F.count_if(F.col("kind").isin("note", "message") & ~F.coalesce("embedded", F.lit(False))).alias("not_embedded")))
+    if links is not None:
+        out = out.join(of(links, "kind", ("mention", "conversation", "message"), "_links"))
+    return out
+
+
+def linked_entities(entities: DataFrame, links: DataFrame, arrivals: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities after a batch of arrivals (note_id and an entity's columns), and the links that are new.
+
+    Entities are merged by canonical name; a note links to each of its entities once.
+    """
+    merged = merge_entities(entities.select("canonical_name", "name", "entity_type", "aliases", F.lit(-1).cast("long").alias("seq")).unionByName(arrivals.select("canonical_name", "name", "entity_type", "aliases", F.col("seq").cast("long").alias("seq"))))
+    new = arrivals.select("note_id", F.concat(F.lit("entity:"), "canonical_name").alias("entity_id"))
+    return merged, insert_links(links, new, ["note_id", "entity_id"])
+
+
 def promoted(sources: DataFrame) -> DataFrame:
     """Pending generations become the successful ones."""
     pending = F.col("status") == "pending"
@@ -207,7 +232,8 @@ def acceptance(proposals: DataFrame, visible: DataFrame, edges: DataFrame, least
 def reviewed(proposals: DataFrame, ids: list[str], status: str, reviewer: str, reason: str | None = None) -> DataFrame:
     """Compare-and-set of pending proposals (accepting or rejected); others stay, so it can be repeated."""
     hit = F.col("id").isin(ids) & (F.col("status") == "pending")
-    return proposals.withColumns({"reviewer": F.when(hit, reviewer), "action_reason": F.when(hit, reason), "status": F.when(hit, status).otherwise(F.col("status"))})
+    old = lambda c: F.col(c) if c in proposals.columns else F.lit(None).cast("string")
+    return proposals.withColumns({"reviewer": F.when(hit, reviewer).otherwise(old("reviewer")), "action_reason": F.when(hit, reason).otherwise(old("action_reason")), "status": F.when(hit, status).otherwise(F.col("status"))})
 
 
 def undone(edges: DataFrame, proposals: DataFrame, edge_id: str) -> tuple[DataFrame, DataFrame]:

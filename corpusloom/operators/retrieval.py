@@ -1,12 +1,14 @@
 """Vector and full-text retrieval, rank fusion and scoped ranking, for one query or many.
 
 Vectors are compared exactly: blocks of queries meet the corpus in matrix products, which
-return their best rows per query only. Full text reads each text once
-and keeps the terms that some query has.
+return their best rows per query only. Full text reads the texts twice, all fields at a
+time: for document frequencies and lengths, and for the postings of the terms that some
+query has.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +16,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.scans import first_per, sent_if_small
+from corpusloom.operators.scans import SENT_ROWS, first_per
 
 #: Queries of a block, blocks that are sent to all tasks at most, and corpus rows of a block.
 QUERY_BLOCK, SENT_BLOCKS, CORPUS_BLOCK = 512, 8, 4096
-#: Letters with marks and what they fold to.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+def folds() -> dict[str, str]:
+    """Small Latin letters with marks, and the ASCII letter that decomposition leaves of each."""
+    small = [chr(c) for c in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()]
+    parts = {c: unicodedata.normalize("NFD", c) for c in small}
+    return {c: d[0] for c, d in parts.items() if len(d) > 1 and d[0].isascii() and all(map(unicodedata.combining, d[1:]))}
+
+
+MARKED, PLAIN = "".join(folds()), "".join(folds().values())
 K1, B = 1.2, 0.75
 
 
@@ -73,17 +80,19 @@ def _scan(rows: DataFrame, packed: DataFrame, k: int, exclude_self: bool, least:
 
 
 def _pairs_of_blocks(rows: DataFrame, packed: DataFrame, blocks: int, k: int, exclude_self: bool, least: float | None) -> DataFrame:
-    """Many blocks of queries against blocks of the corpus, one product a row."""
+    """Many blocks of queries against blocks of the corpus: a task holds one of each, dealt by both numbers, and makes their product."""
     parts = max(1, -(-rows.count() // CORPUS_BLOCK))
-    dealt = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part")).agg(F.collect_list("id").alias("ids"), F.collect_list("embedding").alias("rows"))
-    pairs = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, "block").select("query_ids", "query_rows", "ids", "rows")
+    dealt = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list("id").alias("ids"), F.collect_list("embedding").alias("rows"))
+    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sent = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    pairs = dealt.join(sent.hint("shuffle_hash"), ["block", "part"]).select("query_ids", "query_rows", "ids", "rows")
 
     def run(batches):
         for pdf in batches:
             for names, queries, ids, vectors in pdf.itertuples(index=False):
                 yield best_rows(np.array(names, dtype=object), unit(queries), np.array(ids, dtype=object), unit(vectors), k, exclude_self, least)
 
-    return pairs.repartition(max(1, min(blocks * parts, 4096)), F.rand(7)).mapInPandas(run, NEAR_SCHEMA)
+    return pairs.mapInPandas(run, NEAR_SCHEMA)
 
 
 def unit(rows) -> np.ndarray:
@@ -101,7 +110,7 @@ def best_rows(names: np.ndarray, matrix: np.ndarray, ids: np.ndarray, vectors: n
     order = np.lexsort((np.broadcast_to(ids.astype(str), similar.shape), np.round(1 - similar, 9)), axis=1)[:, :k]
     chosen = np.take_along_axis(similar, order, axis=1)
     real = np.isfinite(chosen)
-    return pd.DataFrame({"query_id": names[np.nonzero(real)[0]], "id": ids[order[real]], "distance": 1 - chosen[real]})
+    return pd.DataFrame({"query_id": names[np.nonzero(real)[0]], "id": ids[order[real]], "distance": np.maximum(1 - chosen[real], 0)})
 
 
 def terms(text: Column) -> Column:
@@ -112,28 +121,41 @@ def terms(text: Column) -> Column:
 def bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, float], every_term: bool = False) -> DataFrame:
     """query_id, id, score: weighted sum over fields of Okapi BM25, rows that match somewhere.
 
-    ``queries`` (query_id, query) is a stated set; texts are cut to its terms before
-    anything is shuffled (by broadcast while the terms are few, which is counted). The
-    one row of corpus sizes is the only table that is always broadcast.
+    ``queries`` (query_id, query) is a stated set. Its terms, and the table of each term's
+    weight in each field, are sent to all tasks while they are counted to be few, so that
+    no task gets all postings of a frequent term; beyond that the joins shuffle, and
+    adaptive execution splits what is skewed.
     """
     asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
-    wanted = sent_if_small(asked.select("term").distinct())
-    counted = docs.select("id", *[terms(F.coalesce(F.col(f), F.lit(""))).alias(f) for f in fields])
-    sizes = counted.agg(F.count("*").alias("rows"), *[F.avg(F.size(f)).alias(f"mean_{f}") for f in fields])
-    scored = None
-    for f, weight in fields.items():
-        found = counted.select("id", F.size(f).alias("length"), F.explode(f).alias("term")).join(wanted, "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-        spread = found.groupBy("term").agg(F.count("*").alias("df"))
-        one = found.join(spread, "term").join(F.broadcast(sizes))
-        idf = F.log(1 + (F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-        saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col(f"mean_{f}")))
-        one = one.select("id", "term", (idf * saturated * weight).alias("part"))
-        scored = one if scored is None else scored.unionByName(one)
-    matched = scored.join(asked, "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"), F.count_distinct("term").alias("matched"))
-    if every_term:
-        counts = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
-        matched = matched.join(counts, "query_id").filter("matched = asked")
-    return matched.select("query_id", "id", "score")
+    small = asked.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+    send = F.broadcast if small else (lambda rows: rows)
+    tokens = docs.select("id", *[terms(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)])
+    none = docs.sparkSession.createDataFrame([("",)], "term string")  # a field's own row
+
+    def kinds(i: int) -> Column:
+        own = F.array(F.struct(F.lit(i).alias("field"), F.lit("").alias("term"), F.size(f"f{i}").alias("length")))
+        return F.concat(own, F.transform(F.array_distinct(f"f{i}"), lambda x: F.struct(F.lit(i).alias("field"), x.alias("term"), F.lit(0).alias("length"))))
+
+    each = tokens.select(F.explode(F.concat(*[kinds(i) for i in range(len(fields))])).alias("x")).select("x.*")
+    counts = each.join(send(asked.select("term").distinct().unionByName(none)), "term").groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("length").alias("length"))
+    of_field = Window.partitionBy("field")  # at most the asked terms are in one
+    counts = counts.withColumns({"rows": F.max(F.when(F.col("term") == "", F.col("df"))).over(of_field), "total": F.max(F.when(F.col("term") == "", F.col("length"))).over(of_field)})
+    share = F.element_at(F.array(*[F.lit(float(w)) for w in fields.values()]), F.col("field") + 1)
+    weights = counts.filter("term <> ''").select(
+        "field", "term", (F.col("total") / F.col("rows")).alias("mean"), (share * F.log(1 + (F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf")
+    )
+
+    def postings(i: int) -> Column:
+        return F.transform(f"f{i}", lambda x: F.struct(F.lit(i).alias("field"), x.alias("term"), F.size(f"f{i}").alias("length")))
+
+    found = tokens.select("id", F.explode(F.concat(*[postings(i) for i in range(len(fields))])).alias("x")).select("id", "x.*")
+    found = found.join(send(weights), ["field", "term"]).groupBy("id", "field", "term", "length", "mean", "idf").agg(F.count("*").alias("tf"))
+    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    matched = found.select("id", "term", (F.col("idf") * saturated).alias("part")).join(send(asked), "term").groupBy("query_id", "id")
+    if not every_term:
+        return matched.agg(F.sum("part").alias("score"))
+    whole = asked.groupBy("query_id").agg(F.count("*").alias("asked"))
+    return matched.agg(F.sum("part").alias("score"), F.count_distinct("term").alias("matched")).join(whole, "query_id").filter("matched = asked").select("query_id", "id", "score")
 
 
 def best_text(scores: DataFrame, k: int) -> DataFrame:
@@ -168,15 +190,24 @@ def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, fields: dict
     return fused.filter(F.col("final_rank") <= limit)
 
 
+def with_payload(hits: DataFrame, rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Fused hits with columns of the rows that they name, whichever channel found them; a missing score is 0 in the text channel only."""
+    return hits.join(rows.select("id", *columns), "id", "left")
+
+
 HIT_TYPES = ("note", "message", "summary")
 
 
 def scoped(parts: dict[str, DataFrame], weights: dict[str, float], limit: int) -> DataFrame:
-    """Fused hits of several tables in one list: weighted score, best component rank, type, id."""
+    """Fused hits of several tables in one list: weighted score, best component rank, type, id.
+
+    The channels' scores and ranks stay with each hit, for its evidence.
+    """
     union = None
+    own = ["fused_score", "vector_rank", "distance", "text_rank", F.col("score").alias("text_score")]
     for i, kind in enumerate(HIT_TYPES):
         if kind in parts:
-            one = parts[kind].select("query_id", "id", F.lit(kind).alias("hit_type"), F.lit(i).alias("__type"), (F.col("fused_score") * weights.get(kind, 1.0)).alias("score"), "best_rank")
+            one = parts[kind].select("query_id", "id", F.lit(kind).alias("hit_type"), F.lit(i).alias("__type"), *own, (F.col("fused_score") * weights.get(kind, 1.0)).alias("score"), "best_rank")
             union = one if union is None else union.unionByName(one)
     return first_per(union, ["query_id"], [F.desc(F.round("score", 9)), "best_rank", "__type", "id"], limit, "final_rank").drop("__type")
 
@@ -185,6 +216,24 @@ def message_title(role: Column, index: Column) -> Column:
     return F.concat(role, F.lit(" message #"), (index + 1).cast("string"))
 
 
+def summary_title(title: Column, uuid: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(title), F.lit("")), F.concat(F.lit("Conversation "), uuid))
+
+
 def evidence(hit: DataFrame) -> DataFrame:
-    """A hit's scores and ranks as one struct."""
-    return hit.withColumn("evidence", F.struct("fused_score", "vector_rank", "distance", "text_rank", "score", "final_rank"))
+    """A hit's scores, ranks and place in the graph as one struct; what a hit doesn't have is null."""
+    wanted = {"score": "double", "fused_score": "double", "vector_rank": "int", "distance": "double", "text_rank": "int", "text_score": "double", "graph_score": "double", "hops": "int", "seed_id": "string", "final_rank": "int"}
+    have = set(hit.columns)
+    return hit.withColumn("evidence", F.struct(*[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in wanted.items()]))
+
+
+def explained(hit: DataFrame) -> DataFrame:
+    """Adds a line of text for each hit: which channels found it, with which rank and score."""
+    e = evidence(hit)
+
+    def part(name: str, rank: str, score: str) -> Column:
+        return F.when(F.col(f"evidence.{rank}").isNotNull(), F.format_string(f"{name} #%d (%.4f)", f"evidence.{rank}", f"evidence.{score}"))
+
+    graph = F.when(F.col("evidence.graph_score").isNotNull(), F.format_string("graph %d hops from %s (%.4f)", "evidence.hops", "evidence.seed_id", "evidence.graph_score"))
+    why = F.concat_ws(", ", part("vector", "vector_rank", "distance"), part("text", "text_rank", "text_score"), graph)
+    return e.withColumn("explanation", F.concat(F.format_string("#%d %s %.4f: ", "evidence.final_rank", "id", "evidence.score"), why))

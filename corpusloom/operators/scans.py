@@ -93,6 +93,10 @@ def first_per(rows: DataFrame, keys: list[str], order: list, most: int, rank: st
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(rank) <= most)
 
 
-def sent_if_small(rows: DataFrame, most: int = 100_000) -> DataFrame:
+#: Rows of narrow tables that are sent to all tasks at most.
+SENT_ROWS = 100_000
+
+
+def sent_if_small(rows: DataFrame, most: int = SENT_ROWS) -> DataFrame:
     """A side of a join that goes to all tasks while its counted rows stay under the bound."""
     return F.broadcast(rows) if rows.limit(most + 1).count() <= most else rows

@@ -20,6 +20,11 @@ CTES = {
     "chat": """SELECT conversation_id AS id, 'chat-' || conv_id AS uuid, 'Chat ' || conv_id AS title,
         arg_min(content, message_index) FILTER (WHERE role = 'assistant') AS summary, count(*) AS messages,
         max(created_at) AS updated_at, 'fixture://chat/' || (conv_id % 5) AS source_uri FROM msg GROUP BY conversation_id, conv_id""",
+    "mvec": "SELECT m.id, v.embedding FROM msg m JOIN vec v ON v.id = 'note:' || ((conv_id * 31 + message_index) % (SELECT count(*) FROM vec))",
+    "cvec": "SELECT c.id, v.embedding FROM chat c JOIN vec v ON v.id = 'note:' || ((CAST(split_part(c.id, ':', 2) AS BIGINT) * 17 + 3) % (SELECT count(*) FROM vec))",
+    "job": """SELECT 'job:' || s_suppkey AS id, ['pending', 'running', 'failed', 'cancelled', 'completed'][s_suppkey % 5 + 1] AS status,
+        CASE s_suppkey % 3 WHEN 0 THEN 'worker-a' WHEN 1 THEN 'worker-b' END AS lease_owner,
+        CASE WHEN s_suppkey % 3 <> 2 THEN TIMESTAMP '2024-01-01' + to_hours(s_suppkey) END AS lease_expires_at FROM supplier""",
     "entity": """SELECT 'entity:' || n_nationkey AS id, n_name AS name, lower(trim(n_name)) AS canonical_name,
         [lower(trim(r_name)) || ' ' || lower(trim(n_name))] AS aliases FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "mention": """SELECT DISTINCT 'note:' || doc_id AS note_id, 'entity:' || nation AS entity_id FROM (
@@ -42,6 +47,8 @@ CTES = {
 NEEDS = {
     "visible": ("note", "src"),
     "chat": ("msg",),
+    "mvec": ("msg", "vec"),
+    "cvec": ("chat", "vec"),
     "edge": ("raw_edge",),
     "visible_edge": ("edge", "visible"),
 }

@@ -6,36 +6,18 @@ pool is what the operator is.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as tx
 from corpusloom.operators import chat, chunking, evaluation, gardener, graph, jobs, lifecycle, packing, portable, retrieval, scans, statistics
-from corpusloom.plans.oracle import with_model
+from corpusloom.plans.registry import query
 from corpusloom.sources import tables as t
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 LETTERS = r"(\p{L}+|\p{N}+)"
 FIELDS = {"content": 0.9, "title": 0.1}
 
 
-def query(sql: str | None = None, *needs: str) -> Callable[[Query], Query]:
-    """Register a query under its function's name, with its SQL over the model's tables that it needs."""
-
-    def put(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = with_model(sql, *needs)
-        return f
-
-    return put
-
-
 def visible(spark: SparkSession, d: str) -> DataFrame:
     return scans.visible_notes(t.notes(spark, d), t.sources(spark, d))
 
@@ -233,19 +215,18 @@ def vector_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_queries(spark: SparkSession, d: str) -> DataFrame:
-    """The first four words of each benchmark item."""
-    words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
-    return t.read(spark, d, "benchmark").select(F.concat(F.lit("item:"), "item_id").alias("query_id"), F.array_join(F.slice(words, 1, 4), " ").alias("query"))
+    """The whole text of each benchmark item."""
+    return t.read(spark, d, "benchmark").select(F.concat(F.lit("item:"), "item_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
 
 
 def both_queries(spark: SparkSession, d: str) -> DataFrame:
-    """Benchmark texts with the vector of the same number."""
+    """Benchmark texts with the vector of the same number, where there is one."""
     v = t.vectors(spark, d).select(F.concat(F.lit("item:"), F.regexp_extract("id", "[0-9]+", 0)).alias("query_id"), "embedding")
-    return text_queries(spark, d).join(v, "query_id")
+    return text_queries(spark, d).join(v, "query_id", "left")
 
 
 VECTOR_QUERY = "vq AS (SELECT id AS query_id, embedding FROM vec WHERE CAST(substr(id, 6) AS BIGINT) % 20 = 0)"
-TEXT_QUERY = r"""tq AS (SELECT 'item:' || item_id AS query_id, array_to_string(list_slice(string_split(trim(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g')), ' '), 1, 4), ' ') AS query FROM benchmark)"""
+TEXT_QUERY = "tq AS (SELECT 'item:' || item_id AS query_id, coalesce(text, '') AS query FROM benchmark)"
 KNN_SQL = f"""{VECTOR_QUERY}, sims AS (SELECT query_id, v.id, list_cosine_similarity(q.embedding, v.embedding) AS s FROM vq q, vec v),
     knn AS (SELECT query_id, id, 1 - s AS distance, row_number() OVER (PARTITION BY query_id ORDER BY round(1 - s, 9), id) AS rank FROM sims)"""
 
@@ -264,52 +245,59 @@ def similar_notes(spark, d):
 FOLD = f"translate(lower(%s), '{retrieval.MARKED}', '{retrieval.PLAIN}')"
 
 
-def bm25_sql(docs: str, fields: dict[str, float]) -> str:
+def bm25_sql(docs: str, fields: dict[str, float], bm: str = "bm") -> str:
     """Common table expressions that end in bm(query_id, id, score)."""
     parts = []
     for f, w in fields.items():
-        parts.append(rf"""tok_{f} AS (SELECT id, regexp_extract_all({FOLD % f"coalesce({f}, '')"}, '{LETTERS}') AS ts FROM {docs}),
-    st_{f} AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM tok_{f}),
-    tf_{f} AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM tok_{f}) WHERE term IN (SELECT term FROM asked) GROUP BY id, dl, term),
-    df_{f} AS (SELECT term, count(*) AS df FROM tf_{f} GROUP BY term),
-    part_{f} AS (SELECT id, tf_{f}.term, {w} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS part FROM tf_{f} JOIN df_{f} USING (term), st_{f})""")
-    union = " UNION ALL ".join(f"SELECT * FROM part_{f}" for f in fields)
-    return rf"""{TEXT_QUERY}, asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all({FOLD % 'query'}, '{LETTERS}')) AS term FROM tq),
-    {", ".join(parts)}, bm AS (SELECT query_id, id, sum(part) AS score FROM asked JOIN ({union}) USING (term) GROUP BY query_id, id)"""
+        x = f"{f}_{bm}"
+        parts.append(rf"""tok_{x} AS (SELECT id, regexp_extract_all({FOLD % f"coalesce({f}, '')"}, '{LETTERS}') AS ts FROM {docs}),
+    st_{x} AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM tok_{x}),
+    tf_{x} AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM tok_{x}) WHERE term IN (SELECT term FROM asked) GROUP BY id, dl, term),
+    df_{x} AS (SELECT term, count(*) AS df FROM tf_{x} GROUP BY term),
+    part_{x} AS (SELECT id, tf_{x}.term, {w} * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean)) AS part FROM tf_{x} JOIN df_{x} USING (term), st_{x})""")
+    union = " UNION ALL ".join(f"SELECT * FROM part_{f}_{bm}" for f in fields)
+    return f"{', '.join(parts)}, {bm} AS (SELECT query_id, id, sum(part) AS score FROM asked JOIN ({union}) USING (term) GROUP BY query_id, id)"
+
 
+ASKED = rf"{TEXT_QUERY}, asked AS (SELECT DISTINCT query_id, unnest(regexp_extract_all({FOLD % 'query'}, '{LETTERS}')) AS term FROM tq)"
 
-@query(f"WITH {bm25_sql('visible', FIELDS)} SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", "visible")
+
+@query(f"WITH {ASKED}, {bm25_sql('visible', FIELDS)} SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", "visible")
 def bm25_notes(spark, d):
     found = retrieval.bm25(text_queries(spark, d), visible(spark, d), FIELDS)
     return retrieval.best_text(found, 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {bm25_sql('msg', {'content': 1.0})} SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", "msg")
+@query(f"WITH {ASKED}, {bm25_sql('msg', {'content': 1.0})} SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", "msg")
 def bm25_messages(spark, d):
     found = retrieval.bm25(text_queries(spark, d), t.messages(spark, d), {"content": 1.0})
     return retrieval.best_text(found, 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-@query(f"WITH {bm25_sql('chat', {'summary': 0.7, 'title': 0.3})} SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", "chat")
+@query(f"WITH {ASKED}, {bm25_sql('chat', {'summary': 0.7, 'title': 0.3})} SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", "chat")
 def bm25_summaries(spark, d):
     found = retrieval.bm25(text_queries(spark, d), t.chats(spark, d), {"summary": 0.7, "title": 0.3})
     return retrieval.best_text(found, 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
-def fused_sql(strategy: str, limit: int) -> str:
+def hybrid_sql(docs: str, vectors: str, fields: dict[str, float], limit: int, strategy: str = "rrf", x: str = "n") -> str:
+    """Common table expressions that end in fused_x (query_id, id, vr, tr, distance, score, fused, best, final_rank)."""
     score = (
         "coalesce(0.7 / (60 + vr), 0) + coalesce(0.3 / (60 + tr), 0)"
         if strategy == "rrf"
         else "coalesce(0.7 / (1 + greatest(distance, 0)), 0) + coalesce(0.3 * least(greatest(score / 10, 0), 1), 0)"
     )
-    return f"""{bm25_sql('note', FIELDS)}, tr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS tr FROM bm QUALIFY tr <= 50),
-    bq AS (SELECT 'item:' || substr(id, 6) AS query_id, embedding FROM vec WHERE 'item:' || substr(id, 6) IN (SELECT query_id FROM tq)),
-    vs AS (SELECT query_id, v.id, 1 - list_cosine_similarity(q.embedding, v.embedding) AS distance FROM bq q, vec v),
-    vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS vr FROM vs QUALIFY vr <= 50),
-    trq AS (SELECT * FROM tr WHERE query_id IN (SELECT query_id FROM bq)),
-    fu AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id, vr, tr, {score} AS fused FROM vr v FULL JOIN trq t ON v.query_id = t.query_id AND v.id = t.id),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, least(vr, tr), id) AS final_rank FROM fu)
-    SELECT query_id, id, vr AS vector_rank, tr AS text_rank, round(fused, 6) AS fused_score, final_rank FROM ranked WHERE final_rank <= {limit}"""
+    pool = retrieval.pool_size(limit)
+    return f"""{bm25_sql(docs, fields, f"bm_{x}")}, tr_{x} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS tr FROM bm_{x} QUALIFY tr <= {pool}),
+    vs_{x} AS (SELECT query_id, v.id, 1 - list_cosine_similarity(q.embedding, v.embedding) AS distance FROM (SELECT 'item:' || substr(id, 6) AS query_id, embedding FROM vec WHERE 'item:' || substr(id, 6) IN (SELECT query_id FROM tq)) q, {vectors} v),
+    vr_{x} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS vr FROM vs_{x} QUALIFY vr <= {pool}),
+    fu_{x} AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id, vr, tr, distance, score, {score} AS fused FROM vr_{x} v FULL JOIN tr_{x} t ON v.query_id = t.query_id AND v.id = t.id),
+    fused_{x} AS (SELECT *, least(vr, tr) AS best, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, least(vr, tr), id) AS final_rank FROM fu_{x} QUALIFY final_rank <= {limit})"""
+
+
+def fused_sql(strategy: str, limit: int) -> str:
+    return f"""{ASKED}, {hybrid_sql("note", "vec", FIELDS, limit, strategy)}
+    SELECT query_id, id, vr AS vector_rank, tr AS text_rank, round(fused, 6) AS fused_score, final_rank FROM fused_n"""
 
 
 def fused(spark: SparkSession, d: str, strategy: str, limit: int) -> DataFrame:
@@ -328,17 +316,23 @@ def weighted_fusion(spark, d):
     return fused(spark, d, "weighted", 10)
 
 
-@query()
+SUMMARY_FIELDS = {"summary": 0.7, "title": 0.3}
+SCOPED_SQL = f"""{ASKED}, {hybrid_sql("visible", "vec", FIELDS, 10, x="n")}, {hybrid_sql("msg", "mvec", {"content": 1.0}, 10, x="m")}, {hybrid_sql("chat", "cvec", SUMMARY_FIELDS, 10, x="s")},
+    every AS (SELECT query_id, id, 'note' AS hit_type, 0 AS k, fused AS score, best FROM fused_n UNION ALL SELECT query_id, id, 'message', 1, fused * 0.9, best FROM fused_m UNION ALL SELECT query_id, id, 'summary', 2, fused * 0.8, best FROM fused_s),
+    scope AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, best, k, id) AS final_rank FROM every QUALIFY final_rank <= 10)"""
+
+
+@query(f"WITH {SCOPED_SQL} SELECT query_id, id, hit_type, round(score, 6) AS score, best AS best_rank, final_rank FROM scope", "visible", "msg", "chat", "mvec", "cvec", "vec")
 def scoped_search(spark, d):
-    """Notes, messages and summaries in one ranking, text channel for chats."""
+    """Notes, messages and summaries, each by both channels, in one ranking."""
     q = both_queries(spark, d)
-    text_only = lambda rows, fields: retrieval.fuse(spark.createDataFrame([], "query_id string, id string, distance double"), retrieval.best_text(retrieval.bm25(q, rows, fields), 50))
     parts = {
         "note": retrieval.hybrid(q, visible(spark, d), t.vectors(spark, d), FIELDS, 10),
-        "message": text_only(t.messages(spark, d), {"content": 1.0}),
-        "summary": text_only(t.chats(spark, d), {"summary": 0.7, "title": 0.3}),
+        "message": retrieval.hybrid(q, t.messages(spark, d), t.message_vectors(spark, d), {"content": 1.0}, 10),
+        "summary": retrieval.hybrid(q, t.chats(spark, d), t.chat_vectors(spark, d), SUMMARY_FIELDS, 10),
     }
-    return retrieval.scoped(parts, {"message": 0.9, "summary": 0.8}, 10).withColumn("score", F.round("score", 6))
+    hits = retrieval.scoped(parts, {"message": 0.9, "summary": 0.8}, 10)
+    return hits.select("query_id", "id", "hit_type", F.round("score", 6).alias("score"), "best_rank", "final_rank")
 
 
 # ---- graph
@@ -430,7 +424,18 @@ def qa_diagnostics(spark, d):
     return chat.qa_diagnostics(t.messages(spark, d))
 
 
-@query()
+def qa_title_sql(question: str, number: str) -> str:
+    line = f"string_split({question}, chr(10))[1]"
+    for opening in chat.OPENINGS:
+        line = f"""regexp_replace({line}, '^(?:{opening.replace("'", "''")})+', '')"""
+    cut = f"substring({line}, 1, 48)"
+    head = rf"regexp_extract({cut}, '(?s)^(.*)\s\S*$', 1)"
+    return f"CASE WHEN {line} = '' THEN 'Q&A #' || {number} WHEN length({line}) <= 48 THEN {line} ELSE (CASE WHEN {head} <> '' THEN {head} ELSE {cut} END) || '...' END"
+
+
+@query(rf"""WITH {TALK_SQL}, p AS (SELECT conversation_id, row_number() OVER (PARTITION BY conversation_id ORDER BY message_index) AS pair, before_content AS question, content AS answer FROM pair WHERE long)
+    SELECT p.conversation_id, pair, {qa_title_sql('question', 'pair')} AS title, '**Question:** ' || question || chr(10) || chr(10) || '**Answer:** ' || answer AS content, 'chat-export,qa,conversation:' || replace(lower(c.title), ' ', '-') AS tags
+    FROM p JOIN chat c ON c.id = p.conversation_id""", "msg", "chat")
 def qa_notes(spark, d):
     return chat.qa_notes(t.messages(spark, d), t.chats(spark, d)).withColumn("tags", F.array_join("tags", ","))
 
@@ -455,7 +460,12 @@ def chats(spark, d):
     return t.chats(spark, d)
 
 
-@query()
+@query(f"""WITH {TALK_SQL}, d AS (SELECT t.conversation_id, count(*) FILTER (WHERE p) AS pairs, count(*) FILTER (WHERE s) AS short_pairs, max(o AND next_role IS NULL) AS ends_open FROM
+    (SELECT conversation_id, next_role, coalesce(role = 'assistant' AND before_role = 'human' AND strlen(before_content) > 10 AND strlen(content) > 20, false) AS p,
+    coalesce(role = 'assistant' AND before_role = 'human' AND NOT (strlen(before_content) > 10 AND strlen(content) > 20), false) AS s,
+    role = 'human' AND NOT coalesce(next_role = 'assistant', false) AS o FROM talk) t GROUP BY t.conversation_id)
+    SELECT (SELECT count(*) FROM msg) AS messages, (SELECT count(DISTINCT conversation_id) FROM msg) AS conversations, (SELECT count(*) FROM msg WHERE strlen(content) > 20) AS long_messages,
+    CAST(sum(pairs) AS BIGINT) AS pairs, CAST(sum(short_pairs) AS BIGINT) AS short_pairs, count(*) FILTER (WHERE pairs = 0) AS chats_without_pairs, count(*) FILTER (WHERE ends_open) AS chats_left_open FROM d""", "msg")
 def chat_preview(spark, d):
     return chat.preview(t.messages(spark, d))
 
@@ -474,10 +484,14 @@ def upsert_entities(spark, d):
     return lifecycle.merge_entities(arrivals).withColumn("aliases", F.array_join(F.array_sort("aliases"), ","))
 
 
-@query("SELECT user_id, event_id, event_type, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1")
+@query("""WITH old AS (SELECT user_id, event_id, event_type, value FROM events WHERE user_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1),
+    new AS (SELECT user_id, event_id, event_type, value FROM events WHERE user_id % 2 = 0)
+    SELECT user_id, event_id, event_type, value FROM (SELECT *, 0 AS fresh FROM old UNION ALL SELECT *, 1 FROM new) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY fresh DESC, event_id DESC) = 1""")
 def upsert_last_writer(spark, d):
+    """First events of two thirds of the users are there; all events of every second user arrive."""
     e = t.read(spark, d, "events").select("user_id", "event_id", "event_type", "value")
-    return lifecycle.upsert(e.filter("event_id % 2 = 0 and false"), e, "user_id", "event_id")
+    old = scans.first_per(e.filter("user_id % 3 <> 0"), ["user_id"], ["event_id"], 1).drop("rank")
+    return lifecycle.upsert(old, e.filter("user_id % 2 = 0"), "user_id", "event_id")
 
 
 @query("SELECT DISTINCT note_id, entity_id FROM (SELECT note_id, 'entity:' || (CAST(substr(entity_id, 8) AS BIGINT) + 1) % 25 AS entity_id FROM mention) WHERE (note_id, entity_id) NOT IN (SELECT (note_id, entity_id) FROM mention)", "mention")
@@ -534,23 +548,34 @@ def upsert_proposals(spark, d):
 # ---- upkeep, jobs, evaluation, archives
 
 
-@query()
+GARDEN_SQL = """vv AS (SELECT v.id, v.embedding FROM vec v JOIN visible n ON n.id = v.id),
+    lone AS (SELECT id FROM visible WHERE id NOT IN (SELECT from_id FROM visible_edge WHERE edge_type <> 'derived_from' UNION ALL SELECT to_id FROM visible_edge WHERE edge_type <> 'derived_from')),
+    near AS (SELECT a.id AS q, b.id, list_cosine_similarity(a.embedding, b.embedding) AS s, row_number() OVER (PARTITION BY a.id ORDER BY round(1 - list_cosine_similarity(a.embedding, b.embedding), 9), b.id) AS rank
+        FROM vv a JOIN lone l ON l.id = a.id, vv b WHERE a.id <> b.id AND list_cosine_similarity(a.embedding, b.embedding) > 0.2 QUALIFY rank <= 5),
+    pairs AS (SELECT least(q, id) AS from_id, greatest(q, id) AS to_id, s, q, rank FROM near QUALIFY row_number() OVER (PARTITION BY least(q, id), greatest(q, id) ORDER BY q, rank) = 1),
+    suggested AS (SELECT from_id, to_id, s FROM pairs ORDER BY q, rank LIMIT 50)"""
+
+
+@query(f"WITH {GARDEN_SQL} SELECT from_id, to_id, round(s, 6) AS similarity, format('High semantic similarity ({{:.1f}}%)', s * 100) AS reason FROM suggested", "vec", "visible", "visible_edge")
 def gardener_suggestions(spark, d):
     v = visible(spark, d)
     lone = graph.orphans(v, scans.visible_edges(t.edges(spark, d), v)).select("id")
     vectors = t.vectors(spark, d).join(v.select("id"), "id", "left_semi")
-    return gardener.suggestions(vectors.join(lone, "id", "left_semi"), vectors, 0.2)
+    return gardener.suggestions(vectors.join(lone, "id", "left_semi"), vectors, 0.2).withColumn("similarity", F.round("similarity", 6))
 
 
-TOKENS_SQL = r"tk AS (SELECT conv_id AS group_id, id, unnest(string_split(trim(regexp_replace(lower(content), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS token FROM msg), tc AS (SELECT group_id, id, token, count(*) AS n FROM tk WHERE token <> '' GROUP BY ALL), sz AS (SELECT group_id, id, sum(n) AS size FROM tc GROUP BY ALL)"
+TOKENS_SQL = r"tk AS (SELECT conv_id AS group_id, id, unnest(string_split(trim(regexp_replace(trim(regexp_replace(lower(content), '\s+', ' ', 'g')), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')) AS token FROM (SELECT conv_id, id, content FROM msg UNION ALL SELECT conv_id, id || ':edit', regexp_replace(content, '\S+\s+\S+\s*$', '') FROM msg)), tc AS (SELECT group_id, id, token, count(*) AS n FROM tk WHERE token <> '' GROUP BY ALL), sz AS (SELECT group_id, id, sum(n) AS size FROM tc GROUP BY ALL)"
 
 
 @query(f"""WITH {TOKENS_SQL}, sh AS (SELECT a.group_id, a.id AS left_id, b.id AS right_id, sum(least(a.n, b.n)) AS shared FROM tc a JOIN tc b ON a.group_id = b.group_id AND a.token = b.token AND a.id < b.id GROUP BY ALL)
-    SELECT sh.group_id, left_id, right_id, round(shared / (x.size + y.size - shared), 6) AS similarity FROM sh JOIN sz x ON x.id = left_id JOIN sz y ON y.id = right_id WHERE shared / (x.size + y.size - shared) >= 0.1""", "msg")
+    SELECT sh.group_id, left_id, right_id, round(shared / (x.size + y.size - shared), 6) AS similarity FROM sh JOIN sz x ON x.id = left_id JOIN sz y ON y.id = right_id WHERE shared / (x.size + y.size - shared) >= 0.85""", "msg")
 def near_duplicate_messages(spark, d):
+    """Messages of a conversation; every message comes again as an edit without its last words."""
     m = t.messages(spark, d)
+    edited = m.withColumns({"id": F.concat("id", F.lit(":edit")), "content": F.regexp_replace("content", r"\S+\s+\S+\s*$", "")})
+    m = m.unionByName(edited)
     tokens = m.select(F.col("conv_id").alias("group_id"), "id", F.explode(F.split(tx.lexical(F.col("content")), " ")).alias("token")).filter("token <> ''").groupBy("group_id", "id", "token").agg(F.count("*").alias("n"))
-    return gardener.near_duplicates(tokens, 0.1).withColumn("similarity", F.round("similarity", 6))
+    return gardener.near_duplicates(tokens, 0.85).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("""WITH items AS (SELECT id, 'note' AS kind, content AS text FROM note UNION ALL SELECT id, 'message', CASE WHEN trim(content) = '' THEN '[empty message]' ELSE content END FROM msg UNION ALL SELECT id, 'summary', summary FROM chat WHERE summary IS NOT NULL AND trim(summary) <> '')
@@ -561,12 +586,16 @@ def pending_embeddings(spark, d):
     return jobs.left_to_do(items, done).select("id", "kind", "fingerprint")
 
 
-@query()
+@query(r"""WITH k AS (SELECT id, content, sha256('embed' || chr(0) || 'test' || chr(0) || '' || chr(0) || 'fnv' || chr(0) || '' || chr(0) || '1' || chr(0) || 'sha256:' || sha256(replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)))) AS cache_key FROM msg),
+    held AS (SELECT DISTINCT cache_key FROM k JOIN msg USING (id) WHERE conv_id % 2 = 0)
+    SELECT id, cache_key, CAST(CASE WHEN cache_key IN (SELECT cache_key FROM held) THEN 1 ELSE 2 * length(content) END AS DOUBLE) AS first FROM k""", "msg")
 def cached_inference(spark, d):
-    items = t.messages(spark, d).select("id", F.col("content").alias("text"))
-    cache = spark.createDataFrame([], "cache_key string, embedding array<float>")
-    found, _ = jobs.infer_cached(items, cache, lambda texts: [jobs.fnv_vector(x, 4) for x in texts], operation="embed", provider="test", model="fnv", version="1")
-    return found.select("id", "cache_key", F.round(F.col("embedding")[0].cast("double"), 6).alias("first"))
+    """Texts of every second conversation are in the cache; the others are inferred."""
+    items = t.messages(spark, d).select("id", F.col("content").alias("text"), "conv_id")
+    identity = {"operation": "embed", "provider": "test", "model": "fnv", "version": "1"}
+    cache = items.filter("conv_id % 2 = 0").select(jobs.cache_key(F.col("text"), **identity).alias("cache_key"), F.array(F.lit(1.0).cast("float")).alias("embedding")).dropDuplicates(["cache_key"])
+    found, _ = jobs.infer_cached(items.drop("conv_id"), cache, lambda texts: [[2.0 * len(x)] for x in texts], **identity)
+    return found.select("id", "cache_key", F.col("embedding")[0].cast("double").alias("first"))
 
 
 METRIC_SQL = f"""{KNN_SQL}, rel AS (SELECT q.query_id, v.id, 1 + CAST(substr(v.id, 6) AS BIGINT) % 2 AS grade FROM (SELECT query_id, label FROM vq JOIN vec ON vec.id = vq.query_id) q JOIN vec v ON v.label = q.label AND CAST(substr(v.id, 6) AS BIGINT) % 5 = 0),
@@ -616,10 +645,15 @@ def archive_dangling(spark, d):
 # ---- text shaping
 
 
-@query("SELECT id, CAST(unnest(generate_series(0, len(p) - 1)) AS INT) AS place, unnest(p) AS chunk FROM (SELECT id, list_filter(string_split(replace(content, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: length(trim(x)) >= 40) AS p FROM note) WHERE len(p) > 0", "note")
+@query("""WITH p AS (SELECT id, unnest(list_filter(list_transform(string_split(replace(content, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: length(x) >= 40)) AS p,
+        generate_subscripts(list_filter(string_split(replace(content, chr(10), chr(10) || chr(10)), chr(10) || chr(10)), lambda x: length(regexp_replace(x, '^\\s+|\\s+$', '', 'g')) >= 40), 1) AS pos FROM note),
+    n AS (SELECT *, CAST(ceil(length(p) / 120.0) AS INT) AS whole FROM p),
+    c AS (SELECT id, pos, i, p, whole, length(p) AS n, CASE WHEN whole > 1 AND length(p) - (whole - 1) * 120 < 40 AND i = whole - 1 THEN length(p) - 40 ELSE i * 120 END AS b,
+        CASE WHEN i = whole - 1 THEN length(p) WHEN whole > 1 AND length(p) - (whole - 1) * 120 < 40 AND i + 1 = whole - 1 THEN length(p) - 40 ELSE (i + 1) * 120 END AS e FROM (SELECT *, unnest(generate_series(0, whole - 1)) AS i FROM n))
+    SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pos, i) - 1 AS INT) AS place, substring(p, CAST(b + 1 AS BIGINT), CAST(e - b AS BIGINT)) AS chunk FROM c""", "note")
 def paragraph_chunks(spark, d):
     text = F.regexp_replace("content", "\n", "\n\n")
-    return t.notes(spark, d).select("id", F.posexplode(chunking.paragraph_chunks(text, 40, 1_000_000)).alias("place", "chunk"))
+    return t.notes(spark, d).select("id", F.posexplode(chunking.paragraph_chunks(text, 40, 120)).alias("place", "chunk"))
 
 
 @query()
@@ -628,10 +662,31 @@ def markdown_chunks(spark, d):
     return chunking.markdown_chunks(made).select("source_identity", "ordinal", "start_byte", "end_byte", "content_hash", F.array_join("heading_path", " > ").alias("heading_path"), "overlap_chars")
 
 
-@query()
+def two_generations(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Notes as chunks of their sources, and a generation in which some changed and some are gone."""
+    number = F.col("doc_id")
+    old = t.notes(spark, d).select("source_id", number.cast("int").alias("ordinal"), F.array(F.concat(F.lit("part "), F.floor(number / 200))).alias("heading_path"), "content", "id")
+    new = old.drop("id").withColumn("content", F.when(F.col("ordinal") % 13 == 0, F.concat("content", F.lit(" changed"))).otherwise(F.col("content")))
+    return old, new.filter("ordinal % 29 <> 0")
+
+
+ALIGN_SQL = """o AS (SELECT source_id, id, doc_id AS ordinal, doc_id // 200 AS h, content AS c, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS p FROM note),
+    w AS (SELECT source_id, doc_id AS ordinal, doc_id // 200 AS h, CASE WHEN doc_id % 13 = 0 THEN content || ' changed' ELSE content END AS c, row_number() OVER (PARTITION BY source_id ORDER BY doc_id) AS p FROM note WHERE doc_id % 29 <> 0),
+    oc AS (SELECT source_id, h, c, count(*) AS n FROM o GROUP BY ALL), wc AS (SELECT source_id, h, c, count(*) AS n FROM w GROUP BY ALL), eq AS (SELECT * FROM oc JOIN wc USING (source_id, h, c, n)),
+    ok AS (SELECT o.*, n, row_number() OVER (PARTITION BY source_id ORDER BY p) AS k FROM o JOIN eq USING (source_id, h, c)), wk AS (SELECT w.*, n, row_number() OVER (PARTITION BY source_id ORDER BY p) AS k FROM w JOIN eq USING (source_id, h, c)),
+    line AS (SELECT a.source_id, a.p AS i, b.p AS j, a.h = b.h AND a.c = b.c AS same FROM ok a JOIN wk b USING (source_id, k)), flat AS (SELECT source_id, bool_and(same) AS ordered FROM line GROUP BY source_id),
+    single AS (SELECT a.source_id, a.p AS i, b.p AS j FROM ok a JOIN wk b USING (source_id, h, c) JOIN flat f USING (source_id) WHERE a.n = 1 AND b.n = 1 AND NOT ordered),
+    up AS (SELECT source_id, i, j FROM single QUALIFY j > coalesce(max(j) OVER (PARTITION BY source_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)),
+    ex AS (SELECT source_id, i, j FROM line JOIN flat USING (source_id) WHERE ordered UNION ALL SELECT * FROM up),
+    gap AS (SELECT x.source_id, x.i + 1 AS i, x.j + 1 AS j FROM ex x JOIN ex y ON y.source_id = x.source_id AND y.i = x.i + 2 AND y.j = x.j + 2 JOIN o a ON a.source_id = x.source_id AND a.p = x.i JOIN o b ON b.source_id = x.source_id AND b.p = x.i + 1
+        JOIN o e ON e.source_id = x.source_id AND e.p = x.i + 2 JOIN w m ON m.source_id = x.source_id AND m.p = x.j + 1 WHERE a.h = b.h AND b.h = e.h AND e.h = m.h AND (x.source_id, x.i + 1) NOT IN (SELECT (source_id, i) FROM ex)),
+    al AS (SELECT z.source_id, CAST(o.ordinal AS INT) AS old_ordinal, CAST(w.ordinal AS INT) AS new_ordinal, exact_content FROM (SELECT *, true AS exact_content FROM ex UNION ALL SELECT *, false FROM gap) z
+        JOIN o ON o.source_id = z.source_id AND o.p = z.i JOIN w ON w.source_id = z.source_id AND w.p = z.j)"""
+
+
+@query(f"WITH {ALIGN_SQL} SELECT * FROM al", "note")
 def aligned_chunks(spark, d):
-    old = t.notes(spark, d).select("source_id", F.col("doc_id").cast("int").alias("ordinal"), F.array(F.col("source_id")).alias("heading_path"), "content")
-    new = old.withColumn("content", F.when(F.col("ordinal") % 13 == 0, F.concat("content", F.lit(" changed"))).otherwise(F.col("content")))
+    old, new = two_generations(spark, d)
     return chunking.aligned_chunks(old, new)
 
 
@@ -703,13 +758,20 @@ def audited_edges(spark, d):
     return lifecycle.audited_edges(t.edges(spark, d), new, visible(spark, d)).select("id", "from_id", "to_id")
 
 
-@query("""SELECT 'repeated note ids' AS "check", CAST(0 AS BIGINT) AS problems UNION ALL SELECT 'vectors of another size', count(*) FROM vec WHERE len(embedding) <> 64
+@query("""WITH bad_note AS (SELECT id FROM note UNION ALL SELECT id FROM note WHERE doc_id % 50 = 0), bad_entity AS (SELECT canonical_name FROM entity UNION ALL SELECT canonical_name FROM entity WHERE CAST(substr(id, 8) AS BIGINT) % 5 = 0)
+    SELECT 'repeated note ids' AS "check", count(*) AS problems FROM (SELECT id FROM bad_note GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'vectors of another size', count(*) FROM vec WHERE len(embedding) <> 64 OR CAST(substr(id, 6) AS BIGINT) % 40 = 0
     UNION ALL SELECT 'vectors without a note', count(*) FROM vec WHERE id NOT IN (SELECT id FROM note) UNION ALL SELECT 'edges from nowhere', count(*) FROM edge WHERE from_id NOT IN (SELECT id FROM note)
     UNION ALL SELECT 'edges to nowhere', count(*) FROM edge WHERE to_id NOT IN (SELECT id FROM note) UNION ALL SELECT 'edges to themselves', count(*) FROM edge WHERE from_id = to_id
-    UNION ALL SELECT 'mentions of unknown entities', count(*) FROM mention WHERE entity_id NOT IN (SELECT id FROM entity) UNION ALL SELECT 'repeated entity names', 0
-    UNION ALL SELECT 'hidden notes', count(*) FROM note WHERE id NOT IN (SELECT id FROM visible)""", "note", "vec", "edge", "mention", "entity", "visible")
+    UNION ALL SELECT 'mentions of unknown entities', count(*) FROM mention WHERE entity_id NOT IN (SELECT id FROM entity) UNION ALL SELECT 'repeated entity names', count(*) FROM (SELECT canonical_name FROM bad_entity GROUP BY canonical_name HAVING count(*) > 1)
+    UNION ALL SELECT 'hidden notes', count(*) FROM bad_note WHERE id NOT IN (SELECT id FROM visible)""", "note", "vec", "edge", "mention", "entity", "visible")
 def doctor_report(spark, d):
-    return statistics.doctor(t.notes(spark, d), visible(spark, d), t.edges(spark, d), t.mentions(spark, d), t.entities(spark, d), t.vectors(spark, d), 64)
+    """Over tables with planted faults: repeated notes and entity names, and vectors that were cut."""
+    notes, entities, vectors = t.notes(spark, d), t.entities(spark, d), t.vectors(spark, d)
+    notes = notes.unionByName(notes.filter("doc_id % 50 = 0"))
+    number = lambda c: F.regexp_extract(c, "[0-9]+", 0).cast("long")
+    entities = entities.unionByName(entities.filter(number("id") % 5 == 0))
+    vectors = vectors.withColumn("embedding", F.when(number("id") % 40 == 0, F.slice("embedding", 1, 3)).otherwise(F.col("embedding")))
+    return statistics.doctor(notes, visible(spark, d), t.edges(spark, d), t.mentions(spark, d), entities, vectors, 64)
 
 
 @query("SELECT id, CAST(NULL AS VARCHAR) AS lease FROM note WHERE id NOT IN (SELECT id FROM vec) AND id IN (SELECT id FROM visible)", "note", "vec", "visible")
@@ -723,14 +785,14 @@ def manual_notes(spark, d):
     return lifecycle.manual_notes(t.messages(spark, d).select("id", "content")).select("id", "title", "content_hash")
 
 
-@query(f"WITH {bm25_sql('msg', {'content': 1.0})}, firsts AS (SELECT query_id, id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5) SELECT query_id, f.id, m.role || ' message #' || (m.message_index + 1) AS title, c.source_uri FROM firsts f JOIN msg m ON m.id = f.id JOIN chat c ON c.id = m.conversation_id", "msg", "chat")
+@query(f"WITH {ASKED}, {bm25_sql('msg', {'content': 1.0})}, firsts AS (SELECT query_id, id, score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 5) SELECT query_id, f.id, m.role || ' message #' || (m.message_index + 1) AS title, c.source_uri FROM firsts f JOIN msg m ON m.id = f.id JOIN chat c ON c.id = m.conversation_id", "msg", "chat")
 def message_hits(spark, d):
     found = retrieval.best_text(retrieval.bm25(text_queries(spark, d), t.messages(spark, d), {"content": 1.0}), 5)
     shaped = found.join(t.messages(spark, d), "id").join(t.chats(spark, d).select(F.col("id").alias("conversation_id"), "source_uri"), "conversation_id")
     return shaped.select("query_id", "id", retrieval.message_title(F.col("role"), F.col("message_index")).alias("title"), "source_uri")
 
 
-@query()
+@query(r"""WITH n AS (SELECT id, list_slice(regexp_extract_all(content, '\b[A-Z][a-z]+\b'), 1, 3) AS names FROM msg) SELECT DISTINCT id, unnest(names) AS name, 'organization' AS entity_type FROM n""", "msg")
 def extracted_entities(spark, d):
     """A stand-in for a model: it names the first capitalised words, in fenced JSON."""
 
@@ -738,17 +800,16 @@ def extracted_entities(spark, d):
         import json
         import re
 
-        names = re.findall(r"\b[A-Z][a-z]+\b", text)[:3]
+        names = re.findall(r"\b[A-Z][a-z]+\b", text, re.ASCII)[:3]
         return "Sure:\n```json\n" + json.dumps({"entities": [{"name": n, "type": "ORG"} for n in names]}) + "\n```"
 
     items = t.messages(spark, d).select("id", F.col("content").alias("text"))
-    return jobs.extract_entities(items, answer)
+    return jobs.extract_entities(items, answer, 0)
 
 
-@query()
+@query(f"WITH {ALIGN_SQL} SELECT w.source_id, count(*) AS chunks, count(v.embedding) AS reused FROM w LEFT JOIN al ON al.source_id = w.source_id AND al.new_ordinal = w.ordinal AND exact_content LEFT JOIN vec v ON v.id = 'note:' || al.old_ordinal GROUP BY w.source_id", "note", "vec")
 def reused_vectors(spark, d):
-    old = t.notes(spark, d).select("source_id", F.col("doc_id").cast("int").alias("ordinal"), F.array(F.col("source_id")).alias("heading_path"), "content", "id")
-    new = old.drop("id").withColumn("content", F.when(F.col("ordinal") % 13 == 0, F.concat("content", F.lit(" changed"))).otherwise(F.col("content")))
+    old, new = two_generations(spark, d)
     held = old.join(t.vectors(spark, d).select("id", "embedding"), "id").select("source_id", "ordinal", "embedding")
     found = chunking.reused_vectors(chunking.aligned_chunks(old.drop("id"), new), held, new)
     return found.groupBy("source_id").agg(F.count("*").alias("chunks"), F.count("embedding").alias("reused"))

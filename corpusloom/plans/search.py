@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from dataclasses import dataclass, field, replace
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,28 +53,53 @@ def eligible_notes(model: Model, how: Search, now: datetime) -> DataFrame:
     return notes
 
 
+def merged_pool(limit: int) -> int:
+    """Hits that the filters after a merge choose from."""
+    return retrieval.pool_size(limit)
+
+
 def search(model: Model, queries: DataFrame, how: Search = Search(), now: datetime | None = None) -> DataFrame:
-    """Ranked hits of each query (query_id, query, embedding): query_id, id, hit_type, score, final_rank, and graph evidence."""
-    notes = eligible_notes(model, how, now or datetime(1970, 1, 1))
+    """Ranked hits of each query (query_id, query, embedding): query_id, id, hit_type, title, source_uri, score, final_rank and evidence.
+
+    ``since_days`` counts back from ``now``, by default the time of the call. The entity
+    filter chooses from the merged pool, which is ranked again and cut after it.
+    """
+    notes = eligible_notes(model, how, now or datetime.now(UTC).replace(tzinfo=None))
+    pool = merged_pool(how.limit)
     parts: dict[str, DataFrame] = {}
     if how.scope in ("notes", "all"):
         vectors = model.vectors.join(notes.select("id"), "id", "left_semi")
-        parts["note"] = retrieval.hybrid(queries, notes, vectors, how.note_fields, how.limit, how.fusion)
+        parts["note"] = retrieval.hybrid(queries, notes, vectors, how.note_fields, pool, how.fusion)
     for kind, rows, fields in (("message", model.messages, {"content": 1.0}), ("summary", model.chats, {"summary": 0.7, "title": 0.3})):
         if rows is not None and how.scope in ("all", "messages" if kind == "message" else "summaries"):
-            parts[kind] = retrieval.hybrid(queries, rows, model.vectors.join(rows.select("id"), "id", "left_semi"), fields, how.limit, how.fusion)
-    hits = retrieval.scoped(parts, how.weights, how.limit)
+            parts[kind] = retrieval.hybrid(queries, rows, model.vectors.join(rows.select("id"), "id", "left_semi"), fields, pool, how.fusion)
+    hits = retrieval.scoped(parts, how.weights, pool)
     if how.use_graph != "off" and model.entities is not None and "note" in parts:
         edges = scans.visible_edges(model.edges, notes)
         anchors = hits.filter("hit_type = 'note'").select("query_id", F.col("id").alias("note_id")) if how.use_graph == "on" else None
         found = graph.graph_search(queries, model.entities, model.mentions, notes, edges, how.expansion, anchors)
         hits = graph.merge_hits(hits, found, how.weights["note"]).withColumn("hit_type", F.coalesce("hit_type", F.lit("note")))
-        hits = scans.first_per(hits.drop("final_rank"), ["query_id"], [F.desc(F.round("score", 9)), F.asc_nulls_last("best_rank"), "id"], how.limit, "final_rank")
     if how.entity:
         named = model.entities.filter(F.contains("canonical_name", F.lower(F.trim(F.lit(how.entity))))).select(F.col("id").alias("entity_id"))
         mentioned = model.mentions.join(named, "entity_id", "left_semi").select(F.col("note_id").alias("id")).distinct()
         hits = hits.filter("hit_type <> 'note'").unionByName(hits.filter("hit_type = 'note'").join(mentioned, "id", "left_semi"), allowMissingColumns=True)
-    return hits
+    kind = F.array_position(F.array(*[F.lit(x) for x in retrieval.HIT_TYPES]), F.col("hit_type"))
+    hits = scans.first_per(hits.drop("final_rank"), ["query_id"], [F.desc(F.round("score", 9)), F.asc_nulls_last("best_rank"), kind, "id"], how.limit, "final_rank")
+    return retrieval.evidence(hits).join(payload(model), "id", "left")
+
+
+def payload(model: Model) -> DataFrame:
+    """id, title, content and source_uri of notes, messages and summaries, shaped as hits."""
+    uris = model.sources.select(F.col("id").alias("source_id"), F.col("uri").alias("source_uri"))
+    out = model.notes.join(uris, "source_id", "left").select("id", "title", "content", "source_uri")
+    if model.messages is not None:
+        chats = model.chats.select(F.col("id").alias("conversation_id"), "source_uri") if model.chats is not None and "source_uri" in model.chats.columns else None
+        rows = model.messages.join(chats, "conversation_id", "left") if chats is not None else model.messages.withColumn("source_uri", F.lit(None).cast("string"))
+        out = out.unionByName(rows.select("id", retrieval.message_title(F.col("role"), F.col("message_index")).alias("title"), "content", "source_uri"))
+    if model.chats is not None:
+        uri = F.col("source_uri") if "source_uri" in model.chats.columns else F.lit(None).cast("string")
+        out = out.unionByName(model.chats.select("id", retrieval.summary_title(F.col("title"), F.col("uuid")).alias("title"), F.col("summary").alias("content"), uri.alias("source_uri")))
+    return out
 
 
 def related(model: Model, hits: DataFrame) -> DataFrame:
@@ -83,26 +108,50 @@ def related(model: Model, hits: DataFrame) -> DataFrame:
     return hits.join(graph.related_notes(scans.visible_edges(model.edges, notes)).withColumnRenamed("note_id", "id"), "id", "left")
 
 
-def augment(model: Model, queries: DataFrame, how: Search = Search(), budget: packing.Packing = packing.Packing()) -> DataFrame:
+def fetch_size(chunks: int) -> int:
+    """Hits that a context of so many chunks is packed from."""
+    return min(max(chunks * 4, 4), 200)
+
+
+def graph_summary(found: DataFrame, kept: DataFrame) -> DataFrame:
+    """Per query how many graph candidates there were, and how many of them are among the final hits."""
+    chosen = kept.select("query_id", "id", F.lit(1).alias("__kept"))
+    return found.join(chosen, ["query_id", "id"], "left").groupBy("query_id").agg(
+        F.count("*").alias("candidates"), F.count("__kept").alias("selected"), (F.count("*") - F.count("__kept")).alias("dropped"), F.max("hops").alias("hops"), F.count_distinct("seed_id").alias("seeds")
+    )
+
+
+def augment(model: Model, queries: DataFrame, how: Search = Search(), budget: packing.Packing = packing.Packing(), now: datetime | None = None) -> DataFrame:
     """Packed context of each query; a zero budget makes no search."""
-    fetch = min(max(budget.chunks * 4, 4), 200)
-    hits = search(model, queries, Search(**{**how.__dict__, "limit": fetch}))
-    texts = model.notes.select("id", "title", "content")
-    if model.messages is not None:
-        texts = texts.unionByName(model.messages.select("id", retrieval.message_title(F.col("role"), F.col("message_index")).alias("title"), "content"))
-    if model.chats is not None:
-        texts = texts.unionByName(model.chats.select("id", F.coalesce("title", F.concat(F.lit("Conversation "), "uuid")).alias("title"), F.col("summary").alias("content")))
-    rows = hits.join(texts, "id").join(queries.select("query_id", "query"), "query_id")
+    rows = search(model, queries if budget.total > 0 else queries.filter("false"), replace(how, limit=fetch_size(budget.chunks)), now)
+    rows = rows.join(queries.select("query_id", "query"), "query_id")
     return packing.pack(rows.select("query_id", "query", F.col("final_rank").alias("rank"), "id", "hit_type", "title", F.coalesce("content", F.lit("")).alias("content"), "score"), budget)
 
 
-def garden(model: Model, least: float = 0.7, most: int = 50) -> DataFrame:
-    """The proposals after a scan for lone notes with similar ones."""
+def lone_suggestions(model: Model, least: float, most: int) -> tuple[DataFrame, DataFrame]:
+    """Notes without edges, and the links suggested for them."""
     notes = scans.visible_notes(model.notes, model.sources)
     lone = graph.orphans(notes, scans.visible_edges(model.edges, notes)).select("id")
     vectors = model.vectors.join(notes.select("id"), "id", "left_semi")
-    found = gardener.suggestions(vectors.join(lone, "id", "left_semi"), vectors, least, most=most)
-    return lifecycle.upsert_proposals(model.proposals, gardener.as_proposals(found))
+    return lone, gardener.suggestions(vectors.join(lone, "id", "left_semi"), vectors, least, most=most)
+
+
+def garden(model: Model, least: float = 0.7, most: int = 50) -> DataFrame:
+    """The proposals after a scan for lone notes with similar ones."""
+    return lifecycle.upsert_proposals(model.proposals, gardener.as_proposals(lone_suggestions(model, least, most)[1]))
+
+
+def maintenance(model: Model, least: float = 0.7, most: int = 50) -> DataFrame:
+    """One row: lone notes, links suggested for them, those that are new as proposals, and pending proposals after the scan."""
+    lone, found = lone_suggestions(model, least, most)
+    after = lifecycle.upsert_proposals(model.proposals, gardener.as_proposals(found))
+    new = after.join(model.proposals.select("id"), "id", "left_anti")
+    return (
+        lone.agg(F.count("*").alias("orphans"))
+        .join(found.agg(F.count("*").alias("suggestions")))
+        .join(new.agg(F.count("*").alias("new_proposals")))
+        .join(after.agg(F.count_if(F.col("status") == "pending").alias("pending_proposals")))
+    )
 
 
 def evaluate(model: Model, cases: DataFrame, relevance: DataFrame, how: Search = Search(), k: int = 10) -> DataFrame:

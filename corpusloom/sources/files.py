@@ -68,5 +68,18 @@ def evaluation_cases(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(case.alias("c"), checked.alias("valid")).filter("valid").select("c.*")
 
 
+#: The newest report format that is read.
+REPORT_VERSION = 2
+
+
+def baseline_report(spark: SparkSession, path: str) -> DataFrame:
+    """Cases of a stored evaluation report: name, query and metrics; a report of a newer format is refused."""
+    metrics = "struct<k:int,recall_at_k:double,precision_at_k:double,reciprocal_rank:double,ndcg_at_k:double,provenance_accuracy:double,chunks:int,tokens:long>"
+    report = spark.read.schema(f"metadata struct<schema_version:int,provider:string,model:string>, cases array<struct<name:string,query:string,metrics:{metrics}>>").json(path, multiLine=True, mode="FAILFAST")
+    version = F.coalesce("metadata.schema_version", F.lit(1))
+    gate = F.when(version > REPORT_VERSION, F.raise_error(F.concat(F.lit("unsupported report version "), version.cast("string")))).otherwise(F.lit(True))
+    return report.filter(gate).select(F.explode("cases").alias("c")).select(F.col("c.name").alias("case_id"), "c.query", "c.metrics.*")
+
+
 def write_lines(rows: DataFrame, path: str) -> None:
     rows.select(F.to_json(F.struct(*rows.columns)).alias("value")).write.text(path)

@@ -75,6 +75,32 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _vectors_by(spark: SparkSession, sf_dir: str, rows: DataFrame, number: Column) -> DataFrame:
+    """id and embedding of rows, the vector being that of the number modulo how many there are."""
+    v = read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("__v"), "embedding")
+    return rows.withColumn("__v", number % v.count()).join(v, "__v").select("id", "embedding")
+
+
+def message_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors_by(spark, sf_dir, messages(spark, sf_dir), F.col("conv_id") * 31 + F.col("message_index"))
+
+
+def chat_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = chats(spark, sf_dir)
+    return _vectors_by(spark, sf_dir, rows, F.split_part("id", F.lit(":"), F.lit(2)).cast("long") * 17 + 3)
+
+
+def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batch jobs with leases, one per supplier."""
+    k = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("job:"), k).alias("id"),
+        F.element_at(F.array(*[F.lit(x) for x in ("pending", "running", "failed", "cancelled", "completed")]), (k % 5 + 1).cast("int")).alias("status"),
+        F.when(k % 3 == 0, F.lit("worker-a")).when(k % 3 == 1, F.lit("worker-b")).alias("lease_owner"),
+        F.when(k % 3 != 2, at_hour(k)).alias("lease_expires_at"),
+    )
+
+
 def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per conversation; its summary is the first thing that the assistant says."""
     said = F.when(F.col("role") == "assistant", F.struct("message_index", "content"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import lexical
 from corpusloom.functions import text as tx
 from corpusloom.operators import chat, chunking, evaluation, gardener, graph, jobs, lifecycle, packing, portable, retrieval
+from corpusloom.plans import search
 from corpusloom.sources import files
 
 #: The published fusion case and its results.
@@ -172,11 +173,129 @@ def test_paragraphs(spark):
     assert df.select(chunking.paragraph_chunks(F.col("t"), 10, 12)).first()[0] == ["a" * 12, "a" * 3, "a" * 10, "b" * 10]
 
 
+def align(old: list[tuple], new: list[tuple]) -> list[tuple[int, int, bool]]:
+    """By a walk: (old place, new place, exact) of chunks of two generations; a chunk is (heading path, content).
+
+    Anchors that are as frequent on both sides pair off in order if their order is the
+    same; else only single ones that keep rising do. A lone changed chunk between two
+    pairs under the same headings is the successor of the one it replaced.
+    """
+    a, b = Counter(old), Counter(new)
+    left = [i for i, x in enumerate(old) if a[x] == b[x]]
+    right = [j for j, x in enumerate(new) if a[x] == b[x]]
+    if [old[i] for i in left] == [new[j] for j in right]:
+        exact = list(zip(left, right, strict=True))
+    else:
+        place, exact, last = {x: j for j, x in enumerate(new)}, [], -1
+        for i, x in enumerate(old):
+            if a[x] == b[x] == 1 and place[x] > last:
+                last = place[x]
+                exact.append((i, last))
+    out = [(i, j, True) for i, j in exact]
+    for (i, j), (k, m) in zip(exact, exact[1:], strict=False):
+        if k == i + 2 and m == j + 2 and len({tuple(x[0]) for x in (*old[i : k + 1], *new[j : m + 1])}) == 1:
+            out.append((i + 1, j + 1, False))
+    return sorted(out, key=lambda x: x[1])
+
+
 def test_alignment():
     a, b, c, x = (("h",), "a"), (("h",), "b"), (("h",), "c"), (("h",), "x")
-    assert chunking.align([a, b, c], [a, x, c]) == [(0, 0, True), (1, 1, False), (2, 2, True)]
-    assert chunking.align([a, a, b], [a, a, b]) == [(0, 0, True), (1, 1, True), (2, 2, True)]
-    assert chunking.align([a, b], [b, a]) == [(0, 1, True)]
+    assert align([a, b, c], [a, x, c]) == [(0, 0, True), (1, 1, False), (2, 2, True)]
+    assert align([a, a, b], [a, a, b]) == [(0, 0, True), (1, 1, True), (2, 2, True)]
+    assert align([a, b], [b, a]) == [(0, 1, True)]
+
+
+@pytest.mark.parametrize("bucket", [4096, 3])
+def test_alignment_equals_a_walk(spark, monkeypatch, bucket):
+    monkeypatch.setattr(chunking, "BUCKET", bucket)
+    random.seed(11)
+    rows = {"old": [], "new": []}
+    want = set()
+    for n in range(40):
+        old = [((random.choice("hk"),), random.choice("abcdef") if n % 2 else f"c{i}") for i in range(random.randint(1, 12))]
+        new = [x if random.random() < 0.8 else (x[0], f"changed{i}") for i, x in enumerate(old) if random.random() < 0.9]
+        if n % 5 == 0:
+            random.shuffle(new)
+        for name, side in (("old", old), ("new", new)):
+            rows[name] += [(f"s{n}", 10 + 2 * i, list(h), c) for i, (h, c) in enumerate(side)]
+        want |= {(f"s{n}", 10 + 2 * i, 10 + 2 * j, e) for i, j, e in align(old, new)}
+    schema = "source_id string, ordinal int, heading_path array<string>, content string"
+    got = chunking.aligned_chunks(spark.createDataFrame(rows["old"], schema), spark.createDataFrame(rows["new"], schema))
+    assert {tuple(r) for r in got.collect()} == want
+
+
+def test_headings_of_old_chunks_are_recovered(spark):
+    old = [("s", 0, None, [], "a"), ("s", 1, None, [], "changed"), ("s", 2, None, [], "c"), ("s", 3, None, [], "twice"), ("s", 4, "k", ["own"], "d"), ("t", 0, None, [], "a")]
+    staged = [("s", ["h"], "a"), ("s", ["h"], "c"), ("s", ["h"], "twice"), ("s", ["i"], "twice"), ("s", ["other"], "d")]
+    got = chunking.recovered_headings(spark.createDataFrame(old, "source_id string, ordinal int, chunk_key string, heading_path array<string>, content string"), spark.createDataFrame(staged, "source_id string, heading_path array<string>, content string"))
+    assert {(r["source_id"], r["ordinal"]): r["heading_path"] for r in got.collect()} == {("s", 0): ["h"], ("s", 1): ["h"], ("s", 2): ["h"], ("s", 3): [], ("s", 4): ["own"], ("t", 0): []}
+
+
+def test_a_stored_report_and_its_version(spark, tmp_path):
+    case = {"name": "n", "query": "q", "metrics": {"k": 3, "recall_at_k": 1.0, "chunks": 2, "tokens": 148}}
+    for version in (1, 2, 3):
+        (tmp_path / f"{version}.json").write_text(json.dumps({"metadata": {"schema_version": version, "provider": "p", "model": "m"}, "cases": [case]}))
+    row = files.baseline_report(spark, f"file://{tmp_path}/2.json").first()
+    assert (row["case_id"], row["recall_at_k"], row["precision_at_k"], row["tokens"]) == ("n", 1.0, None, 148)
+    with pytest.raises(Exception, match="unsupported report version 3"):
+        files.baseline_report(spark, f"file://{tmp_path}/3.json").collect()
+
+
+def test_files_of_markdown(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "a.md").write_text("# A\n\ntext")
+    (tmp_path / "sub" / "b.md").write_bytes(b"one\r\ntwo")
+    rows = {r["uri"].rsplit("/", 1)[1]: r for r in files.markdown_files(spark, f"file://{tmp_path}").collect()}
+    assert rows["a.md"]["content"] == "# A\n\ntext"
+    assert rows["b.md"]["content_hash"].startswith("sha256:")
+
+
+def seeded(spark, scope):
+    """The published regression corpus (one-hot vectors) and its three questions."""
+    one = lambda i: [1.0 if j == i else 0.0 for j in range(4)]
+    notes = spark.createDataFrame(
+        [("note:music", "Music", "A local music service on the media host", "source:homelab"), ("note:lan", "LAN", "Network settings for the media host LAN", "source:homelab"), ("note:other", "Music", "A local music service on the other host", "source:other")],
+        "id string, title string, content string, source_id string",
+    ).selectExpr("*", "1L as source_generation", "timestamp'2024-01-01' as created_at")
+    sources = spark.createDataFrame([("source:homelab", "fixture://notes/homelab.md", 1), ("source:other", "fixture://notes/other.md", 1)], "id string, uri string, successful_generation long")
+    chats = spark.createDataFrame([("conversation:support", "fixture-conversation-support", None, "The migration decision is to retain stable identifiers.")], "id string, uuid string, title string, summary string")
+    messages = spark.createDataFrame([("message:adapter", "conversation:support", 0, "human", "Pair the adapter before connecting")], "id string, conversation_id string, message_index int, role string, content string")
+    vectors = spark.createDataFrame([("note:music", one(0)), ("note:lan", one(0)), ("note:other", one(0)), ("message:adapter", one(1)), ("conversation:support", one(2))], "id string, embedding array<double>")
+    queries = spark.createDataFrame([("notes", "local music service", one(0)), ("messages", "adapter pairing", one(1)), ("all", "what was decided", one(2))], "query_id string, query string, embedding array<double>")
+    return search.Model(notes, sources, vectors, messages, chats), queries.filter(F.col("query_id") == scope)
+
+
+@pytest.mark.parametrize(("scope", "k", "uri", "relevant", "recall", "precision"), [("notes", 3, "fixture://notes/homelab.md", {"note:music": 3, "note:lan": 1}, 1.0, 2 / 3), ("messages", 2, None, {"message:adapter": 3}, 1.0, 0.5), ("all", 3, None, {"conversation:support": 3}, 1.0, 1 / 3)])
+def test_seeded_searches(spark, scope, k, uri, relevant, recall, precision):
+    model, queries = seeded(spark, scope)
+    how = search.Search(scope=scope, limit=k, use_graph="off", source_uri=uri)
+    given = spark.createDataFrame([(scope, i, g) for i, g in relevant.items()], "case_id string, id string, grade int")
+    row = search.evaluate(model, queries, given, how, k).first()
+    assert row["recall"] == recall
+    assert row["precision"] == pytest.approx(precision)
+    hits = search.search(model, queries, how).orderBy("final_rank").collect()
+    assert [r["final_rank"] for r in hits] == list(range(1, len(hits) + 1))
+    assert all(r["evidence"]["final_rank"] == r["final_rank"] for r in hits)
+    if scope == "notes":
+        assert hits[0]["id"] == "note:music"
+        assert {r["source_uri"] for r in hits} == {uri}
+    if scope == "messages":
+        assert hits[0]["title"] == "human message #1"
+    packed = search.augment(model, queries, how).filter("reason = 'selected'").collect()
+    assert set(relevant) <= {r["id"] for r in packed}
+
+
+def test_days_count_back_from_the_call(spark):
+    model, queries = seeded(spark, "notes")
+    how = search.Search(use_graph="off", since_days=30)
+    assert search.search(model, queries, how).count() == 0
+    assert search.search(model, queries, how, datetime(2024, 1, 20)).count() == 3
+
+
+def test_folding_of_marks(spark):
+    row = spark.createDataFrame([("Ångström ŻÓŁĆ œuvre naïve Šří ệ",)], "t string").select(retrieval.terms(F.col("t")).alias("x")).first()
+    assert row["x"][0] == "angstrom"
+    assert row["x"][-2:] == ["sri", "e"]
 
 
 def hits(texts):

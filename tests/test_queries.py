@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from compare import duck_rows, spark_rows
 
-from corpusloom.plans import queries as core
+from corpusloom.plans import registered as core
 
 
 @pytest.mark.parametrize("name", sorted(core.SQL))
