@@ -129,6 +129,26 @@ def swapped(current: DataFrame, staged: DataFrame) -> DataFrame:
     return current.join(new, "id", "full_outer").withColumn("embedding", F.coalesce("__new", "embedding")).drop("__new")
 
 
+def reindexed(current: DataFrame, items: DataFrame, staged: DataFrame, cache: DataFrame, embed: Embed, **identity: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """One run of a reindex over ``items`` (id, text): (vectors after it, staged rows, new cache rows, the commit check).
+
+    Staged vectors (id, text, embedding) of unchanged texts are adopted, the others are
+    made by the cache; a run that was stopped goes on from what it staged.
+    """
+    kept = adoptable(staged, items).select("id", "text", "embedding")
+    made, new = infer_cached(items.select("id", "text").join(kept.select("id"), "id", "left_anti"), cache, embed, **identity)
+    after = kept.unionByName(made.select("id", "text", "embedding"))
+    return swapped(current, after.select("id", "embedding")), after, new, commit_check(after, items)
+
+
+def to_extract(notes: DataFrame, mentions: DataFrame, ids: list[str] | None = None, limit: int | None = None, force: bool = False) -> DataFrame:
+    """The notes that an extraction job takes: the given ones or all, without those that have entities unless forced."""
+    chosen = notes.filter(F.col("id").isin(ids)) if ids is not None else notes
+    if not force:
+        chosen = chosen.join(mentions.select(F.col("note_id").alias("id")), "id", "left_anti")
+    return chosen if limit is None else chosen.orderBy("created_at", "id").limit(limit)
+
+
 def identity_state(stored: dict | None, wanted: dict, vectors: int) -> str:
     """empty, matching, mismatch, or legacy (vectors without an identity): what a vector search may rely on."""
     if not stored:

@@ -175,6 +175,28 @@ def graph_summaries(spark, d):
     return s.graph_summary(found, found.filter(F.regexp_extract("id", "[0-9]+", 0).cast("long") % 2 == 0))
 
 
+def hop_sql(n: int) -> str:
+    """From front_(n-1) and kept_(n-1) to front_n and kept_n: bounded moves, best states, best candidates."""
+    m = n - 1
+    return f"""move_{n} AS (SELECT f.query_id, f.id AS here, e.b AS id, f.score * 0.8 * least(greatest(coalesce(e.confidence, 1.0), 0), 1) AS score, e.edge_id, f.seed_id, list_append(f.path, e.edge_id) AS path, list_append(f.visited, e.b) AS visited,
+        row_number() OVER (PARTITION BY f.query_id, f.id, e.edge_type ORDER BY e.confidence DESC NULLS LAST, e.edge_id) AS per_table FROM front_{m} f JOIN ends e ON e.a = f.id WHERE NOT list_contains(f.visited, e.b)),
+    fan_{n} AS (SELECT * FROM move_{n} WHERE per_table <= 3 QUALIFY row_number() OVER (PARTITION BY query_id, here ORDER BY round(score, 9) DESC, edge_id, id) <= 3),
+    state_{n} AS (SELECT query_id, id, score, seed_id, path, visited, {n} AS hops FROM fan_{n} QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY round(score, 9) DESC, edge_id) = 1),
+    best_{n} AS (SELECT * FROM (SELECT * FROM kept_{m} UNION ALL SELECT * FROM state_{n}) QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY round(score, 9) DESC, path, seed_id) = 1),
+    kept_{n} AS (SELECT * FROM best_{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, seed_id, id) <= 6),
+    front_{n} AS (SELECT * FROM state_{n} WHERE (query_id, id) IN (SELECT (query_id, id) FROM kept_{n}))"""
+
+
+@query(f"""WITH ends AS (SELECT from_id AS a, to_id AS b, id AS edge_id, edge_type, confidence FROM visible_edge UNION ALL SELECT to_id, from_id, id, edge_type, confidence FROM visible_edge),
+    front_0 AS (SELECT id AS query_id, id, 0.03 AS score, id AS seed_id, CAST([] AS VARCHAR[]) AS path, [id] AS visited, 0 AS hops FROM visible WHERE doc_id % 10 = 0), kept_0 AS (SELECT * FROM front_0), {hop_sql(1)}, {hop_sql(2)}
+    SELECT query_id, id, round(score, 6) AS score, CAST(hops AS INT) AS hops, array_to_string(path, ',') AS path FROM kept_2""", "visible_edge", "visible")
+def two_hops_from_notes(spark, d):
+    """Two hops with little fanout and few candidates, so that every bound cuts."""
+    v = q.visible(spark, d)
+    found = graph.expand(q.note_seeds(spark, d, 10), scans.visible_edges(t.edges(spark, d), v), graph.Expansion(hops=2, fanout=3, candidates=6))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "hops", F.array_join(F.transform("path", lambda x: x["edge_id"]), ",").alias("path"))
+
+
 SEEDS_SQL = f"""{q.PAGE_SQL}, c1 AS (SELECT query_id, note_id FROM pages WHERE entity_rank = 1 AND page_rank = 1),
     c2 AS (SELECT query_id, note_id FROM pages WHERE entity_rank = 2 AND (query_id, note_id) NOT IN (SELECT (query_id, note_id) FROM c1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY page_rank) = 1),
     d2 AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2), c3 AS (SELECT query_id, note_id FROM pages WHERE entity_rank = 3 AND (query_id, note_id) NOT IN (SELECT (query_id, note_id) FROM d2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY page_rank) = 1),

@@ -258,6 +258,39 @@ def reindex_commit(spark, d):
     return jobs.commit_check(*staged_vectors(spark, d))
 
 
+@query("SELECT id, CAST(CASE WHEN doc_id % 3 <> 0 AND doc_id % 11 <> 0 THEN -doc_id WHEN content IN (SELECT content FROM note WHERE doc_id % 2 = 0) THEN 1 ELSE 2 * length(content) END AS DOUBLE) AS first FROM note UNION ALL SELECT id, round(embedding[1], 6) FROM vec WHERE id NOT IN (SELECT id FROM note)", "note", "vec")
+def reindexed_vectors(spark, d):
+    """A run that adopts what was staged, finds texts of every second note in the cache and makes the rest."""
+    notes = t.notes(spark, d)
+    items = notes.select("id", F.col("content").alias("text"))
+    staged, _ = staged_vectors(spark, d)
+    staged = staged.withColumn("embedding", F.array((-number("id")).cast("float")))
+    identity = {"operation": "embed", "provider": "test", "model": "fnv", "version": "1"}
+    cache = notes.filter("doc_id % 2 = 0").select(jobs.cache_key(F.col("content"), **identity).alias("cache_key"), F.array(F.lit(1.0).cast("float")).alias("embedding")).dropDuplicates(["cache_key"])
+    after, _, _, _ = jobs.reindexed(t.vectors(spark, d).select("id", "embedding"), items, staged, cache, lambda texts: [[2.0 * len(x)] for x in texts], **identity)
+    return after.select("id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+@query("SELECT (SELECT count(*) FROM note) AS items, (SELECT count(*) FROM note) AS fresh, CAST(0 AS BIGINT) AS widened, true AS ready", "note")
+def reindex_report(spark, d):
+    """The same run may be committed: all there, fresh, and nothing new since."""
+    notes = t.notes(spark, d)
+    staged = staged_vectors(spark, d)[0].withColumn("embedding", F.array(F.lit(0.0).cast("float")))
+    cache = spark.createDataFrame([], "cache_key string, embedding array<float>")
+    items = notes.select("id", F.col("content").alias("text"))
+    return jobs.reindexed(t.vectors(spark, d).select("id", "embedding"), items, staged, cache, lambda texts: [[1.0] for _ in texts], operation="embed", provider="test", model="fnv", version="1")[3]
+
+
+@query("SELECT id FROM note WHERE id NOT IN (SELECT note_id FROM mention) ORDER BY created_at, note.id LIMIT 30", "note", "mention")
+def extraction_queue(spark, d):
+    return jobs.to_extract(t.notes(spark, d), t.mentions(spark, d), limit=30).select("id")
+
+
+@query("SELECT id FROM note WHERE id IN ('note:1', 'note:3', 'note:4')", "note")
+def forced_extraction(spark, d):
+    return jobs.to_extract(t.notes(spark, d), t.mentions(spark, d), ["note:1", "note:3", "note:4"], force=True).select("id")
+
+
 # ---- archives and reports
 
 
