@@ -90,6 +90,20 @@ def encode_distinct(data: np.ndarray, starts: np.ndarray, offsets: np.ndarray, e
     return gather(values, begins[codes], lengths[codes]), np.diff(upto[np.searchsorted(starts, offsets)])
 
 
+def merged_places(size: int, *places: np.ndarray) -> np.ndarray:
+    """The distinct places, all below ``size``, in order."""
+    marked = np.zeros(size, bool)
+    for x in places:
+        marked[x] = True
+    return np.flatnonzero(marked)
+
+
+def sorted_distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values in order; sorting is quicker here than hashing them."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def text_starts(offsets: np.ndarray) -> np.ndarray:
     """Where texts that aren't empty begin."""
     return offsets[:-1][np.diff(offsets) > 0]

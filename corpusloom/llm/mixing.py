@@ -105,7 +105,8 @@ def fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, cap: float) -> DataFrame:
     """Targets by water-filling: budget shared by weight, no source above ``cap`` times its size.
 
-    One row per source is ordered, never documents. The level is the first at which the
+    One row per source is ordered in one task, never documents: some millions of sources
+    (about 100 bytes each) are what it is made for. The level is the first at which the
     budget that is left, shared over the weights that are left, fits under the next cap.
     """
     per = sizes.groupBy("skey").agg(F.min("source").alias("source"), F.sum("size").alias("source_size"))

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.arrow_text import sorted_distinct
 from corpusloom.llm.components import components
 from corpusloom.llm.shared import SPACE, free_name, join_counted, materialize, scratch, text_or_empty
 
@@ -70,7 +71,7 @@ def ngram_sets(hashes: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     grams = roll(n, words)
     out = []
     for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-        out.append(np.unique(grams[a : b - n + 1]) if b - a >= n else roll(b - a, words[a:b]) if b > a else words[:0])
+        out.append(sorted_distinct(grams[a : b - n + 1]) if b - a >= n else roll(b - a, words[a:b]) if b > a else words[:0])
     return out
 
 
@@ -240,6 +241,7 @@ def blocks_of(family: DataFrame, threshold: float) -> DataFrame:
         return F.when(near, F.lag("blocks", step).over(in_order)).otherwise(F.lit(0))
 
     kinds = kinds.withColumns({"before": beside(1), "after": beside(-1)}).withColumn("place", F.concat_ws(":", "family", "kind")).drop("family", "kind")
+    kinds = materialize(kinds, scratch(family.sparkSession, "near-kinds"))
     rows = join_counted(rows.withColumn("place", F.concat_ws(":", "family", "kind")), kinds, "place", "rows", rows.count())
 
     def numbers(step: int, count: str):

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrow_text import Remembered, encode_distinct, flat_bytes, gather, small_batches, text_starts, with_columns
+from corpusloom.llm.arrow_text import Remembered, encode_distinct, flat_bytes, gather, merged_places, small_batches, text_starts, with_columns
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -179,7 +179,7 @@ class PieceModel:
         starts = text_starts(bounds)
         if self.split:
             space = marked == 0x20
-            starts = np.union1d(starts, np.flatnonzero(space[1:] & ~space[:-1]) + 1)
+            starts = merged_places(len(marked), starts, np.flatnonzero(space[1:] & ~space[:-1]) + 1)
         ids, counts = encode_distinct(marked, starts, bounds, self.remembered)
         pieces = np.append(0.0, np.cumsum(self.piece_scores[ids]))
         upto = np.append(0, np.cumsum(counts))

@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +24,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: ContextVar[list[str] | None] = ContextVar("_made", default=None)
+
+
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders that calls inside make are deleted at its end; results must be written before it."""
+    made: list[str] = []
+    outer = _made.set(made)
+    try:
+        yield
+    finally:
+        _made.reset(outer)
+        for path in made:
+            remove(spark, path)
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -33,7 +52,11 @@ def scratch(spark: SparkSession, label: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + os.path.join(tempfile.gettempdir(), "corpusloom-scratch")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    made = _made.get()
+    if made is not None:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, path: str) -> DataFrame:
@@ -57,10 +80,13 @@ def join_counted(left: DataFrame, right: DataFrame, on: str, n: str, rows: int,
     """Join ``right``, which has a key once and in column ``n`` how many of the ``rows`` rows of ``left`` have it.
 
     Keys of very many rows, of which there are at most HOT_GROUPS, are broadcast, so that
-    no task gets all rows of one; the others are joined by a shuffle (or as ``how`` says).
+    no task gets all rows of one; the others, or all where none is hot, are joined by a
+    shuffle.
     """
     least = max(HOT_ROWS, rows // HOT_GROUPS)
     large = right.filter(F.col(n) > least)
+    if large.isEmpty():
+        return left.join(right, on, how)
     rest = left.join(F.broadcast(large.select(on)), on, "left_anti").join(right.filter(F.col(n) <= least), on, how)
     return left.join(F.broadcast(large), on).unionByName(rest)
 

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.arrow_text import Remembered, encode_distinct, flat_bytes, open_folder, small_batches, text_starts
+from corpusloom.llm.arrow_text import Remembered, encode_distinct, flat_bytes, merged_places, open_folder, small_batches, text_starts
 from corpusloom.llm.shared import materialize, scratch, text_or_empty
 
 MANIFEST_SCHEMA = "shard int, path string, docs long, tokens long"
@@ -112,7 +112,7 @@ def encoder(path: str) -> Remembered:
 def encode_batch(column: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts end to end, and how many each has."""
     data, offsets = flat_bytes(column)
-    return encode_distinct(data, np.unique(np.concatenate([text_starts(offsets), sure_cuts(data)])), offsets, encoder(path))
+    return encode_distinct(data, merged_places(len(data), text_starts(offsets), sure_cuts(data)), offsets, encoder(path))
 
 
 class Shard:

@@ -113,6 +113,19 @@ def test_sequences_are_views_of_the_mapped_file(tmp_path):
     assert pa.total_allocated_bytes() == before
 
 
+def test_scratch_space_is_cleared(spark, sf):
+    from pathlib import Path
+    from urllib.parse import urlsplit
+
+    base = Path(urlsplit(spark.conf.get("spark.checkpoint.dir")).path)
+    before = set(base.iterdir()) if base.exists() else set()
+    with shared.scratch_space(spark):
+        n = exact_dedup.exact_groups(table(spark, sf, "documents")).count()
+        assert set(base.iterdir()) - before
+    assert n > 0
+    assert set(base.iterdir()) == before
+
+
 # ---- 2: mixing
 
 
