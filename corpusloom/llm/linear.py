@@ -27,6 +27,17 @@ class LinearModel:
         return self.bias + np.bincount(docs, self.weights[features], n)
 
 
+def class_counts(rows: list[np.ndarray], positive: np.ndarray, n_features: int, step: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+    """Each feature's positive mass and its number of rows, some rows at a time to spare the driver's memory."""
+    mass, count = np.zeros(n_features), np.zeros(n_features, np.int64)
+    for at in range(0, len(rows), step):
+        part = rows[at : at + step]
+        flat = np.concatenate(part)
+        mass += np.bincount(flat, np.repeat(positive[at : at + step], [len(r) for r in part]), n_features)
+        count += np.bincount(flat, minlength=n_features)
+    return mass, count
+
+
 def log_count_ratios(rows: list[np.ndarray], positive: np.ndarray, n_features: int, least_z: float) -> np.ndarray:
     """Log ratio of a feature's smoothed share of positive mass to its share of negative mass.
 
@@ -35,19 +46,23 @@ def log_count_ratios(rows: list[np.ndarray], positive: np.ndarray, n_features: i
     one class never has counts as much as it should. ``positive`` is each row's probability
     of being positive.
     """
-    sizes = [len(r) for r in rows]
-    flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    each = np.repeat(positive, sizes)
-    p, q = np.bincount(flat, each, n_features), np.bincount(flat, 1 - each, n_features)
-    all_p, all_q = positive.sum(), (1 - positive).sum()
+    mass, count = class_counts(rows, positive, n_features)
+    there = np.flatnonzero(count)
+    p = mass[there]
+    q = np.maximum(count[there] - p, 0)
+    all_p = positive.sum()
+    all_q = len(rows) - all_p
     ratio = np.log((p + 0.5) / (all_p + 1)) - np.log((q + 0.5) / (all_q + 1))
 
     def part(seen: np.ndarray, expected: np.ndarray) -> np.ndarray:
+        seen = np.maximum(seen, 0)
         return seen * np.log(np.where(seen > 0, seen, 1) / np.where(seen > 0, expected, 1))
 
     share = (p + q) / max(len(rows), 1)
     statistic = 2 * (part(p, share * all_p) + part(q, share * all_q) + part(all_p - p, (1 - share) * all_p) + part(all_q - q, (1 - share) * all_q))
-    return np.where(statistic >= least_z**2, ratio, 0.0)
+    out = np.zeros(n_features)
+    out[there] = np.where(statistic >= least_z**2, ratio, 0.0)
+    return out
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], values: np.ndarray, signs: np.ndarray, cost: np.ndarray, epochs: int = 12, seed: int = 7) -> tuple[np.ndarray, float]:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.arrow_text import flat_bytes, small_batches, with_columns
+from corpusloom.llm.arrow_text import flat_bytes, small_batches, sorted_distinct, with_columns
 from corpusloom.llm.linear import LinearModel
 from corpusloom.llm.shared import free_name
 
@@ -83,7 +83,7 @@ def ngrams(tokens: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, n
 
 def distinct(parts: list[tuple[np.ndarray, np.ndarray]], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, feature) pairs, in order."""
-    both = np.unique(np.concatenate([(owner.astype(np.int64) << bits) | feature for owner, feature in parts]))
+    both = sorted_distinct(np.concatenate([(owner.astype(np.int64) << bits) | feature for owner, feature in parts]))
     return both >> bits, both & ((1 << bits) - 1)
 
 
@@ -178,6 +178,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, features: Fe
         rows = rows.unionByName(others.select("doc_id", F.lit(None).cast("double").alias("label"))).groupBy("doc_id").agg(F.max("label").alias("label"))
     texts = docs.select(number, F.col("text").cast("string").alias("text")).join(F.broadcast(rows), "doc_id")
     texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    # in order of their features, so that a fit doesn't depend on how rows are dealt
     found = feature_rows(texts.drop("doc_id"), features, "label").toLocalIterator(prefetchPartitions=True)
     pairs = sorted((bytes(r["features"]), float("nan") if r["label"] is None else r["label"]) for r in found)
     return [np.frombuffer(f, np.int32) for f, _ in pairs], np.array([y for _, y in pairs])

@@ -69,8 +69,7 @@ def vote(rows: list[np.ndarray], lexicons: list[np.ndarray], patterns: np.ndarra
 def mine_voters(rows: list[np.ndarray], target: np.ndarray, least_z: float = VOTER_LEAST_Z, least_precision: float = LEAST_PRECISION) -> np.ndarray:
     """Features that point clearly and precisely to toxic rows, the most frequent first, one voter each."""
     ratio = linear.log_count_ratios(rows, target, LEXICAL_FEATURES, least_z)
-    flat, each = np.concatenate(rows), np.repeat(target, [len(r) for r in rows])
-    hits, total = np.bincount(flat, each, LEXICAL_FEATURES), np.bincount(flat, minlength=LEXICAL_FEATURES)
+    hits, total = linear.class_counts(rows, target, LEXICAL_FEATURES)
     found = np.flatnonzero((ratio > 0) & (hits >= least_precision * (total + 1)))
     return found[np.argsort(-hits[found], kind="stable")][:MOST_VOTERS]
 
