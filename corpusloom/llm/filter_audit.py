@@ -86,18 +86,19 @@ def parity_sums(rows: DataFrame, filters: int) -> DataFrame:
     return rows.groupBy("part", "good", "toxic").agg(*sums).select("part", "good", "toxic", F.array(*[f"s{s}" for s in range(1 << filters)]).alias("sums"))
 
 
-def inverse(counted: DataFrame, filters: int) -> DataFrame:
-    """Adds ``cells``, counts by mask: the transform again, in a step of sums and differences for each filter, by 2^filters."""
-    out = counted.withColumn("cells", F.col("sums"))
-    for bit in (1 << i for i in range(filters)):
-        pair = lambda x, s, bit=bit: F.when(s.bitwiseAND(bit) == 0, x + F.get("cells", s + bit)).otherwise(F.get("cells", s - bit) - x)
-        out = out.withColumn("cells", F.transform("cells", pair))
-    return out.withColumn("cells", F.transform("cells", lambda x: F.shiftright(x, filters)))
+def inverse(sums: Column, filters: int) -> Column:
+    """Counts by mask from parity sums: the transform is its own inverse, but for the number of sets."""
+
+    def cell(mask: Column) -> Column:
+        signed = F.transform(sums, lambda x, s: F.when(F.bit_count(mask.bitwiseAND(s)) % 2 == 0, x).otherwise(-x))
+        return F.shiftright(F.aggregate(signed, F.lit(0).cast("long"), lambda total, x: total + x), filters)
+
+    return F.transform(F.sequence(F.lit(0), F.lit((1 << filters) - 1)), cell)
 
 
 def cells(rows: DataFrame, filters: int) -> DataFrame:
     """part, and for each part the counts by mask of all documents, of good ones and of toxic ones."""
-    counted = inverse(parity_sums(rows, filters), filters)
+    counted = parity_sums(rows, filters).withColumn("cells", inverse(F.col("sums"), filters))
     each = counted.select("part", "good", "toxic", F.posexplode("cells").alias("mask", "n"))
     sums = each.groupBy("part", "mask").agg(
         F.sum("n").alias("all"), F.sum(F.when(F.col("good"), F.col("n")).otherwise(0)).alias("good"), F.sum(F.when(F.col("toxic"), F.col("n")).otherwise(0)).alias("toxic")
