@@ -36,6 +36,8 @@ from corpusloom.llm.shared import free_name, join_counted, join_small, materiali
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Words of a window, and of the runs that are hashed.
 WINDOW, GRAM = 10, 4
+#: Rows up to which prints and texts that were just counted are sent to all tasks.
+MOST_SENT = 200_000
 
 
 def split_words(text: Column) -> Column:
@@ -120,7 +122,7 @@ def shared_windows(docs: DataFrame, candidates: DataFrame, windows: DataFrame, l
     spark = docs.sparkSession
     count, size = bytes_of(candidates, 8 * F.size("hits"))
     texts = docs.select(F.sha2(text_or_empty(), 256).alias("digest"), text_or_empty().alias("text"))
-    if count <= 200_000:
+    if count <= MOST_SENT:
         found = join_small(texts, candidates.drop("n"), count, "digest", "inner", size)
     else:
         found = join_counted(texts, candidates, "digest", "n", docs.count()).drop("n")
@@ -149,7 +151,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
     asked = windows.select("print").distinct()
     n_asked = asked.count()
     each = base.select("digest", F.explode("prints").alias("print"))
-    if n_asked <= 200_000:
+    if n_asked <= MOST_SENT:
         found = join_small(each, asked, n_asked, "print", "left_semi")
     else:  # prints that very many documents have are sent, the others shuffled
         frequent = materialize(each.join(asked, "print", "left_semi").groupBy("print").agg(F.count("*").alias("n")), scratch(spark, "leak-frequent"))

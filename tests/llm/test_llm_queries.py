@@ -17,12 +17,13 @@ def test_query_equals_its_sql(spark, duck, sf, name):
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_one_row_for_each_row(spark, sf, name):
-    whole = table(spark, sf, "pages" if name.startswith(("op7_", "op10_")) else "documents").count()
-    assert QUERIES[name](spark, sf).count() == whole
+    if not name.startswith(("op12_", "op13_")):
+        whole = table(spark, sf, "pages" if name.startswith(("op7_", "op10_")) else "documents").count()
+        assert QUERIES[name](spark, sf).count() == whole
 
 
 def test_operator_numbers():
-    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in entry.queries() if n.startswith("op") and n[2].isdigit()) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark, sf):
