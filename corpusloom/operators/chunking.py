@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.sources.storage import written
+
 CHUNK_SCHEMA = (
     "source_identity string, key string, location_key string, ordinal int, heading_path array<string>, start_line int, end_line int, "
     "start_byte int, end_byte int, overlap_from string, overlap_chars int, content_hash string, content string, search_text string, split_fenced_code boolean"
@@ -251,15 +253,15 @@ def aligned_chunks(old: DataFrame, new: DataFrame) -> DataFrame:
         hashed = rows.select("source_id", "ordinal", heading.alias("heading"), F.sha2(F.concat_ws("\0", heading, F.sha2("content", 256)), 256).alias("anchor"))
         return numbered(hashed, place)
 
-    a, b = side(old, "i").persist(), side(new, "j").persist()  # narrow rows, read several times
+    a, b = written(side(old, "i"), "chunks-old"), written(side(new, "j"), "chunks-new")  # narrow rows, read several times
     marked = a.select("source_id", "anchor", F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select("source_id", "anchor", F.lit(0).alias("x"), F.lit(1).alias("y")))
     alike = marked.groupBy("source_id", "anchor").agg(F.sum("x").alias("n"), F.sum("y").alias("m")).filter("n = m").drop("m")
-    left, right = (numbered(x.join(alike, ["source_id", "anchor"]), "k").persist() for x in (a, b))
+    left, right = (written(numbered(x.join(alike, ["source_id", "anchor"]), "k"), "chunks-alike") for x in (a, b))
     lined = left.select("source_id", "k", "i", F.col("anchor").alias("one"), F.col("heading")).join(right.select("source_id", "k", "j", F.col("anchor").alias("two")), ["source_id", "k"])
     ordered = lined.groupBy("source_id").agg(F.every(F.col("one") == F.col("two")).alias("ordered"))
     in_line = lined.join(ordered.filter("ordered"), "source_id", "left_semi").select("source_id", "i", "j")
     single = left.filter("n = 1").select("source_id", "anchor", "i").join(right.filter("n = 1").select("source_id", "anchor", "j"), ["source_id", "anchor"])
-    exact = in_line.unionByName(rising(single.join(ordered.filter("not ordered"), "source_id", "left_semi"))).persist()
+    exact = written(in_line.unionByName(rising(single.join(ordered.filter("not ordered"), "source_id", "left_semi"))), "chunks-exact")
     first = exact.select("source_id", F.col("i").alias("i1"), F.col("j").alias("j1"))
     third = exact.select("source_id", (F.col("i") - 2).alias("i1"), (F.col("j") - 2).alias("j1"))
     between = exact.select("source_id", (F.col("i") - 1).alias("i1"))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import lexical, prefix_terms
 from corpusloom.operators.scans import first_per
+from corpusloom.sources.storage import written
 
 BUCKETS = {
     ("supports", "out"): "supporting",
@@ -135,13 +136,14 @@ def expand(seeds: DataFrame, edges: DataFrame, how: Expansion = Expansion(), anc
     (query_id, note_id) only start paths. A hop keeps the best edges per table and per
     note, then the best state per neighbour; the candidates are the best of old and new
     up to their number, and only states whose note is among them go on. Each step's rows
-    (bounded per query) are kept in memory or on disk, as the next step reads them twice.
+    (bounded per query) are written to the shared folder, as the next step reads them twice.
     """
     start = seeds.select("query_id", F.col("note_id").alias("id"), "entity_rank", F.lit(True).alias("entity"))
     if anchors is not None:
         more = anchors.select("query_id", F.col("note_id").alias("id")).join(start.select("query_id", "id"), ["query_id", "id"], "left_anti")
         start = start.unionByName(more.withColumns({"entity_rank": F.lit(2147483647), "entity": F.lit(False)}))
-    start = first_per(start, ["query_id"], ["entity_rank", "id"], how.candidates).persist()
+    start = first_per(start, ["query_id"], ["entity_rank", "id"], how.candidates)
+    start = written(start, "graph-seeds")
     frontier = start.select(
         "query_id", "id", F.lit(how.seed_score).alias("score"), F.col("id").alias("seed_id"), F.array().cast(f"array<{STEP}>").alias("path"), F.array("id").alias("visited"), "entity", F.lit(0).alias("hops")
     )
@@ -160,9 +162,11 @@ def expand(seeds: DataFrame, edges: DataFrame, how: Expansion = Expansion(), anc
         states = moves.select(
             "query_id", F.col("other_id").alias("id"), F.col("next").alias("score"), "seed_id", F.array_append("path", step).alias("path"), F.array_append("visited", F.col("other_id")).alias("visited"), F.lit(hop).alias("hops"), "edge_id"
         )
-        states = first_per(states, ["query_id", "id"], [F.desc(F.round("score", 9)), "edge_id", "id"], 1, "__state").drop("__state", "edge_id").persist()
+        states = first_per(states, ["query_id", "id"], [F.desc(F.round("score", 9)), "edge_id", "id"], 1, "__state").drop("__state", "edge_id")
+        states = written(states, "graph-states")
         best = first_per(candidates.unionByName(states), ["query_id", "id"], priority(), 1, "__best").drop("__best")
-        candidates = first_per(best, ["query_id"], [*priority(), "id"], how.candidates, "__kept").drop("__kept").persist()
+        candidates = first_per(best, ["query_id"], [*priority(), "id"], how.candidates, "__kept").drop("__kept")
+        candidates = written(candidates, "graph-candidates")
         frontier = states.join(candidates.select("query_id", "id"), ["query_id", "id"], "left_semi")
     return candidates.drop("visited")
 

@@ -124,7 +124,7 @@ def extract_entities(items: DataFrame, extract: Callable[[str], str], most: int
 
 
 def swapped(current: DataFrame, staged: DataFrame) -> DataFrame:
-    """The vectors after a committed reindex: staged ones replace those of their ids."""
+    """The vectors after a committed reindex: staged ones replace those of their ids, all others stay, even without a row."""
     new = staged.select("id", F.col("embedding").alias("__new"))
     return current.join(new, "id", "full_outer").withColumn("embedding", F.coalesce("__new", "embedding")).drop("__new")
 

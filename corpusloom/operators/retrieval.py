@@ -12,14 +12,17 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpusloom.operators.blocks import NEAR_SCHEMA, best_rows, unit
 from corpusloom.operators.scans import SENT_ROWS, first_per
+from corpusloom.operators.vector_index import VectorIndex
+
+#: Queries of a block, and blocks that are sent to all tasks at most.
+QUERY_BLOCK, SENT_BLOCKS = 512, 8
+
 
-#: Queries of a block, blocks that are sent to all tasks at most, and corpus rows of a block.
-QUERY_BLOCK, SENT_BLOCKS, CORPUS_BLOCK = 512, 8, 4096
 def folds() -> dict[str, str]:
     """Small Latin letters with marks, and the ASCII letter that decomposition leaves of each."""
     small = [chr(c) for c in (*range(0xDF, 0x250), *range(0x1E00, 0x1F00)) if chr(c).islower()]
@@ -48,21 +51,18 @@ def knn(queries: DataFrame, corpus: DataFrame, k: int, exclude_self: bool = Fals
     """query_id, id, distance (1 - cosine), rank of the k nearest rows of each query.
 
     ``queries`` (query_id, embedding) are packed into blocks of about QUERY_BLOCK. A few
-    blocks are sent to all tasks and meet ``corpus`` (id, embedding) in one scan. More
-    blocks meet blocks of the corpus in a join on the query block's number, and a task
-    makes the matrix product of one pair of blocks. Either way a product leaves its k best
-    rows per query only.
+    blocks are sent to all tasks and meet ``corpus`` (id, embedding) in one scan. For more,
+    the corpus is put in blocks round pivots, and only pairs of blocks that may hold a
+    near row meet. Either way a product leaves its k best rows per query only.
     """
     asked = queries.filter(F.size("embedding") > 0)
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    if blocks > SENT_BLOCKS:
+        return VectorIndex.build(corpus).near(asked, k, exclude_self, least)
     number = F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")
     packed = asked.groupBy(number).agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("embedding").alias("query_rows"))
     rows = corpus.filter(F.size("embedding") > 0).select("id", "embedding")
-    found = _scan(rows, packed, k, exclude_self, least) if blocks <= SENT_BLOCKS else _pairs_of_blocks(rows, packed, blocks, k, exclude_self, least)
-    return first_per(found, ["query_id"], [F.round("distance", 9), "id"], k)
-
-
-NEAR_SCHEMA = "query_id string, id string, distance double"
+    return first_per(_scan(rows, packed, k, exclude_self, least), ["query_id"], [F.round("distance", 9), "id"], k)
 
 
 def _scan(rows: DataFrame, packed: DataFrame, k: int, exclude_self: bool, least: float | None) -> DataFrame:
@@ -79,40 +79,6 @@ def _scan(rows: DataFrame, packed: DataFrame, k: int, exclude_self: bool, least:
     return rows.mapInPandas(run, NEAR_SCHEMA)
 
 
-def _pairs_of_blocks(rows: DataFrame, packed: DataFrame, blocks: int, k: int, exclude_self: bool, least: float | None) -> DataFrame:
-    """Many blocks of queries against blocks of the corpus: a task holds one of each, dealt by both numbers, and makes their product."""
-    parts = max(1, -(-rows.count() // CORPUS_BLOCK))
-    dealt = rows.groupBy(F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int").alias("part")).agg(F.collect_list("id").alias("ids"), F.collect_list("embedding").alias("rows"))
-    dealt = dealt.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    sent = packed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    pairs = dealt.join(sent.hint("shuffle_hash"), ["block", "part"]).select("query_ids", "query_rows", "ids", "rows")
-
-    def run(batches):
-        for pdf in batches:
-            for names, queries, ids, vectors in pdf.itertuples(index=False):
-                yield best_rows(np.array(names, dtype=object), unit(queries), np.array(ids, dtype=object), unit(vectors), k, exclude_self, least)
-
-    return pairs.mapInPandas(run, NEAR_SCHEMA)
-
-
-def unit(rows) -> np.ndarray:
-    matrix = np.array([np.asarray(r, dtype=np.float64) for r in rows])
-    return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-300)
-
-
-def best_rows(names: np.ndarray, matrix: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, exclude_self: bool, least: float | None) -> pd.DataFrame:
-    """The k nearest of some rows to each of some queries, ties by id."""
-    similar = matrix @ vectors.T
-    if exclude_self:
-        similar[names[:, None] == ids[None, :]] = -np.inf
-    if least is not None:
-        similar[similar <= least] = -np.inf
-    order = np.lexsort((np.broadcast_to(ids.astype(str), similar.shape), np.round(1 - similar, 9)), axis=1)[:, :k]
-    chosen = np.take_along_axis(similar, order, axis=1)
-    real = np.isfinite(chosen)
-    return pd.DataFrame({"query_id": names[np.nonzero(real)[0]], "id": ids[order[real]], "distance": np.maximum(1 - chosen[real], 0)})
-
-
 def terms(text: Column) -> Column:
     """Runs of letters and runs of digits, in lower case without marks."""
     return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))
@@ -184,9 +150,13 @@ def fuse(vector: DataFrame, text: DataFrame, how: Fusion = Fusion()) -> DataFram
 
 
 def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, fields: dict[str, float], limit: int, how: Fusion = Fusion()) -> DataFrame:
-    """Both channels' pools, fused and cut. ``queries`` has query_id, query and embedding."""
+    """Both channels' pools, fused and cut. ``queries`` has query_id, query and embedding.
+
+    A vector without its row is no hit, and takes no place in a pool.
+    """
     pool = pool_size(limit)
-    fused = fuse(knn(queries, vectors, pool), best_text(bm25(queries, docs, fields), pool), how)
+    own = vectors.join(docs.select("id"), "id", "left_semi")
+    fused = fuse(knn(queries, own, pool), best_text(bm25(queries, docs, fields), pool), how)
     return fused.filter(F.col("final_rank") <= limit)
 
 

@@ -61,9 +61,9 @@ def detached_notes(spark, d):
     return out.select("id", "title", "content", F.array_join("tags", ",").alias("tags"), "source_id", F.col("source_generation").isNull().alias("free"))
 
 
-@query("SELECT id, len(embedding) AS size, round(embedding[1], 6) AS first FROM (SELECT n.id, CASE WHEN n.doc_id % 4 = 0 THEN [CAST(n.doc_id AS DOUBLE), 1.0] ELSE v.embedding END AS embedding FROM note n LEFT JOIN vec v ON v.id = n.id WHERE n.doc_id % 4 = 0 OR v.id IS NOT NULL)", "note", "vec")
+@query("SELECT id, len(embedding) AS size, round(embedding[1], 6) AS first FROM (SELECT n.id, CASE WHEN n.doc_id % 4 = 0 THEN [CAST(n.doc_id AS DOUBLE), 1.0] ELSE v.embedding END AS embedding FROM note n LEFT JOIN vec v ON v.id = n.id WHERE n.doc_id % 4 = 0 OR v.id IS NOT NULL UNION ALL SELECT id, embedding FROM vec WHERE id NOT IN (SELECT id FROM note))", "note", "vec")
 def stored_vectors(spark, d):
-    """Vectors after every fourth note got another one."""
+    """Vectors after every fourth note got another one; those without a note stay as they are."""
     staged = t.notes(spark, d).filter("doc_id % 4 = 0").select("id", F.array(F.col("doc_id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"))
     out = jobs.swapped(t.vectors(spark, d).select("id", "embedding"), staged)
     return out.select("id", F.size("embedding").cast("long").alias("size"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
@@ -161,7 +161,7 @@ def manual_edges(spark, d):
 
 OUTCOME_SQL = """SELECT (SELECT count(*) FROM src WHERE NOT (status = 'ready' AND CAST(regexp_extract(uri, '[0-9]+$') AS BIGINT) % 3 = 0)) AS updated_sources, (SELECT count(*) FROM src WHERE status = 'ready' AND CAST(regexp_extract(uri, '[0-9]+$') AS BIGINT) % 3 = 0) AS unchanged_sources, CAST(1 AS BIGINT) AS created_sources,
     (SELECT count(*) FROM note) AS note_records, (SELECT count(*) FROM msg) AS message_records, (SELECT count(*) FROM note) + (SELECT count(*) FROM msg) AS records,
-    (SELECT count(*) FROM vec) AS embedded, (SELECT count(*) FROM note) + (SELECT count(*) FROM msg) - (SELECT count(*) FROM vec) AS not_embedded, (SELECT count(*) FROM mention) AS mention_links"""
+    (SELECT count(*) FROM note WHERE id IN (SELECT id FROM vec)) AS embedded, (SELECT count(*) FROM note WHERE id NOT IN (SELECT id FROM vec)) + (SELECT count(*) FROM msg) AS not_embedded, (SELECT count(*) FROM mention) AS mention_links"""
 
 
 @query(OUTCOME_SQL, "src", "note", "msg", "vec", "mention")

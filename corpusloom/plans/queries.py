@@ -30,9 +30,9 @@ def point_lookup(spark, d):
     return scans.by_id(t.notes(spark, d), "note:5").select("id", "title", "source_id")
 
 
-@query("SELECT id, title FROM visible WHERE id = 'note:7'", "visible")
+@query("SELECT id, title FROM visible WHERE id = 'note:8'", "visible")
 def visible_point_lookup(spark, d):
-    return scans.by_id(visible(spark, d), "note:7").select("id", "title")
+    return scans.by_id(visible(spark, d), "note:8").select("id", "title")
 
 
 @query("SELECT id, uri, status FROM src WHERE uri = 'fixture://src3' OR id = 'fixture://src3'", "src")
@@ -289,7 +289,7 @@ def hybrid_sql(docs: str, vectors: str, fields: dict[str, float], limit: int, st
     )
     pool = retrieval.pool_size(limit)
     return f"""{bm25_sql(docs, fields, f"bm_{x}")}, tr_{x} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS tr FROM bm_{x} QUALIFY tr <= {pool}),
-    vs_{x} AS (SELECT query_id, v.id, 1 - list_cosine_similarity(q.embedding, v.embedding) AS distance FROM (SELECT 'item:' || substr(id, 6) AS query_id, embedding FROM vec WHERE 'item:' || substr(id, 6) IN (SELECT query_id FROM tq)) q, {vectors} v),
+    vs_{x} AS (SELECT query_id, v.id, 1 - list_cosine_similarity(q.embedding, v.embedding) AS distance FROM (SELECT 'item:' || substr(id, 6) AS query_id, embedding FROM vec WHERE 'item:' || substr(id, 6) IN (SELECT query_id FROM tq)) q, {vectors} v WHERE v.id IN (SELECT id FROM {docs})),
     vr_{x} AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS vr FROM vs_{x} QUALIFY vr <= {pool}),
     fu_{x} AS (SELECT coalesce(v.query_id, t.query_id) AS query_id, coalesce(v.id, t.id) AS id, vr, tr, distance, score, {score} AS fused FROM vr_{x} v FULL JOIN tr_{x} t ON v.query_id = t.query_id AND v.id = t.id),
     fused_{x} AS (SELECT *, least(vr, tr) AS best, row_number() OVER (PARTITION BY query_id ORDER BY round(fused, 9) DESC, least(vr, tr), id) AS final_rank FROM fu_{x} QUALIFY final_rank <= {limit})"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.plans import calls, changes, queries, texts
+from corpusloom.plans import calls, changes, queries, stored, texts
 from corpusloom.plans.registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "calls", "changes", "queries", "texts"]
+__all__ = ["QUERIES", "SQL", "calls", "changes", "queries", "stored", "texts"]

@@ -68,11 +68,10 @@ def search(model: Model, queries: DataFrame, how: Search = Search(), now: dateti
     pool = merged_pool(how.limit)
     parts: dict[str, DataFrame] = {}
     if how.scope in ("notes", "all"):
-        vectors = model.vectors.join(notes.select("id"), "id", "left_semi")
-        parts["note"] = retrieval.hybrid(queries, notes, vectors, how.note_fields, pool, how.fusion)
+        parts["note"] = retrieval.hybrid(queries, notes, model.vectors, how.note_fields, pool, how.fusion)
     for kind, rows, fields in (("message", model.messages, {"content": 1.0}), ("summary", model.chats, {"summary": 0.7, "title": 0.3})):
         if rows is not None and how.scope in ("all", "messages" if kind == "message" else "summaries"):
-            parts[kind] = retrieval.hybrid(queries, rows, model.vectors.join(rows.select("id"), "id", "left_semi"), fields, pool, how.fusion)
+            parts[kind] = retrieval.hybrid(queries, rows, model.vectors, fields, pool, how.fusion)
     hits = retrieval.scoped(parts, how.weights, pool)
     if how.use_graph != "off" and model.entities is not None and "note" in parts:
         edges = scans.visible_edges(model.edges, notes)

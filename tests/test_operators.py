@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import lexical
 from corpusloom.functions import text as tx
-from corpusloom.operators import chat, chunking, evaluation, gardener, graph, jobs, lifecycle, packing, portable, retrieval
+from corpusloom.operators import chat, chunking, evaluation, gardener, graph, jobs, lifecycle, packing, portable, retrieval, vector_index
 from corpusloom.plans import search
 from corpusloom.sources import files
 
@@ -49,8 +49,8 @@ def test_matching_note_ranks_first(spark):
 def test_nearest_rows_equal_all_pairs(spark, monkeypatch, sent):
     import numpy as np
 
-    for name, value in (("QUERY_BLOCK", 7), ("SENT_BLOCKS", sent), ("CORPUS_BLOCK", 11)):
-        monkeypatch.setattr(retrieval, name, value)
+    for module, name, value in ((retrieval, "QUERY_BLOCK", 7), (retrieval, "SENT_BLOCKS", sent), (vector_index, "ROWS", 11), (vector_index, "QUERIES", 7), (vector_index, "WAVE", 2)):
+        monkeypatch.setattr(module, name, value)
     v = np.random.default_rng(3).normal(size=(40, 6)).astype("float32")
     v[5] = v[6]
     rows = spark.createDataFrame([(f"v{i:02}", r.tolist()) for i, r in enumerate(v)] + [("none", None), ("empty", [])], "id string, embedding array<float>")
