@@ -4,7 +4,8 @@ Bands and rows are chosen for a target recall at the threshold. Documents of one
 set are one node from the start, so copies never meet each other. Nodes are shuffled on
 their band hashes; what shares a bucket is connected, and the connected families are
 verified on the full n-gram sets inside tasks. A text's set is made once, as 64-bit
-hashes. A family larger than a block is cut by the sizes of its sets, in classes so wide
+hashes, and again for a node's own row, which is found by its doc_id and the hash of its
+text. A family larger than a block is cut by the sizes of its sets, in classes so wide
 that a link only joins a class and its neighbours, and classes in blocks; each pair of
 blocks that can have links is a task of its own. Tasks return a row per node (how
 many documents it links to, and a parent in the spanning forest of its links), never the
@@ -113,11 +114,11 @@ def word_hashes(docs: DataFrame, *columns) -> DataFrame:
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, node (null without words), the size of its set and the band hashes of each document."""
+    """doc_id, hash of the text, node (null without words), the size of its set and the band hashes of each document."""
 
     def run(batches):
         for batch in batches:
-            sets = ngram_sets(*list_column(batch.column(1)), n)
+            sets = ngram_sets(*list_column(batch.column(2)), n)
             real = [i for i, s in enumerate(sets) if len(s)]
             hashes = band_hashes([sets[i] for i in real], bands, rows)
             nodes = [node_key(s) if len(s) else None for s in sets]
@@ -125,19 +126,25 @@ def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             counts[real] = bands
             lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)), pa.int32()), pa.array(hashes.reshape(-1).view(np.int64)))
             size = pa.array([len(s) for s in sets], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), size, lists], names=["doc_id", "node", "size", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), size, lists], names=["doc_id", "hashed", "node", "size", "bands"])
 
-    return word_hashes(docs, F.col("doc_id").cast("long").alias("doc_id")).mapInArrow(run, "doc_id long, node binary, size int, bands array<long>")
+    own = word_hashes(docs, F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("hashed"))
+    return own.mapInArrow(run, "doc_id long, hashed long, node binary, size int, bands array<long>")
 
 
 def with_sets(texts: DataFrame, n: int) -> DataFrame:
-    """The rows of ``texts`` with their n-gram sets in place of their texts; a row whose set isn't its node's goes."""
+    """The rows of ``texts`` with their n-gram sets in place of their texts: of a task's rows of one node the first; a row whose set isn't its node's goes."""
 
     def run(batches):
+        seen: set[bytes] = set()
         for batch in batches:
             place = batch.schema.names.index("node")
             sets = ngram_sets(*list_column(batch.column(batch.num_columns - 1)), n)
-            own = [i for i, node in enumerate(batch.column(place).to_pylist()) if node_key(sets[i]) == node]
+            own = []
+            for i, node in enumerate(batch.column(place).to_pylist()):
+                if node not in seen and node_key(sets[i]) == node:
+                    seen.add(node)
+                    own.append(i)
             sets = [sets[i] for i in own]
             offsets = pa.array(np.append(0, np.cumsum([len(s) for s in sets])), pa.int32())
             flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
@@ -260,7 +267,7 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     bands, rows = choose_bands(threshold, recall)
     base = materialize(signatures(docs, n, bands, rows), scratch(spark, "near-signatures"))
     key = F.xxhash64("node").alias("key")  # short, for the candidate stages; verification goes by node
-    nodes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    nodes = base.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct("doc_id", "hashed")).alias("one"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("key", key), scratch(spark, "near-nodes"))
     n_nodes = nodes.count()
     buckets = nodes.select("key", F.explode("bands").alias("bucket"))
@@ -269,10 +276,11 @@ def near_classes(docs: DataFrame, n: int = 5, threshold: float = 0.8, recall: fl
     candidates = components(join_counted(buckets, shared, "bucket", "n", bands * n_nodes).select(F.col("key").alias("a"), F.col("least").alias("b")))
     sizes = materialize(candidates.groupBy("component").agg(F.count("*").alias("n")), scratch(spark, "near-families"))
     family = join_counted(candidates, sizes, "component", "n", candidates.count()).select(F.col("node").alias("key"), F.col("component").alias("family"), "n")
-    family = materialize(nodes.select("key", "node", "doc_id", "copies", "size").join(family, "key"), scratch(spark, "near-members"))
-    placed = blocks_of(family, threshold).select("doc_id", "node", "copies", "family", "block", "others")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty().alias("text"))
-    texts = texts.join(placed, texts["id"].eqNullSafe(placed["doc_id"])).drop("id", "doc_id")
+    family = materialize(nodes.select("key", "node", "one", "copies", "size").join(family, "key"), scratch(spark, "near-members"))
+    placed = blocks_of(family, threshold).select("one.doc_id", "one.hashed", "node", "copies", "family", "block", "others")
+    # a node's own row: of its smallest doc_id and text hash, so that rows without a doc_id, or of one doc_id, meet only where their texts are alike
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64(text_or_empty()).alias("hash"), text_or_empty().alias("text"))
+    texts = texts.join(placed, (texts["hash"] == placed["hashed"]) & texts["id"].eqNullSafe(placed["doc_id"])).drop("id", "doc_id", "hash", "hashed")
     dealt = with_sets(texts, n).withColumn("other", F.explode("others"))
     keys = [F.col("family"), F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")]
     dealt = dealt.select(*keys, "node", "block", "copies", "grams").repartition("family", "one", "two").sortWithinPartitions("family", "one", "two")

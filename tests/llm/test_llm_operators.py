@@ -378,6 +378,16 @@ def test_near_classes(spark, odd, empty, monkeypatch):
     assert near_join.near_classes(empty).count() == 0
 
 
+def test_rows_without_a_number_meet_where_their_texts_are_alike(spark, monkeypatch):
+    """Null and repeated doc_ids are no key: each node's set is made of its own row."""
+    monkeypatch.setattr(near_join, "BLOCK", 8)
+    monkeypatch.setattr(near_join, "SMALL_BLOCK", 3)
+    texts = [t for _, t in variants(9, 5, 12)]
+    rows = [(None if i % 3 else 7, t) for i, t in enumerate(texts)] + [(None, texts[0])] * 40 + [(7, texts[1])] * 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert Counter(tuple(r) for r in near_join.near_classes(docs).collect()) == near_brute(rows)
+
+
 def test_blocks_meet_wherever_sets_may_link(spark, monkeypatch):
     """Every pair of sizes that can reach the threshold shares a pair of blocks."""
     monkeypatch.setattr(near_join, "BLOCK", 8)
