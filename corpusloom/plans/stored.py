@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corpusloom.operators import inference, text_index, vector_index
+from corpusloom.operators.importing import Library
 from corpusloom.operators.reembedding import Reembedding
 from corpusloom.plans import queries as q
 from corpusloom.plans.registry import query
@@ -76,3 +77,22 @@ def fallback_outcome(spark, d):
 
     items = t.notes(spark, d).select("id", F.coalesce("content", F.lit("")).alias("text"))
     return inference.outcome(inference.inferred(items, None, refusing, **IDENTITY)[0])
+
+
+@query(
+    """SELECT id AS uri, CASE WHEN CAST(substr(source, 4) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS generation, CASE WHEN CAST(substr(source, 4) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS successful_generation, 'ready' AS status, CAST(1 AS BIGINT) AS notes,
+    source AS heading, (CASE WHEN CAST(substr(source, 4) AS BIGINT) % 3 = 0 THEN n ELSE even END) || ' texts' AS content
+    FROM (SELECT source, 'fixture://' || source AS id, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS even FROM documents GROUP BY source)"""
+)
+def imported_sources(spark, d):
+    """Sources and their notes after two imports of a file for each, the second with changes in every third; a batch that comes again changes nothing."""
+    docs = t.read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") % 2 == 0).alias("even"))
+    uri = F.concat(F.lit("fixture://"), "source").alias("uri")
+    text = lambda n: F.concat(F.lit("# "), "source", F.lit("\n\n"), n.cast("string"), F.lit(" texts")).alias("content")
+    third = F.substring("source", 4, 9).cast("long") % 3 == 0
+    library = Library.open(spark, scratch(spark, "library"))
+    library = library.put(docs.select(uri, text(F.col("even"))), "files", 0)
+    library = library.put(docs.select(uri, text(F.when(third, F.col("n")).otherwise(F.col("even")))), "files", 1)
+    library = library.put(docs.select(uri, text(F.lit(0))), "files", 1)
+    notes = library.rows("notes").groupBy("uri").agg(F.count("*").alias("notes"), F.min("content").alias("content"), F.min(F.array_join("heading_path", "/")).alias("heading"))
+    return library.rows("sources").join(notes, "uri").select("uri", F.col("generation").cast("int").alias("generation"), F.col("successful_generation").cast("int").alias("successful_generation"), "status", "notes", "heading", "content")

@@ -1,40 +1,29 @@
 """Incremental ingestion: new files become new generations of their sources.
 
 Structured Streaming lists a folder; every micro-batch of changed files runs the same
-import as a batch does and writes the next version of the tables under its epoch, so a
-batch that is run again after a failure overwrites its own version only.
+import as a batch does (``operators.importing``), as one commit of all tables.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.functions.text import content_hash
-from corpusloom.operators.chunking import Sizes, markdown_chunks
-from corpusloom.operators.lifecycle import begin_imports
-
+from corpusloom.operators.chunking import Sizes
+from corpusloom.operators.importing import Library
 
-def import_batch(sources: DataFrame, files: DataFrame, sizes: Sizes = Sizes()) -> tuple[DataFrame, DataFrame]:
-    """Actions per source, and the chunks of those that changed, with their generation."""
-    actions = begin_imports(sources, files)
-    changed = files.join(actions.filter("action <> 'unchanged'").select("uri", "generation"), "uri")
-    chunks = markdown_chunks(changed.select(F.col("uri").alias("source_identity"), F.col("content").alias("markdown")), sizes)
-    generation = changed.select(F.col("uri").alias("source_identity"), "generation")
-    return actions, chunks.join(generation, "source_identity")
 
+def ingest(spark: SparkSession, folder: str, library: str, checkpoint: str, sizes: Sizes = Sizes(), name: str = "files") -> StreamingQuery:
+    """Import what is new in ``folder`` into the library until it is used up.
 
-def ingest(spark: SparkSession, folder: str, state: Callable[[], DataFrame], out: str, checkpoint: str, sizes: Sizes = Sizes()) -> StreamingQuery:
-    """Import what is new in ``folder`` until it is used up; ``state`` gives the sources as they are now."""
+    Each micro-batch is one version of the library, with the stream's name and epoch: a
+    batch that is run again after a failure finds its epoch there, or nothing of it.
+    """
     files = spark.readStream.format("text").option("wholetext", True).load(folder)
-    named = files.select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"), content_hash(F.col("value")).alias("content_hash"))
+    named = files.select(F.col("_metadata.file_path").alias("uri"), F.col("value").alias("content"))
 
     def batch(rows: DataFrame, epoch: int) -> None:
-        actions, chunks = import_batch(state(), rows, sizes)
-        chunks.write.mode("overwrite").parquet(f"{out}/chunks/epoch={epoch}")
-        actions.write.mode("overwrite").parquet(f"{out}/sources/epoch={epoch}")
+        Library.open(spark, library).put(rows, name, epoch, sizes)
 
     return named.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -401,11 +401,11 @@ def test_evaluation_cases_are_strict(spark, tmp_path):
 
 
 def test_stream_imports_what_is_new(spark, tmp_path):
+    from corpusloom.operators.importing import Library
     from corpusloom.streaming.ingest import ingest
 
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.md").write_text("# T\n\nText.")
-    empty = lambda: spark.createDataFrame([], "uri string, content_hash string, generation long, status string")
     for _ in range(2):
-        ingest(spark, f"file://{tmp_path}/in", empty, f"file://{tmp_path}/out", f"file://{tmp_path}/state").awaitTermination()
-    assert [r["content"] for r in spark.read.parquet(f"file://{tmp_path}/out/chunks").collect()] == ["Text."]
+        ingest(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/library", f"file://{tmp_path}/state").awaitTermination()
+    assert [r["content"] for r in Library.open(spark, f"file://{tmp_path}/library").rows("notes").collect()] == ["Text."]
