@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import is_local_path
+from corpusloom.sources.storage import written
 
 FORMAT, VERSION = "portable-archive", 1
 SECRET = re.compile(r"(secret|token|password|api_?key)", re.IGNORECASE)
@@ -56,27 +57,45 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.get_json_object("line", "$.table").alias("table_name"), F.get_json_object("line", "$.record.id").alias("id"), "line")
 
 
+def parsed(lines: DataFrame, references: dict[str, dict[str, str]]) -> DataFrame:
+    """table_name, id, bytes and targets (array of field, other table, id) of each line: one scan, whatever is asked of it."""
+    wanted = []
+    for name, fields in references.items():
+        for field, other in fields.items():
+            target = F.when(F.col("table_name") == name, F.get_json_object("line", f"$.record.{field}"))
+            wanted.append(F.struct(F.lit(field).alias("field"), F.lit(other).alias("other"), target.alias("target")))
+    kind = "array<struct<field:string,other:string,target:string>>"
+    targets = F.filter(F.array(*wanted), lambda x: x["target"].isNotNull()) if wanted else F.array().cast(kind)
+    return lines.select("table_name", "id", (F.octet_length("line") + 1).cast("long").alias("bytes"), targets.cast(kind).alias("targets"))
+
+
 def problems(lines: DataFrame, manifest: dict, allowed: list[str], references: dict[str, dict[str, str]]) -> DataFrame:
-    """problem, table_name, id: unknown tables, wrong prefixes, repeated ids, dangling references, wrong counts."""
-    unknown = lines.filter(~F.col("table_name").isin(allowed)).select(F.lit("unknown table").alias("problem"), "table_name", "id")
-    prefix = lines.filter(~F.startswith("id", F.concat("table_name", F.lit(":")))).select(F.lit("wrong prefix"), "table_name", "id")
-    twice = lines.groupBy("table_name", "id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("repeated id"), "table_name", "id")
-    spark = lines.sparkSession
-    lost = dangling(lines, references).select(F.lit("dangling reference"), "table_name", "id")
-    expected = spark.createDataFrame(list(manifest["record_counts"].items()) or [("", 0)], "table_name string, expected long")
-    wrong = table_counts(lines).join(expected, "table_name", "full_outer").filter("not (records <=> expected)").select(F.lit("wrong count"), "table_name", F.lit(None).cast("string").alias("id"))
+    """problem, table_name, id: unknown tables, wrong prefixes, repeated ids, dangling references, wrong counts.
+
+    The lines are read once; what is left of each is narrow.
+    """
+    rows = written(parsed(lines, references), "archive-parsed")
+    unknown = rows.filter(~F.col("table_name").isin(allowed) | F.col("table_name").isNull()).select(F.lit("unknown table").alias("problem"), "table_name", "id")
+    prefix = rows.filter(~F.startswith("id", F.concat("table_name", F.lit(":"))) | F.col("id").isNull()).select(F.lit("wrong prefix"), "table_name", "id")
+    twice = rows.groupBy("table_name", "id").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("repeated id"), "table_name", "id")
+    lost = _dangling(rows).select(F.lit("dangling reference"), "table_name", "id")
+    expected = lines.sparkSession.createDataFrame(list(manifest["record_counts"].items()), "table_name string, expected long")
+    counts = rows.groupBy("table_name").agg(F.count("*").alias("records"))
+    wrong = counts.join(expected, "table_name", "full_outer").filter("not (records <=> expected)").select(F.lit("wrong count"), "table_name", F.lit(None).cast("string").alias("id"))
     return unknown.union(prefix).union(twice).union(lost).union(wrong)
 
 
 def dangling(lines: DataFrame, references: dict[str, dict[str, str]]) -> DataFrame:
-    """Records whose reference has no record. ``references``: table to its fields' tables."""
-    out = lines.select("table_name", "id", F.lit(None).cast("string").alias("field"), F.lit(None).cast("string").alias("target")).filter("false")
-    for name, fields in references.items():
-        for field, other in fields.items():
-            held = lines.filter(F.col("table_name") == name).select("table_name", "id", F.get_json_object("line", f"$.record.{field}").alias("target")).filter("target is not null")
-            known = lines.filter(F.col("table_name") == other).select(F.col("id").alias("target"))
-            out = out.unionByName(held.join(known, "target", "left_anti").select("table_name", "id", F.lit(field).alias("field"), "target"))
-    return out
+    """table_name, id, field and target of references without a record. ``references``: table to its fields' tables."""
+    return _dangling(written(parsed(lines, references), "archive-parsed"))
+
+
+def _dangling(rows: DataFrame) -> DataFrame:
+    """Ids that are wanted and not there are few; the records that want them are found by these."""
+    held = rows.select("table_name", "id", F.explode("targets").alias("x")).select("table_name", "id", "x.*")
+    has = rows.select(F.col("table_name").alias("other"), F.col("id").alias("target"), F.lit(1).alias("there"))
+    missing = held.select("other", "target", F.lit(0).alias("there")).unionByName(has).groupBy("other", "target").agg(F.max("there").alias("there")).filter("there = 0")
+    return held.join(missing.select("other", "target"), ["other", "target"], "left_semi").select("table_name", "id", "field", "target")
 
 
 def restore(lines: DataFrame, name: str, schema: str) -> DataFrame:

@@ -12,12 +12,15 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.operators.blocks import NEAR_SCHEMA, best_rows, unit
 from corpusloom.operators.scans import SENT_ROWS, first_per
 from corpusloom.operators.vector_index import VectorIndex
+from corpusloom.sources.storage import written
 
 #: Queries of a block, and blocks that are sent to all tasks at most.
 QUERY_BLOCK, SENT_BLOCKS = 512, 8
@@ -84,15 +87,116 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, float], every_term: bool = False) -> DataFrame:
+#: Cells of the table of asked terms by queries up to which it is sent to all tasks, and texts of a product.
+SENT_CELLS, TEXTS = 8_000_000, 256
+
+
+def bm25(queries: DataFrame, docs: DataFrame, fields: dict[str, float], every_term: bool = False, k: int | None = None) -> DataFrame:
     """query_id, id, score: weighted sum over fields of Okapi BM25, rows that match somewhere.
 
-    ``queries`` (query_id, query) is a stated set. Its terms, and the table of each term's
-    weight in each field, are sent to all tasks while they are counted to be few, so that
-    no task gets all postings of a frequent term; beyond that the joins shuffle, and
-    adaptive execution splits what is skewed.
+    ``queries`` (query_id, query) is a stated set. While its terms by its queries make a
+    small table, texts are read once: a narrow table keeps how often each has the asked
+    terms, gives the frequencies, and is multiplied by the table of terms and queries
+    inside tasks. Beyond that postings are joined. With ``k``, rows that aren't among a
+    query's k best of their task may be left out.
+    """
+    asked = written(queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term")), "asked-terms")
+    size = asked.agg(F.count_distinct("term").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
+    if size["terms"] * size["queries"] > SENT_CELLS:
+        return _joined(asked, docs, fields, every_term)
+    rows = asked.collect()  # SENT_CELLS cells at most
+    names, words = sorted({r["query_id"] for r in rows}), sorted({r["term"] for r in rows})
+    if not rows:
+        return docs.sparkSession.createDataFrame([], SCORES)
+    place, column = {w: i for i, w in enumerate(words)}, {n: i for i, n in enumerate(names)}
+    table = np.zeros((len(words), len(names)), np.float32)
+    for r in rows:
+        table[place[r["term"]], column[r["query_id"]]] = 1
+    counted = written(_counted(docs, list(fields), words), "asked-counts")
+    n, width = len(fields), len(words)
+    sums = counted.agg(F.count("*").alias("rows"), *[F.sum(F.get("lengths", F.lit(f))).alias(f"t{f}") for f in range(n)]).first()
+    df = np.zeros(n * width)
+    for r in counted.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("df")).collect():  # a row for each asked term and field
+        df[r["place"]] = r["df"]
+    idf = np.log(1 + (sums["rows"] - df + 0.5) / (df + 0.5)) * np.repeat(list(fields.values()), width)
+    means = np.array([(sums[f"t{f}"] or 0) / max(sums["rows"], 1) or 1.0 for f in range(n)])
+    return _multiplied(counted, np.array(names, dtype=object), table, idf, means, every_term, k)
+
+
+def _counted(docs: DataFrame, fields: list[str], words: list[str]) -> DataFrame:
+    """id, lengths (of each field), places (field times terms, and term) and tfs of the asked terms that a row has."""
+    sent = docs.sparkSession.sparkContext.broadcast(words)
+    n = len(fields)
+
+    def run(batches):
+        known, width = pa.array(sent.value, pa.string()), len(sent.value)
+        for batch in batches:
+            keys, lengths = [], []
+            for f in range(n):
+                column = batch.column(1 + f)
+                sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+                found = pc.index_in(column.flatten(), value_set=known).to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                real = ~np.isnan(found) if found.dtype.kind == "f" else slice(None)
+                keys.append(row[real].astype(np.int64) * (n * width) + f * width + found[real].astype(np.int64))
+                lengths.append(sizes.astype(np.int32))
+            key, tf = np.unique(np.concatenate(keys), return_counts=True)
+            cuts = np.searchsorted(key, np.arange(batch.num_rows + 1) * (n * width))
+            offsets = pa.array(cuts.astype(np.int32))
+            places = pa.ListArray.from_arrays(offsets, pa.array((key % (n * width)).astype(np.int32)))
+            tfs = pa.ListArray.from_arrays(offsets, pa.array(tf.astype(np.int32)))
+            sizes = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n), pa.array(np.stack(lengths, axis=1).reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, places, tfs], names=["id", "lengths", "places", "tfs"])
+
+    tokens = docs.select(F.col("id").cast("string").alias("id"), *[terms(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)])
+    return tokens.mapInArrow(run, "id string, lengths array<int>, places array<int>, tfs array<int>")
+
+
+SCORES = "query_id string, id string, score double"
+
+
+def _multiplied(counted: DataFrame, names: np.ndarray, table: np.ndarray, idf: np.ndarray, means: np.ndarray, every_term: bool, k: int | None) -> DataFrame:
+    """Scores as products of texts' gains by the table of terms and queries."""
+    sent = counted.sparkSession.sparkContext.broadcast((names, table, idf, means))
+
+    def run(batches):
+        names, table, idf, means = sent.value
+        width = len(table)
+        whole = table.sum(axis=0)
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                sizes = part.column(2).value_lengths().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(part.num_rows), sizes)
+                place = part.column(2).flatten().to_numpy(zero_copy_only=False)
+                tf = part.column(3).flatten().to_numpy(zero_copy_only=False).astype(float)
+                lengths = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, len(means))
+                field = place // width
+                gains = np.zeros((part.num_rows, width))
+                np.add.at(gains, (row, place % width), idf[place] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[row, field] / means[field])))
+                scores = gains @ table
+                matched = (gains > 0).astype(np.float32) @ table
+                ids = part.column(0).to_numpy(zero_copy_only=False)
+                real = matched >= whole if every_term else matched > 0
+                if k is not None and k < part.num_rows:
+                    order = np.lexsort((np.broadcast_to(ids.astype(str)[:, None], scores.shape), -np.round(np.where(real, scores, -1.0), 9)), axis=0)[:k]
+                    best = np.zeros_like(real)
+                    np.put_along_axis(best, order, True, axis=0)
+                    real &= best
+                text, query = np.nonzero(real)
+                if len(text):
+                    yield pa.RecordBatch.from_arrays([pa.array(names[query], pa.string()), pa.array(ids[text], pa.string()), pa.array(scores[text, query])], names=["query_id", "id", "score"])
+
+    return counted.mapInArrow(run, SCORES)
+
+
+def _joined(asked: DataFrame, docs: DataFrame, fields: dict[str, float], every_term: bool) -> DataFrame:
+    """Scores by joins of postings, for more queries than a table of them can be sent.
+
+    The terms, and the table of each term's weight in each field, are sent to all tasks
+    while they are counted to be few, so that no task gets all postings of a frequent
+    term; beyond that the joins shuffle, and adaptive execution splits what is skewed.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(terms(F.col("query")))).alias("term"))
     small = asked.limit(SENT_ROWS + 1).count() <= SENT_ROWS
     send = F.broadcast if small else (lambda rows: rows)
     tokens = docs.select("id", *[terms(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)])
@@ -156,7 +260,7 @@ def hybrid(queries: DataFrame, docs: DataFrame, vectors: DataFrame, fields: dict
     """
     pool = pool_size(limit)
     own = vectors.join(docs.select("id"), "id", "left_semi")
-    fused = fuse(knn(queries, own, pool), best_text(bm25(queries, docs, fields), pool), how)
+    fused = fuse(knn(queries, own, pool), best_text(bm25(queries, docs, fields, k=pool), pool), how)
     return fused.filter(F.col("final_rank") <= limit)
 
 

@@ -138,12 +138,13 @@ class VectorIndex:
         return found if found is not None else self.spark.createDataFrame([], NEAR_SCHEMA).withColumn("rank", F.lit(1))
 
     def waves(self, blocks: DataFrame) -> Iterator[list[tuple[int, Asked]]]:
-        """Blocks of queries, WAVE at a time, those of one pivot together."""
-        names = [(r["pivot"], r["block"]) for r in blocks.select("pivot", "block").orderBy("pivot", "block").collect()]  # a number for each QUERIES queries
-        for at in range(0, len(names), WAVE):
-            chosen = names[at : at + WAVE]
-            one = F.struct("pivot", "block").isin([F.struct(F.lit(p), F.lit(b)) for p, b in chosen])
-            rows = blocks.filter(one).orderBy("pivot", "block").collect()  # WAVE blocks
+        """Blocks of queries, those of one pivot together, of about WAVE times QUERIES queries at a time."""
+        sizes = [(r["pivot"], r["block"], r["n"]) for r in blocks.select("pivot", "block", F.size("ids").alias("n")).orderBy("pivot", "block").collect()]  # three numbers for each block
+        while sizes:
+            upto = max(1, int(np.searchsorted(np.cumsum([n for *_, n in sizes]), WAVE * QUERIES, side="right")))
+            chosen, sizes = sizes[:upto], sizes[upto:]
+            one = F.struct("pivot", "block").isin([F.struct(F.lit(p), F.lit(b)) for p, b, _ in chosen])
+            rows = blocks.filter(one).orderBy("pivot", "block").collect()  # a wave of queries
             yield [(r["pivot"], Asked(np.array(r["ids"], dtype=object), np.array(r["rows"]), np.array(r["lows"]), np.array(r["highs"]), np.inf)) for r in rows]
 
     def reaches(self, asked: list[Asked], home: list[int], k: int, exclude_self: bool) -> list[float]:

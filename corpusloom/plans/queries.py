@@ -264,19 +264,19 @@ ASKED = rf"{TEXT_QUERY}, asked AS (SELECT DISTINCT query_id, unnest(regexp_extra
 
 @query(f"WITH {ASKED}, {bm25_sql('visible', FIELDS)} SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", "visible")
 def bm25_notes(spark, d):
-    found = retrieval.bm25(text_queries(spark, d), visible(spark, d), FIELDS)
+    found = retrieval.bm25(text_queries(spark, d), visible(spark, d), FIELDS, k=10)
     return retrieval.best_text(found, 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {ASKED}, {bm25_sql('msg', {'content': 1.0})} SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", "msg")
 def bm25_messages(spark, d):
-    found = retrieval.bm25(text_queries(spark, d), t.messages(spark, d), {"content": 1.0})
+    found = retrieval.bm25(text_queries(spark, d), t.messages(spark, d), {"content": 1.0}, k=10)
     return retrieval.best_text(found, 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {ASKED}, {bm25_sql('chat', {'summary': 0.7, 'title': 0.3})} SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10", "chat")
 def bm25_summaries(spark, d):
-    found = retrieval.bm25(text_queries(spark, d), t.chats(spark, d), {"summary": 0.7, "title": 0.3})
+    found = retrieval.bm25(text_queries(spark, d), t.chats(spark, d), {"summary": 0.7, "title": 0.3}, k=10)
     return retrieval.best_text(found, 10).select("query_id", "id", F.round("score", 6).alias("score"))
 
 

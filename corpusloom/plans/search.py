@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+import time
+import uuid
 from dataclasses import dataclass, field, replace
 from datetime import UTC, datetime, timedelta
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation, gardener, graph, lifecycle, packing, retrieval, scans
@@ -58,33 +62,68 @@ def merged_pool(limit: int) -> int:
     return retrieval.pool_size(limit)
 
 
-def search(model: Model, queries: DataFrame, how: Search = Search(), now: datetime | None = None) -> DataFrame:
+@dataclass
+class Watch:
+    """What the stages of a search let through: rows of each, counted while the search runs, and the time until its result was there.
+
+    Counts come with the result in the same pass (``DataFrame.observe``), so they are there
+    after the first action on it.
+    """
+
+    stages: list[tuple[str, Observation]] = field(default_factory=list)
+    began: float = field(default_factory=time.monotonic)
+
+    def stage(self, name: str, rows: DataFrame) -> DataFrame:
+        seen = Observation(f"{name}-{uuid.uuid4().hex}")
+        self.stages.append((name, seen))
+        return rows.observe(seen, F.count(F.lit(1)).alias("rows"))
+
+    def report(self, how: Search) -> str:
+        """The pipeline as JSON: options, and each stage with its rows."""
+        stages = [{"stage": name, "rows": rows_seen(seen)} for name, seen in self.stages]
+        options = {"scope": how.scope, "limit": how.limit, "use_graph": how.use_graph, "fusion": how.fusion.strategy, "pool": merged_pool(how.limit)}
+        return json.dumps({"options": options, "stages": stages, "milliseconds": round(1000 * (time.monotonic() - self.began))})
+
+
+def rows_seen(seen: Observation) -> int:
+    """The rows that passed; a stage that Spark left out of the plan, as it can't have any, has no counts."""
+    try:
+        return seen.get["rows"]
+    except Py4JJavaError as e:
+        if "AssertionError" not in str(e):
+            raise
+        return 0
+
+
+def search(model: Model, queries: DataFrame, how: Search = Search(), now: datetime | None = None, watch: Watch | None = None) -> DataFrame:
     """Ranked hits of each query (query_id, query, embedding): query_id, id, hit_type, title, source_uri, score, final_rank and evidence.
 
     ``since_days`` counts back from ``now``, by default the time of the call. The entity
     filter chooses from the merged pool, which is ranked again and cut after it.
     """
+    seen = watch.stage if watch else lambda _, rows: rows
     notes = eligible_notes(model, how, now or datetime.now(UTC).replace(tzinfo=None))
     pool = merged_pool(how.limit)
     parts: dict[str, DataFrame] = {}
     if how.scope in ("notes", "all"):
-        parts["note"] = retrieval.hybrid(queries, notes, model.vectors, how.note_fields, pool, how.fusion)
+        parts["note"] = seen("notes", retrieval.hybrid(queries, notes, model.vectors, how.note_fields, pool, how.fusion))
     for kind, rows, fields in (("message", model.messages, {"content": 1.0}), ("summary", model.chats, {"summary": 0.7, "title": 0.3})):
         if rows is not None and how.scope in ("all", "messages" if kind == "message" else "summaries"):
-            parts[kind] = retrieval.hybrid(queries, rows, model.vectors, fields, pool, how.fusion)
-    hits = retrieval.scoped(parts, how.weights, pool)
+            parts[kind] = seen("messages" if kind == "message" else "summaries", retrieval.hybrid(queries, rows, model.vectors, fields, pool, how.fusion))
+    hits = seen("scoped", retrieval.scoped(parts, how.weights, pool))
     if how.use_graph != "off" and model.entities is not None and "note" in parts:
         edges = scans.visible_edges(model.edges, notes)
         anchors = hits.filter("hit_type = 'note'").select("query_id", F.col("id").alias("note_id")) if how.use_graph == "on" else None
         found = graph.graph_search(queries, model.entities, model.mentions, notes, edges, how.expansion, anchors)
-        hits = graph.merge_hits(hits, found, how.weights["note"]).withColumn("hit_type", F.coalesce("hit_type", F.lit("note")))
+        hits = graph.merge_hits(hits, seen("graph", found), how.weights["note"]).withColumn("hit_type", F.coalesce("hit_type", F.lit("note")))
     if how.entity:
         named = model.entities.filter(F.contains("canonical_name", F.lower(F.trim(F.lit(how.entity))))).select(F.col("id").alias("entity_id"))
         mentioned = model.mentions.join(named, "entity_id", "left_semi").select(F.col("note_id").alias("id")).distinct()
         hits = hits.filter("hit_type <> 'note'").unionByName(hits.filter("hit_type = 'note'").join(mentioned, "id", "left_semi"), allowMissingColumns=True)
+    hits = seen("merged", hits)
     kind = F.array_position(F.array(*[F.lit(x) for x in retrieval.HIT_TYPES]), F.col("hit_type"))
     hits = scans.first_per(hits.drop("final_rank"), ["query_id"], [F.desc(F.round("score", 9)), F.asc_nulls_last("best_rank"), kind, "id"], how.limit, "final_rank")
-    return retrieval.evidence(hits).join(payload(model), "id", "left")
+    return seen("hits", retrieval.evidence(hits).join(payload(model), "id", "left"))
 
 
 def payload(model: Model) -> DataFrame:
@@ -153,6 +192,37 @@ def maintenance(model: Model, least: float = 0.7, most: int = 50) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class Timed:
+    """One case: its hits in order, the milliseconds until they were there, and the stages' rows as JSON."""
+
+    case_id: str
+    ids: list[str]
+    milliseconds: float
+    pipeline: str
+
+
+def timed_cases(model: Model, cases: DataFrame, how: Search = Search(), now: datetime | None = None) -> list[Timed]:
+    """Each case (query_id, query, embedding) as a search of its own, one after the other: a stated set of cases, as a user would ask them."""
+    out = []
+    for case in cases.orderBy("query_id").collect():
+        watch = Watch()
+        one = cases.sparkSession.createDataFrame([case], cases.schema)
+        hits = sorted((r["final_rank"], r["id"]) for r in search(model, one, how, now, watch).select("final_rank", "id").collect())
+        spent = 1000 * (time.monotonic() - watch.began)
+        out.append(Timed(case["query_id"], [i for _, i in hits], spent, watch.report(how)))
+    return out
+
+
+def latency(timed: list[Timed]) -> dict[str, float]:
+    """Mean, median, 95th percentile and maximum of the cases' milliseconds."""
+    spent = sorted(t.milliseconds for t in timed)
+    if not spent:
+        return {"cases": 0}
+    at = lambda share: spent[min(len(spent) - 1, max(0, -(-int(share * 100) * len(spent) // 100) - 1))]  # noqa: E731  nearest rank
+    return {"cases": len(spent), "mean": sum(spent) / len(spent), "p50": at(0.5), "p95": at(0.95), "max": spent[-1]}
+
+
 def evaluate(model: Model, cases: DataFrame, relevance: DataFrame, how: Search = Search(), k: int = 10) -> DataFrame:
     """Metrics of each case: ``cases`` has query_id, query and embedding; ``relevance`` case_id, id and grade."""
     hits = search(model, cases, how).select(F.col("query_id").alias("case_id"), "id", F.col("final_rank").alias("rank"))

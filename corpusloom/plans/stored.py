@@ -9,8 +9,9 @@ from corpusloom.operators.importing import Library
 from corpusloom.operators.reembedding import Reembedding
 from corpusloom.plans import queries as q
 from corpusloom.plans.registry import query
+from corpusloom.sources import archive
 from corpusloom.sources import tables as t
-from corpusloom.sources.storage import scratch
+from corpusloom.sources.storage import Versions, scratch
 
 BEST = "SELECT query_id, id, round(score, 6) AS score FROM bm QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) <= 10"
 
@@ -37,13 +38,13 @@ def indexed_after_changes(spark, d):
 
 
 @query(
-    "SELECT q.id AS query_id, v.id, round(list_cosine_similarity(q.embedding, v.embedding), 6) AS similarity FROM vec q, vec v WHERE v.id <> q.id AND list_cosine_similarity(q.embedding, v.embedding) > 0.5 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(1 - list_cosine_similarity(q.embedding, v.embedding), 9), v.id) <= 5",
+    "SELECT q.id AS query_id, v.id, round(list_cosine_similarity(q.embedding, v.embedding), 6) AS similarity FROM vec q, vec v WHERE v.id <> q.id AND list_cosine_similarity(q.embedding, v.embedding) > 0.3 QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY round(1 - list_cosine_similarity(q.embedding, v.embedding), 9), v.id) <= 5",
     "vec",
 )
 def similar_by_blocks(spark, d):
-    """The five most similar vectors above 0.5 of every vector, by blocks round pivots."""
+    """The five most similar vectors above 0.3 of every vector, by blocks round pivots."""
     v = t.vectors(spark, d).select("id", "embedding")
-    near = vector_index.VectorIndex.build(v).near(v.withColumnRenamed("id", "query_id"), 5, exclude_self=True, least=0.5)
+    near = vector_index.VectorIndex.build(v).near(v.withColumnRenamed("id", "query_id"), 5, exclude_self=True, least=0.3)
     return near.select("query_id", "id", F.round(1 - F.col("distance"), 6).alias("similarity"))
 
 
@@ -81,18 +82,30 @@ def fallback_outcome(spark, d):
 
 @query(
     """SELECT id AS uri, CASE WHEN CAST(substr(source, 4) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS generation, CASE WHEN CAST(substr(source, 4) AS BIGINT) % 3 = 0 THEN 2 ELSE 1 END AS successful_generation, 'ready' AS status, CAST(1 AS BIGINT) AS notes,
-    source AS heading, (CASE WHEN CAST(substr(source, 4) AS BIGINT) % 3 = 0 THEN n ELSE even END) || ' texts' AS content
-    FROM (SELECT source, 'fixture://' || source AS id, count(*) AS n, count(*) FILTER (doc_id % 2 = 0) AS even FROM documents GROUP BY source)"""
+    source AS heading, (CASE WHEN CAST(substr(source, 4) AS BIGINT) % 3 = 0 THEN n ELSE seventh END) || ' texts' AS content
+    FROM (SELECT source, 'fixture://' || source AS id, count(*) AS n, count(*) FILTER (doc_id % 7 = 0) AS seventh FROM documents GROUP BY source)"""
 )
 def imported_sources(spark, d):
     """Sources and their notes after two imports of a file for each, the second with changes in every third; a batch that comes again changes nothing."""
-    docs = t.read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") % 2 == 0).alias("even"))
+    docs = t.read(spark, d, "documents").groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("doc_id") % 7 == 0).alias("seventh"))
     uri = F.concat(F.lit("fixture://"), "source").alias("uri")
     text = lambda n: F.concat(F.lit("# "), "source", F.lit("\n\n"), n.cast("string"), F.lit(" texts")).alias("content")
     third = F.substring("source", 4, 9).cast("long") % 3 == 0
     library = Library.open(spark, scratch(spark, "library"))
-    library = library.put(docs.select(uri, text(F.col("even"))), "files", 0)
-    library = library.put(docs.select(uri, text(F.when(third, F.col("n")).otherwise(F.col("even")))), "files", 1)
+    library = library.put(docs.select(uri, text(F.col("seventh"))), "files", 0)
+    library = library.put(docs.select(uri, text(F.when(third, F.col("n")).otherwise(F.col("seventh")))), "files", 1)
     library = library.put(docs.select(uri, text(F.lit(0))), "files", 1)
     notes = library.rows("notes").groupBy("uri").agg(F.count("*").alias("notes"), F.min("content").alias("content"), F.min(F.array_join("heading_path", "/")).alias("heading"))
     return library.rows("sources").join(notes, "uri").select("uri", F.col("generation").cast("int").alias("generation"), F.col("successful_generation").cast("int").alias("successful_generation"), "status", "notes", "heading", "content")
+
+
+@query("SELECT id, title, content, array_to_string(tags, ',') AS tags, created_at FROM note", "note")
+def archived_notes(spark, d):
+    """Notes that went through an archive with their sources: written, checked while it is read, and restored as one version."""
+    kept = {"source": t.sources(spark, d).select("id", "status"), "note": t.notes(spark, d).select("id", "title", "content", "tags", "source_id", "created_at")}
+    path, target = scratch(spark, "archive"), scratch(spark, "restored")
+    archive.export(kept, path)
+    schemas = {"source": "id string, status string", "note": "id string, title string, content string, tags array<string>, source_id string, created_at timestamp"}
+    version = archive.restored(spark, path, target, schemas, {"note": {"source_id": "source"}})
+    notes = Versions(spark, target).read("note", version)
+    return notes.select("id", "title", "content", F.array_join("tags", ",").alias("tags"), "created_at")
