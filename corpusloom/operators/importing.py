@@ -105,28 +105,27 @@ class Library:
         old = written(self.rows("notes").join(sent_if_small(changed.select("uri")), "uri", "left_semi"), "import-replaced")
         successors = written(succession(old, new_notes), "import-successors")
         retired = old.select("id")
-        edges, mentions, vectors = self.rows("edges"), self.rows("mentions"), self.rows("vectors")
-        lost_mentions = mentions.join(sent_if_small(retired.withColumnRenamed("id", "note_id")), "note_id", "left_semi")
-        exact = successors.filter("exact_content").select(F.col("old_id").alias("id"), "new_id")
-        lost_vectors = vectors.join(sent_if_small(retired), "id", "left_semi")
-        kept_vectors = lost_vectors.join(exact, "id").select(F.col("new_id").alias("id"), "embedding")
-        lost_edges, moved = self.moved_edges(edges, retired, successors)
         new_sources = changed.join(each.select("uri", "content_hash"), "uri").select("uri", "content_hash", "generation", F.col("generation").alias("successful_generation"), F.lit("ready").alias("status"))
-        lost_edges, moved = written(lost_edges, "import-lost"), written(moved, "import-moved")
-        copied = written(copied_mentions(lost_mentions, successors).distinct(), "import-mentions")
-        outcome = counted(actions, new_notes, old, successors, copied, kept_vectors, lost_edges, moved)
+        changes: dict[str, tuple[DataFrame | None, DataFrame | None]] = {
+            "sources": (sources.join(sent_if_small(changed.select("uri")), "uri", "left_semi"), new_sources),
+            "notes": (old, new_notes),
+        }
+        if self.has("mentions"):
+            lost = self.rows("mentions").join(sent_if_small(retired.withColumnRenamed("id", "note_id")), "note_id", "left_semi")
+            changes["mentions"] = lost, written(copied_mentions(lost, successors).distinct(), "import-mentions")
+        if self.has("vectors"):
+            lost = self.rows("vectors").join(sent_if_small(retired), "id", "left_semi")
+            exact = successors.filter("exact_content").select(F.col("old_id").alias("id"), "new_id")
+            changes["vectors"] = lost, written(lost.join(exact, "id").select(F.col("new_id").alias("id"), "embedding"), "import-vectors")
+        if self.has("edges"):
+            lost, moved = self.moved_edges(self.rows("edges"), retired, successors)
+            changes["edges"] = written(lost, "import-lost"), written(moved, "import-moved")
+        outcome = counted(actions, new_notes, old, successors, changes)
         streams = self.version.notes.get("streams", {}) | ({stream: epoch} if stream is not None else {})
-        return self.changed(
-            {
-                "sources": (sources.join(sent_if_small(changed.select("uri")), "uri", "left_semi"), new_sources),
-                "notes": (old, new_notes),
-                "mentions": (lost_mentions, copied),
-                "vectors": (lost_vectors, kept_vectors),
-                "edges": (lost_edges, moved),
-            },
-            streams=streams,
-            outcome=outcome,
-        )
+        return self.changed(changes, streams=streams, outcome=outcome)
+
+    def has(self, table: str) -> bool:
+        return bool(self.version.notes.get("live", {}).get(table))
 
     def cut(self, files: DataFrame, changed: DataFrame, sizes: Sizes) -> DataFrame:
         """The notes of changed files."""
@@ -167,12 +166,13 @@ def succession(old: DataFrame, new: DataFrame) -> DataFrame:
     return pairs.join(a, ["source_id", "old_ordinal"]).join(b, ["source_id", "new_ordinal"]).select("old_id", "new_id", "exact_content")
 
 
-def counted(actions: DataFrame, new_notes: DataFrame, old: DataFrame, successors: DataFrame, copied: DataFrame, vectors: DataFrame, lost_edges: DataFrame, moved: DataFrame) -> dict[str, int]:
+def counted(actions: DataFrame, new_notes: DataFrame, old: DataFrame, successors: DataFrame, changes: dict) -> dict[str, int]:
     """What an import did, as sums."""
     of = actions.agg(*[F.count_if(F.col("action") == a).alias(f"{a}_sources") for a in ("created", "updated", "unchanged")]).first().asDict()
     kept = successors.agg(F.count_if("exact_content").alias("exact"), F.count_if(~F.col("exact_content")).alias("changed")).first()
-    vectors_kept, created, retired = vectors.count(), new_notes.count(), old.count()
+    rows = lambda table, side: changes[table][side].count() if table in changes else 0
+    created, retired, reused = new_notes.count(), old.count(), rows("vectors", 1)
     return of | {
         "created_notes": created, "retired_notes": retired, "exact_successors": kept["exact"], "changed_successors": kept["changed"], "notes_without_successor": retired - kept["exact"] - kept["changed"],
-        "copied_mentions": copied.count(), "reused_vectors": vectors_kept, "to_embed": created - vectors_kept, "lost_edges": lost_edges.count(), "moved_edges": moved.count(),
+        "copied_mentions": rows("mentions", 1), "reused_vectors": reused, "to_embed": created - reused, "lost_edges": rows("edges", 0), "moved_edges": rows("edges", 1),
     }

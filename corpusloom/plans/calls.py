@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corpusloom.operators import evaluation, graph, lifecycle, retrieval, scans
 from corpusloom.plans import queries as q
 from corpusloom.plans import search as s
-from corpusloom.plans.registry import query
+from corpusloom.plans.oracle import with_model
+from corpusloom.plans.registry import SQL, query
 from corpusloom.sources import tables as t
 
 NOW = datetime(2024, 1, 20)
@@ -175,15 +176,15 @@ def graph_summaries(spark, d):
     return s.graph_summary(found, found.filter(F.regexp_extract("id", "[0-9]+", 0).cast("long") % 2 == 0))
 
 
-def hop_sql(n: int) -> str:
+def hop_sql(n: int, fanout: int = 3, candidates: int = 6) -> str:
     """From front_(n-1) and kept_(n-1) to front_n and kept_n: bounded moves, best states, best candidates."""
     m = n - 1
     return f"""move_{n} AS (SELECT f.query_id, f.id AS here, e.b AS id, f.score * 0.8 * least(greatest(coalesce(e.confidence, 1.0), 0), 1) AS score, e.edge_id, f.seed_id, list_append(f.path, e.edge_id) AS path, list_append(f.visited, e.b) AS visited,
         row_number() OVER (PARTITION BY f.query_id, f.id, e.edge_type ORDER BY e.confidence DESC NULLS LAST, e.edge_id) AS per_table FROM front_{m} f JOIN ends e ON e.a = f.id WHERE NOT list_contains(f.visited, e.b)),
-    fan_{n} AS (SELECT * FROM move_{n} WHERE per_table <= 3 QUALIFY row_number() OVER (PARTITION BY query_id, here ORDER BY round(score, 9) DESC, edge_id, id) <= 3),
+    fan_{n} AS (SELECT * FROM move_{n} WHERE per_table <= {fanout} QUALIFY row_number() OVER (PARTITION BY query_id, here ORDER BY round(score, 9) DESC, edge_id, id) <= {fanout}),
     state_{n} AS (SELECT query_id, id, score, seed_id, path, visited, {n} AS hops FROM fan_{n} QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY round(score, 9) DESC, edge_id) = 1),
     best_{n} AS (SELECT * FROM (SELECT * FROM kept_{m} UNION ALL SELECT * FROM state_{n}) QUALIFY row_number() OVER (PARTITION BY query_id, id ORDER BY round(score, 9) DESC, path, seed_id) = 1),
-    kept_{n} AS (SELECT * FROM best_{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, seed_id, id) <= 6),
+    kept_{n} AS (SELECT * FROM best_{n} QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, path, seed_id, id) <= {candidates}),
     front_{n} AS (SELECT * FROM state_{n} WHERE (query_id, id) IN (SELECT (query_id, id) FROM kept_{n}))"""
 
 
@@ -197,21 +198,31 @@ def two_hops_from_notes(spark, d):
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "hops", F.array_join(F.transform("path", lambda x: x["edge_id"]), ",").alias("path"))
 
 
-SEEDS_SQL = f"""{q.PAGE_SQL}, c1 AS (SELECT query_id, note_id FROM pages WHERE entity_rank = 1 AND page_rank = 1),
+def seeds_sql(most: int) -> str:
+    """The seed notes of each query, coverage first: chosen (query_id, note_id)."""
+    return f"""{q.PAGE_SQL}, c1 AS (SELECT query_id, note_id FROM pages WHERE entity_rank = 1 AND page_rank = 1),
     c2 AS (SELECT query_id, note_id FROM pages WHERE entity_rank = 2 AND (query_id, note_id) NOT IN (SELECT (query_id, note_id) FROM c1) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY page_rank) = 1),
     d2 AS (SELECT * FROM c1 UNION ALL SELECT * FROM c2), c3 AS (SELECT query_id, note_id FROM pages WHERE entity_rank = 3 AND (query_id, note_id) NOT IN (SELECT (query_id, note_id) FROM d2) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY page_rank) = 1),
     d3 AS (SELECT * FROM d2 UNION ALL SELECT * FROM c3), c4 AS (SELECT query_id, note_id FROM pages WHERE entity_rank = 4 AND (query_id, note_id) NOT IN (SELECT (query_id, note_id) FROM d3) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY page_rank) = 1),
     d4 AS (SELECT * FROM d3 UNION ALL SELECT * FROM c4), rest AS (SELECT query_id, note_id, min(entity_rank * 1000 + page_rank) AS o FROM pages WHERE (query_id, note_id) NOT IN (SELECT (query_id, note_id) FROM d4) GROUP BY ALL),
-    chosen AS (SELECT query_id, note_id FROM (SELECT query_id, note_id, 0 AS o FROM d4 UNION ALL SELECT * FROM rest) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) <= 6)"""
+    chosen AS (SELECT query_id, note_id FROM (SELECT query_id, note_id, 0 AS o FROM d4 UNION ALL SELECT * FROM rest) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) <= {most})"""
 
 
-@query(f"WITH {SEEDS_SQL} SELECT query_id, note_id, CAST(min(entity_rank) AS INT) AS entity_rank FROM pages WHERE (query_id, note_id) IN (SELECT (query_id, note_id) FROM chosen) GROUP BY ALL", "entity", "mention", "visible")
+@query(f"WITH {seeds_sql(6)} SELECT query_id, note_id, CAST(min(entity_rank) AS INT) AS entity_rank FROM pages WHERE (query_id, note_id) IN (SELECT (query_id, note_id) FROM chosen) GROUP BY ALL", "entity", "mention", "visible")
 def coverage_seeds(spark, d):
     """A new note for each entity first, then the others in order."""
     matches = graph.entity_matches(q.entity_queries(spark, d), t.entities(spark, d), 4)
     return graph.pick_seeds(graph.seed_pages(matches, t.mentions(spark, d), q.visible(spark, d), 12), 6)
 
 
+SQL["graph_two_hop"] = with_model(
+    f"""WITH {seeds_sql(12)}, ends AS (SELECT from_id AS a, to_id AS b, id AS edge_id, edge_type, confidence FROM visible_edge UNION ALL SELECT to_id, from_id, id, edge_type, confidence FROM visible_edge),
+    front_0 AS (SELECT query_id, note_id AS id, 0.03 AS score, note_id AS seed_id, CAST([] AS VARCHAR[]) AS path, [note_id] AS visited, 0 AS hops FROM chosen), kept_0 AS (SELECT * FROM front_0), {hop_sql(1, 8, 32)}, {hop_sql(2, 8, 32)}
+    SELECT query_id, id, round(score, 6) AS score, CAST(hops AS INT) AS hops, seed_id, array_to_string(path, ',') AS path FROM kept_2""",
+    "entity", "mention", "visible", "visible_edge",
+)
+
+
 NEW_SQL = f"{q.GARDEN_SQL}, keyed AS (SELECT least(from_id, to_id) AS a, greatest(from_id, to_id) AS b, s FROM suggested)"
 
 
