@@ -270,6 +270,8 @@ def with_payload(hits: DataFrame, rows: DataFrame, columns: list[str]) -> DataFr
 
 
 HIT_TYPES = ("note", "message", "summary")
+#: Added before a score is shown, so that halves go up whatever the last bit of a sum is.
+HALF_UP = 1e-9
 
 
 def scoped(parts: dict[str, DataFrame], weights: dict[str, float], limit: int) -> DataFrame:
@@ -310,4 +312,4 @@ def explained(hit: DataFrame) -> DataFrame:
 
     graph = F.when(F.col("evidence.graph_score").isNotNull(), F.format_string("graph %d hops from %s (%.4f)", "evidence.hops", "evidence.seed_id", "evidence.graph_score"))
     why = F.concat_ws(", ", part("vector", "vector_rank", "distance"), part("text", "text_rank", "text_score"), graph)
-    return e.withColumn("explanation", F.concat(F.format_string("#%d %s %.4f: ", "evidence.final_rank", "id", "evidence.score"), why))
+    return e.withColumn("explanation", F.concat(F.format_string("#%d %s %.4f: ", "evidence.final_rank", "id", F.col("evidence.score") + HALF_UP), why))

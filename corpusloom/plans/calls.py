@@ -111,7 +111,7 @@ def fused_payload(spark, d):
     return found.select("query_id", "id", "final_rank", "title", "content", F.array_join("tags", ",").alias("tags"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("text_score"))
 
 
-@query(f"""WITH {FUSED} SELECT query_id, id, format('#{{}} {{}} {{:.4f}}: ', final_rank, id, fused) || concat_ws(', ', CASE WHEN vr IS NOT NULL THEN format('vector #{{}} ({{:.4f}})', vr, greatest(distance, 0)) END, CASE WHEN tr IS NOT NULL THEN format('text #{{}} ({{:.4f}})', tr, score) END) AS explanation FROM fused_n""", "note", "vec")
+@query(f"""WITH {FUSED} SELECT query_id, id, format('#{{}} {{}} {{:.4f}}: ', final_rank, id, fused + 1e-9) || concat_ws(', ', CASE WHEN vr IS NOT NULL THEN format('vector #{{}} ({{:.4f}})', vr, greatest(distance, 0)) END, CASE WHEN tr IS NOT NULL THEN format('text #{{}} ({{:.4f}})', tr, score) END) AS explanation FROM fused_n""", "note", "vec")
 def explained_hits(spark, d):
     """Why each hit is there: its channels, ranks and scores."""
     hits = fused_notes(spark, d).withColumn("text_score", F.col("score")).withColumn("score", F.col("fused_score"))
