@@ -245,7 +245,7 @@ def pack(hits: DataFrame, how: Packing = Packing()) -> DataFrame:
         pdf = pdf.sort_values(["rank", "id"])
         rows = pack_query(pdf[["id", "hit_type", "title", "content", "score"]].to_dict("records"), pdf["query"].iloc[0], how)
         names = [x.split(" ")[0] for x in PACK_SCHEMA.split(", ")]
-        out = pd.DataFrame(rows, columns=names)
+        out = pd.DataFrame(rows, columns=names, dtype=object)  # a column may have no value at all
         out["query_id"] = pdf["query_id"].iloc[0]
         return out.astype({"citation": "Int32", "tokens": "Int64", "rendered_tokens": "Int64", "truncated": "boolean"})
 

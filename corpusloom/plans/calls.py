@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation, graph, lifecycle, retrieval, scans
+from corpusloom.operators.packing import Packing
 from corpusloom.plans import queries as q
 from corpusloom.plans import search as s
 from corpusloom.plans.oracle import with_model
@@ -76,11 +77,11 @@ def augmented_context(spark, d):
     return out.select("query_id", "id", "citation", "reason", "tokens")
 
 
-@query("SELECT CAST(NULL AS VARCHAR) AS query_id, CAST(NULL AS VARCHAR) AS id WHERE false")
+@query(f"WITH {q.TEXT_QUERY} SELECT query_id, CAST(0 AS BIGINT) AS chunks, 'no budget' AS state FROM tq")
 def context_of_no_budget(spark, d):
-    from corpusloom.operators.packing import Packing
-
-    return s.augment(model(spark, d), q.both_queries(spark, d), s.Search(use_graph="off"), Packing(total=0), NOW).select("query_id", "id")
+    """Why the context of each benchmark text is empty."""
+    queries, budget = q.both_queries(spark, d), Packing(total=0)
+    return s.context_states(queries, s.augment(model(spark, d), queries, s.Search(use_graph="off"), budget, NOW), budget)
 
 
 def knn_sql(vectors: str) -> str:

@@ -166,6 +166,15 @@ def augment(model: Model, queries: DataFrame, how: Search = Search(), budget: pa
     return packing.pack(rows.select("query_id", "query", F.col("final_rank").alias("rank"), "id", "hit_type", "title", F.coalesce("content", F.lit("")).alias("content"), "score"), budget)
 
 
+def context_states(queries: DataFrame, packed: DataFrame, budget: packing.Packing) -> DataFrame:
+    """query_id, chunks and state of every query: packed, or why its context is empty (no budget, no hits, nothing fits)."""
+    own = packed.groupBy("query_id").agg(F.count("*").alias("__hits"), F.count_if(F.col("reason") == "selected").alias("chunks"))
+    rows = queries.select("query_id").join(own, "query_id", "left")
+    chunks = F.coalesce("chunks", F.lit(0).cast("long"))
+    state = F.when(F.lit(budget.total <= 0), "no budget").when(F.col("__hits").isNull(), "no hits").when(chunks == 0, "nothing fits").otherwise("packed")
+    return rows.select("query_id", chunks.alias("chunks"), state.alias("state"))
+
+
 def lone_suggestions(model: Model, least: float, most: int) -> tuple[DataFrame, DataFrame]:
     """Notes without edges, and the links suggested for them."""
     notes = scans.visible_notes(model.notes, model.sources)

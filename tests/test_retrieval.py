@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
+from corpusloom.operators.packing import Packing
 from corpusloom.plans import search as s
 
 FIELDS = {"content": 0.9, "title": 0.1}
@@ -76,6 +77,15 @@ def test_cases_one_by_one_find_what_they_find_together(spark):
     assert s.latency([]) == {"cases": 0}
 
 
+def test_every_query_has_a_context_or_a_reason(spark):
+    queries = spark.createDataFrame([("a", "w1 w2", [1.0, 1.0]), ("b", "unknown", None)], "query_id string, query string, embedding array<double>")
+    how = s.Search(limit=4, use_graph="off")
+    for total, want in ((0, {"a": "no budget", "b": "no budget"}), (4000, {"a": "packed", "b": "no hits"}), (1, {"a": "nothing fits", "b": "no hits"})):
+        budget = Packing(total=total)
+        states = s.context_states(queries, s.augment(model(spark), queries, how, budget, NOW), budget)
+        assert {r["query_id"]: r["state"] for r in states.collect()} == want
+
+
 def test_nothing_stays_cached(spark, sf):
     from corpusloom.plans import registered
 
