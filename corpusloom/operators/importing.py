@@ -28,7 +28,7 @@ from corpusloom.operators.lifecycle import begin_imports, copied_mentions, remap
 from corpusloom.operators.scans import first_per, sent_if_small
 from corpusloom.sources.storage import Version, Versions, written
 
-BUCKETS = 32
+BUCKETS = 16
 #: Columns of each table, and the one that says a row's bucket.
 TABLES = {
     "sources": ("uri string, content_hash string, generation long, successful_generation long, status string", "uri"),

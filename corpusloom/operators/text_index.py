@@ -28,14 +28,14 @@ from corpusloom.operators.retrieval import B, K1, terms
 from corpusloom.operators.scans import first_per, sent_if_small
 from corpusloom.sources.storage import Version, Versions, written
 
-#: Folders of terms and of documents, documents of a block, and how far apart scores may be that rank alike.
-BUCKETS, BLOCK, SLACK = 64, 1024, 1e-6
+#: Folders of terms and of documents (a number for every FOLDER documents, within bounds), documents of a block, and how far apart scores may be that rank alike.
+LEAST_BUCKETS, MOST_BUCKETS, FOLDER, BLOCK, SLACK = 8, 256, 20_000, 1024, 1e-6
 #: Of a query's rarest terms, so many times k documents are scored first.
 SEEDS = 4
 
 
-def bucket_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
 def document_terms(docs: DataFrame, fields: dict[str, float] | list[str]) -> DataFrame:
@@ -46,19 +46,19 @@ def document_terms(docs: DataFrame, fields: dict[str, float] | list[str]) -> Dat
     return counted.groupBy("id", "field", "length").agg(F.collect_list(entry).alias("terms"))
 
 
-def postings_of(documents: DataFrame, blocks: int) -> DataFrame:
+def postings_of(documents: DataFrame, blocks: int, buckets: int) -> DataFrame:
     """bucket, term, field, block, most_tf, least_length and entries (array of id, tf, length) of documents' terms."""
     rows = documents.select("id", "field", "length", F.explode("terms").alias("x")).select("id", "field", "length", "x.*")
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
     return rows.groupBy("term", "field", block.alias("block")).agg(
         F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.collect_list(F.struct("id", "tf", "length")).alias("entries")
-    ).withColumn("bucket", bucket_of("term"))
+    ).withColumn("bucket", bucket_of("term", buckets))
 
 
-def counts_of(documents: DataFrame, sign: int) -> tuple[DataFrame, DataFrame]:
+def counts_of(documents: DataFrame, sign: int, buckets: int) -> tuple[DataFrame, DataFrame]:
     """What documents add to the counts of terms and of fields, or take away."""
     each = documents.select("field", F.explode("terms").alias("x")).select("field", "x.term")
-    of_terms = each.groupBy("term", "field").agg((sign * F.count("*")).alias("df")).withColumn("bucket", bucket_of("term"))
+    of_terms = each.groupBy("term", "field").agg((sign * F.count("*")).alias("df")).withColumn("bucket", bucket_of("term", buckets))
     return of_terms, documents.groupBy("field").agg((sign * F.count("*")).alias("rows"), (sign * F.sum("length")).alias("total"))
 
 
@@ -73,8 +73,9 @@ class TextIndex:
     def create(cls, spark: SparkSession, path: str, docs: DataFrame, fields: list[str]) -> TextIndex:
         """A new index of ``docs`` (id and fields; ids once)."""
         store = Versions(spark, path)
-        blocks = max(1, -(-docs.count() // BLOCK))
-        empty = Version(notes={"fields": list(fields), "blocks": blocks, "segment": -1})
+        n = docs.count()
+        buckets = min(MOST_BUCKETS, max(LEAST_BUCKETS, n // FOLDER))
+        empty = Version(notes={"fields": list(fields), "blocks": max(1, -(-n // BLOCK)), "buckets": buckets, "segment": -1})
         return cls(store, empty).put(docs)
 
     @classmethod
@@ -108,7 +109,7 @@ class TextIndex:
     def _segment(self, new: DataFrame | None, changed: DataFrame) -> TextIndex:
         """The next version: entries of new documents, and of those that were changed none of before."""
         notes = self.version.notes
-        number = notes["segment"] + 1
+        number, buckets = notes["segment"] + 1, notes["buckets"]
         tables = {k: list(v) for k, v in self.version.tables.items()}
 
         def add(table: str, rows: DataFrame, *by: str) -> None:
@@ -116,14 +117,14 @@ class TextIndex:
 
         if number:
             old = written(self.live().join(sent_if_small(changed), "id", "left_semi"), "index-changed")
-            of_terms, of_fields = counts_of(old, -1)
+            of_terms, of_fields = counts_of(old, -1, buckets)
             add("counts", of_terms, "bucket")
             add("sizes", of_fields)
             add("dead", old.select("id").distinct())
         if new is not None:
-            of_terms, of_fields = counts_of(new, 1)
-            add("postings", postings_of(new, notes["blocks"]).repartition("bucket", "term").sortWithinPartitions("bucket", "term", "field", "block"), "bucket")
-            add("documents", new.withColumn("home", bucket_of("id")).repartition("home").sortWithinPartitions("home", "id"), "home")
+            of_terms, of_fields = counts_of(new, 1, buckets)
+            add("postings", postings_of(new, notes["blocks"], buckets).repartition("bucket", "term").sortWithinPartitions("bucket", "term", "field", "block"), "bucket")
+            add("documents", new.withColumn("home", bucket_of("id", buckets)).repartition("home").sortWithinPartitions("home", "id"), "home")
             add("counts", of_terms.repartition("bucket"), "bucket")
             add("sizes", of_fields)
         return replace(self, version=self.store.commit(self.version, tables, **(notes | {"segment": number})))
@@ -142,8 +143,8 @@ class TextIndex:
 
         Only the buckets of asked terms are read.
         """
-        wanted = asked.select("term").distinct().withColumn("bucket", bucket_of("term"))
-        buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]  # BUCKETS at most
+        wanted = asked.select("term").distinct().withColumn("bucket", bucket_of("term", self.version.notes["buckets"]))
+        buckets = [r[0] for r in wanted.select("bucket").distinct().collect()]  # MOST_BUCKETS at most
         wanted = sent_if_small(wanted)
         counts = self.table("counts").filter(F.col("bucket").isin(buckets)).join(wanted, ["bucket", "term"]).groupBy("bucket", "term", "field").agg(F.sum("df").alias("df")).filter("df > 0")
         tops = self.table("postings").filter(F.col("bucket").isin(buckets)).select("bucket", "term", "field", "most_tf", "least_length").join(wanted, ["bucket", "term"])
