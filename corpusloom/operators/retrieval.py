@@ -84,7 +84,9 @@ def _scan(rows: DataFrame, packed: DataFrame, k: int, exclude_self: bool, least:
 
 def terms(text: Column) -> Column:
     """Runs of letters and runs of digits, in lower case without marks."""
-    return F.regexp_extract_all(F.translate(F.lower(text), MARKED, PLAIN), F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))
+    low = F.lower(text)
+    plain = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, MARKED, PLAIN))  # ASCII has no marks
+    return F.regexp_extract_all(plain, F.lit(r"(\p{L}+|\p{N}+)"), F.lit(1))
 
 
 #: Cells of the table of asked terms by queries up to which it is sent to all tasks, and texts of a product.
