@@ -26,6 +26,10 @@ BUCKETS = {
 }
 
 
+#: Hops of an expansion at most, so a path has visited so many notes when it takes a step.
+MOST_HOPS = 2
+
+
 @dataclass(frozen=True)
 class Expansion:
     seed_entities: int = 4
@@ -129,7 +133,35 @@ def priority() -> list[Column]:
     return [F.desc(F.round("score", 9)), F.transform("path", lambda s: F.struct(s["edge_id"].alias("a"), s["from_id"].alias("b"), s["to_id"].alias("c"), s["direction"].alias("d"))), "seed_id"]
 
 
-def expand(seeds: DataFrame, edges: DataFrame, how: Expansion = Expansion(), anchors: DataFrame | None = None) -> DataFrame:
+def directed(edges: DataFrame, how: Expansion) -> DataFrame:
+    """The edges that an expansion may take, once for each note that it can leave by them."""
+    ends = both_directions(edges.filter(F.col("edge_type").isin(*how.edge_types) & (F.coalesce("confidence", F.lit(1.0)) >= how.least_confidence)))
+    if not (how.outbound and how.inbound):
+        ends = ends.filter(F.col("direction") == ("out" if how.outbound else "in"))
+    sure = F.least(F.greatest(F.coalesce("confidence", F.lit(1.0)), F.lit(0.0)), F.lit(1.0))
+    return ends.select(F.col("note_id").alias("__from"), "other_id", "direction", F.col("id").alias("edge_id"), "edge_type", sure.alias("sure"), "confidence")
+
+
+def best_ends(ends: DataFrame, how: Expansion) -> DataFrame:
+    """Of each note's edges those that a step can take whatever its path: what a query reads of a hub is bounded.
+
+    A step takes the first ``fanout`` edges of a type to notes that its path hasn't visited.
+    It has visited two at most, and of edges to one note only the first ``fanout`` can be
+    taken, so those to one note beyond that go, and of what is left the first three times
+    ``fanout`` of each note and type are enough. Both limits are applied before the shuffle,
+    too, so no task gets all edges of a hub.
+    """
+    order = [F.desc_nulls_last("confidence"), "edge_id"]
+    ends = first_per(ends, ["__from", "edge_type", "other_id"], order, how.fanout, "__parallel")
+    return first_per(ends, ["__from", "edge_type"], order, (MOST_HOPS + 1) * how.fanout, "__place").drop("__parallel", "__place")
+
+
+def adjacency(edges: DataFrame, how: Expansion = Expansion()) -> DataFrame:
+    """The bounded edges of every note, to be kept (``storage.Versions``) for many expansions with these options."""
+    return best_ends(directed(edges, how), how)
+
+
+def expand(seeds: DataFrame, edges: DataFrame, how: Expansion = Expansion(), anchors: DataFrame | None = None, adjacent: DataFrame | None = None) -> DataFrame:
     """query_id, id, score, hops, seed_id, path of the graph candidates of each query.
 
     ``seeds`` (query_id, note_id, entity_rank) are candidates themselves; ``anchors``
@@ -137,6 +169,7 @@ def expand(seeds: DataFrame, edges: DataFrame, how: Expansion = Expansion(), anc
     note, then the best state per neighbour; the candidates are the best of old and new
     up to their number, and only states whose note is among them go on. Each step's rows
     (bounded per query) are written to the shared folder, as the next step reads them twice.
+    ``adjacent`` is what ``adjacency`` gave for these edges and options, if a caller keeps it.
     """
     start = seeds.select("query_id", F.col("note_id").alias("id"), "entity_rank", F.lit(True).alias("entity"))
     if anchors is not None:
@@ -149,12 +182,12 @@ def expand(seeds: DataFrame, edges: DataFrame, how: Expansion = Expansion(), anc
     )
     candidates = frontier.filter("entity").drop("entity")
     frontier = frontier.drop("entity")
-    ends = both_directions(edges.filter(F.col("edge_type").isin(*how.edge_types) & (F.coalesce("confidence", F.lit(1.0)) >= how.least_confidence)))
-    if not (how.outbound and how.inbound):
-        ends = ends.filter(F.col("direction") == ("out" if how.outbound else "in"))
-    ends = ends.select(F.col("note_id").alias("__from"), "other_id", "direction", F.col("id").alias("edge_id"), "edge_type", F.least(F.greatest(F.coalesce("confidence", F.lit(1.0)), F.lit(0.0)), F.lit(1.0)).alias("sure"), "confidence")
-    for hop in range(1, min(how.hops, 2) + 1):
-        moves = ends.join(frontier, F.col("__from") == F.col("id")).filter(~F.array_contains("visited", F.col("other_id")))
+    ends = directed(edges, how) if adjacent is None else adjacent
+    for hop in range(1, min(how.hops, MOST_HOPS) + 1):
+        near = ends
+        if adjacent is None:  # of the notes that are left now only
+            near = best_ends(ends.join(frontier.select(F.col("id").alias("__from")).distinct(), "__from", "left_semi"), how)
+        moves = near.join(frontier, F.col("__from") == F.col("id")).filter(~F.array_contains("visited", F.col("other_id")))
         moves = first_per(moves, ["query_id", "id", "edge_type"], [F.desc_nulls_last("confidence"), "edge_id"], how.fanout, "__table")
         moves = moves.withColumn("next", F.col("score") * how.decay * F.col("sure"))
         moves = first_per(moves, ["query_id", "id"], [F.desc(F.round("next", 9)), "edge_id", "other_id"], how.fanout, "__node")

@@ -7,7 +7,9 @@ is given.
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -169,6 +171,45 @@ def clip(text: str, query: str, most: int, count: Callable[[str], int]) -> tuple
         lo, hi = min(sides)[2]
 
 
+class Waiting:
+    """Hits that may still be chosen, the one of the highest worth first.
+
+    A hit's worth only falls as more hits are chosen, so the worth known from earlier
+    comparisons is an upper bound: only the hit on top is compared with what was chosen
+    since, and hits that never get there are neither compared nor split into tokens.
+    """
+
+    def __init__(self, hits: list[dict], weight: float) -> None:
+        self.weight = weight
+        self.hits = [h | {"closest": 0.0, "compared": 0} for h in hits]
+        self.heap = [(-self.worth(h), h["rank"], i) for i, h in enumerate(self.hits)]
+        heapq.heapify(self.heap)
+        self.counts: dict[str, Counter] = {}
+
+    def worth(self, hit: dict) -> float:
+        return (1 - self.weight) * hit["relevance"] + self.weight * (1 - hit["closest"])
+
+    def tokens(self, hit: dict) -> Counter:
+        if hit["id"] not in self.counts:
+            self.counts[hit["id"]] = token_counts(hit["content"])
+        return self.counts[hit["id"]]
+
+    def best(self, chosen: list[dict]) -> dict | None:
+        """Take the hit of the highest worth, ties by rank, given all that was chosen."""
+        while self.heap:
+            _, rank, i = heapq.heappop(self.heap)
+            hit = self.hits[i]
+            if hit["compared"] == len(chosen):
+                return hit
+            new = [multiset_jaccard(self.tokens(hit), self.tokens(c)) for c in chosen[hit["compared"] :]]
+            hit.update(closest=max(hit["closest"], *new), compared=len(chosen))
+            heapq.heappush(self.heap, (-self.worth(hit), rank, i))
+        return None
+
+    def rest(self) -> list[dict]:
+        return [self.hits[i] for _, _, i in sorted(self.heap, key=lambda x: x[1])]
+
+
 def pack_query(hits: list[dict], query: str, how: Packing) -> list[dict]:
     """Choices and exclusions of one query's hits, which come in rank order."""
     out: list[dict] = []
@@ -188,7 +229,7 @@ def pack_query(hits: list[dict], query: str, how: Packing) -> list[dict]:
             leave(hit, "duplicate")
         else:
             seen.add(hit["id"])
-            waiting.append(hit | {"rank": rank, "counts": token_counts(hit["content"])})
+            waiting.append(hit | {"rank": rank})
     low, high = min((h["score"] for h in waiting), default=0), max((h["score"] for h in waiting), default=0)
     for h in waiting:
         h["relevance"] = (h["score"] - low) / (high - low) if high - low > 1.2e-7 else 1.0
@@ -196,13 +237,10 @@ def pack_query(hits: list[dict], query: str, how: Packing) -> list[dict]:
         leave(h, "relevance_threshold")
     waiting = [h for h in waiting if h["relevance"] >= how.least_relevance]
     chosen: list[dict] = []
-    closest = {h["id"]: 0.0 for h in waiting}
-    weight = min(max(how.novelty, 0.0), 1.0)
-    while waiting and len(chosen) < how.chunks:
-        best = min(waiting, key=lambda h: (-((1 - weight) * h["relevance"] + weight * (1 - closest[h["id"]])), h["rank"], h["id"]))
-        waiting.remove(best)
-        novelty = 1 - closest[best["id"]]
-        if chosen and closest[best["id"]] >= how.near_duplicate:
+    pool = Waiting(waiting, min(max(how.novelty, 0.0), 1.0))
+    while len(chosen) < how.chunks and (best := pool.best(chosen)):
+        novelty = 1 - best["closest"]
+        if chosen and best["closest"] >= how.near_duplicate:
             leave(best, "near_duplicate", novelty=novelty)
             continue
         snippet, cut = fit(best, query, chosen, how)
@@ -212,10 +250,8 @@ def pack_query(hits: list[dict], query: str, how: Packing) -> list[dict]:
         before = how.count(render(chosen))
         chosen.append(best | {"snippet": snippet})
         out.append({"id": best["id"], "citation": len(chosen), "reason": "selected", "snippet": snippet, "truncated": cut, "relevance": best["relevance"], "novelty": novelty,
-                    "selection": (1 - weight) * best["relevance"] + weight * novelty, "tokens": how.count(snippet), "rendered_tokens": how.count(render(chosen)) - before})
-        for h in waiting:
-            closest[h["id"]] = max(closest[h["id"]], multiset_jaccard(h["counts"], best["counts"]))
-    for h in waiting:
+                    "selection": pool.worth(best), "tokens": how.count(snippet), "rendered_tokens": how.count(render(chosen)) - before})
+    for h in pool.rest():
         leave(h, "diagnostic_limit")
     return out
 

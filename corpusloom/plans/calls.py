@@ -13,6 +13,7 @@ from corpusloom.plans import queries as q
 from corpusloom.plans import search as s
 from corpusloom.plans.oracle import with_model
 from corpusloom.plans.registry import SQL, query
+from corpusloom.sources import storage
 from corpusloom.sources import tables as t
 
 NOW = datetime(2024, 1, 20)
@@ -199,6 +200,28 @@ def two_hops_from_notes(spark, d):
     return found.select("query_id", "id", F.round("score", 6).alias("score"), "hops", F.array_join(F.transform("path", lambda x: x["edge_id"]), ",").alias("path"))
 
 
+@query("""WITH ends AS (SELECT from_id AS a, to_id AS b, id AS edge_id, edge_type, confidence FROM visible_edge UNION ALL SELECT to_id, from_id, id, edge_type, confidence FROM visible_edge),
+    few AS (SELECT * FROM ends QUALIFY row_number() OVER (PARTITION BY a, edge_type, b ORDER BY confidence DESC NULLS LAST, edge_id) <= 2)
+    SELECT a AS note_id, edge_type, count(*) AS n, string_agg(edge_id, ',' ORDER BY confidence DESC NULLS LAST, edge_id) AS edges FROM (SELECT * FROM few QUALIFY row_number() OVER (PARTITION BY a, edge_type ORDER BY confidence DESC NULLS LAST, edge_id) <= 6) GROUP BY ALL""", "visible_edge", "visible")
+def bounded_adjacency(spark, d):
+    """Per note and type the edges that steps with a fanout of 2 can take, in their order."""
+    found = graph.adjacency(scans.visible_edges(t.edges(spark, d), q.visible(spark, d)), graph.Expansion(fanout=2))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("confidence").isNull().alias("a"), (-F.coalesce("confidence", F.lit(0.0))).alias("b"), F.col("edge_id").alias("c"))))
+    return found.groupBy(F.col("__from").alias("note_id"), "edge_type").agg(F.count("*").alias("n"), F.array_join(F.transform(ordered, lambda x: x["c"]), ",").alias("edges"))
+
+
+@query(f"""WITH ends AS (SELECT from_id AS a, to_id AS b, id AS edge_id, edge_type, confidence FROM visible_edge UNION ALL SELECT to_id, from_id, id, edge_type, confidence FROM visible_edge),
+    front_0 AS (SELECT id AS query_id, id, 0.03 AS score, id AS seed_id, CAST([] AS VARCHAR[]) AS path, [id] AS visited, 0 AS hops FROM visible WHERE doc_id % 10 = 0), kept_0 AS (SELECT * FROM front_0), {hop_sql(1)}, {hop_sql(2)}
+    SELECT query_id, id, round(score, 6) AS score, CAST(hops AS INT) AS hops, array_to_string(path, ',') AS path FROM kept_2""", "visible_edge", "visible")
+def two_hops_by_adjacency(spark, d):
+    """The two hops again, over the bounded adjacency of all notes."""
+    v = q.visible(spark, d)
+    how = graph.Expansion(hops=2, fanout=3, candidates=6)
+    edges = scans.visible_edges(t.edges(spark, d), v)
+    found = graph.expand(q.note_seeds(spark, d, 10), edges, how, adjacent=storage.written(graph.adjacency(edges, how), "graph-adjacency"))
+    return found.select("query_id", "id", F.round("score", 6).alias("score"), "hops", F.array_join(F.transform("path", lambda x: x["edge_id"]), ",").alias("path"))
+
+
 def seeds_sql(most: int) -> str:
     """The seed notes of each query, coverage first: chosen (query_id, note_id)."""
     return f"""{q.PAGE_SQL}, c1 AS (SELECT query_id, note_id FROM pages WHERE entity_rank = 1 AND page_rank = 1),

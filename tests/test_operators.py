@@ -88,6 +88,40 @@ def test_graph_candidates_equal_a_step_by_step_walk(spark):
         assert got == walk(rows, [s[1] for s in seeds], how), round_
 
 
+def test_bounded_adjacency_gives_the_same_walk(spark):
+    """Parallel edges, self loops and visited notes use up places; the kept edges are still enough."""
+    random.seed(9)
+    how = graph.Expansion(hops=2, fanout=2, candidates=9)
+    for round_ in range(3):
+        nodes = [f"n{i}" for i in range(6)]
+        rows = [(f"e{i:03}", random.choice(["supports", "contradicts"]), random.choice(nodes), random.choice(nodes), random.choice([None, 0.5, 0.9, 0.9])) for i in range(90)]
+        edges = spark.createDataFrame(rows, "id string, edge_type string, from_id string, to_id string, confidence double")
+        seeds = spark.createDataFrame([("q", n, i) for i, n in enumerate(nodes[:2])], "query_id string, note_id string, entity_rank int")
+        kept = graph.adjacency(edges, how)
+        assert kept.groupBy("__from", "edge_type").count().agg(F.max("count")).first()[0] <= 6
+        for adjacent in (None, kept):
+            got = {r["id"]: (round(r["score"], 9), r["hops"], tuple(s["edge_id"] for s in r["path"])) for r in graph.expand(seeds, edges, how, adjacent=adjacent).collect()}
+            assert got == walk(rows, nodes[:2], how), round_
+
+
+def test_a_hub_of_a_million_edges(spark):
+    n = 1_000_000
+    number = F.col("id")
+    edges = spark.range(0, n, 1, 8).select(
+        F.format_string("e%07d", number).alias("id"), F.lit("supports").alias("edge_type"), F.lit("hub").alias("from_id"), F.format_string("n%07d", number).alias("to_id"), (F.pmod(number * 7919, F.lit(n)) / n).alias("confidence")
+    )
+    how = graph.Expansion(hops=2, fanout=4)
+    assert graph.adjacency(edges, how).filter("__from = 'hub'").count() == 12
+    seeds = spark.createDataFrame([(f"q{i}", "hub" if i % 2 else "n0000005", 0) for i in range(50)], "query_id string, note_id string, entity_rank int")
+    best = sorted(range(n), key=lambda i: (-(i * 7919 % n), i))[:4]
+    got = {}
+    for r in graph.expand(seeds, edges, how).filter("hops > 0").collect():
+        got.setdefault(r["query_id"], set()).add(r["id"])
+    assert got["q1"] == {f"n{i:07}" for i in best}
+    assert got["q0"] == {"hub", *got["q1"]}
+    assert len(got) == 50
+
+
 def walk(rows, seeds, how):
     state = {s: {"score": how.seed_score, "path": (), "visited": {s}, "seed": s} for s in seeds}
     order = lambda n, x: (-round(x["score"], 9), [(e, a, b, d) for e, a, b, d in x["path"]], x["seed"], n)
@@ -304,6 +338,51 @@ def hits(texts):
     return [{"id": f"n{i}", "hit_type": "note", "title": None, "content": t, "score": 1.0 - i / 10} for i, t in enumerate(texts)]
 
 
+def greedy(rows, how):
+    """The choice written out: every waiting hit against every chosen one, each time."""
+    counts = {h["id"]: lexical.token_counts(h["content"]) for h in rows}
+
+    def alike(a, b):
+        both, all_ = sum((counts[a] & counts[b]).values()), sum((counts[a] | counts[b]).values())
+        return both / all_ if both else 0.0
+
+    scores = [h["score"] for h in rows]
+    relevance = {h["id"]: (h["score"] - min(scores)) / (max(scores) - min(scores)) for h in rows}
+    left, chosen, out = [h["id"] for h in rows], [], {}
+    while left and len(chosen) < how.chunks:
+        worth = {i: (1 - how.novelty) * relevance[i] + how.novelty * (1 - max((alike(i, c) for c in chosen), default=0.0)) for i in left}
+        i = max(left, key=lambda i: (worth[i], -left.index(i)))
+        left.remove(i)
+        near = max((alike(i, c) for c in chosen), default=0.0)
+        if chosen and near >= how.near_duplicate:
+            out[i] = ("near_duplicate", None, round(1 - near, 9))
+        else:
+            chosen.append(i)
+            out[i] = ("selected", len(chosen), round(1 - near, 9))
+    return out | dict.fromkeys(left, ("diagnostic_limit", None, None))
+
+
+@pytest.mark.parametrize("novelty", [0.0, 0.25, 0.7, 1.0])
+def test_choices_equal_plain_greedy(monkeypatch, novelty):
+    compared = []
+    plain = packing.multiset_jaccard
+    monkeypatch.setattr(packing, "multiset_jaccard", lambda a, b: compared.append(1) or plain(a, b))
+    random.seed(11)
+    words = [f"w{i}" for i in range(12)]
+    some = every = 0
+    for _ in range(40):
+        n = random.randint(2, 60)
+        rows = [{"id": f"h{i:02}", "hit_type": "note", "title": "t", "content": " ".join(random.choices(words, k=random.randint(1, 9))), "score": random.choice([i / 7, random.random()])} for i in range(n)]
+        how = packing.Packing(chunks=random.randint(1, 9), total=10**6, per_chunk=10**5, novelty=novelty, near_duplicate=0.6)
+        compared.clear()
+        got = {r["id"]: (r["reason"], r.get("citation"), None if r.get("novelty") is None else round(r["novelty"], 9)) for r in packing.pack_query(rows, "w1", how)}
+        want = greedy(rows, how)
+        assert got == want
+        some += len(compared)
+        every += n * sum(r[0] == "selected" for r in want.values())
+    assert some < every * (0.6 if novelty < 0.5 else 1)
+
+
 def test_packing_reasons_and_budget():
     how = packing.Packing(chunks=2, total=400, per_chunk=60)
     texts = ["alpha beta gamma delta", "alpha beta gamma delta", "", "Something else. The needle is here. And a tail that goes on and on for long.", "third one"]
