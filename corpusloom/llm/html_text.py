@@ -8,9 +8,10 @@ options and texts of a picture have lines of their own, lists get bullets or num
 indent by depth (up to MOST_INDENT levels), preformatted text keeps its white space, and the
 cells of a table are padded to their columns, spans of columns and rows included.
 
-Time and output are linear in the page: padding goes up to WIDEST characters a cell and
-MOST_PADDING a row besides its separators (longer text is whole, but not aligned), and a table of more than
-MOST_COLUMNS columns has its cells side by side without spans and padding.
+Time and output are linear in the page: a table's padding goes up to PADDING times its own
+text and separators. Where cells of all lengths would need more, columns are as wide as the
+longest lengths that keep to it (longer cells are whole, but not aligned), and where spans alone
+would need more, cells are side by side without padding. No width or number of columns is fixed.
 
 Defined results: a null html is an empty text; a page without tags is its own text with
 references resolved; tags that never end are closed at the end of the page; where a tag has
@@ -72,7 +73,9 @@ MAYBE_FOREIGN = RAW | {"text"} | frozenset.union(*FOREIGN.values())
 HIDING_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.IGNORECASE)
 SPACE = re.compile(r"[ \t\n\r\f\v]+")
 #: Bounds of the layout, see above.
-WIDEST, MOST_PADDING, MOST_COLUMNS, MOST_INDENT = 40, 120, 64, 20
+PADDING, MOST_INDENT = 8, 20
+#: The largest spans that the standard knows.
+MOST_COLSPAN, MOST_ROWSPAN = 1000, 65534
 
 
 class Node:
@@ -345,38 +348,86 @@ def table_lines(table: Node) -> list[str]:
     return [x for x in before if x] + aligned_rows(rows)
 
 
-def aligned_rows(rows: list[list[tuple[str, int, int]]]) -> list[str]:
-    """Lines of rows of (text, columns, rows) whose cells begin where their columns do; rows without text go."""
-    grid: list[list[tuple[int, int, str]]] = []  # column, columns and text of each cell
-    busy = [0] * MOST_COLUMNS  # rows from here on in which a cell from above has the column
-    for row in rows:
-        placed, at = [], 0
+Placed = tuple[int, int, str]  # first column, columns and text of a cell
+
+
+def placed_rows(rows: list[list[tuple[str, int, int]]], room: int) -> list[list[Placed]] | None:
+    """Cells in the columns that cells from above leave to them, an empty one below each of those.
+
+    None where that takes more than ``room`` steps over cells from above, so the time and
+    the number of empty cells are bounded.
+    """
+    grid: list[list[Placed]] = []
+    above: list[tuple[int, int, int]] = []  # first column, columns and last row of cells that reach below their row, by column
+    first_end = 0  # the first of those last rows
+    for y, row in enumerate(rows):
+        placed: list[Placed] = []
+        own: list[tuple[int, int, int]] = []
+        at, i = 0, 0
         for text, columns, below in row:
-            while at < MOST_COLUMNS and busy[at]:
-                placed.append((at, 1, ""))
-                at += 1
-            if at + columns > MOST_COLUMNS:
-                return [" | ".join(t for t, _, _ in r) for r in rows if any(t for t, _, _ in r)]
+            while i < len(above) and above[i][0] <= at:
+                end = above[i][0] + above[i][1]
+                if end > at:
+                    placed.append((at, end - at, ""))
+                    at = end
+                i += 1
+                room -= 1
+            if room < 0:
+                return None
+            columns, below = min(columns, MOST_COLSPAN), min(below, MOST_ROWSPAN)
             placed.append((at, columns, text))
-            busy[at : at + columns] = [below] * columns
+            if below > 1:
+                own.append((at, columns, y + below - 1))
             at += columns
-        if any(text for _, _, text in placed):
-            grid.append(placed)
-        busy = [max(0, n - 1) for n in busy]
-    widths = [0] * MOST_COLUMNS
-    for row in grid:
-        for at, columns, text in row:
-            if columns == 1 and len(text) <= WIDEST:
-                widths[at] = max(widths[at], len(text))
-    lines = []
-    for row in grid:
-        parts, left = [], MOST_PADDING
-        for at, columns, text in row:
-            lacking = min(left, max(0, sum(widths[at : at + columns]) + 3 * (columns - 1) - len(text)))
-            parts.append(text + " " * lacking)
-            left -= lacking
-        lines.append(" | ".join(parts).rstrip())
-    return lines
+        grid.append(placed)
+        if own or above and first_end <= y:
+            room -= len(above)
+            above = sorted([a for a in above if a[2] > y] + own)
+            first_end = min((a[2] for a in above), default=0)
+    return grid
+
+
+def padded(cells: list[list[tuple[int, int, int]]], columns: int, widest: int) -> list[list[int]]:
+    """The spaces that each cell (first column, column after it, length) lacks to its columns' width.
+
+    A column is as wide as its longest cell of at most ``widest`` characters that is in it alone.
+    """
+    widths = [0] * columns
+    for row in cells:
+        for a, b, n in row:
+            if b == a + 1 and widths[a] < n <= widest:
+                widths[a] = n
+    starts = [0]
+    for w in widths:
+        starts.append(starts[-1] + w + 3)
+    return [[max(0, starts[b] - starts[a] - 3 - n) for a, b, n in row] for row in cells]
+
+
+def aligned_rows(rows: list[list[tuple[str, int, int]]]) -> list[str]:
+    """Lines of rows of (text, columns, rows) whose cells begin where their columns do; rows without text go."""
+    room = PADDING * sum(len(text) + 3 for row in rows for text, _, _ in row)
+    grid = placed_rows(rows, room // 2)
+    if grid is None:
+        return [" | ".join(t for t, _, _ in r) for r in rows if any(t for t, _, _ in r)]
+    grid = [row for row in grid if any(text for _, _, text in row)]
+    # only columns where some cell begins or ends matter
+    edges = sorted({x for row in grid for at, columns, _ in row for x in (at, at + columns)})
+    place = {x: i for i, x in enumerate(edges)}
+    cells = [[(place[at], place[at + columns], len(text)) for at, columns, text in row] for row in grid]
+    lengths = sorted({n for row in cells for _, _, n in row})
+    low, high = 0, len(lengths) - 1
+    lacking: list[list[int]] = []
+    middle = high  # padding grows with the width: the largest that keeps to the room, the full one first
+    while low <= high:
+        tried = padded(cells, len(edges), lengths[middle])
+        if sum(sum(row[:-1]) for row in tried) <= room:
+            low, lacking = middle + 1, tried
+        else:
+            high = middle - 1
+        middle = (low + high) // 2
+    if not lacking:
+        return [" | ".join(t for _, _, t in row).rstrip() for row in grid]
+    return [" | ".join([t + " " * n for (_, _, t), n in zip(row[:-1], spaces[:-1], strict=True)] + [row[-1][2]]).rstrip() for row, spaces in zip(grid, lacking, strict=True)]
 
 
 def flat(node: Node) -> str:

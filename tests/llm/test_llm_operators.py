@@ -610,6 +610,63 @@ def test_layout(page, text):
     assert html_text.visible_text(page) == text
 
 
+def laid_out(rows):
+    """Every place of a grid by itself: where a cell's column begins, and its whole text there."""
+    taken, cells = set(), []
+    for y, row in enumerate(rows):
+        x = 0
+        for text, wide, tall in row:
+            while (y, x) in taken:
+                x += 1
+            taken |= {(y + j, x + i) for j in range(tall) for i in range(wide)}
+            cells.append((y, x, x + wide, text))
+            x += wide
+    width = {}
+    for _, x, end, text in cells:
+        if end == x + 1:
+            width[x] = max(width.get(x, 0), len(text))
+    return [(y, sum(width.get(i, 0) + 3 for i in range(x)), text) for y, x, _, text in cells]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_cells_begin_where_their_columns_do(seed):
+    """Tables with spans, long sentences and many columns against a layout place by place."""
+    draw = random.Random(seed)
+    columns = draw.choice([2, 3, 8, 100])
+    rows, taken = [], set()
+    for y in range(draw.randint(2, 12)):
+        row, x = [], 0
+        while x < columns:
+            if (y, x) in taken:
+                x += 1
+                continue
+            free = next((i for i in range(x, columns) if (y, i) in taken), columns) - x
+            wide, tall = (draw.randint(1, min(3, free)), draw.randint(1, 3)) if y and draw.random() < 0.2 else (1, 1)
+            taken |= {(y + j, x + i) for j in range(tall) for i in range(wide)}
+            size = draw.choice([1, 9, 80]) if wide == 1 else 1
+            row.append(("x" * (size if y else 80), wide, tall))
+            x += wide
+        if row:
+            rows.append(row)
+        else:
+            rows.append([("x", 1, 1)])
+    lines = html_text.aligned_rows(rows)
+    assert len(lines) == len(rows)
+    for y, at, text in laid_out(rows):
+        assert lines[y][at : at + len(text)] == text
+        assert at == 0 or lines[y][at - 3 : at] == " | "
+
+
+def test_padding_keeps_to_the_text():
+    """One long cell in a column of short ones isn't aligned with them; the others are, and nothing is cut."""
+    rows = [[("k" * (i % 7 + 1), 1, 1), ("w" * 5_000 if i == 3 else "v" * (i % 5 + 1), 1, 1), ("z", 1, 1)] for i in range(200)]
+    lines = html_text.aligned_rows(rows)
+    assert {line.index("v") for i, line in enumerate(lines) if i != 3} == {10}
+    assert {line.index("z") for i, line in enumerate(lines) if i != 3} == {18}
+    assert "w" * 5_000 in lines[3]
+    assert sum(map(len, lines)) < 12 * sum(len(t) + 3 for row in rows for t, _, _ in row)
+
+
 @pytest.mark.parametrize("page", [
     "<a " * 40_000,
     "<a " * 40_000 + "q='>'",
@@ -620,6 +677,9 @@ def test_layout(page, text):
     "<table><tr><td>" + "w" * 30_000 + "<tr><td>x<td>y" * 10_000,
     "<table><tr>" + "<td rowspan=60000 colspan=3>a" * 5_000 + "<tr><td>b" * 10_000,
     "<table><tr>" + "<td rowspan=60000>a" * 60 + "<tr><td>b" * 10_000,
+    "<table>" + "<tr>" + "".join(f"<td rowspan={i + 2}>a" for i in range(8_000)) + "<tr><td>b" * 8_000,
+    "<table>" + "<tr><td colspan=1000 rowspan=60000>a" * 20_000,
+    "<table>" + "".join("<tr>" + "<td>" * (i % 300) + "w" * i for i in range(600)),
     "<ul><li>x" * 20_000,
     "<p a='" * 20_000,
     "<!-" * 60_000,
