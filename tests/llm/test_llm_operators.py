@@ -524,6 +524,38 @@ def test_posterior_against_labels(spark):
     assert (named & ~toxic).sum() < 0.05 * toxic.sum()
 
 
+@pytest.mark.parametrize("block", [7, 512])
+def test_label_model_over_all_documents_equals_that_in_memory(spark, monkeypatch, block):
+    """Votes of whole texts, grouped and summed in Spark, against the same votes as one matrix."""
+    monkeypatch.setattr(toxicity, "VOTER_BLOCK", block)
+    draw = random.Random(4)
+    lists = [["idiot", "moron", "loser", "scum"], ["salaud", "bouffon", "ordure"]]
+    plain = "the a of river tree stone green cloud".split()
+    texts = []
+    for _ in range(600):
+        kind = draw.random()
+        own = draw.sample(lists[kind < 0.1], 2) if kind < 0.2 else draw.sample(lists[0], 1) if kind > 0.98 else []
+        texts.append(" ".join(draw.choices(plain, k=6) + own))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, None), (None, "")], "doc_id long, text string")
+    voters = toxicity.Voters.of([np.array([word_feature(w) for w in words]) for words in lists], np.array([word_feature(w) for w in ("river", "absent", "tree", "idiots")]))
+    there = [t for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2] + ["", ""]
+    rows = [np.sort(lexical_features(pa.array([t]))[1]) for t in there]
+    votes = toxicity.all_votes(rows, voters)
+    for row, text in zip(votes, there, strict=True):
+        words = text.split()
+        assert [row[np.flatnonzero(voters.features == word_feature(w))[0]] for w in ("idiot", "river", "scum")] == ["idiot" in words, "river" in words, "scum" in words]
+        assert list(row[-2:]) == [len(set(words) & set(x)) > 1 for x in lists]
+    table_ = toxicity.vote_table(docs, voters)
+    assert table_.agg({"n": "sum"}).first()[0] == len(there)
+    kept, kinds = toxicity.voters_that_count(table_, len(voters))
+    fires = [tuple(c) for c in votes.T]
+    assert kept.tolist() == [i for i, c in enumerate(fires) if any(c) and c not in fires[:i]]
+    assert kinds.tolist() == toxicity.kinds_of(votes[:, kept]).tolist()
+    got, want = toxicity.fit_to_table(table_, len(voters), kept, kinds), toxicity.fit_label_model(votes[:, kept])
+    assert got.shares == pytest.approx(want.shares, abs=1e-9)
+    assert got.rates == pytest.approx(want.rates, abs=1e-9)
+
+
 def test_a_sample_has_a_row_for_each_document(spark):
     docs = spark.createDataFrame([(i % 3, f"text {i}") for i in range(60)] + [(None, "x")], "doc_id long, text string")
     labels = spark.createDataFrame([(0, 1), (0, 0), (1, 0), (None, 1)], "doc_id long, toxic int")
