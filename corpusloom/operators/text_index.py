@@ -3,8 +3,7 @@
 Postings are rows of (term, field, block of documents) in buckets of terms; each row has
 its entries, and the largest term frequency and smallest length among them, so that no
 document of the block can gain more from the term than these two give, whatever the mean
-length and the frequencies become later. Beside them, the terms of each document stand in
-buckets of documents.
+length and the frequencies become later. Beside them stand the terms of each document.
 
 A search asks for each query's rarest terms first. Documents that these find are scored in
 full, which gives a score that the k-th hit has at least. Terms that together can't reach
@@ -28,7 +27,7 @@ from corpusloom.operators.retrieval import B, K1, terms
 from corpusloom.operators.scans import first_per, sent_if_small
 from corpusloom.sources.storage import Version, Versions, written
 
-#: Folders of terms and of documents (a number for every FOLDER documents, within bounds), documents of a block, and how far apart scores may be that rank alike.
+#: Folders of terms (a number for every FOLDER documents, within bounds), documents of a block, and how far apart scores may be that rank alike.
 LEAST_BUCKETS, MOST_BUCKETS, FOLDER, BLOCK, SLACK = 8, 256, 20_000, 1024, 1e-6
 #: Of a query's rarest terms, so many times k documents are scored first.
 SEEDS = 4
@@ -39,18 +38,26 @@ def bucket_of(key: str, buckets: int) -> Column:
 
 
 def document_terms(docs: DataFrame, fields: dict[str, float] | list[str]) -> DataFrame:
-    """id, field (its place), length, and terms (array of term and tf), a row for each field of each document."""
+    """id, field (its place), length, and terms (array of term and tf), a row for each field of each document.
+
+    Terms are counted inside their row, as runs of its sorted words: nothing is shuffled.
+    """
     each = docs.select("id", F.posexplode(F.array(*[terms(F.coalesce(F.col(f), F.lit(""))) for f in fields])).alias("field", "words"))
-    counted = each.select("id", "field", F.size("words").alias("length"), F.explode_outer("words").alias("term")).groupBy("id", "field", "length", "term").agg(F.count("*").cast("int").alias("tf"))
-    entry = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-    return counted.groupBy("id", "field", "length").agg(F.collect_list(entry).alias("terms"))
+    ordered = each.select("id", "field", F.size("words").alias("length"), F.sort_array("words").alias("words"))
+    place = F.transform("words", lambda w, i: F.when((i == 0) | (w != F.get(F.col("words"), i - 1)), i))
+    begun = ordered.withColumn("starts", F.array_compact(place))
+    tf = lambda p, i: (F.coalesce(F.get(F.col("starts"), i + 1), F.col("length")) - p).alias("tf")
+    return begun.select("id", "field", "length", F.transform("starts", lambda p, i: F.struct(F.get(F.col("words"), p).alias("term"), tf(p, i))).alias("terms"))
 
 
 def postings_of(documents: DataFrame, blocks: int, buckets: int) -> DataFrame:
-    """bucket, term, field, block, most_tf, least_length and entries (array of id, tf, length) of documents' terms."""
-    rows = documents.select("id", "field", "length", F.explode("terms").alias("x")).select("id", "field", "length", "x.*")
-    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")
-    return rows.groupBy("term", "field", block.alias("block")).agg(
+    """bucket, term, field, block, most_tf, least_length and entries (array of id, tf, length) of documents' terms.
+
+    One shuffle of single entries, dealt by term and block, so that no task gets all of a frequent term.
+    """
+    block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
+    rows = documents.select("id", "field", "length", block, F.explode("terms").alias("x")).select("x.term", "field", "block", "id", "x.tf", "length")
+    return rows.repartition("term", "block").groupBy("term", "field", "block").agg(
         F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.collect_list(F.struct("id", "tf", "length")).alias("entries")
     ).withColumn("bucket", bucket_of("term", buckets))
 
@@ -99,8 +106,7 @@ class TextIndex:
 
     def put(self, docs: DataFrame) -> TextIndex:
         """With new or changed documents."""
-        new = written(document_terms(docs, self.version.notes["fields"]), "index-documents")
-        return self._segment(new, new.select("id").distinct())
+        return self._segment(document_terms(docs, self.version.notes["fields"]), docs.select("id").distinct())
 
     def remove(self, ids: DataFrame) -> TextIndex:
         """Without documents of these ids."""
@@ -112,8 +118,9 @@ class TextIndex:
         number, buckets = notes["segment"] + 1, notes["buckets"]
         tables = {k: list(v) for k, v in self.version.tables.items()}
 
-        def add(table: str, rows: DataFrame, *by: str) -> None:
+        def add(table: str, rows: DataFrame, *by: str) -> str:
             tables.setdefault(table, []).append(self.store.write(rows.withColumn("segment", F.lit(number)), table, *by))
+            return tables[table][-1]
 
         if number:
             old = written(self.live().join(sent_if_small(changed), "id", "left_semi"), "index-changed")
@@ -122,16 +129,16 @@ class TextIndex:
             add("sizes", of_fields)
             add("dead", old.select("id").distinct())
         if new is not None:
+            new = self.store.read("documents", Version(tables={"documents": [add("documents", new)]})).drop("segment")  # counted once, and where they stay
             of_terms, of_fields = counts_of(new, 1, buckets)
-            add("postings", postings_of(new, notes["blocks"], buckets).repartition("bucket", "term").sortWithinPartitions("bucket", "term", "field", "block"), "bucket")
-            add("documents", new.withColumn("home", bucket_of("id", buckets)).repartition("home").sortWithinPartitions("home", "id"), "home")
+            add("postings", postings_of(new, notes["blocks"], buckets).sortWithinPartitions("bucket", "term", "field", "block"), "bucket")
             add("counts", of_terms.repartition("bucket"), "bucket")
             add("sizes", of_fields)
         return replace(self, version=self.store.commit(self.version, tables, **(notes | {"segment": number})))
 
     def compact(self) -> TextIndex:
         """All segments as one, with blocks for the documents there are now."""
-        documents = written(self.live().drop("segment", "home"), "index-compacted")
+        documents = written(self.live().drop("segment"), "index-compacted")
         blocks = max(1, -(-documents.select("id").distinct().count() // BLOCK))
         fresh = Version(self.version.number, {}, self.version.notes | {"segment": -1, "blocks": blocks})
         return replace(self, version=fresh)._segment(documents, documents.select("id").limit(0))

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluation
+from corpusloom.operators import evaluation, text_index
 from corpusloom.plans import queries as q
+from corpusloom.sources.storage import written
 
 
 def test_metrics_never_repeat_a_set_for_its_cases(spark, tmp_path, monkeypatch):
@@ -28,3 +32,27 @@ def test_metrics_of_shared_sets_equal_those_of_repeated_ones(spark):
     plain = lambda rows: sorted((r["case_id"], *(round(r[m], 9) for m in ("relevant", *evaluation.METRICS))) for r in rows.collect())
     assert plain(shared) == plain(repeated)
     assert len(plain(shared)) == 10
+
+
+def exchanges(rows) -> int:
+    return rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_terms_are_counted_without_a_shuffle_and_postings_with_one(spark):
+    docs = spark.createDataFrame([(f"n{i}", " ".join(f"w{(i * j) % 7}" for j in range(i)), None if i % 3 else "Été w1 w1") for i in range(30)], "id string, content string, title string")
+    documents = text_index.document_terms(docs, ["content", "title"])
+    assert exchanges(documents) == 0
+    found = {(r["id"], r["field"]): (r["length"], {t["term"]: t["tf"] for t in r["terms"]}) for r in documents.collect()}
+    for r in docs.collect():
+        for field, text in enumerate((r["content"], r["title"])):
+            words = re.findall("[a-z]+|[0-9]+", (text or "").lower().replace("é", "e"))
+            assert found[r["id"], field] == (len(words), dict(Counter(words)))
+    stored = written(documents, "terms")
+    postings = text_index.postings_of(stored, 3, 8)
+    assert exchanges(postings.sortWithinPartitions("bucket", "term")) == 1
+    entries = {(r["term"], r["field"], x["id"]): (x["tf"], x["length"]) for r in postings.collect() for x in r["entries"]}
+    assert entries == {(term, field, i): (tf, length) for (i, field), (length, own) in found.items() for term, tf in own.items()}
+
+
+def test_visible_notes_are_not_shuffled_for_their_few_sources(spark, sf):
+    assert exchanges(q.visible(spark, sf).select("id", "content")) <= 1  # that of the sources' own count
