@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evaluation, text_index
+from corpusloom.operators.blocks import Nearest, unit
+from corpusloom.operators.vector_index import VectorIndex, packed
 from corpusloom.plans import queries as q
 from corpusloom.sources.storage import written
 
@@ -56,3 +59,28 @@ def test_terms_are_counted_without_a_shuffle_and_postings_with_one(spark):
 
 def test_visible_notes_are_not_shuffled_for_their_few_sources(spark, sf):
     assert exchanges(q.visible(spark, sf).select("id", "content")) <= 1  # that of the sources' own count
+
+
+def test_a_task_leaves_its_best_rows_once_for_each_query(spark):
+    """Whatever the number of blocks: copies, nulls in place of numbers and ties by id among them."""
+    rng = np.random.default_rng(4)
+    vectors = np.concatenate([rng.normal(size=(700, 8)), np.repeat(rng.normal(size=(2, 8)), 150, axis=0)])
+    vectors[17] = np.nan
+    ids, k = np.array([f"n{i}" for i in range(1000)], dtype=object), 5
+    matrix = unit(vectors)
+    for exclude_self, least in ((False, None), (True, 0.3)):
+        best = Nearest(ids[::9], matrix[::9], k, exclude_self, least)
+        for at in range(0, 1000, 130):
+            best.meet(ids[at : at + 130], matrix[at : at + 130])
+        found = best.rows()
+        similar = matrix[::9] @ matrix.T
+        want = []
+        for q, row in enumerate(similar):
+            own = [(round(1 - s, 9), i) for i, s in zip(ids, row, strict=True) if np.isfinite(s) and not (exclude_self and i == ids[::9][q]) and (least is None or s > least)]
+            want += [(ids[::9][q], i) for _, i in sorted(own)[:k]]
+        assert sorted(zip(found["query_id"], found["id"], strict=True)) == sorted(want)
+    rows = spark.createDataFrame([(f"n{i}", [float(x) for x in rng.normal(size=4)]) for i in range(600)], "id string, embedding array<double>")
+    index = VectorIndex.build(rows, rows=20)
+    asked = [b for wave in index.waves(written(packed(rows, index.pivots, 100), "asked")) for _, b in wave]
+    met = index.meet(asked, list(range(len(index.pivots))), 3, False, None)
+    assert met.count() <= 3 * 600 * met.rdd.getNumPartitions() < 3 * 600 * index.blocks().count()
