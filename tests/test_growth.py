@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluation, text_index
+from corpusloom.operators import evaluation, retrieval, text_index
 from corpusloom.operators.blocks import Nearest, unit
 from corpusloom.operators.vector_index import VectorIndex, packed
 from corpusloom.plans import queries as q
@@ -84,3 +84,12 @@ def test_a_task_leaves_its_best_rows_once_for_each_query(spark):
     asked = [b for wave in index.waves(written(packed(rows, index.pivots, 100), "asked")) for _, b in wave]
     met = index.meet(asked, list(range(len(index.pivots))), 3, False, None)
     assert met.count() <= 3 * 600 * met.rdd.getNumPartitions() < 3 * 600 * index.blocks().count()
+
+
+def test_terms_of_many_texts_are_counted_some_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(f"n{i}", f"w x{i % 3} w " + "y " * (i % 5), None) for i in range(50)], "id string, content string, title string").coalesce(1)
+    counts = lambda: sorted((r["id"], tuple(r["lengths"]), tuple(r["places"]), tuple(r["tfs"])) for r in retrieval._counted(docs, ["content", "title"], ["w", "y", "0"]).collect())
+    whole = counts()
+    monkeypatch.setattr(retrieval, "TEXTS", 7)
+    assert counts() == whole
+    assert len(whole) == 50
