@@ -18,13 +18,17 @@ all. Every change is one version (``storage.Versions``): a reader sees it whole
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.operators.retrieval import B, K1, terms
-from corpusloom.operators.scans import first_per, sent_if_small
+from corpusloom.operators.retrieval import B, K1, SENT_CELLS, TEXTS, terms
+from corpusloom.operators.scans import SENT_ROWS, first_per, sent_if_small
 from corpusloom.sources.storage import Version, Versions, written
 
 #: Folders of terms (a number for every FOLDER documents, within bounds), documents of a block, and how far apart scores may be that rank alike.
@@ -40,26 +44,62 @@ def bucket_of(key: str, buckets: int) -> Column:
 def document_terms(docs: DataFrame, fields: dict[str, float] | list[str]) -> DataFrame:
     """id, field (its place), length, and terms (array of term and tf), a row for each field of each document.
 
-    Terms are counted inside their row, as runs of its sorted words: nothing is shuffled.
+    Terms are counted inside their row, some texts at a time: nothing is shuffled.
     """
-    each = docs.select("id", F.posexplode(F.array(*[terms(F.coalesce(F.col(f), F.lit(""))) for f in fields])).alias("field", "words"))
-    ordered = each.select("id", "field", F.size("words").alias("length"), F.sort_array("words").alias("words"))
-    place = F.transform("words", lambda w, i: F.when((i == 0) | (w != F.get(F.col("words"), i - 1)), i))
-    begun = ordered.withColumn("starts", F.array_compact(place))
-    tf = lambda p, i: (F.coalesce(F.get(F.col("starts"), i + 1), F.col("length")) - p).alias("tf")
-    return begun.select("id", "field", "length", F.transform("starts", lambda p, i: F.struct(F.get(F.col("words"), p).alias("term"), tf(p, i))).alias("terms"))
+    n = len(fields)
+
+    def run(batches):
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(at, TEXTS)
+                for f in range(n):
+                    sizes = batch.column(1 + f).value_lengths().to_numpy(zero_copy_only=False)
+                    coded = batch.column(1 + f).flatten().dictionary_encode()
+                    width = max(1, len(coded.dictionary))
+                    key, tf = np.unique(np.repeat(np.arange(len(sizes)), sizes) * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                    offsets = pa.array(np.searchsorted(key, np.arange(len(sizes) + 1) * width).astype(np.int32))
+                    found = pa.StructArray.from_arrays([coded.dictionary.take(pa.array(key % width)), pa.array(tf.astype(np.int32))], names=["term", "tf"])
+                    columns = [batch.column(0), pa.array(np.full(len(sizes), f, np.int32)), pa.array(sizes.astype(np.int32)), pa.ListArray.from_arrays(offsets, found)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "field", "length", "terms"])
+
+    words = docs.select("id", *[terms(F.coalesce(F.col(f), F.lit(""))).alias(f"f{i}") for i, f in enumerate(fields)])
+    return words.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, field int, length int, terms array<struct<term:string,tf:int>>")
 
 
 def postings_of(documents: DataFrame, blocks: int, buckets: int) -> DataFrame:
     """bucket, term, field, block, most_tf, least_length and entries (array of id, tf, length) of documents' terms.
 
-    One shuffle of single entries, dealt by term and block, so that no task gets all of a frequent term.
+    One shuffle of documents by block; tasks turn them round, a batch of some blocks at a
+    time. A block may have several rows of a term, where a batch ends inside it or it has
+    many more than BLOCK documents, which are dealt to several tasks then.
     """
+    parts = max(1, -(-documents.count() // (2 * blocks * BLOCK)))
     block = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")
-    rows = documents.select("id", "field", "length", block, F.explode("terms").alias("x")).select("x.term", "field", "block", "id", "x.tf", "length")
-    return rows.repartition("term", "block").groupBy("term", "field", "block").agg(
-        F.max("tf").alias("most_tf"), F.min("length").alias("least_length"), F.collect_list(F.struct("id", "tf", "length")).alias("entries")
-    ).withColumn("bucket", bucket_of("term", buckets))
+    dealt = documents.select("id", "field", "length", block, "terms").repartition("block", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(parts))).sortWithinPartitions("block")
+    kind = documents.schema["id"].dataType.simpleString()
+    rows = dealt.mapInArrow(_turned, f"term string, field int, block int, most_tf int, least_length int, entries array<struct<id:{kind},tf:int,length:int>>")
+    return rows.withColumn("bucket", bucket_of("term", buckets))
+
+
+def _turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (term, field, block) with their documents, out of documents with their terms."""
+    for batch in batches:
+        ids, own, terms = batch.column(0), [batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3)], batch.column(4)
+        row = np.repeat(np.arange(batch.num_rows), terms.value_lengths().to_numpy(zero_copy_only=False))
+        if not len(row):
+            continue
+        field, length, block = (x[row] for x in own)
+        coded, tf = (terms.flatten().field(i) for i in (0, 1))
+        coded, tf = coded.dictionary_encode(), tf.to_numpy(zero_copy_only=False)
+        code = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        key = (block.astype(np.int64) * (int(field.max()) + 1) + field) * len(coded.dictionary) + code
+        order = np.argsort(key)
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(key[order]) != 0]))
+        first, tf, length = order[starts], tf[order], length[order]
+        offsets = np.append(starts, len(order)).astype(np.int32)
+        entries = pa.StructArray.from_arrays([ids.take(pa.array(row[order])), pa.array(tf), pa.array(length)], names=["id", "tf", "length"])
+        columns = [coded.dictionary.take(pa.array(code[first])), pa.array(field[first]), pa.array(block[first]), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(length, starts)), pa.ListArray.from_arrays(pa.array(offsets), entries)]
+        yield pa.RecordBatch.from_arrays(columns, names=["term", "field", "block", "most_tf", "least_length", "entries"])
 
 
 def counts_of(documents: DataFrame, sign: int, buckets: int) -> tuple[DataFrame, DataFrame]:
@@ -206,8 +246,53 @@ class TextIndex:
         return self.alive(each).withColumn("part", gain("tf", "length"))
 
     def complete(self, pairs: DataFrame, plan: DataFrame, known: DataFrame) -> DataFrame:
-        """query_id, id and score of pairs (query_id, id), from all terms of the documents."""
+        """query_id, id and score of pairs (query_id, id), from all terms of the documents.
+
+        While the asked terms by their queries make a small table, a document's terms are
+        multiplied by it where they are, and never repeated for its queries.
+        """
         pairs = written(pairs, "index-pairs")
+        size = plan.agg(F.count_distinct("term").alias("terms"), F.count_distinct("query_id").alias("queries")).first()
+        if size["terms"] * size["queries"] > SENT_CELLS:
+            return self._complete_joined(pairs, plan, known)
+        asked = plan.select("query_id", "term").collect()  # SENT_CELLS cells at most
+        names, words = sorted({str(r["query_id"]) for r in asked}), sorted({r["term"] for r in asked})
+        place, column = {w: i for i, w in enumerate(words)}, {n: i for i, n in enumerate(names)}
+        table = np.zeros((len(words), len(names)))
+        for r in asked:
+            table[place[r["term"]], column[str(r["query_id"])]] = 1
+        idf, means = np.zeros((len(self.version.notes["fields"]), len(words))), np.ones(len(self.version.notes["fields"]))
+        for r in known.select("term", "field", "mean", "idf").collect():  # a row for each asked term and field
+            if r["term"] in place:
+                idf[r["field"], place[r["term"]]], means[r["field"]] = r["idf"], r["mean"]
+        sent = pairs.sparkSession.sparkContext.broadcast((names, words, table, idf, means))
+
+        def run(batches):
+            names, words, table, idf, means = sent.value
+            names, words = pa.array(names, pa.string()), pa.array(words, pa.string())
+            for whole in batches:
+                for at in range(0, whole.num_rows, TEXTS):
+                    batch = whole.slice(at, TEXTS)
+                    field, length = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2))
+                    row, at_term, own = _places(batch.column(3), words, "term")
+                    tf = batch.column(3).flatten().field("tf").to_numpy(zero_copy_only=False)[own]
+                    gains, of = np.zeros((batch.num_rows, len(words))), field[row]
+                    gains[row, at_term] = idf[of, at_term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length[row] / means[of]))
+                    row, at_query, own = _places(batch.column(4), names)
+                    parts = (gains @ table)[row, at_query]
+                    real = parts > 0
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(at_query[real])), batch.column(0).take(pa.array(row[real])), pa.array(parts[real])], names=["query_id", "id", "part"])
+
+        own = pairs.groupBy("id").agg(F.collect_list("query_id").alias("queries"))
+        few = pairs.limit(SENT_ROWS + 1).count() <= SENT_ROWS
+        documents = self.alive(self.table("documents").join(F.broadcast(own) if few else own, "id"))
+        kinds = {c: pairs.schema[c].dataType.simpleString() for c in ("query_id", "id")}
+        each = documents.select("id", "field", "length", "terms", F.col("queries").cast("array<string>").alias("queries"))
+        each = each.mapInArrow(run, f"query_id string, id {kinds['id']}, part double")
+        return each.groupBy(F.col("query_id").cast(kinds["query_id"]).alias("query_id"), "id").agg(F.sum("part").alias("score"))
+
+    def _complete_joined(self, pairs: DataFrame, plan: DataFrame, known: DataFrame) -> DataFrame:
+        """The same by joins, for more terms and queries than a table of them can be sent."""
         documents = self.alive(self.table("documents").join(sent_if_small(pairs.select("id").distinct()), "id", "left_semi"))
         each = documents.select("id", "field", "length", F.explode("terms").alias("x")).select("id", "field", "length", "x.*")
         each = each.join(sent_if_small(known.select("term", "field", "mean", "idf")), ["term", "field"]).select("id", "term", gain("tf", "length").alias("part"))
@@ -222,6 +307,15 @@ class TextIndex:
         return {"matching": every.select("query_id", "id").distinct().count(), "buckets": len(buckets)}
 
 
+def _places(lists: pa.ListArray, known: pa.Array, name: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of entries of lists that are among the known values: their rows, the values' places, and which entries they are."""
+    row = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False))
+    values = lists.flatten().field(name) if name else lists.flatten()
+    place = pc.fill_null(pc.index_in(values, value_set=known), -1).to_numpy(zero_copy_only=False)
+    own = np.flatnonzero(place >= 0)
+    return row[own], place[own], own
+
+
 def gain(tf: str, length: str) -> Column:
     """What a term gives a document: grows with tf, shrinks with length."""
     return F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col(length) / F.col("mean")))

@@ -93,3 +93,26 @@ def test_terms_of_many_texts_are_counted_some_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "TEXTS", 7)
     assert counts() == whole
     assert len(whole) == 50
+
+
+def test_documents_are_turned_round_and_scored_where_they_are(spark, tmp_path, monkeypatch):
+    """Neither a shuffle of postings nor the scores of pairs repeat a document's terms."""
+    docs = spark.createDataFrame([(f"n{i}", " ".join(f"w{(i * j) % 11}" for j in range(i % 9)), f"w{i % 5}") for i in range(90)], "id string, content string, title string")
+    stored = written(text_index.document_terms(docs, ["content", "title"]), "terms")
+    entries = lambda rows: sorted((r["term"], r["field"], x["id"], x["tf"], x["length"]) for r in rows.collect() for x in r["entries"])
+    postings = text_index.postings_of(stored, 3, 8)
+    assert "Generate" not in postings._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(text_index, "BLOCK", 4)  # a block of many more documents is dealt to several tasks
+    assert entries(text_index.postings_of(stored, 1, 8)) == entries(postings)
+    weight = {"content": 0.9, "title": 0.1}
+    index = text_index.TextIndex.create(spark, f"{tmp_path}/index", docs, list(weight))
+    index = index.put(docs.filter("id like 'n1%'").withColumn("content", F.lit("w1 w3 w3 new"))).remove(docs.filter("id like '%7'").select("id"))
+    asked = spark.createDataFrame([(f"q{i}", str((i * j) % 12)) for i in range(12) for j in range(1, 6)], "query_id string, term string").distinct()
+    known = written(index.weights(asked, weight), "weights")
+    plan = written(text_index.query_plan(asked, known, 3), "plan")
+    pairs = plan.select("query_id").distinct().crossJoin(docs.filter("id <> 'n5'").select("id"))
+    scores = index.complete(pairs, plan, known)
+    assert "Generate" not in scores._jdf.queryExecution().executedPlan().toString()
+    plain = lambda rows: {(r["query_id"], r["id"]): round(r["score"], 9) for r in rows.collect()}
+    assert plain(scores) == plain(index._complete_joined(pairs, plan, known))
+    assert len(plain(scores)) > 100
