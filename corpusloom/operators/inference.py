@@ -8,11 +8,11 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,18 +84,27 @@ def with_fallback(texts: list[str], embed: Embed, how: Calls) -> Iterator[tuple[
                 yield vector, error, calls + more
 
 
+#: Texts that a task has as Python strings at a time.
+TEXTS = 512
+
+
 def called(items: DataFrame, embed: Embed, how: Calls = Calls()) -> DataFrame:
     """cache_key, embedding or error, and calls, for each of ``items`` (cache_key, text)."""
+    return items.select("cache_key", "text").mapInArrow(lambda batches: answers(batches, embed, how), RESULT)
 
-    def run(batches):
-        with ThreadPoolExecutor(how.at_once) as pool:
-            for pdf in batches:
-                keys, texts = pdf["cache_key"].tolist(), pdf["text"].tolist()
+
+def answers(batches: Iterable[pa.RecordBatch], embed: Embed, how: Calls) -> Iterator[pa.RecordBatch]:
+    """Results of batches of (cache_key, text), TEXTS at a time, as a batch may have thousands of long texts."""
+    kind = pa.schema([("cache_key", pa.string()), ("embedding", pa.list_(pa.float32())), ("error", pa.string()), ("calls", pa.int32())])
+    with ThreadPoolExecutor(how.at_once) as pool:
+        for whole in batches:
+            for start in range(0, whole.num_rows, TEXTS):
+                batch = whole.slice(start, TEXTS)
+                texts = batch.column(1).to_pylist()
                 parts = [texts[at : at + how.batch] for at in range(0, len(texts), how.batch)]
                 rows = [r for part in pool.map(lambda p: list(with_fallback(p, embed, how)), parts) for r in part]
-                yield pd.DataFrame({"cache_key": keys, "embedding": [r[0] for r in rows], "error": [r[1] for r in rows], "calls": [r[2] for r in rows]})
-
-    return items.select("cache_key", "text").mapInPandas(run, RESULT)
+                columns = [pa.array([r[i] for r in rows], kind.field(1 + i).type) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), *columns], schema=kind)
 
 
 def inferred(items: DataFrame, cache: DataFrame | None, embed: Embed, how: Calls = Calls(), **identity: str) -> tuple[DataFrame, DataFrame]:

@@ -6,9 +6,10 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluation, retrieval, text_index
+from corpusloom.operators import evaluation, inference, retrieval, text_index
 from corpusloom.operators.blocks import Nearest, unit
 from corpusloom.operators.vector_index import VectorIndex, packed
 from corpusloom.plans import queries as q
@@ -116,3 +117,13 @@ def test_documents_are_turned_round_and_scored_where_they_are(spark, tmp_path, m
     plain = lambda rows: {(r["query_id"], r["id"]): round(r["score"], 9) for r in rows.collect()}
     assert plain(scores) == plain(index._complete_joined(pairs, plan, known))
     assert len(plain(scores)) > 100
+
+
+def test_a_task_takes_some_texts_of_a_batch_at_a_time():
+    seen = []
+    batch = pa.RecordBatch.from_pydict({"cache_key": [f"k{i}" for i in range(1300)], "text": [None if i == 7 else "x" * i for i in range(1300)]})
+    found = inference.answers([batch], lambda texts: (seen.extend(texts), [[float(len(t or "")), 1.0] for t in texts])[1], inference.Calls())
+    first = next(found)
+    assert len(seen) == first.num_rows == inference.TEXTS < 1300
+    rows = [r for part in [first, *found] for r in part.to_pylist()]
+    assert [(r["cache_key"], r["embedding"], r["error"], r["calls"]) for r in rows] == [(f"k{i}", [0.0 if i == 7 else float(i), 1.0], None, 1) for i in range(1300)]
