@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from corpusloom.operators import evaluation, inference, retrieval, text_index
+from corpusloom.operators import blocks, evaluation, inference, retrieval, text_index
 from corpusloom.operators.blocks import Nearest, unit
 from corpusloom.operators.vector_index import VectorIndex, packed
 from corpusloom.plans import queries as q
@@ -87,6 +87,35 @@ def test_a_task_leaves_its_best_rows_once_for_each_query(spark):
     assert met.count() <= 3 * 600 * met.rdd.getNumPartitions() < 3 * 600 * index.blocks().count()
 
 
+def test_a_task_sorts_as_its_rows_double(monkeypatch):
+    """And not for each slice of rows that holds a near one; many equal rows wait some pairs at a time."""
+    rng = np.random.default_rng(5)
+    vectors = np.concatenate([rng.normal(size=(6000, 8)), np.repeat(rng.normal(size=(1, 8)), 400, axis=0)])[rng.permutation(6400)]
+    ids, matrix, k = np.array([f"n{i}" for i in range(6400)], dtype=object), unit(vectors), 5
+    monkeypatch.setattr(blocks, "SLICE", 64)
+    monkeypatch.setattr(blocks, "PAIRS", 500)
+    calls, real = [], np.lexsort
+    monkeypatch.setattr(np, "lexsort", lambda keys: (calls.append(len(keys)), real(keys))[1])
+    best = Nearest(ids[::40], matrix[::40], k, False, None)
+    best.meet(ids, matrix)
+    found = best.rows()
+    assert calls.count(2) + calls.count(3) <= 40 < 6400 // 64
+    far = np.round(1 - matrix[::40] @ matrix.T, 9)
+    want = [(ids[::40][q], i) for q, row in enumerate(far) for _, i in sorted(zip(row, ids, strict=True))[:k]]
+    assert sorted(zip(found["query_id"], found["id"], strict=True)) == sorted(want)
+
+
+def test_queries_of_many_blocks_meet_the_corpus_in_one_scan(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(6)
+    table = spark.createDataFrame([(f"n{i}", [float(x) for x in rng.normal(size=4)]) for i in range(150)], "id string, embedding array<double>")
+    asked = table.withColumnRenamed("id", "query_id")
+    by_blocks = VectorIndex.build(table, rows=20).near(asked, 3)
+    monkeypatch.setattr(VectorIndex, "build", None)
+    plain = lambda rows: sorted((r["query_id"], r["id"], r["rank"], round(r["distance"], 9)) for r in rows.collect())
+    assert plain(retrieval.knn(asked, table, 3)) == plain(by_blocks)
+
+
 def test_terms_of_many_texts_are_counted_some_at_a_time(spark, monkeypatch):
     docs = spark.createDataFrame([(f"n{i}", f"w x{i % 3} w " + "y " * (i % 5), None) for i in range(50)], "id string, content string, title string").coalesce(1)
     counts = lambda: sorted((r["id"], tuple(r["lengths"]), tuple(r["places"]), tuple(r["tfs"])) for r in retrieval._counted(docs, ["content", "title"], ["w", "y", "0"]).collect())
