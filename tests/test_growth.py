@@ -125,6 +125,27 @@ def test_terms_of_many_texts_are_counted_some_at_a_time(spark, monkeypatch):
     assert len(whole) == 50
 
 
+def test_python_gets_few_texts_at_a_time_and_a_task_leaves_its_best(spark, monkeypatch):
+    """Whatever the number of rows; settings are put back."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    monkeypatch.setattr(retrieval, "TEXTS", 7)
+    docs = spark.createDataFrame([(f"n{i}", "w " * (1 + i % 9) + f"x{i % 3} " + "y " * (i % 5)) for i in range(400)], "id string, content string").coalesce(1)
+    asked = spark.createDataFrame([("a", "w y"), ("b", "x1"), ("c", "w x2"), ("none", "z")], "query_id string, query string")
+    before, batches, real = [spark.conf.get(k, None) for k in keys], [], written
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows]})
+
+    monkeypatch.setattr(retrieval, "written", lambda rows, label: (label == "asked-terms" or batches.append(max(r["rows"] for r in docs.mapInArrow(sizes, "rows long").collect())), real(rows, label))[1])
+    found = retrieval.bm25(asked, docs, {"content": 1.0}, k=3)
+    assert batches == [7, 7]  # while texts are counted, and while they are scored
+    assert [spark.conf.get(k, None) for k in keys] == before
+    assert found.count() <= 3 * 3 * 4  # a query's best of a task, not of each 7 texts
+    plain = lambda rows: sorted((r["query_id"], r["rank"], r["id"], round(r["score"], 9)) for r in rows.collect())
+    assert plain(retrieval.best_text(found, 3)) == plain(retrieval.best_text(retrieval.bm25(asked, docs, {"content": 1.0}), 3))
+
+
 def test_documents_are_turned_round_and_scored_where_they_are(spark, tmp_path, monkeypatch):
     """Neither a shuffle of postings nor the scores of pairs repeat a document's terms."""
     docs = spark.createDataFrame([(f"n{i}", " ".join(f"w{(i * j) % 11}" for j in range(i % 9)), f"w{i % 5}") for i in range(90)], "id string, content string, title string")
