@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -105,6 +106,25 @@ def test_a_task_sorts_as_its_rows_double(monkeypatch):
     assert sorted(zip(found["query_id"], found["id"], strict=True)) == sorted(want)
 
 
+def test_pairs_of_wide_vectors_are_compared_some_at_a_time():
+    """Their copies for 200 hits of 200 queries, as a search asks for, don't grow with the dimension."""
+    rng = np.random.default_rng(7)
+    ids, k = np.array([f"n{i}" for i in range(1024)], dtype=object), 200
+    matrix = unit(rng.normal(size=(1024, 768)))
+    best = Nearest(ids[:200], matrix[:200], k, False, None)
+    tracemalloc.start()
+    try:
+        best.meet(ids, matrix)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 60e6  # 40,000 pairs of whole vectors are 490 MB
+    found = best.rows()
+    far = np.round(1 - matrix[:200] @ matrix.T, 9)
+    want = [(ids[q], i) for q, row in enumerate(far) for _, i in sorted(zip(row, ids, strict=True))[:k]]
+    assert sorted(zip(found["query_id"], found["id"], strict=True)) == sorted(want)
+
+
 def test_queries_of_many_blocks_meet_the_corpus_in_one_scan(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(6)
